@@ -1,0 +1 @@
+"""Sources of the engine, written as DataFrame expressions."""

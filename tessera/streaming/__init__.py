@@ -1,0 +1 @@
+"""Streaming of the engine, written as DataFrame expressions."""
