@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, mixing, quality_rules, secret_scan, warc
+from tessera.llm import language_id, license_scan, mixing, quality_rules, secret_scan, warc
 from tessera.llm.common import read
 
 
@@ -22,6 +22,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).select(
@@ -38,6 +47,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
