@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, license_scan, mixing, quality_rules, secret_scan, warc
+from tessera.llm import jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, warc
 from tessera.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(read(spark, sf_dir, "documents").select("doc_id", "text"), 90, 3)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
 }
 
