@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, warc
+from tessera.llm import jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, substring_dedup, warc
 from tessera.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
