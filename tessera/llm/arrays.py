@@ -81,6 +81,14 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sequence_hashes(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row, that of ``grams`` over the whole row."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        out = out * _WORD + rows[:, j]
+    return mix(out)
+
+
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least item of each run of w, by doubling."""
     have, out = 1, x

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, substring_dedup, warc
+from tessera.llm import jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, warc
 from tessera.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.length("text").cast("long").alias("kept_chars"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
