@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, warc
+from tessera.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, warc
 from tessera.llm.common import read
 
 
@@ -31,6 +31,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), (F.size("items") > 0).alias("contaminated"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
