@@ -1,4 +1,58 @@
-"""placeholder"""
+"""Corpus pipeline: from raw documents to a mix of sources.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as a table
+that the next one reads.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
+from tessera.llm.common import cut, read
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is not told with enough certainty (no letters, or a low score)."""
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.filter("accepted").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that repeat an earlier one, exactly or with one word edited."""
+    return line_dedup.dedup(docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8)."""
+    return jaccard_join.keep_first(docs, 80, 5)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, by the target weights of the sources."""
+    return mixing.mix_totals(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_each_group),
+    ("benchmark", drop_benchmark_leaks),
+    ("mix", mix_sources),
+]
+
+#: Stages learn a model and compare lines by edits, which SQL can't express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage_{name}")
+    return docs
