@@ -7,9 +7,10 @@ that the next one reads.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from tessera.llm.common import cut, read
+from tessera.llm.common import SPACES, cut, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that repeat an earlier one, exactly or with one word edited."""
-    return line_dedup.dedup(docs)
+    """Removes lines that repeat an earlier one, exactly or with one word edited, and documents left without words."""
+    kept = line_dedup.dedup(docs)
+    return kept.filter(F.length(F.translate("text", SPACES, "")) > 0)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
