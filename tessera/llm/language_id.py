@@ -114,7 +114,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float =
     bags = []
     for t in texts:
         ids, counts = np.unique(subwords([t])[0], return_counts=True)
-        bags.append((ids, counts / max(1, counts.sum())))
+        bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
     aside = np.arange(len(texts)) % ASIDE == ASIDE - 1
     rows = np.flatnonzero(~aside)
     for epoch in range(epochs):
@@ -136,12 +136,16 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float =
     return calibrate(model, [texts[i] for i in np.flatnonzero(aside)], y[aside])
 
 
+def _logits(model: Model, texts: list[bytes]) -> np.ndarray:
+    ids, begins = subwords(texts)
+    return _means(model.weights[ids], begins) + model.bias
+
+
 def calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
     """Temperature of least log loss, and the threshold that rejects REJECT_SHARE of these texts."""
     if not texts:
         return model
-    ids, begins = subwords(texts)
-    z = _means(model.weights[ids], begins) + model.bias
+    z = np.concatenate([_logits(model, texts[i : i + 32]) for i in range(0, len(texts), 32)])
     grid = np.geomspace(0.05, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
@@ -162,8 +166,9 @@ def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS)
     step = max(1, labelled.count() // rows)
     some = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0)
     taken = sorted((r.doc_id if r.doc_id is not None else -1, r.lang, r.text) for r in some.select("doc_id", "lang", "text").toLocalIterator())
-    taken = [r for r in taken if r[2]]
-    return train([r[2].encode() for r in taken], [r[1] for r in taken]) if taken else None
+    labels, texts = [r[1] for r in taken if r[2]], [r[2].encode() for r in taken if r[2]]
+    del taken
+    return train(texts, labels) if texts else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -182,8 +187,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names, scores, good = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             lettered = [i for i, t in enumerate(texts) if t and has_letter(t)]
             if m is not None and lettered:
-                ids, begins = subwords([texts[i] for i in lettered])
-                p = _softmax((_means(m.weights[ids], begins) + m.bias) / m.temperature)
+                p = _softmax(_logits(m, [texts[i] for i in lettered]) / m.temperature)
                 for k, i in enumerate(lettered):
                     names[i], scores[i] = m.languages[int(p[k].argmax())], min(1.0, float(p[k].max()))
                     good[i] = scores[i] >= m.threshold
