@@ -33,7 +33,7 @@ from tessera.llm.components import components
 #: Units beyond the pigeonhole's need: so many empty segments of a set can go without a key.
 SLACK = 2
 #: Bits of distinction that a token is taken to give, in the cost model.
-TOKEN_BITS = 2.0
+TOKEN_BITS = 6.0
 SKETCH_LONGS = 8
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
@@ -56,10 +56,13 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> Iterator[np.ndarray]:
 
 
 def bands(t: float) -> list[int]:
-    """Lower ends of the size bands; a set similar to one of a band lies in that band or beside it."""
+    """Lower ends of the size bands; a set similar to one of a band lies in that band or beside it.
+
+    A band spans three times the ratio of similar sizes: a third of the sets then also have keys in the band below.
+    """
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, math.floor(out[-1] / t) + 1))
+        out.append(max(out[-1] + 1, math.floor(out[-1] / t**3) + 1))
     return out
 
 
@@ -120,7 +123,8 @@ def sketches(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataFrame:
                 own = np.zeros(0, np.uint64)
                 if len(s):
                     b = int(np.searchsorted(ends, len(s), "right")) - 1
-                    own = np.concatenate([band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, b - 1) if k >= 0])
+                    below = [b - 1] if b and t_pct * len(s) <= 100 * (ends[b] - 1) else []
+                    own = np.concatenate([band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, *below)])
                 keys.append(own)
                 counts.append(len(own))
                 flips = np.bincount((s % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
@@ -178,8 +182,8 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
     reps = some.select(F.col("doc_id").alias("node"), "h1", "h2", "n_shingles", "keys", "bits").join(classes, ["h1", "h2", "node"])
 
     keyed = reps.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    shared = cut(shared.filter("first < last").drop("last"), "shared_keys")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.filter("n > 1").drop("n"), "shared_keys")
     members = cut(keyed.join(shared, "key"), "members")
 
     stars = cut(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
