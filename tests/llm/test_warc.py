@@ -60,7 +60,7 @@ def test_a_changed_file_is_noticed(spark, tmp_path):
     manifest = W.write_warc(pages(spark, CASES), folder)
     name = manifest.first().file
     (tmp_path / "w" / name).write_bytes(b"x")
-    with pytest.raises(Exception, match="missing or changed"):
+    with pytest.raises(ValueError, match="missing, changed"):
         W.read_warc(spark, folder, manifest).collect()
 
 
