@@ -20,7 +20,7 @@ MIN_ROWS = 50
 #: Distance of the fences from the quartiles, in quartile ranges.
 REACH = 3.0
 #: Least quartile range of each measure, so that constant groups keep ordinary texts.
-LEAST_RANGE = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.1, "repeat_share": 0.1}
+LEAST_RANGE = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.2, "repeat_share": 0.1}
 #: Measures that also have a lower fence.
 TWO_SIDED = ("mean_word",)
 MAX_BROADCAST_ROWS = 100_000
