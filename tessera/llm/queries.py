@@ -53,7 +53,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(read(spark, sf_dir, "documents").select("doc_id", "text"), 90, 3)
+    found = jaccard_join.similarity_components(read(spark, sf_dir, "documents").select("doc_id", "text"), 90, 3)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +97,40 @@ SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(start + size, quota) - start) + greatest(0, least(start + size + source_size, quota) - (start + source_size)) AS BIGINT) AS taken
 FROM p
 """
+
+_PART = "to_base(CAST('0x' || digest[{0}:{1}] AS BIGINT), 32, 8)"
+_BASE32 = f"translate({' || '.join(_PART.format(10 * i + 1, 10 * i + 10) for i in range(4))}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+ORACLE["op1_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT digest AS d, max(page_id) AS last, count(*) AS n FROM p GROUP BY digest)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN n > 1 AND (page_id IS NULL OR page_id < last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND (page_id IS NULL OR page_id < last) THEN last END AS refers_to
+FROM p JOIN k ON digest = d
+"""
+
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLE["op2_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS i) s),
+f AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win),
+late AS (SELECT doc_id, i FROM win JOIN f USING (win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM late),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
+
+ORACLE["op9_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+      FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 2))) AS i) x WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
+"""

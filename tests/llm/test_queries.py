@@ -1,0 +1,45 @@
+"""The registered corpus queries: SQL where there is some, schemas, whole tables, the pipeline by stages."""
+
+import pytest
+
+import corpus_pipeline
+from compare import connect, rows_of, rows_of_sql
+from tessera.llm import queries
+from tessera.llm.common import cut
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, sf_dir, name):
+    names, got = rows_of(queries.QUERIES[name](spark, sf_dir))
+    want_names, want = rows_of_sql(connect(sf_dir), queries.ORACLE[name])
+    assert names == want_names
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op1_warc"}))
+def test_a_row_for_every_document(spark, sf_dir, name):
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    assert sorted(r.doc_id for r in queries.QUERIES[name](spark, sf_dir).collect()) == ids
+
+
+def test_pipeline_stages_follow_one_another(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "benchmark", "mix"]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+        after = {r.doc_id for r in docs.collect()}
+        assert after and after <= before
+        if name != "mix":
+            assert docs.columns == columns
+        before = after
+    bench = {" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    kept = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(f"doc_id IN ({','.join(map(str, before))})").collect()
+    assert not any(b in " ".join(r.text.lower().split()) and len(r.text.split("\n")) == 1 for r in kept for b in bench)
+
+
+def test_pipeline_takes_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+        assert docs.count() == 0
