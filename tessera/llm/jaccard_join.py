@@ -2,16 +2,17 @@
 
 Two sets x and y with Jaccard similarity of t or more differ in at most
 H = (1 - t) / (1 + t) * (|x| + |y|) tokens. Sets are put in bands by size; each band hashes the universe into
-segments and gives each segment 1 or 2 units, H + 2 units in all. A segment of 1 unit is indexed by the
-subset of the set that falls in it; one of 2 units also by all subsets with one token deleted. By
-the pigeonhole, similar sets share a key: units of segments without one add up to H at most. The split
-into segments of 1 and 2 units is chosen per band by cost: keys written, and pairs of sets expected
-to share a key by chance.
+segments and gives each segment 1 or 2 units, H and a slack in all. A segment of 1 unit is indexed by the
+subset of the set that falls in it; one of 2 units also by all subsets with one token deleted, where two
+sets meet only if the key is the whole subset of one. By the pigeonhole, similar sets share keys: units
+of segments without one add up to H at most. So a set can do without keys of empty segments as long as they
+are fewer than the slack. The split into segments of 1 and 2 units is chosen per band by cost: keys
+written, and pairs of sets expected to share a key by chance.
 
 Equal sets form one class before anything else. Sets that share a key are not paired with each other: each is
 paired with the key's first set, verified exactly, and components are formed. What is left are keys
-whose sets lie in several components; there sets of different components are compared, behind a bound
-on the difference from 512-bit parity sketches, which never rejects a similar pair.
+whose sets lie in several components; there sets of different components are compared. A bound on the
+difference from 512-bit parity sketches, which never rejects a similar pair, comes before each exact check.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +31,14 @@ from tessera.llm.arrays import grams, lists, mix, sliced, words_of
 from tessera.llm.common import cut
 from tessera.llm.components import components
 
-#: Units beyond the pigeonhole's need: so many empty segments of a set can go without a key.
-SLACK = 2
 #: Bits of distinction that a token is taken to give, in the cost model.
 TOKEN_BITS = 6.0
+#: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
+#: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
+MAX_BROADCAST_ROWS = 1_000_000
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("near_keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
 
 
 def shingle_sets(texts: list[bytes], n: int = 3) -> Iterator[np.ndarray]:
@@ -58,34 +60,44 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> Iterator[np.ndarray]:
 def bands(t: float) -> list[int]:
     """Lower ends of the size bands; a set similar to one of a band lies in that band or beside it.
 
-    A band spans three times the ratio of similar sizes: a third of the sets then also have keys in the band below.
+    A band spans the ratio of similar sizes, or a power of it up to 1.4: fewer sets then have keys in two bands.
     """
+    ratio = (1 / t) ** max(1, int(math.log(1.4) / math.log(1 / t)))
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, math.floor(out[-1] / t**3) + 1))
+        out.append(max(out[-1] + 1, math.floor(out[-1] * ratio) + 1))
     return out
 
 
 @lru_cache(None)
 def allocation(low: int, high: int, t_pct: int, n_docs: int) -> tuple[int, int, int]:
-    """(H, segments of 1 unit, segments of 2 units) for pairs whose smaller set has low to high - 1 tokens."""
+    """(slack, segments of 1 unit, segments of 2 units) for pairs whose smaller set has low to high - 1 tokens.
+
+    The slack exceeds the number of empty segments that a set has by chance.
+    """
     t = t_pct / 100
-    top = high - 1
-    differ = math.floor((1 - t) / (1 + t) * (top + top / t) + 1e-9)
-    need, best = differ + SLACK, None
-    for two in range(0, need // 2 + 1):
-        one = need - 2 * two
-        per = top / (one + two)
+    differ = math.floor((1 - t) / (1 + t) * ((high - 1) + (high - 1) / t) + 1e-9)
+    best = None
+    for two in range(0, differ // 2 + 2):
+        slack = 2
+        while True:
+            one = max(0, differ + slack - 2 * two)
+            per = low / (one + two)
+            empty = one * math.exp(-per)
+            enough = 2 + math.ceil(empty + 4 * math.sqrt(empty) - 0.1)
+            if slack >= enough or slack > 2 * differ + 2:
+                break
+            slack += 1
         chance = lambda tokens: n_docs * 2.0 ** (-TOKEN_BITS * max(0.0, tokens))
         cost = one * (1 + chance(per)) + two * (1 + per + chance(per - 1))
         if best is None or cost < best[0]:
-            best = (cost, one, two)
-    return differ, best[1], best[2]
+            best = (cost, slack, one, two)
+    return best[1], best[2], best[3]
 
 
-def band_keys(tokens: np.ndarray, band: int, low: int, high: int, t_pct: int, n_docs: int) -> np.ndarray:
-    """The keys of one set in one band."""
-    _, one, two = allocation(low, high, t_pct, n_docs)
+def band_keys(tokens: np.ndarray, band: int, low: int, high: int, t_pct: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set in one band: of whole subsets, and of subsets with one token deleted."""
+    slack, one, two = allocation(low, high, t_pct, n_docs)
     m = one + two
     seg = ((tokens >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
     order = np.argsort(seg, kind="stable")
@@ -94,18 +106,21 @@ def band_keys(tokens: np.ndarray, band: int, low: int, high: int, t_pct: int, n_
     np.cumsum(part, out=total[1:])
     ends = np.cumsum(np.bincount(seg, minlength=m))
     starts = np.concatenate(([0], ends[:-1]))
-    sums = total[ends] - total[starts]
     salt = mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-    empty = (ends == starts)[:one]
-    singles = sums[:one] + salt[:one]
-    if empty.sum() < SLACK:
-        singles = singles[~empty]
-    out = [singles, sums[one:] + salt[one:]]
+    sums = total[ends] - total[starts] + salt
+    empty = (ends == starts) & (np.arange(m) < one)
+    whole = sums if empty.sum() >= slack else sums[~empty]
+    near = np.zeros(0, np.uint64)
     if two:
-        at = slice(int(starts[one]), None)
-        s = seg[order][at]
-        out.append(sums[s] - part[at] + salt[s])
-    return np.unique(mix(np.concatenate(out)))
+        at = int(starts[one])
+        near = np.unique(mix(sums[seg[order][at:]] - part[at:]))
+    return np.unique(mix(whole)), near
+
+
+def parity(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Bits that say how many tokens fall on each, modulo 2; halves of a sketch XOR to the sketch of half the size."""
+    flips = np.bincount((tokens % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def sketches(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataFrame:
@@ -115,28 +130,31 @@ def sketches(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
-            sizes, h1, h2, keys, counts, bits = [], [], [], [], [], []
+            sizes, h1, h2, keys, near_keys, bits, wide = [], [], [], [], [], [], []
             for s in shingle_sets(texts, n):
                 sizes.append(len(s))
                 h1.append(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0])
                 h2.append(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64))
-                own = np.zeros(0, np.uint64)
+                own = [(s[:0], s[:0])]
                 if len(s):
                     b = int(np.searchsorted(ends, len(s), "right")) - 1
                     below = [b - 1] if b and t_pct * len(s) <= 100 * (ends[b] - 1) else []
-                    own = np.concatenate([band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, *below)])
-                keys.append(own)
-                counts.append(len(own))
-                flips = np.bincount((s % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-                bits.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+                    own = [band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, *below)]
+                keys.append(np.concatenate([k for k, _ in own]))
+                near_keys.append(np.concatenate([k for _, k in own]))
+                bits.append(parity(s, SKETCH_LONGS))
+                longs = 1 << max(0, len(s) - 1).bit_length() - 6 if len(s) > 64 * SKETCH_LONGS else 0
+                wide.append(parity(s, longs) if longs else bits[-1][:0])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    lists(np.concatenate(keys).view(np.int64), counts),
+                    lists(np.concatenate(keys).view(np.int64), [len(k) for k in keys]),
+                    lists(np.concatenate(near_keys).view(np.int64), [len(k) for k in near_keys]),
                     lists(np.concatenate(bits), [SKETCH_LONGS] * len(bits)),
+                    lists(np.concatenate(wide), [len(x) for x in wide]),
                 ],
                 names=SKETCH.names,
             )
@@ -160,8 +178,36 @@ def token_sets(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t_pct: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, by exact intersection."""
+def near(t_pct: int) -> Column:
+    """Whether the sizes and parity sketches of l and r leave the similarity possible: sketches differ in no more
+    bits than the sets differ in tokens. Wide sketches are compared where both sets have one."""
+    differ = F.lit(0)
+    for i in range(SKETCH_LONGS):
+        differ = differ + F.bit_count(F.get("l_bits", F.lit(i)).bitwiseXOR(F.get("r_bits", F.lit(i))))
+    low, high = F.least("l_n_shingles", "r_n_shingles"), F.greatest("l_n_shingles", "r_n_shingles")
+    most = (100 - t_pct) * (low + high)
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def fold(a: str, b: str) -> Column:
+        """a folded to the size of b: sizes are powers of 2, similar sets differ by one at most."""
+        half = (F.size(a) / 2).cast("int")
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), xor)).otherwise(F.col(a))
+
+    counts = F.zip_with(fold("l_wide", "r_wide"), fold("r_wide", "l_wide"), lambda x, y: F.bit_count(xor(x, y)))
+    wide = F.when((F.size("l_wide") == 0) | (F.size("r_wide") == 0), F.lit(0)).otherwise(F.aggregate(counts, F.lit(0), lambda a, x: a + x))
+    return (100 * low >= t_pct * high) & ((100 + t_pct) * differ <= most) & ((100 + t_pct) * wide <= most)
+
+
+def possible(pairs: DataFrame, bits: DataFrame, t_pct: int) -> DataFrame:
+    """The pairs (a, b) that ``near`` does not rule out."""
+    side = lambda p, key: bits.select(F.col("node").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("n_shingles", "bits", "wide")])
+    return pairs.join(side("l", "a"), "a").join(side("r", "b"), "b").filter(near(t_pct)).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, t_pct: int, n: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity, by exact intersection of the sets of the documents concerned."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = cut(token_sets(docs.join(wanted, "doc_id").select("doc_id", "text"), n), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
     )
@@ -179,43 +225,41 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
     sk = cut(sketches(docs, t_pct, n), "sketches")
     some = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    reps = some.select(F.col("doc_id").alias("node"), "h1", "h2", "n_shingles", "keys", "bits").join(classes, ["h1", "h2", "node"])
-
-    keyed = reps.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = cut(shared.filter("n > 1").drop("n"), "shared_keys")
+    # copies of a smaller doc_id leave; their ids are few or else joined by a shuffle
+    copies = cut(some.join(classes, ["h1", "h2"]).filter("doc_id <> node").select("doc_id").distinct(), "copies")
+    few = copies.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    reps = some.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
+
+    keyed = reps.select("node", F.explode("keys").alias("key"), F.lit(True).alias("whole"))
+    keyed = keyed.union(reps.select("node", F.explode("near_keys"), F.lit(False)))
+    first = F.min(F.when(F.col("whole"), F.col("node")))
+    shared = keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), "shared_keys")
     members = cut(keyed.join(shared, "key"), "members")
 
-    stars = cut(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = cut(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "wanted")
-    sets = cut(token_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text"), n), "sets")
-    links = cut(verified(stars, sets, t_pct), "links")
+    bits = cut(reps.select("node", "n_shingles", "bits", "wide").join(members.select("node").distinct(), "node"), "bits")
+    stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(possible(stars, bits, t_pct), "stars")
+    links = cut(verified(stars, docs, t_pct, n), "links")
     found = components(links)
 
     # keys whose sets lie in several components
     placed = cut(
-        members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed"
+        members.select("key", "node", "whole").join(found, "node", "left").select("key", "node", "whole", F.coalesce("component", "node").alias("component")), "placed"
     )
     sizes = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mixed = cut(sizes.filter("parts > 1").select("key", F.col("main.component").alias("main")), "mixed_keys")
-    bits = cut(reps.select("node", "n_shingles", "bits").join(wanted, "node"), "bits")
     open_ = cut(placed.join(mixed, "key").join(bits, "node"), "open")
-    side = lambda p: open_.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "n_shingles", "bits")])
+    side = lambda p: open_.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "whole", "component", "n_shingles", "bits", "wide")])
     left, right = side("l").join(mixed, "key").filter("l_component <> main"), side("r")
-    differ = F.lit(0)
-    for i in range(SKETCH_LONGS):
-        differ = differ + F.bit_count(F.get("l_bits", F.lit(i)).bitwiseXOR(F.get("r_bits", F.lit(i))))
-    sizes_ = F.col("l_n_shingles") + F.col("r_n_shingles")
-    near = (
-        (F.col("l_component") != F.col("r_component"))
-        & ((F.col("r_component") == F.col("main")) | (F.col("l_node") < F.col("r_node")))
-        & ((100 + t_pct) * differ <= (100 - t_pct) * sizes_)
-        & (100 * F.least("l_n_shingles", "r_n_shingles") >= t_pct * F.greatest("l_n_shingles", "r_n_shingles"))
-    )
-    rest = left.join(right, (left["key"] == right["key"]) & near).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
-    more = cut(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, t_pct), "more_links")
-    every = links.union(more)
-    if not more.isEmpty():
+    other = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("main")) | (F.col("l_node") < F.col("r_node")))
+    other = other & (F.col("l_whole") | F.col("r_whole"))
+    rest = left.join(right, (left["key"] == right["key"]) & other & near(t_pct))
+    rest = rest.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    every = links
+    if not rest.isEmpty():
+        every = links.union(cut(verified(rest, docs, t_pct, n), "more_links"))
         found = components(every)
 
     ends = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
