@@ -59,3 +59,28 @@ def test_chunks_cover_all_words(spark, sf_dir):
     words = _words(spark, sf_dir).groupBy("turn_id").count().collect()
     got = QUERIES["e05_scene_chunks"](spark, sf_dir).groupBy("turn_id").sum("words").collect()
     assert {r[0]: r[1] for r in words} == {r[0]: r[1] for r in got}
+
+
+def test_keep_unlike_equals_plain_python(spark):
+    from tessera.solvers import alignment
+
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(63) for _ in range(6)]
+    rows = [(g, i, rnd.choice(base) ^ sum(1 << rnd.randrange(63) for _ in range(rnd.randrange(5)))) for g in range(2) for i in range(60)]
+    got = {(r.g, r.id): r.kept for r in alignment.keep_unlike(spark.createDataFrame(rows, "g long, id long, h long"), "g").collect()}
+    for g in range(2):
+        kept = []
+        for _, i, h in sorted(r for r in rows if r[0] == g):
+            good = len(kept) < 3 or all((h ^ k).bit_count() > 6 for k in kept)
+            assert got[g, i] == good
+            if good:
+                kept.append(h)
+
+
+def test_alignment_follows_exact_words(spark, sf_dir):
+    rows = QUERIES["c16_sentence_alignment"](spark, sf_dir).orderBy("turn_id", "n").collect()
+    assert rows
+    for a, b in zip(rows, rows[1:]):
+        assert a.start <= a.end
+        if a.turn_id == b.turn_id:
+            assert a.start <= b.start
