@@ -22,6 +22,7 @@ GAP = 3
 #: Share of a template's words that a span must hold.
 COVER = 0.6
 MAX_TEMPLATE_WORDS = 100_000
+RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 #: Phrases of the base labels.
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
@@ -103,44 +104,46 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
 
     Phrases of PHRASES give base labels wherever their words stand one after the other; verified spans
     add labels of templates. Null and empty texts have no words, no labels and score 0. Documents
-    are told apart by a hash of id and text, so repeated rows get the same labels.
+    are told apart by a hash of id and text, so repeated rows get the same labels. The text leaves, other
+    columns stay; those with the names of results are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESULTS)
+    carried = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     key = F.xxhash64("doc_id", "text")
     templates = templates if templates is not None else template_table(spark)
-    rows = docs.withColumn("key", key).withColumn("w", license_words(F.col("text")))
-    found = spans(votes(rows.select("key", "w").filter(F.size("w") >= K), templates))
+    grams = docs.select(key.alias("key"), license_words(F.col("text")).alias("w")).filter(F.size("w") >= K)
+    found = spans(votes(grams, templates))
     # repeated rows vote together: places and shares are sets, so they do not change
-    found = found.groupBy("key").agg(F.collect_set("label").alias("own"), F.max("score").alias("own_score"))
-    found = cut(found, "spans")
+    found = found.groupBy("key").agg(F.collect_set("label").alias("own__"), F.max("score").alias("own_score__"))
+    found = cut(found.withColumnRenamed("key", "key__"), "spans")
 
     def places(phrase: list[str]) -> Column:
-        hit = lambda i: F.lit(True) if not phrase else _all([F.get("w", i + j) == p for j, p in enumerate(phrase)])
-        some = F.filter(F.sequence(F.lit(0), F.size("w") - len(phrase)), hit)
-        return F.when((F.size("w") >= len(phrase)) & F.array_contains("w", phrase[-1]), some).otherwise(F.expr("cast(array() as array<int>)"))
-
-    base = rows
-    for label, phrase in PHRASES.items():
-        base = base.withColumn(f"p_{label}", places(phrase))
-    cols = [F.col(f"`p_{label}`") for label in PHRASES]
-    base = base.select(
-        *[c for c in docs.columns if c != "text"],
-        "key",
-        F.size("w").cast("long").alias("n_words"),
-        F.concat(*cols).alias("places"),
-        F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(cols, PHRASES)])).alias("base_labels"),
+        hit = lambda i: _all([F.get("words__", i + j) == p for j, p in enumerate(phrase)])
+        some = F.filter(F.sequence(F.lit(0), F.size("words__") - len(phrase)), hit)
+        there = (F.size("words__") >= len(phrase)) & F.array_contains("words__", phrase[-1])
+        return F.when(there, some).otherwise(F.expr("cast(array() as array<int>)"))
+
+    rows = docs.select(*carried, key.alias("key__"), license_words(F.col("text")).alias("words__"))
+    names = [f"places__{i}" for i in range(len(PHRASES))]
+    rows = rows.withColumns({n: places(p) for n, p in zip(names, PHRASES.values())})
+    base = rows.drop("words__", *names).columns
+    rows = rows.select(
+        *[F.col(f"`{c}`") for c in base],
+        F.size("words__").cast("long").alias("n_words"),
+        F.concat(*names).alias("places__"),
+        F.array_compact(F.array(*[F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(names, PHRASES)])).alias("base_labels"),
     )
     none = F.expr("cast(array() as array<string>)")
-    out = base.join(found, "key", "left")
-    return out.select(
-        *[c for c in docs.columns if c != "text"],
+    return rows.join(found, "key__", "left").select(
+        *carried,
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"),
-        F.array_max("places").cast("long").alias("last_word"),
+        F.size("places__").cast("long").alias("n_base"),
+        F.array_min("places__").cast("long").alias("first_word"),
+        F.array_max("places__").cast("long").alias("last_word"),
         F.array_sort("base_labels").alias("base_labels"),
-        F.array_sort(F.array_union("base_labels", F.coalesce("own", none))).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("own_score", F.lit(0.0))).alias("score"),
+        F.array_sort(F.array_union("base_labels", F.coalesce("own__", none))).alias("labels"),
+        F.when(F.size("places__") > 0, 1.0).otherwise(F.coalesce("own_score__", F.lit(0.0))).alias("score"),
     )
 
 

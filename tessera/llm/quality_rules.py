@@ -24,6 +24,7 @@ LEAST_RANGE = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.2, "r
 #: Measures that also have a lower fence.
 TWO_SIDED = ("mean_word",)
 MAX_BROADCAST_ROWS = 100_000
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def n_repeat_words(w: Column) -> Column:
@@ -49,20 +50,21 @@ def n_repeat_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; a null text counts as empty."""
+    """Adds MEASURES, replacing columns of these names; a null text counts as empty."""
+    docs = docs.drop(*MEASURES)
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda t, chars: F.length(F.translate(t, chars, ""))
-    rows = docs.withColumn("w_", words(text)).withColumn(
-        "l_", F.filter(F.split(text, "\n"), lambda x: without(x, SPACES) > 0)
+    rows = docs.withColumn("words__", words(text)).withColumn(
+        "lines__", F.filter(F.split(text, "\n"), lambda x: without(x, SPACES) > 0)
     )
     return rows.select(
         *docs.columns,
-        F.size("w_").cast("long").alias("n_words"),
+        F.size("words__").cast("long").alias("n_words"),
         without(text, SPACES).cast("long").alias("word_chars"),
         (F.length(text) - without(text, "#*$%&|<>")).cast("long").alias("n_symbols"),
-        F.size("l_").cast("long").alias("n_lines"),
-        (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("w_")).cast("long").alias("n_repeat_words"),
+        F.size("lines__").cast("long").alias("n_lines"),
+        (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long").alias("n_dup_lines"),
+        n_repeat_words(F.col("words__")).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -107,21 +109,23 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50) -> Dat
 
     base_failed: under ``min_words`` words, or over ``max_repeat_pct`` percent repeated words. Others are
     kept if each measure is within its group's fences. Null texts have no words and fail. Null lang
-    or source form groups of their own. An empty table gives an empty result.
+    or source form groups of their own. An empty table gives an empty result. The text leaves, other columns stay;
+    those with the names of results are replaced.
     """
-    carried = [c for c in docs.columns if c != "text"]
-    measured = cut(measures(docs).select(*carried, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"), "measures")
+    docs = docs.drop("base_failed", "kept")
+    carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *MEASURES)]
+    measured = cut(measures(docs).select(*carried, *MEASURES), "measures")
     sketch = cut(sketches(measured), "sketches")
     own = fences(sketch, ["lang", "source"]).filter(F.col("n_rows") >= MIN_ROWS)
-    own = cut(own.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *own.columns[2:]), "fences")
+    own = cut(own.select(*[F.col(c).alias(f"fence__{c}") for c in own.columns]), "fences")
     every = fences(sketch.withColumn("one", F.lit(1)), ["one"]).first()
     small = own.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     rows = measured.join(
         F.broadcast(own) if small else own,
-        F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")),
+        F.col("lang").eqNullSafe(F.col("fence__lang")) & F.col("source").eqNullSafe(F.col("fence__source")),
         "left",
     )
-    fence = lambda name: F.coalesce(F.col(name), F.lit(every[name] if every else None).cast("double"))
+    fence = lambda name: F.coalesce(F.col(f"fence__{name}"), F.lit(every[name] if every else None).cast("double"))
     within = F.lit(True)
     for m, share in _shares().items():
         within = within & (share <= fence(f"{m}_hi"))

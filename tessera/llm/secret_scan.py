@@ -125,10 +125,10 @@ def scan(docs: DataFrame, sample: DataFrame | None = None, threshold: float = TH
         _located(text, ASSIGN, value, 0), _located(text, ACCESS, lambda h: F.lit(True), 1), _located(text, HEX, lambda h: F.lit(True), 2)
     )
     own = _located(text, TOKEN, lambda h: F.lit(True), 3)
-    both = docs.withColumn("base_", base).withColumn("own_", own)
-    clear = lambda t: ~F.exists("base_", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    own = F.filter("own_", lambda t: clear(t) & (score(t["value"], model) >= threshold))
-    return both.withColumn("found", F.array_sort(F.concat("base_", own))).drop("base_", "own_")
+    both = docs.withColumn("base__spans", base).withColumn("own__spans", own)
+    clear = lambda t: ~F.exists("base__spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    own = F.filter("own__spans", lambda t: clear(t) & (score(t["value"], model) >= threshold))
+    return both.withColumn("found", F.array_sort(F.concat("base__spans", own))).drop("base__spans", "own__spans")
 
 
 def joined(spans: Column) -> Column:

@@ -43,3 +43,20 @@ def test_pipeline_takes_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_extra_columns_with_clashing_names(frame):
+    """Operators carry extra columns, and replace those that have the names of their results."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, secret_scan, substring_dedup
+
+    names = ["n_words", "key", "w", "w_", "l_", "labels", "score", "kept", "items", "found", "gone_", "ats", "th", "line", "n_rows", "lang_", "places", "own", "text_", "node", "component_id", "lang_pred", "size", "hash", "anchors"]
+    docs = frame([(1, "a b c d e f g h"), (2, None), (2, None), (None, "")]).withColumns({n: F.lit(1) for n in names})
+    bench = docs.sparkSession.createDataFrame([(1, "z" * 90)], "item_id long, text string")
+    for out in (
+        secret_scan.scan(docs), quality_rules.judge(docs), license_scan.scan(docs), language_id.predict(docs, None), decontaminate.scan(docs, bench),
+        decontaminate.clean(docs, bench), line_dedup.dedup(docs), substring_dedup.clean(docs), jaccard_join.keep_first(docs),
+    ):
+        assert out.count() == 4
+        assert len(out.columns) == len(set(out.columns)) and {"doc_id", "node", "size"} <= set(out.columns)
