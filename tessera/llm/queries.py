@@ -134,3 +134,67 @@ c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
 """
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_MEASURES = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.2, "repeat_share": 0.1}
+_VERDICT = " AND ".join(f"{m} <= coalesce(o.{m}_hi, e.{m}_hi, 'infinity'::DOUBLE)" for m in _MEASURES)
+_FENCES = ", ".join(f"max(q3 + 3 * greatest(q3 - q1, {r}::DOUBLE)) FILTER (measure = '{m}') AS {m}_hi" for m, r in _MEASURES.items())
+_FENCES += ", max(q1 - 3 * greatest(q3 - q1, 0.5::DOUBLE)) FILTER (measure = 'mean_word') AS mean_word_lo"
+
+
+def _fences(name: str, by: str) -> str:
+    return f"""
+{name}_b AS (SELECT {by}, measure, bucket, sum(n) AS n FROM sk GROUP BY ALL),
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by}, measure ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}, measure) AS n_all,
+             CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow(1.04::DOUBLE, bucket) / 2.04::DOUBLE END AS value FROM {name}_b),
+{name}_q AS (SELECT {by}, measure, max(n_all) AS n, min(value) FILTER (upto >= 0.25 * n_all) AS q1, min(value) FILTER (upto >= 0.75 * n_all) AS q3 FROM {name}_r GROUP BY {by}, measure),
+{name} AS (SELECT {by}, max(n) AS n_rows, {_FENCES} FROM {name}_q GROUP BY {by})"""
+
+
+ORACLE["op8_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {_SPACE}, '')) > 0) AS l FROM t),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i) s),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY doc_id),
+m AS (SELECT l.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {_SPACE}, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN rep ON l.doc_id = rep.doc_id),
+x AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, word_chars / greatest(n_words, 1) AS mean_word,
+             n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM m),
+u AS (SELECT lang, source, measure, v FROM (SELECT lang, source, {', '.join(_MEASURES)} FROM x WHERE n_words > 0) UNPIVOT (v FOR measure IN ({', '.join(_MEASURES)}))),
+sk AS (SELECT lang, source, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln(1.04::DOUBLE)) AS INT) END AS bucket, 1 AS one, count(*) AS n FROM u GROUP BY ALL),
+{_fences("own", "lang, source")},
+{_fences("every", "one")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {_VERDICT} AND mean_word >= coalesce(o.mean_word_lo, e.mean_word_lo, '-infinity'::DOUBLE) AS kept
+FROM x LEFT JOIN own o ON x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source AND o.n_rows >= 50 LEFT JOIN every e ON true
+"""
+
+_LICENSE_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join(f"('{label}', '{label}/{i}', '{t}')" for label, texts in license_scan.TEMPLATES.items() for i, t in enumerate(texts))
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, i, '{label}' AS label FROM at WHERE " + " AND ".join(f"w[i + {j}] = '{p}'" for j, p in enumerate(phrase)) for label, phrase in license_scan.PHRASES.items()
+)
+ORACLE["op10_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, {_LICENSE_WORDS} AS w FROM documents),
+ats AS (SELECT doc_id, w, i FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i) s),
+p AS ({_PLACES.replace("FROM at WHERE", "FROM ats WHERE")}),
+base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, list(DISTINCT label) AS labels FROM p GROUP BY doc_id),
+tp AS (SELECT label, template, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(label, template, text)),
+tg AS (SELECT label, template, len(w) AS t_words, i AS t_at, array_to_string(w[i:i + 3], ' ') AS g FROM tp, LATERAL (SELECT unnest(generate_series(1, len(w) - 3)) AS i) s),
+dg AS (SELECT doc_id, i AS a, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM ats WHERE i <= len(w) - 3),
+h AS (SELECT doc_id, label, template, t_words, a - t_at AS diagonal, t_at FROM dg JOIN tg USING (g)),
+v AS (SELECT DISTINCT doc_id, template, diagonal FROM h),
+f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.GAP} THEN 0 ELSE 1 END AS fresh FROM v),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
+c AS (SELECT doc_id, template, run, label, t_words, unnest(generate_series(t_at, t_at + 3)) AS k FROM h JOIN r USING (doc_id, template, diagonal)),
+s AS (SELECT doc_id, label, least(1, count(DISTINCT k) / t_words) AS score FROM c GROUP BY doc_id, template, run, label, t_words HAVING least(1, count(DISTINCT k) / t_words) >= {license_scan.COVER}),
+o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(o.labels, [])))), ',') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(o.score, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
+"""
