@@ -16,7 +16,7 @@ import pyarrow.compute
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,12 +81,24 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def sequence_hashes(rows: np.ndarray) -> np.ndarray:
-    """Hash of each row, that of ``grams`` over the whole row."""
-    out = np.zeros(len(rows), np.uint64)
-    for j in range(rows.shape[1]):
-        out = out * _WORD + rows[:, j]
-    return mix(out)
+class Ranges:
+    """Hashes of any ranges of a sequence of items, by prefix sums; equal items in equal order hash alike."""
+
+    def __init__(self, items: np.ndarray):
+        self.up, self.down = _power(len(items) + 2)
+        self.total = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(mix(items) * self.up[: len(items)], out=self.total[1:])
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.down[start]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * _WORD)
+
+    def without(self, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of the range without its item ``at``, that of the shorter sequence."""
+        joined = self.raw(start, at) + (self.total[end] - self.total[at + 1]) * self.down[start + 1]
+        return mix(joined + (end - start - 1).astype(np.uint64) * _WORD)
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:

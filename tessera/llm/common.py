@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words.
 SPACE = "[\\x20\\x09-\\x0D]+"
+_written: list[str] = []
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -43,9 +46,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts: batches of BATCH_ROWS rows unless the session sets another size.
+
+    A batch of Spark's 10,000 rows takes tens of megabytes in the JVM and again in Python.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(size) == "10000":
+        df.sparkSession.conf.set(size, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def release(spark: SparkSession, keep: DataFrame) -> None:
+    """Deletes the tables that ``cut`` has written so far in this process, but for those that ``keep`` reads.
+
+    For jobs of several stages, once a stage's result has been written elsewhere.
+    """
+    needed = keep.inputFiles()
+    for path in list(_written):
+        name = path.split("/tessera/", 1)[1]
+        if not any(name in f for f in needed):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _written.remove(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

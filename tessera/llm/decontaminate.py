@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import mix, sliced
+from tessera.llm.common import map_texts
 
 Q = 8
 #: Characters of a passage, distance of their starts, and the least length of an item that is looked for.
@@ -177,7 +178,7 @@ def _scan_block(docs: DataFrame, index, name: str) -> DataFrame:
                             items[k].add(passages.item[passage])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(s) for s in items], pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

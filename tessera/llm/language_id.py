@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrays import mix, sliced
+from tessera.llm.common import map_texts
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -193,7 +194,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     good[i] = scores[i] >= m.threshold
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(good)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def has_letter(text: bytes) -> bool:

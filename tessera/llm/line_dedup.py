@@ -21,90 +21,99 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import grams, mix, sequence_hashes, sliced, words_of
-from tessera.llm.common import cut
+from tessera.llm.arrays import Ranges, lists, mix, sliced, words_of
+from tessera.llm.common import cut, map_texts
 
 MIN_WORDS = 8
+#: Documents with lines to compare that are sent to all tasks; beyond that their texts are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 
 LINES = "doc_id long, th long, at int, line long, halves array<long>"
 
 
-def _starts(texts: list[bytes]) -> tuple[np.ndarray, list, list]:
-    """Word hashes, where each line's words begin (with the end), and the line ranges of each text."""
+def _lines(texts: list[bytes]) -> tuple[Ranges, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Range hashes of the words of all lines, where each line's words begin and end, each text's first line, the lines."""
     split = [t.split(b"\n") for t in texts]
-    flat = [x for lines in split for x in lines]
-    hashes, begins, _, _ = words_of(flat)
-    ends = np.cumsum([len(x) for x in split]).tolist()
-    return hashes, begins.tolist(), [(e - len(x), e) for x, e in zip(split, ends)]
+    hashes, begins, _, _ = words_of([x for lines in split for x in lines])
+    first = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
+    return Ranges(hashes), begins[:-1], begins[1:], first, split
 
 
-def line_hash(w: np.ndarray) -> int:
-    return int(grams(mix(w), len(w)).view(np.int64)[0])
-
-
-def half_keys(w: np.ndarray) -> list[int]:
-    """Keys of the first and last (m - 1) / 2 words, rounded up, for the smaller length m of a near pair."""
-    out, n = [], len(w)
-    for m in (n - 1, n):
+def half_keys(words: Ranges, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Four keys a line: its first and its last (m - 1) / 2 words, rounded up, for both lengths m of the shorter line of a pair."""
+    out = []
+    for m in (end - start - 1, end - start):
         c = m // 2
-        for side, part in ((1, w[:c]), (2, w[n - c :])):
-            out.append(int(mix(grams(part, c) + np.uint64(4 * m + side)).view(np.int64)[0]))
-    return out
+        for side, (a, b) in enumerate(((start, start + c), (end - c, end))):
+            out.append(mix(words.of(a, b) + np.uint64(side)))
+    return np.stack(out, axis=1)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A row per line with words: document, place, hash, half keys (null for short lines)."""
+    """A row per line with words: document, place, hash, half keys (none for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
-            hashes, begins, ranges = _starts(texts)
-            cols: list = [[], [], [], [], []]
-            for i, (a, b) in enumerate(ranges):
-                doc, th = part.column(0)[i].as_py(), part.column(1)[i].as_py()
-                for k in range(a, b):
-                    w = hashes[begins[k] : begins[k + 1]]
-                    if len(w):
-                        for c, v in zip(cols, (doc, th, k - a, line_hash(w), half_keys(w) if len(w) >= MIN_WORDS - 1 else None)):
-                            c.append(v)
+            words, start, end, first, _ = _lines(texts)
+            some = np.flatnonzero(end > start)
+            of = np.searchsorted(first, some, "right") - 1
+            start, end = start[some], end[some]
+            long = end - start >= MIN_WORDS - 1
+            rows = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))],
+                [
+                    part.column(0).take(rows),
+                    part.column(1).take(rows),
+                    pa.array((some - first[of]).astype(np.int32)),
+                    pa.array(words.of(start, end).view(np.int64)),
+                    lists(half_keys(words, start[long], end[long]).ravel().view(np.int64), np.where(long, 4, 0)),
+                ],
                 names=["doc_id", "th", "at", "line", "halves"],
             )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
+    return map_texts(docs.select("doc_id", "th", "text"), run, LINES)
 
 
-VARIANTS = "line long, variant long, deleted int, words string"
+VARIANTS = "doc_id long, at int, line long, variant long, deleted int, words string"
 
 
 def variants(docs: DataFrame) -> DataFrame:
-    """For each wanted line (place in ``ats``): its own hash as variant (deleted -1, with the words), and one for each deleted word."""
+    """For each wanted line (place in ``ats``): its own hash as variant (deleted -1), and one for each deleted word.
+
+    Lines carry their words in the first row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
-            hashes, begins, ranges = _starts(texts)
-            lines, keys, deleted, words = [], [], [], []
-            for i, ats in enumerate(part.column(1)):
-                a = ranges[i][0]
-                split = texts[i].split(b"\n")
-                for at in ats.as_py():
-                    w = hashes[begins[a + at] : begins[a + at + 1]]
-                    own = line_hash(w)
-                    n = len(w)
-                    short = np.broadcast_to(mix(w), (n, n))[~np.eye(n, dtype=bool)].reshape(n, n - 1)
-                    lines += [own] * (n + 1)
-                    keys += [own, *sequence_hashes(short).view(np.int64).tolist()]
-                    deleted += [-1, *range(n)]
-                    words += [b" ".join(split[at].split()).decode(), *[None] * n]
+            words, start, end, first, split = _lines(texts)
+            ats = part.column(2)
+            per = np.asarray(pc.list_value_length(ats))
+            of = np.repeat(np.arange(len(texts)), per)
+            at = np.asarray(ats.flatten()).astype(np.int64)
+            start, end = start[first[of] + at], end[first[of] + at]
+            own, n = words.of(start, end), end - start
+            each = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            without = words.without(start[each], end[each], start[each] + place)
+            text = [b" ".join(split[i][k].split()).decode() for i, k in zip(of.tolist(), at.tolist())]
+            doc = np.asarray(part.column(0))[of]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines, pa.int64()), pa.array(keys, pa.int64()), pa.array(deleted, pa.int32()), pa.array(words, pa.string())],
-                names=["line", "variant", "deleted", "words"],
+                [
+                    pa.array(np.concatenate((doc, doc[each]))),
+                    pa.array(np.concatenate((at, at[each])).astype(np.int32)),
+                    pa.array(np.concatenate((own, own[each])).view(np.int64)),
+                    pa.array(np.concatenate((own, without)).view(np.int64)),
+                    pa.array(np.concatenate((np.full(len(n), -1), place)).astype(np.int32)),
+                    pa.concat_arrays([pa.array(text, pa.string()), pa.nulls(len(each), pa.string())]),
+                ],
+                names=["doc_id", "at", "line", "variant", "deleted", "words"],
             )
 
-    return docs.select("text", "ats").mapInArrow(run, VARIANTS)
+    return map_texts(docs.select("doc_id", "text", "ats"), run, VARIANTS)
 
 
 def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
@@ -126,41 +135,45 @@ def late_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ats): the places of the lines that an earlier line of the corpus equals or is near to."""
     lines = cut(line_table(docs), "lines")
     known = lines.filter("doc_id IS NOT NULL")
-    firsts = known.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.min_by("th", F.struct("doc_id", "at")).alias("th"), F.first("halves").alias("halves"))
+    place = F.struct("doc_id", "at")
+    firsts = known.groupBy("line").agg(F.min(place).alias("first"), F.min_by("th", place).alias("th"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts, "distinct_lines")
 
-    halves = firsts.filter("halves IS NOT NULL").select("line", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = known.select("line", F.explode(F.array_distinct("halves")).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("half")
-    survivors = halves.join(cut(met, "shared_halves"), "half").select("line").distinct()
-    survivors = cut(firsts.select("line", "first", "th").join(survivors, "line"), "survivors")
-
-    wanted = survivors.groupBy(F.col("first.doc_id").alias("doc_id"), "th").agg(F.collect_list("first.at").alias("ats"))
-    keyed = variants(docs.join(cut(wanted, "wanted"), ["doc_id", "th"]).select("text", "ats"))
-    keyed = cut(keyed.dropDuplicates(["line", "variant", "deleted"]), "variants")
-    own = survivors.select("line", "first", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), F.col("line").alias("line")).alias("rank"))
-    ranked = keyed.drop("words").join(own.select("line", "rank"), "line")
-    ranked = cut(ranked, "ranked")
-
-    same_place = ranked.groupBy("variant", "deleted").agg(F.min("rank").alias("best"), F.max("rank").alias("last")).filter("best < last OR deleted = -1")
-    at_place = cut(same_place.select("variant", "deleted", "best"), "places")
+    survivors = cut(halves.join(cut(met, "shared_halves"), "half").select("line").distinct(), "survivors")
+    wanted = firsts.join(survivors, "line").groupBy(F.col("first.doc_id").alias("doc_id"), "th").agg(F.collect_list("first.at").alias("ats"))
+    wanted = cut(wanted, "wanted")
+    few = wanted.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    keyed = cut(variants(docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"])), "variants")
+
+    # most variants stand alone; what remains is small
+    met = cut(keyed.groupBy("variant").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("variant"), "shared_variants")
+    rank = F.struct("doc_id", "at", "line")
+    ranked = cut(keyed.drop("words").join(met, "variant").select("line", "variant", "deleted", rank.alias("rank")), "ranked")
+    at_place = cut(ranked.groupBy("variant", "deleted").agg(F.min("rank").alias("best")), "places")
     by_place = ranked.join(at_place, ["variant", "deleted"]).select("line", "rank", "best")
     whole = at_place.filter("deleted = -1").select("variant", "best")
     to_whole = ranked.filter("deleted >= 0").join(whole, "variant").select("line", "rank", "best")
-    shorter = ranked.filter("deleted >= 0").groupBy("variant").agg(F.min("rank").alias("best"))
+    shorter = at_place.filter("deleted >= 0").groupBy("variant").agg(F.min("best").alias("best"))
     from_whole = ranked.filter("deleted = -1").join(cut(shorter, "shorter"), "variant").select("line", "rank", "best")
-    pairs = by_place.unionByName(to_whole).unionByName(from_whole).filter("best < rank").select("line", F.col("best.line").alias("other"), "best").distinct()
+    pairs = by_place.unionByName(to_whole).unionByName(from_whole).filter("best < rank")
+    pairs = cut(pairs.select("line", F.col("best.line").alias("other"), "best").distinct(), "pairs")
 
-    texts = keyed.filter("deleted = -1").select("line", "words")
+    ends = pairs.select("line").union(pairs.select("other")).distinct()
+    texts = keyed.filter("deleted = -1").select("line", "words").join(ends, "line").dropDuplicates(["line"])
+    texts = cut(texts, "pair_texts")
     both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         split = ((x.split(" "), y.split(" ")) for x, y in zip(a, b))
-        return pd.Series([max(len(x), len(y)) >= MIN_WORDS and word_edits(x, y) <= 1 for x, y in split])
+        return pd.Series([max(len(x), len(y)) >= MIN_WORDS and word_edits(x, y) <= 1 for x, y in split], dtype=bool)
 
     best = both.filter(near("words", "other_words")).groupBy("line").agg(F.min(F.struct("best.doc_id", "best.at")).alias("near"))
-    earliest = firsts.select("line", "first").join(best, "line", "left").select("line", F.least("first", "near").alias("earliest"))
-    gone = known.select("doc_id", "th", "at", "line").join(cut(earliest, "earliest"), "line").filter(F.col("earliest") < F.struct("doc_id", "at"))
+    earliest = firsts.select("line", "first", "n").join(cut(best, "near"), "line", "left").filter("n > 1 OR near IS NOT NULL")
+    earliest = cut(earliest.select("line", F.least("first", "near").alias("earliest")), "earliest")
+    gone = known.select("doc_id", "th", "at", "line").join(earliest, "line").filter(F.col("earliest") < place)
     return cut(gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import grams, lists, mix, sliced, window_min, words_of
-from tessera.llm.common import cut
+from tessera.llm.common import cut, map_texts
 
 LENGTH = 50
 GRAM = 12
@@ -123,7 +123,7 @@ def summaries(docs: DataFrame, length: int, k: int) -> DataFrame:
                 names=["doc_id", "th", "n_words", "sha256", "anchors"],
             )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, SUMMARY)
+    return map_texts(docs.select("doc_id", "th", "text"), run, SUMMARY)
 
 
 PASSAGES = "doc_id long, th long, start long, anchor long, content long, passage string"
@@ -155,7 +155,7 @@ def passages(candidates: DataFrame, length: int, k: int) -> DataFrame:
                     [pa.array(v, t) for v, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.string()])], names=["doc_id", "th", "start", "anchor", "content", "passage"]
                 )
 
-    return candidates.select("doc_id", "th", "text", "anchors").mapInArrow(run, PASSAGES)
+    return map_texts(candidates.select("doc_id", "th", "text", "anchors"), run, PASSAGES)
 
 
 def matched(references: DataFrame, length: int) -> DataFrame:
@@ -243,16 +243,16 @@ def removed(rows: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "th", "n_words", "n_removed", "text"],
             )
 
-    return rows.select("doc_id", "th", "text", "late").mapInArrow(run, CHANGED)
+    return map_texts(rows.select("doc_id", "th", "text", "late"), run, CHANGED)
 
 
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with the repeated passages removed; a text that loses words has the rest joined by spaces."""
     _, changed = repeats(docs, length)
-    new = changed.select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("text").alias("text_")).dropDuplicates(["id_", "th_"])
-    rows = docs.withColumn("th__", F.xxhash64("text"))
-    rows = rows.join(new, (F.col("doc_id") == F.col("id_")) & (F.col("th__") == F.col("th_")), "left")
-    return rows.select(*[F.coalesce("text_", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    new = changed.select(F.col("doc_id").alias("new__id"), F.col("th").alias("new__th"), F.col("text").alias("new__text")).dropDuplicates(["new__id", "new__th"])
+    rows = docs.withColumn("own__th", F.xxhash64("text"))
+    rows = rows.join(new, (F.col("doc_id") == F.col("new__id")) & (F.col("own__th") == F.col("new__th")), "left")
+    return rows.select(*[F.coalesce("new__text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

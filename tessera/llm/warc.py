@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, shared_folder
+from tessera.llm.common import cut, map_texts, shared_folder
 
 #: A new file starts once the compressed size reaches this; the last record may go beyond it.
 ROLL_BYTES = 32 << 20
@@ -199,7 +199,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
             [pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=MANIFEST.names
         )
 
-    manifest = cut(both.mapInArrow(run, MANIFEST), "manifest")
+    manifest = cut(map_texts(both, run, MANIFEST), "manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -211,7 +211,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
                     store.move(f"{root}/{temporary}", f"{root}/{file}")
             yield b
 
-    return cut(manifest.mapInArrow(commit, MANIFEST), "committed")
+    return cut(map_texts(manifest, commit, MANIFEST), "committed")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -277,7 +277,7 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.select("content", "file").mapInArrow(run, RECORD)
+    return map_texts(files.select("content", "file"), run, RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
