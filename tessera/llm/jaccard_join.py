@@ -6,7 +6,7 @@ segments and gives each segment 1 or 2 units, H and a slack in all. A segment of
 subset of the set that falls in it; one of 2 units also by all subsets with one token deleted, where two
 sets meet only if the key is the whole subset of one. By the pigeonhole, similar sets share keys: units
 of segments without one add up to H at most. So a set can do without keys of empty segments as long as they
-are fewer than the slack. The split into segments of 1 and 2 units is chosen per band by cost: keys
+are fewer than the slack, and a small set of a band needs only the first segments, as many as its own H asks for. The split into segments of 1 and 2 units is chosen per band by cost: keys
 written, and pairs of sets expected to share a key by chance.
 
 Equal sets form one class before anything else. Sets that share a key are not paired with each other: each is
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrays import grams, lists, mix, sliced, words_of
-from tessera.llm.common import cut
+from tessera.llm.common import cut, map_texts
 from tessera.llm.components import components
 
 #: Bits of distinction that a token is taken to give, in the cost model.
@@ -38,7 +38,7 @@ SKETCH_LONGS = 8
 #: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
 MAX_BROADCAST_ROWS = 1_000_000
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("near_keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
 
 
 def shingle_sets(texts: list[bytes], n: int = 3) -> Iterator[np.ndarray]:
@@ -60,23 +60,28 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> Iterator[np.ndarray]:
 def bands(t: float) -> list[int]:
     """Lower ends of the size bands; a set similar to one of a band lies in that band or beside it.
 
-    A band spans the ratio of similar sizes, or a power of it up to 1.4: fewer sets then have keys in two bands.
+    A band spans the ratio of similar sizes, or a power of it up to 1.6: fewer sets then have keys in two bands.
     """
-    ratio = (1 / t) ** max(1, int(math.log(1.4) / math.log(1 / t)))
+    ratio = (1 / t) ** max(1, int(math.log(1.6) / math.log(1 / t)))
     out = [1]
     while out[-1] < 1 << 40:
         out.append(max(out[-1] + 1, math.floor(out[-1] * ratio) + 1))
     return out
 
 
+def most_different(size: int, t_pct: int) -> int:
+    """Tokens in which a set may differ from a similar one of its size or more."""
+    t = t_pct / 100
+    return math.floor((1 - t) / (1 + t) * (size + size / t) + 1e-9)
+
+
 @lru_cache(None)
 def allocation(low: int, high: int, t_pct: int, n_docs: int) -> tuple[int, int, int]:
     """(slack, segments of 1 unit, segments of 2 units) for pairs whose smaller set has low to high - 1 tokens.
 
     The slack exceeds the number of empty segments that a set has by chance.
     """
-    t = t_pct / 100
-    differ = math.floor((1 - t) / (1 + t) * ((high - 1) + (high - 1) / t) + 1e-9)
+    differ = most_different(high - 1, t_pct)
     best = None
     for two in range(0, differ // 2 + 2):
         slack = 2
@@ -108,12 +113,15 @@ def band_keys(tokens: np.ndarray, band: int, low: int, high: int, t_pct: int, n_
     starts = np.concatenate(([0], ends[:-1]))
     salt = mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
     sums = total[ends] - total[starts] + salt
+    need = most_different(min(len(tokens), high - 1), t_pct) + slack
+    first = min(need, one) + min(two, max(0, -(-(need - one) // 2)))  # segments that add up to the units needed
     empty = (ends == starts) & (np.arange(m) < one)
-    whole = sums if empty.sum() >= slack else sums[~empty]
+    wanted = np.arange(m) < first
+    whole = sums[wanted] if (empty & wanted).sum() >= slack else sums[wanted & ~empty]
     near = np.zeros(0, np.uint64)
-    if two:
-        at = int(starts[one])
-        near = np.unique(mix(sums[seg[order][at:]] - part[at:]))
+    if first > one:
+        a, b = int(starts[one]), int(ends[first - 1])
+        near = np.unique(mix(sums[seg[order][a:b]] - part[a:b]))
     return np.unique(mix(whole)), near
 
 
@@ -123,43 +131,57 @@ def parity(tokens: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def sketches(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataFrame:
-    """One row per document: size, two hashes of the set, its keys, its parity sketch."""
-    n_docs = max(1, docs.count())
-    ends = bands(t_pct / 100)
+def sketches(docs: DataFrame, n: int = 3) -> DataFrame:
+    """One row per document: size, two hashes of the set, its parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
-            sizes, h1, h2, keys, near_keys, bits, wide = [], [], [], [], [], [], []
+            sizes, h1, h2, bits, wide = [], [], [], [], []
             for s in shingle_sets(texts, n):
                 sizes.append(len(s))
                 h1.append(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0])
                 h2.append(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64))
-                own = [(s[:0], s[:0])]
-                if len(s):
-                    b = int(np.searchsorted(ends, len(s), "right")) - 1
-                    below = [b - 1] if b and t_pct * len(s) <= 100 * (ends[b] - 1) else []
-                    own = [band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, *below)]
-                keys.append(np.concatenate([k for k, _ in own]))
-                near_keys.append(np.concatenate([k for _, k in own]))
                 bits.append(parity(s, SKETCH_LONGS))
                 longs = 1 << max(0, len(s) - 1).bit_length() - 6 if len(s) > 64 * SKETCH_LONGS else 0
                 wide.append(parity(s, longs) if longs else bits[-1][:0])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    lists(np.concatenate(keys).view(np.int64), [len(k) for k in keys]),
-                    lists(np.concatenate(near_keys).view(np.int64), [len(k) for k in near_keys]),
                     lists(np.concatenate(bits), [SKETCH_LONGS] * len(bits)),
                     lists(np.concatenate(wide), [len(x) for x in wide]),
                 ],
                 names=SKETCH.names,
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text"), run, SKETCH)
+
+
+KEYS = "node long, keys array<long>, near_keys array<long>"
+
+
+def set_keys(docs: DataFrame, n_docs: int, t_pct: int, n: int) -> DataFrame:
+    """The keys of each document's set. Recomputed where needed: they take more room than the texts."""
+    ends = bands(t_pct / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches):
+            keys, near_keys = [], []
+            for s in shingle_sets(texts, n):
+                own = [(s[:0], s[:0])]
+                if len(s):
+                    b = int(np.searchsorted(ends, len(s), "right")) - 1
+                    below = [b - 1] if b and t_pct * len(s) <= 100 * (ends[b] - 1) else []
+                    own = [band_keys(s, k, ends[k], ends[k + 1], t_pct, n_docs) for k in (b, *below)]
+                keys.append(np.concatenate([k for k, _ in own]))
+                near_keys.append(np.concatenate([k for _, k in own]))
+            columns = [lists(np.concatenate(k).view(np.int64), [len(x) for x in k]) for k in (keys, near_keys)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["node", "keys", "near_keys"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, KEYS)
 
 
 SETS = "node long, tokens array<long>"
@@ -175,7 +197,7 @@ def token_sets(docs: DataFrame, n: int = 3) -> DataFrame:
                 [part.column(0), lists(np.concatenate(found).view(np.int64), [len(s) for s in found])], names=["node", "tokens"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SETS)
 
 
 def near(t_pct: int) -> Column:
@@ -222,16 +244,19 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
     doc_id reachable. Null and empty texts link with nothing. Rows of equal doc_id are one node; a null
     doc_id has a null component. Very long texts are sets of their full size.
     """
-    sk = cut(sketches(docs, t_pct, n), "sketches")
+    sk = cut(sketches(docs, n), "sketches")
     some = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     # copies of a smaller doc_id leave; their ids are few or else joined by a shuffle
-    copies = cut(some.join(classes, ["h1", "h2"]).filter("doc_id <> node").select("doc_id").distinct(), "copies")
+    copies = cut(some.join(classes, ["h1", "h2"]).filter("doc_id <> node").select("doc_id", "th").distinct(), "copies")
     few = copies.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    reps = some.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
-
-    keyed = reps.select("node", F.explode("keys").alias("key"), F.lit(True).alias("whole"))
-    keyed = keyed.union(reps.select("node", F.explode("near_keys"), F.lit(False)))
+    copies = F.broadcast(copies) if few else copies
+    reps = some.join(copies, ["doc_id", "th"], "left_anti").withColumnRenamed("doc_id", "node")
+    left = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("th")).join(copies, ["doc_id", "th"], "left_anti")
+    own = set_keys(left, max(1, docs.count()), t_pct, n)
+    pair = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
+    every = F.concat(F.transform("keys", lambda k: pair(k, True)), F.transform("near_keys", lambda k: pair(k, False)))
+    keyed = own.select("node", F.inline(every))
     first = F.min(F.when(F.col("whole"), F.col("node")))
     shared = keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     shared = cut(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), "shared_keys")
@@ -280,6 +305,6 @@ def keep_first(docs: DataFrame, t_pct: int = 80, n: int = 5) -> DataFrame:
 
     Documents that link with nothing stay, as do rows with a null doc_id. Of repeated rows all stay.
     """
-    found = similarity_components(docs, t_pct, n).filter("component_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct()
+    found = similarity_components(docs, t_pct, n).filter("component_id < doc_id").select(F.col("doc_id").alias("gone__id")).distinct()
     found = cut(found, "gone")
-    return docs.join(found, F.col("doc_id") == F.col("gone_"), "left_anti")
+    return docs.join(found, F.col("doc_id") == F.col("gone__id"), "left_anti")

@@ -81,6 +81,9 @@ def test_edges_of_the_input(frame):
     rows = [(3, long), (3, long), (None, long), (5, long + "x"), (6, long + "A b c"), (7, None)]
     got = [(r.doc_id, r.component_id, r.links) for r in J.similarity_components(frame(rows)).collect()]
     assert sorted(got, key=str) == sorted([(3, 3, 0), (3, 3, 0), (None, None, 0), (5, 5, 0), (6, 3, 0), (7, 7, 0)], key=str)
+    x, y = "p q r s t u v w", "k l m n o a b c d e f g h i j"
+    twice = [(3, x), (5, x), (5, y), (9, y), (9, "z")]  # an id that stands for two texts is one node
+    assert sorted((r.doc_id, r.component_id) for r in J.similarity_components(frame(twice)).collect()) == [(3, 3), (5, 3), (5, 5), (9, 5), (9, 9)]
     kept = J.keep_first(frame([(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, ""), (4, None), (None, "a b c d e f g h")]))
     assert sorted(kept.select("doc_id").toPandas().doc_id.fillna(-1)) == [-1, 1, 3, 4]
 
