@@ -1,16 +1,27 @@
 """Corpus pipeline: from raw documents to a mix of sources.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as a table
-that the next one reads.
+that the next one reads. A stage begins by deleting the working tables of those before it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from tessera.llm.common import SPACES, cut, read
+from tessera.llm.common import SPACES, cut, read, release
+
+
+def _after_the_last(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,22 +30,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter("accepted").select(*docs.columns)
 
 
+@_after_the_last
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that repeat an earlier one, exactly or with one word edited, and documents left without words."""
     kept = line_dedup.dedup(docs)
     return kept.filter(F.length(F.translate("text", SPACES, "")) > 0)
 
 
+@_after_the_last
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8)."""
     return jaccard_join.keep_first(docs, 80, 5)
 
 
+@_after_the_last
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@_after_the_last
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, by the target weights of the sources."""
     return mixing.mix_totals(docs)
