@@ -32,7 +32,7 @@ from tessera.llm.common import cut, map_texts
 from tessera.llm.components import components
 
 #: Bits of distinction that a token is taken to give, in the cost model.
-TOKEN_BITS = 6.0
+TOKEN_BITS = 10.0
 #: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
 #: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
