@@ -29,7 +29,7 @@ from tessera.llm.arrays import Ranges, lists, mix, sliced, words_of
 from tessera.llm.common import cut, map_texts
 
 MIN_WORDS = 8
-#: Documents with lines to compare that are sent to all tasks; beyond that their texts are joined by a shuffle.
+#: Rows of keys or of lines to compare that are sent to all tasks; beyond that they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
 LINES = "doc_id long, th long, at int, line long, halves array<long>"
@@ -131,26 +131,30 @@ def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
     return min(row.get(len(b), most + 1), most + 1)
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """The table for a join: sent to all tasks if it is within the bound."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
 def late_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ats): the places of the lines that an earlier line of the corpus equals or is near to."""
     lines = cut(line_table(docs), "lines")
     known = lines.filter("doc_id IS NOT NULL")
     place = F.struct("doc_id", "at")
-    firsts = known.groupBy("line").agg(F.min(place).alias("first"), F.min_by("th", place).alias("th"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts, "distinct_lines")
+    firsts = known.groupBy("line").agg(F.min(F.struct("doc_id", "at", "th")).alias("f"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(firsts.select("line", F.struct("f.doc_id", "f.at").alias("first"), "f.th", "n"), "distinct_lines")
 
     halves = known.select("line", F.explode(F.array_distinct("halves")).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("half")
-    survivors = cut(halves.join(cut(met, "shared_halves"), "half").select("line").distinct(), "survivors")
+    survivors = cut(halves.join(_sent(cut(met, "shared_halves")), "half").select("line").distinct(), "survivors")
     wanted = firsts.join(survivors, "line").groupBy(F.col("first.doc_id").alias("doc_id"), "th").agg(F.collect_list("first.at").alias("ats"))
     wanted = cut(wanted, "wanted")
-    few = wanted.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    keyed = cut(variants(docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"])), "variants")
+    keyed = cut(variants(docs.join(_sent(wanted), ["doc_id", "th"])), "variants")
 
     # most variants stand alone; what remains is small
     met = cut(keyed.groupBy("variant").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("variant"), "shared_variants")
     rank = F.struct("doc_id", "at", "line")
-    ranked = cut(keyed.drop("words").join(met, "variant").select("line", "variant", "deleted", rank.alias("rank")), "ranked")
+    ranked = cut(keyed.drop("words").join(_sent(met), "variant").select("line", "variant", "deleted", rank.alias("rank")), "ranked")
     at_place = cut(ranked.groupBy("variant", "deleted").agg(F.min("rank").alias("best")), "places")
     by_place = ranked.join(at_place, ["variant", "deleted"]).select("line", "rank", "best")
     whole = at_place.filter("deleted = -1").select("variant", "best")
