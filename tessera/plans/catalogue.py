@@ -311,8 +311,8 @@ def h34_expected(spark, sf_dir):
 
 
 def h41_costs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("decimal(18,0)"))
-    return e.groupBy("event_type").agg(F.sum(F.col("k") * F.expr("0.00000125BD")).cast("double").alias("cost"))
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.groupBy("event_type").agg((F.sum("k") * F.lit(0.00000125)).alias("cost"))
 
 
 def h43_validated(spark, sf_dir):
