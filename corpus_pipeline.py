@@ -32,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_after_the_last
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that repeat an earlier one, exactly or with one word edited, and documents left without words."""
-    kept = line_dedup.dedup(docs)
+    """Removes lines that repeat an earlier one, exactly or with up to a tenth of its words edited, and documents left without words."""
+    kept = line_dedup.dedup(docs, growing=True)
     return kept.filter(F.length(F.translate("text", SPACES, "")) > 0)
 
 

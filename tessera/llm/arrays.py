@@ -85,6 +85,7 @@ class Ranges:
     """Hashes of any ranges of a sequence of items, by prefix sums; equal items in equal order hash alike."""
 
     def __init__(self, items: np.ndarray):
+        self.items = items
         self.up, self.down = _power(len(items) + 2)
         self.total = np.zeros(len(items) + 1, np.uint64)
         np.cumsum(mix(items) * self.up[: len(items)], out=self.total[1:])

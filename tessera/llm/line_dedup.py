@@ -1,8 +1,10 @@
-"""Near-duplicate line removal by a deletion-neighbourhood join.
+"""Near-duplicate line removal by joins on deletion neighbourhoods and shared word runs.
 
-Lines are compared as word sequences. Two lines, the longer of MIN_WORDS words or more, are near if one word
-edit (insert, delete or replace) turns one into the other; shorter lines are near only if equal. Every variant with
-up to one word deleted is a hashed key, and equal keys join:
+Lines are compared as word sequences. Two lines, the longer of n words, MIN_WORDS or more, are near if at most
+``bound(n)`` word edits (insert, delete or replace) turn one into the other: one, or with a growing bound a tenth
+of n; shorter lines are near only if equal.
+
+For one edit, every variant with up to one word deleted is a hashed key, and equal keys join:
 
 * two lines that share a variant with the same deleted position differ by a replacement there;
 * a line that is itself another's variant differs by that deletion.
@@ -10,8 +12,12 @@ up to one word deleted is a hashed key, and equal keys join:
 So a join needs no pairs within a key: it takes the earliest line of each (key, position) and of each
 key, summed before the shuffle, and each line is then verified against its earliest partner by edit
 distance. A line goes if an earlier line of the corpus is near, whether or not that one stays.
-
 Only lines that share a half with another line get variants: one edit leaves one half of a line as it was.
+
+With a growing bound, lines of LONG words or more are joined by the words that e edits leave alone: of n words
+at least (n - e) / (e + 1) stay in one run, so both lines choose the same least gram of that run (a minimiser) as a
+key, at places that differ by e at most. A line is verified against the first line of each key, and, if it is near
+to none, against all earlier ones whose length and place allow it.
 """
 
 from __future__ import annotations
@@ -25,10 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import Ranges, lists, mix, sliced, words_of
-from tessera.llm.common import cut, map_texts
+from tessera.llm.arrays import Ranges, grams, lists, mix, sliced, words_of
+from tessera.llm.common import SPACE, cut, map_texts
 
 MIN_WORDS = 8
+#: With a growing bound: edits for a hundred words, and the words of a line from which that is more than one.
+PERCENT, LONG = 10, 20
+#: By the longer line's words (least, most): run that the edits leave, words of a gram.
+RUNS = ((20, 39, 6, 5), (40, 89, 8, 6), (90, 1 << 30, 9, 6))
+#: Ratio of the lengths of a bucket of lines, above 100 / (100 - PERCENT).
+BUCKET = 1.12
+#: Lines from which a key's lines are told apart by their buckets too.
+CROWD = 1000
 #: Rows of keys or of lines to compare that are sent to all tasks; beyond that they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -53,8 +67,8 @@ def half_keys(words: Ranges, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """A row per line with words: document, place, hash, half keys (none for short lines)."""
+def line_table(docs: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """A row per line with words: document, place, hash, half keys (none for short lines and those over ``most`` words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
@@ -62,7 +76,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(end > start)
             of = np.searchsorted(first, some, "right") - 1
             start, end = start[some], end[some]
-            long = end - start >= MIN_WORDS - 1
+            long = (end - start >= MIN_WORDS - 1) & (end - start <= most)
             rows = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -116,19 +130,67 @@ def variants(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text", "ats"), run, VARIANTS)
 
 
+def bound(n: int, growing: bool) -> int:
+    """Edits at which two lines are near, the longer of n words."""
+    return max(1, n * PERCENT // 100) if growing else 1
+
+
 def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
-    """Edit distance in words, ``most`` + 1 if it is above ``most``; by a band of 2 * most + 1 diagonals."""
+    """Edit distance in words, ``most`` + 1 if it is above ``most``; by the furthest place of each diagonal after each edit."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = {j: j for j in range(most + 1)}
-    for i, x in enumerate(a, 1):
+    n, goal = len(a), len(b) - len(a)
+    far = {}  # diagonal (place in b less place in a) to place in a
+    for e in range(most + 1):
         new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = min(
-                row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (j == 0 or x != b[j - 1]) if j else i
+        for d in range(max(-e, -n), min(e, len(b)) + 1):
+            i = 0 if not e else max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            if i < 0:
+                continue
+            i = min(i, n, len(b) - d)
+            while i < n and i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            new[d] = i
+        if new.get(goal) == n:
+            return e
+        far = new
+    return most + 1
+
+
+GRAMS = "key long, line long, n int, at int"
+
+
+def gram_table(docs: DataFrame) -> DataFrame:
+    """A row per key of each long line: the gram, the line, its words, the gram's place.
+
+    A line has keys for all lengths that the longer line of a pair with it may have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches):
+            words, start, end, _, _ = _lines(texts)
+            size = end - start
+            of = np.repeat(np.arange(len(size)), size)
+            out = []
+            for least, most, length, k in RUNS:
+                # a line of m words may be a near line's shorter one from the least - bound(least) words on
+                wanted = (size >= least - least * PERCENT // 100) & (size <= most)
+                g = grams(words.items, k)
+                starts = np.arange(len(words.items) - length + 1)
+                starts = starts[wanted[of[starts]] & (starts + length <= end[of[starts]])] if len(starts) else starts
+                best = starts.copy()
+                for j in range(1, length - k + 1):
+                    best = np.where(g[starts + j] < g[best], starts + j, best)
+                best = np.unique(best)
+                line = of[best]
+                out.append((mix(g[best] + np.uint64(least)), words.of(start[line], end[line]), size[line], best - start[line]))
+            key, line, n, at = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))],
+                names=["key", "line", "n", "at"],
             )
-        row = new
-    return min(row.get(len(b), most + 1), most + 1)
+
+    return map_texts(docs.select("text"), run, GRAMS)
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -136,9 +198,72 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
-def late_lines(docs: DataFrame) -> DataFrame:
+def _near(growing: bool):
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = x.split(" "), y.split(" ")
+            n, e = max(len(x), len(y)), bound(max(len(x), len(y)), growing)
+            out.append(n >= MIN_WORDS and word_edits(x, y, e) <= e)
+        return pd.Series(out, dtype=bool)
+
+    return near
+
+
+def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, words) of the lines at the places ``ats`` of documents (doc_id, th)."""
+    at = F.explode("ats").alias("at")
+    lines = docs.join(_sent(wanted), ["doc_id", "th"]).select(F.split("text", "\n").alias("split"), at)
+    words = F.array_join(F.array_remove(F.split(F.get("split", F.col("at.place")), SPACE), ""), " ")
+    return lines.select(F.col("at.line").alias("line"), words.alias("words"))
+
+
+def near_long_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(line, near): a place of an earlier near line, for the long lines that have one."""
+    known = docs.filter("doc_id IS NOT NULL")
+    table = gram_table(known)
+    met = table.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key")
+    members = table.join(_sent(cut(met, "shared_grams")), "key").distinct()
+    rank = F.struct("first.doc_id", "first.at", "line").alias("rank")
+    members = members.join(firsts.select("line", "first"), "line").select("key", "line", "n", "at", rank)
+
+    # in crowded keys the lines of a pair meet in neighbouring buckets of length and place
+    members = cut(members, "gram_members")
+    crowded = members.groupBy("key").count().filter(F.col("count") >= CROWD).select("key", F.lit(True).alias("crowded"))
+    members = members.join(_sent(cut(crowded, "crowded_keys")), "key", "left")
+    some = F.col("crowded").isNotNull()
+    size = F.floor(F.log("n") / F.log(F.lit(BUCKET)))
+    wide = F.floor(F.pow(F.lit(BUCKET), F.col("size") + 1) * PERCENT / (100 - PERCENT)) + 1
+    spot = F.floor(F.col("at") / wide)
+    alone = F.expr("array(0L)")
+    mates = members.withColumn("size", F.when(some, size).otherwise(0)).withColumn("spot", F.when(some, spot).otherwise(0))
+    mates = mates.select("key", "size", "spot", F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("rank").alias("best"))
+    probes = members.withColumn("size", F.explode(F.when(some, F.sequence(size - 1, size + 1)).otherwise(alone)))
+    probes = probes.withColumn("spot", F.explode(F.when(some, F.sequence(spot - 1, spot + 1)).otherwise(alone))).drop("crowded")
+    most = F.floor(F.greatest("n", "n2") * PERCENT / 100)
+    fits = (F.col("best") < F.col("rank")) & (F.abs(F.col("n") - F.col("n2")) <= most) & (F.abs(F.col("at") - F.col("at2")) <= most)
+    by = ["key", "size", "spot"]
+
+    def verified(probes: DataFrame, mates: DataFrame, name: str) -> DataFrame:
+        pairs = probes.join(mates, by).filter(fits).select("line", F.col("best.line").alias("other"), F.struct("best.doc_id", "best.at").alias("near")).distinct()
+        pairs = cut(pairs, f"{name}_pairs")
+        ends = pairs.select("line").union(pairs.select("other")).distinct()
+        wanted = firsts.join(ends, "line").groupBy(F.col("first.doc_id").alias("doc_id"), "th")
+        wanted = cut(wanted.agg(F.collect_list(F.struct(F.col("first.at").alias("place"), "line")).alias("ats")), f"{name}_wanted")
+        texts = cut(line_words(docs, wanted).dropDuplicates(["line"]), f"{name}_texts")
+        both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
+        return cut(both.filter(_near(True)("words", "other_words")).groupBy("line").agg(F.min("near").alias("near")), name)
+
+    lowest = mates.groupBy(*by).agg(F.min(F.struct("best", "n2", "at2")).alias("m")).select(*by, "m.best", "m.n2", "m.at2")
+    easy = verified(probes, lowest, "near_first")
+    hard = verified(probes.join(easy.select("line"), "line", "left_anti"), mates, "near_any")
+    return easy.unionByName(hard)
+
+
+def late_lines(docs: DataFrame, growing: bool = False) -> DataFrame:
     """(doc_id, th, ats): the places of the lines that an earlier line of the corpus equals or is near to."""
-    lines = cut(line_table(docs), "lines")
+    lines = cut(line_table(docs, LONG - 1) if growing else line_table(docs), "lines")
     known = lines.filter("doc_id IS NOT NULL")
     place = F.struct("doc_id", "at")
     firsts = known.groupBy("line").agg(F.min(F.struct("doc_id", "at", "th")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -169,27 +294,25 @@ def late_lines(docs: DataFrame) -> DataFrame:
     texts = cut(texts, "pair_texts")
     both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        split = ((x.split(" "), y.split(" ")) for x, y in zip(a, b))
-        return pd.Series([max(len(x), len(y)) >= MIN_WORDS and word_edits(x, y) <= 1 for x, y in split], dtype=bool)
-
-    best = both.filter(near("words", "other_words")).groupBy("line").agg(F.min(F.struct("best.doc_id", "best.at")).alias("near"))
+    best = both.filter(_near(growing)("words", "other_words")).groupBy("line").agg(F.min(F.struct("best.doc_id", "best.at")).alias("near"))
+    if growing:
+        best = best.unionByName(near_long_lines(docs, firsts))
     earliest = firsts.select("line", "first", "n").join(cut(best, "near"), "line", "left").filter("n > 1 OR near IS NOT NULL")
     earliest = cut(earliest.select("line", F.least("first", "near").alias("earliest")), "earliest")
     gone = known.select("doc_id", "th", "at", "line").join(earliest, "line").filter(F.col("earliest") < place)
     return cut(gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, growing: bool = False) -> DataFrame:
     """The documents without lines that repeat an earlier one (by doc_id, then place) exactly or nearly.
 
+    Near lines differ by one word edit, with ``growing`` by up to PERCENT edits for a hundred words of the longer line.
     Columns and rows stay; n_chars, where present, follows the new text. Lines without words stay. A
     text all of whose lines go becomes empty. Null texts stay null; documents with a null doc_id neither
     lose lines nor count as earlier. Rows of equal doc_id and text lose the same lines.
     """
     rows = docs.withColumn("th__", F.xxhash64("text"))
-    late = late_lines(rows.select(F.col("doc_id").cast("long"), F.col("th__").alias("th"), "text"))
+    late = late_lines(rows.select(F.col("doc_id").cast("long"), F.col("th__").alias("th"), "text"), growing)
     late = late.select(F.col("doc_id").alias("id__"), F.col("th").alias("h__"), F.col("ats").alias("ats__"))
     joined = rows.join(late, (F.col("doc_id") == F.col("id__")) & (F.col("th__") == F.col("h__")), "left")
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("ats__", i))

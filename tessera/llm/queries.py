@@ -19,7 +19,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), growing=True)
     return kept.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.length("text").cast("long").alias("kept_chars"))
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tessera.llm import line_dedup as L
 
 
@@ -95,3 +97,32 @@ def test_empty_and_clashing_columns(frame):
     got = L.dedup(docs.drop("n_chars"))
     assert {r.doc_id: r.text for r in got.collect()} == {1: "a b c d e f g h\nx", 2: "y"}
     assert got.columns == docs.drop("n_chars").columns
+
+
+@pytest.mark.parametrize("crowd", (2, 1000))
+def test_growing_bound_equals_brute_force(frame, monkeypatch, crowd):
+    monkeypatch.setattr(L, "CROWD", crowd)
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    base = [[rnd.choice(vocab) for _ in range(n)] for n in (7, 8, 18, 19, 20, 21, 29, 30, 36, 38, 39, 40, 41, 44, 60, 90, 130)]
+    base.append(["a"] * 45)
+    rows = [(900, None), (901, "")]
+    for i in range(110):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice((0, 1, len(w) // 20, len(w) // 20, len(w) // 10, len(w) // 9, len(w) // 7))):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randrange(2)] = [rnd.choice(vocab)] * rnd.randrange(2)
+        rows.append((i, " ".join(w)))
+    # a copy with edits spread evenly, the worst case for a run of words
+    rows += [(200 + n, " ".join(f"u{n}x{j}" for j in range(n))) for n in (20, 29, 40, 60, 100)]
+    rows += [(400 + n, " ".join("new" if j % (n // (n // 10 + 1) + 1) == n // (n // 10 + 1) else f"u{n}x{j}" for j in range(n))) for n in (20, 29, 40, 60, 100)]
+
+    def gone(i, w):
+        n = lambda v: max(len(w), len(v))
+        return any(j < i and (v == w or n(v) >= 8 and distance(w, v) <= max(1, n(v) // 10)) for j, v in lines)
+
+    lines = [(i, words(t)) for i, t in rows if t]
+    want = {i: "" if t and gone(i, words(t)) else t for i, t in rows}
+    assert {r.doc_id: r.text for r in L.dedup(frame(rows), growing=True).collect()} == want
+    assert sum(want[i] == "" for i, t in rows if t and len(words(t)) >= 20) > 30
+    assert all(want[400 + n] == "" for n in (20, 29, 40, 60, 100))
