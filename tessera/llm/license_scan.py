@@ -8,6 +8,8 @@ of the template's words that stand in the document on them.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "label
 #: Phrases of the base labels.
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
 
-#: License notices and opening passages, as published with the licenses.
+#: License notices and opening passages. The first ones of cc-by-nc and gpl-3.0 are short forms in common use.
 TEMPLATES = {
     "text:apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
@@ -49,6 +51,61 @@ TEMPLATES = {
     "text:mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 
+#: Short notices. Those of four words are found only word for word.
+NOTICES = {
+    "text:agpl-3.0": [
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "GNU Affero General Public License",
+        "Identifier: AGPL-3.0",
+    ],
+    "text:apache-2.0": ["Apache License, Version 2.0", "Identifier: Apache-2.0"],
+    "text:bsd": ["under the BSD License", "Identifier: BSD-3-Clause", "Identifier: BSD-2-Clause"],
+    "text:cc0": ["CC0 1.0 Universal", "Identifier: CC0-1.0"],
+    "text:epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Eclipse Public License 2.0",
+        "Identifier: EPL-2.0",
+    ],
+    "text:gpl-2.0": ["Identifier: GPL-2.0"],
+    "text:gpl-3.0": ["Identifier: GPL-3.0"],
+    "text:isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "under the ISC License",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "text:lgpl": ["GNU Lesser General Public License", "Identifier: LGPL-2.1", "Identifier: LGPL-3.0"],
+    "text:mit": [
+        "under the MIT License",
+        "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "text:mpl-2.0": ["Identifier: MPL-2.0"],
+    "text:unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+}
+#: Whole texts in the folder ``licenses``.
+WHOLE = {
+    "text:apache-2.0": ["Apache-2.0"],
+    "text:bsd": ["BSD"],
+    "text:cc0": ["CC0-1.0"],
+    "text:gpl-2.0": ["GPL-2"],
+    "text:gpl-3.0": ["GPL-3"],
+    "text:lgpl": ["LGPL-2.1", "LGPL-3"],
+    "text:mpl-2.0": ["MPL-2.0"],
+}
+for _label, _texts in NOTICES.items():
+    TEMPLATES.setdefault(_label, []).extend(_texts)
+for _label, _names in WHOLE.items():
+    for _name in _names:
+        # marks part words, so apostrophes may go
+        _text = (Path(__file__).parent / "licenses" / f"{_name}.txt").read_text("utf-8").replace("'", " ")
+        TEMPLATES.setdefault(_label, []).append(_text)
+
 
 def license_words(text: Column) -> Column:
     """Words after lower-casing A-Z; a null text has none."""

@@ -45,3 +45,21 @@ def test_templates_are_found_through_small_edits(frame):
 
 def test_empty(frame):
     assert L.scan(frame([])).count() == 0
+
+
+def test_short_notices_and_whole_texts(frame):
+    from pathlib import Path
+
+    folder = Path(L.__file__).parent / "licenses"
+    rows = [
+        (1, "a b. Released under the MIT License."),
+        (2, "SPDX-License-Identifier: GPL-2.0-only"),
+        (3, "distributed under the GNU Lesser General Public License"),
+        (4, "This is free and unencumbered software released into the public domain."),
+        (5, "under the license of the club"),
+        (6, (folder / "GPL-2.txt").read_text()[3000:]),
+        (7, (folder / "MPL-2.0.txt").read_text()[200:14000]),
+    ]
+    got = {r.doc_id: {x for x in r.labels if x.startswith("text:")} for r in L.scan(frame(rows)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [{"text:mit"}, {"text:gpl-2.0"}, {"text:lgpl"}, {"text:unlicense"}, set()]
+    assert "text:gpl-2.0" in got[6] and "text:mpl-2.0" in got[7]
