@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words.
 SPACE = "[\\x20\\x09-\\x0D]+"
-_written: list[str] = []
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1000
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+#: Rows of an Arrow batch while a working table is written.
+BATCH_SIZE, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -28,51 +30,67 @@ def let(value: Column, use) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests) uses a folder of this machine; on a cluster a ValueError is raised.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        folder = f"file://{tempfile.gettempdir()}/tessera-{sc.applicationId}"
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
+@contextmanager
+def tracked(tables: list[str]) -> Iterator[None]:
+    """Notes in ``tables`` the paths of the working tables that ``cut`` writes meanwhile, for ``release``."""
+    before = _tables.set(tables)
+    try:
+        yield
+    finally:
+        _tables.reset(before)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows meanwhile, unless the session sets a size of its own."""
+    if BATCH_SIZE in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(BATCH_SIZE, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SIZE)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back.
 
     The result has no lineage, survives lost executors and is computed once. Tables stay until
-    their folder is removed, as the caller's DataFrame reads them lazily.
+    their folder is removed or ``release`` deletes them, as the caller's DataFrame reads them lazily.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    tables = _tables.get()
+    if tables is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` for rows that hold texts: batches of BATCH_ROWS rows unless the session sets another size.
-
-    A batch of Spark's 10,000 rows takes tens of megabytes in the JVM and again in Python.
-    """
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(size) == "10000":
-        df.sparkSession.conf.set(size, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
-
-
-def release(spark: SparkSession, keep: DataFrame) -> None:
-    """Deletes the tables that ``cut`` has written so far in this process, but for those that ``keep`` reads.
-
-    For jobs of several stages, once a stage's result has been written elsewhere.
-    """
-    needed = keep.inputFiles()
-    for path in list(_written):
+def release(spark: SparkSession, tables: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes the listed working tables, but for those that ``keep`` reads; other runs' tables are not in the list."""
+    needed = keep.inputFiles() if keep is not None else []
+    for path in list(tables):
         name = path.split("/tessera/", 1)[1]
         if not any(name in f for f in needed):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            _written.remove(path)
+            tables.remove(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

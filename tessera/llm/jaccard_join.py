@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrays import grams, lists, mix, sliced, words_of
-from tessera.llm.common import cut, map_texts
+from tessera.llm.common import cut
 from tessera.llm.components import components
 
 #: Bits of distinction that a token is taken to give, in the cost model.
@@ -157,7 +157,7 @@ def sketches(docs: DataFrame, n: int = 3) -> DataFrame:
                 names=SKETCH.names,
             )
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text"), run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SKETCH)
 
 
 KEYS = "node long, keys array<long>, near_keys array<long>"
@@ -181,7 +181,7 @@ def set_keys(docs: DataFrame, n_docs: int, t_pct: int, n: int) -> DataFrame:
             columns = [lists(np.concatenate(k).view(np.int64), [len(x) for x in k]) for k in (keys, near_keys)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["node", "keys", "near_keys"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, KEYS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, KEYS)
 
 
 SETS = "node long, tokens array<long>"
@@ -197,7 +197,7 @@ def token_sets(docs: DataFrame, n: int = 3) -> DataFrame:
                 [part.column(0), lists(np.concatenate(found).view(np.int64), [len(s) for s in found])], names=["node", "tokens"]
             )
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
 def near(t_pct: int) -> Column:

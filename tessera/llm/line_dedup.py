@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import Ranges, grams, lists, mix, sliced, words_of
-from tessera.llm.common import SPACE, cut, map_texts
+from tessera.llm.common import SPACE, cut
 
 MIN_WORDS = 8
 #: With a growing bound: edits for a hundred words, and the words of a line from which that is more than one.
@@ -89,7 +89,7 @@ def line_table(docs: DataFrame, most: int = 1 << 30) -> DataFrame:
                 names=["doc_id", "th", "at", "line", "halves"],
             )
 
-    return map_texts(docs.select("doc_id", "th", "text"), run, LINES)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
 
 VARIANTS = "doc_id long, at int, line long, variant long, deleted int, words string"
@@ -127,7 +127,7 @@ def variants(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "at", "line", "variant", "deleted", "words"],
             )
 
-    return map_texts(docs.select("doc_id", "text", "ats"), run, VARIANTS)
+    return docs.select("doc_id", "text", "ats").mapInArrow(run, VARIANTS)
 
 
 def bound(n: int, growing: bool) -> int:
@@ -190,7 +190,7 @@ def gram_table(docs: DataFrame) -> DataFrame:
                 names=["key", "line", "n", "at"],
             )
 
-    return map_texts(docs.select("text"), run, GRAMS)
+    return docs.select("text").mapInArrow(run, GRAMS)
 
 
 def _sent(df: DataFrame) -> DataFrame:
