@@ -8,9 +8,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import sliced
+
 #: ASCII white space; everything else belongs to words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
@@ -93,6 +97,68 @@ def release(spark: SparkSession, tables: list[str], keep: DataFrame | None = Non
             tables.remove(path)
 
 
+#: Bits of a filter for each key and at most: 16 MB. A fuller filter lets more rows pass, never fewer.
+FILTER_BITS, MAX_FILTER_BITS = 12, 1 << 27
+
+
+class KeyFilter:
+    """A Bloom filter of a column of hashed longs, sent to all tasks: says which rows a join with them may keep.
+
+    It only saves shuffled rows before that join; its size is bounded whatever the number of keys.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        size = 1 << max(16, min(MAX_FILTER_BITS, FILTER_BITS * n).bit_length() - 1)
+        bit = F.explode(F.array(F.pmod(F.col(column), F.lit(size)), F.pmod(F.shiftright(column, 32), F.lit(size)))).alias("bit")
+        longs = keys.select(bit).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+        table, found = np.zeros(size >> 6, np.int64), longs.toArrow()  # at most MAX_FILTER_BITS / 64 rows
+        table[found["at"].to_numpy()] = found["bits"].to_numpy()
+        self._table = keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """For each key (64 bits, signed or not) whether it may be in the column."""
+        table, x = self._table.value, keys.view(np.int64)
+        size = len(table) << 6
+        out = np.ones(len(x), bool)
+        for v in (x % size, (x >> 32) % size):
+            out &= (table[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) > 0
+        return out
+
+
+#: Buckets that are summed as one row.
+CHUNK = 4096
+
+
+def bucket_counts(docs: DataFrame, hashes, buckets: int) -> np.ndarray:
+    """How often each of ``buckets`` hash buckets occurs in all texts; ``hashes`` gives the hashes of a list of texts.
+
+    Tasks count by themselves, and send their counts in rows of CHUNK buckets that other tasks add up as they come.
+    """
+
+    def count(batches):
+        out = np.zeros(buckets, np.int32)
+        for _, texts in sliced(batches):
+            out += np.bincount((hashes(texts) % np.uint64(buckets)).astype(np.int64), minlength=buckets).astype(np.int32)
+        rows = [out[a : a + CHUNK].tobytes() for a in range(0, buckets, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.frombuffer(counts, np.int32).astype(np.int64) if len(counts) == 4 * CHUNK else np.frombuffer(counts, np.int64)
+                out[chunk] = out.get(chunk, 0) + more
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    found = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    table = np.zeros((buckets // CHUNK, CHUNK), np.int64)
+    for chunk, counts in zip(found["chunk"].to_pylist(), found["counts"].to_pylist()):
+        table[chunk] += np.frombuffer(counts, np.int64)
+    return table.ravel()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
