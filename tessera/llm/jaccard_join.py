@@ -13,6 +13,13 @@ Equal sets form one class before anything else. Sets that share a key are not pa
 paired with the key's first set, verified exactly, and components are formed. What is left are keys
 whose sets lie in several components; there sets of different components are compared. A bound on the
 difference from 512-bit parity sketches, which never rejects a similar pair, comes before each exact check.
+
+Sets that are alike in part but not similar (pages of one template) crowd the keys of the common part. A key
+that would compare more than CROWD_PAIRS pairs is given up for keys by rare tokens: with the tokens of a set in order of
+their frequency among such sets, similar sets share a token among the first |x| - t * |x| + 1 of each, at places
+that add up to H at most, as no token before it is common. So one of the places is H / 2 at most: that set is indexed by its
+token and place (in steps), the other asks for the token at all places that are left to it. The common part comes last in
+the order, so sets with enough tokens of their own do not meet.
 """
 
 from __future__ import annotations
@@ -28,11 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrays import grams, lists, mix, sliced, words_of
-from tessera.llm.common import cut
+from tessera.llm.common import bucket_counts, cut
 from tessera.llm.components import components
 
 #: Bits of distinction that a token is taken to give, in the cost model.
 TOKEN_BITS = 10.0
+#: Pairs of a key beyond which its sets meet by their rare tokens.
+CROWD_PAIRS = 2500
+#: Buckets of tokens whose occurrences are counted, and steps of places.
+COUNT_BUCKETS, STEPS = 1 << 16, 4
 #: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
 #: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
@@ -200,6 +211,57 @@ def token_sets(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
+RARE = "node long, key long, whole boolean"
+
+
+def rare_keys(docs: DataFrame, counts: np.ndarray, t_pct: int, n: int) -> DataFrame:
+    """(node, key, whole): tokens by place of each set's rarest tokens; two sets meet where the key is whole for one.
+
+    A place is cut into steps of about H / 2 / STEPS; sizes are told apart by the steps' width, the asking set has keys for all
+    widths that similar sizes have.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # COUNT_BUCKETS numbers
+
+    def width(size: int) -> int:
+        # a power of 2, so similar sizes have at most two widths
+        return 1 << max(0, most_different(size, t_pct) // 2 // STEPS).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value
+        for part, texts in sliced(batches):
+            ids, keys, whole = part.column(0).to_pylist(), [], []
+            for s in shingle_sets(texts, n):
+                size = len(s)
+                first = size - -(-t_pct * size // 100) + 1 if size else 0
+                order = np.lexsort((s, frequent[(s % np.uint64(COUNT_BUCKETS)).astype(np.int64)]))[:first]
+                token, at = mix(s[order]), np.arange(len(order))
+                most = most_different(size, t_pct)
+                key = lambda x, step, w: mix(x + mix(step.astype(np.uint64) * np.uint64(64) + np.uint64(w.bit_length())))
+                own = at <= most // 2
+                indexed = np.unique(key(token[own], at[own] // width(size), width(size))) if size else token
+                asked = []
+                for w in sorted({width(x) for x in (-(-t_pct * size // 100), size, 100 * size // t_pct)}) if size else ():
+                    # the partner's place is at most H / 2, and with this one's H: for the largest partner
+                    left = np.minimum(most_different(100 * size // t_pct, t_pct) // 2, most - at)
+                    each = np.repeat(at, np.maximum(0, left // w + 1))
+                    step = np.arange(len(each)) - np.searchsorted(each, each)
+                    asked.append(key(token[each], step, w))
+                asked = np.setdiff1d(np.concatenate(asked), indexed) if asked else token
+                keys += [indexed, asked]
+                whole += [len(indexed), len(asked)]
+            sizes = np.array(whole, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array(ids, np.int64), sizes.reshape(-1, 2).sum(axis=1))),
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)),
+                ],
+                names=["node", "key", "whole"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RARE)
+
+
 def near(t_pct: int) -> Column:
     """Whether the sizes and parity sketches of l and r leave the similarity possible: sketches differ in no more
     bits than the sets differ in tokens. Wide sketches are compared where both sets have one."""
@@ -237,12 +299,41 @@ def verified(pairs: DataFrame, docs: DataFrame, t_pct: int, n: int) -> DataFrame
     return both.withColumn("i", inner).filter(100 * F.col("i") >= t_pct * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b").distinct()
 
 
+def members_of_shared(keyed: DataFrame, name: str) -> DataFrame:
+    """(key, node, whole, first) of the keys that two sets or more have, one of them whole; first is the least such node."""
+    first = F.min(F.when(F.col("whole"), F.col("node")))
+    shared = keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), f"{name}_shared")
+    return cut(keyed.join(shared, "key").select("key", "node", "whole", "first"), f"{name}_members")
+
+
+def placed_in(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and of the keys that span several: the largest component and the pairs to compare."""
+    placed = members.join(found, "node", "left").select("key", "node", "whole", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("key", "component").count().groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"))
+    pairs = (F.col("n") - F.col("main.count")) * F.col("n")
+    return placed, cut(sizes.filter("parts > 1").select("key", F.col("main.component").alias("main"), pairs.alias("pairs")), "mixed_keys")
+
+
+def across(placed: DataFrame, mixed: DataFrame, bits: DataFrame, t_pct: int, name: str) -> DataFrame:
+    """The pairs (a, b) of different components that share a key and that ``near`` does not rule out."""
+    open_ = cut(placed.join(mixed.select("key", "main"), "key").join(bits, "node"), name)
+    side = lambda p: open_.select("key", "main", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "whole", "component", "n_shingles", "bits", "wide")])
+    left, right = side("l").filter("l_component <> main").drop("main"), side("r")
+    other = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("main")) | (F.col("l_node") < F.col("r_node")))
+    other = other & (F.col("l_whole") | F.col("r_whole"))
+    rest = left.join(right, "key").filter(other & near(t_pct))
+    return rest.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+
+
 def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (verified links kept per class) for every document.
+    """doc_id, n_shingles and component_id for every document.
 
     Documents link when 100 * intersection >= t_pct * union of their n-gram sets; component_id is the smallest
-    doc_id reachable. Null and empty texts link with nothing. Rows of equal doc_id are one node; a null
-    doc_id has a null component. Very long texts are sets of their full size.
+    doc_id reachable. Pairs are not returned: copies of one text alone would have quadratically many. Null and empty texts
+    link with nothing. Rows of equal doc_id are one node; a null doc_id has a null component. Very long texts are sets
+    of their full size.
     """
     sk = cut(sketches(docs, n), "sketches")
     some = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -256,11 +347,7 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
     own = set_keys(left, max(1, docs.count()), t_pct, n)
     pair = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
     every = F.concat(F.transform("keys", lambda k: pair(k, True)), F.transform("near_keys", lambda k: pair(k, False)))
-    keyed = own.select("node", F.inline(every))
-    first = F.min(F.when(F.col("whole"), F.col("node")))
-    shared = keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = cut(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), "shared_keys")
-    members = cut(keyed.join(shared, "key"), "members")
+    members = members_of_shared(own.select("node", F.inline(every)), "segments")
 
     bits = cut(reps.select("node", "n_shingles", "bits", "wide").join(members.select("node").distinct(), "node"), "bits")
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -269,35 +356,32 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
     found = components(links)
 
     # keys whose sets lie in several components
-    placed = cut(
-        members.select("key", "node", "whole").join(found, "node", "left").select("key", "node", "whole", F.coalesce("component", "node").alias("component")), "placed"
-    )
-    sizes = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = cut(sizes.filter("parts > 1").select("key", F.col("main.component").alias("main")), "mixed_keys")
-    open_ = cut(placed.join(mixed, "key").join(bits, "node"), "open")
-    side = lambda p: open_.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "whole", "component", "n_shingles", "bits", "wide")])
-    left, right = side("l").join(mixed, "key").filter("l_component <> main"), side("r")
-    other = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("main")) | (F.col("l_node") < F.col("r_node")))
-    other = other & (F.col("l_whole") | F.col("r_whole"))
-    rest = left.join(right, (left["key"] == right["key"]) & other & near(t_pct))
-    rest = rest.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+    placed, mixed = placed_in(members, found)
+    placed = cut(placed.join(mixed.select("key", (F.col("pairs") > CROWD_PAIRS).alias("crowded")), "key"), "placed")
+    rest = across(placed.filter("NOT crowded").drop("crowded"), mixed, bits, t_pct, "open")
+
+    crowd = cut(placed.filter("crowded").select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        texts = cut(left.join(crowd.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text"), "crowd_texts")
+        members = members_of_shared(rare_keys(texts, bucket_counts(texts, lambda t: np.concatenate(list(shingle_sets(t, n))), COUNT_BUCKETS), t_pct, n), "rare")
+        place = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+        more = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+        more = more.join(place("a"), "a", "left").join(place("b"), "b", "left").filter("coalesce(a_component, a) <> coalesce(b_component, b)")
+        more = cut(possible(more.select("a", "b"), bits, t_pct), "rare_stars")
+        links = links.union(cut(verified(more, docs, t_pct, n), "rare_links"))
+        found = components(links)
+        stars = stars.union(more)
+        placed, mixed = placed_in(members, found)
+        rest = rest.union(across(placed, mixed, bits, t_pct, "rare_open")).distinct()
+
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    every = links
     if not rest.isEmpty():
-        every = links.union(cut(verified(rest, docs, t_pct, n), "more_links"))
-        found = components(every)
+        found = components(links.union(cut(verified(rest, docs, t_pct, n), "more_links")))
 
-    ends = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.join(found, "node", "left").join(ends, "node", "left")
-    named = cut(named.select("h1", "h2", F.coalesce("component", "node").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    named = cut(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "named")
     out = sk.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    alone = F.col("n_shingles") == 0
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("links")).alias("links"),
-    )
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, t_pct: int = 80, n: int = 5) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from tessera.llm import jaccard_join as J
 from tessera.llm.components import components
@@ -64,12 +67,61 @@ def generated(seed):
     return [(i, t) for i, (_, t) in zip(ids, rows)]
 
 
-def test_components_equal_brute_force(frame):
+@pytest.mark.parametrize("pairs", (J.CROWD_PAIRS, 0))
+def test_components_equal_brute_force(frame, monkeypatch, pairs):
+    """With 0 pairs all sets that share keys across components meet by their rare tokens."""
+    monkeypatch.setattr(J, "CROWD_PAIRS", pairs)
     for seed, t_pct, n in ((1, 90, 3), (2, 80, 5)):
         rows = generated(seed)
         check(frame(rows), rows, t_pct, n)
 
 
+def boilerplate(n, own, common=100, seed=4):
+    """Documents of a common passage and words of their own, as many as ``own`` gives for each."""
+    rnd = random.Random(seed)
+    head = [f"c{j}" for j in range(common)]
+    return [(i, " ".join(head + [f"o{i}x{rnd.randrange(10**6)}" for _ in range(own(i))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("pairs", (J.CROWD_PAIRS, 30))
+def test_boilerplate_around_the_threshold(frame, monkeypatch, pairs):
+    """Sets that share most tokens, some just above, some just below the similarity."""
+    monkeypatch.setattr(J, "CROWD_PAIRS", pairs)
+    rows = boilerplate(160, lambda i: i % 16) + [(i + 1000, t) for i, t in boilerplate(60, lambda i: 4 + i % 5, 60, 5)]
+    check(frame(rows), rows, 90, 3)
+
+
+def test_sets_of_thousands(frame):
+    """Sets of 5,000 and 50,000 tokens with edits at the bound: the expected links follow from the sizes."""
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for size, at in ((5_000, 0), (50_000, 10)):
+        base = [f"t{at}x{j}" for j in range(size + 2)]  # as many 3-word shingles as size
+        most = next(k for k in range(size, 0, -1) if 100 * (size - 3 * k) >= 90 * (size + 3 * k))
+        for k, own in enumerate((0, most, most + 1)):
+            w = list(base)
+            for place in rnd.sample(range(2, size - 2, 3), own):  # each changes three shingles, none twice
+                w[place] = f"new{at}x{k}x{place}"
+            rows.append((at + k, " ".join(w)))
+            want[at + k] = (size, at + k if own > most else at)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similarity_components(frame(rows)).collect()}
+    assert got == want
+
+
+def test_boilerplate_grows_in_proportion(spark):
+    """Documents of 100 common and 22 own words: four times the rows take at most five times as long."""
+
+    def seconds(n):
+        docs = spark.createDataFrame(boilerplate(n, lambda i: 22), "doc_id long, text string").repartition(8).cache()
+        docs.count()
+        begin = time.perf_counter()
+        assert J.similarity_components(docs).filter("component_id <> doc_id").count() == 0
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(16_000) <= 5 * seconds(4_000)
+
+
 def test_real_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()], 90, 3)
@@ -79,8 +131,8 @@ def test_edges_of_the_input(frame):
     assert J.similarity_components(frame([])).count() == 0
     long = "a b c d e f g " * 20000
     rows = [(3, long), (3, long), (None, long), (5, long + "x"), (6, long + "A b c"), (7, None)]
-    got = [(r.doc_id, r.component_id, r.links) for r in J.similarity_components(frame(rows)).collect()]
-    assert sorted(got, key=str) == sorted([(3, 3, 0), (3, 3, 0), (None, None, 0), (5, 5, 0), (6, 3, 0), (7, 7, 0)], key=str)
+    got = [(r.doc_id, r.component_id) for r in J.similarity_components(frame(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3), (3, 3), (None, None), (5, 5), (6, 3), (7, 7)], key=str)
     x, y = "p q r s t u v w", "k l m n o a b c d e f g h i j"
     twice = [(3, x), (5, x), (5, y), (9, y), (9, "z")]  # an id that stands for two texts is one node
     assert sorted((r.doc_id, r.component_id) for r in J.similarity_components(frame(twice)).collect()) == [(3, 3), (5, 3), (5, 5), (9, 5), (9, 9)]
