@@ -1,9 +1,9 @@
 """Secret scan: base patterns, and random strings found by two character Markov models.
 
 The models count character pairs, one in random strings, one in ordinary identifiers. Both are
-trained from labelled samples (string, label); a token's score is the sum over its pairs of the
-log-likelihood ratio. Everything runs as DataFrame expressions; the only thing that reaches the driver
-is the model, 65 x 65 numbers.
+trained from labelled samples (string, label); a token's score is the mean over its pairs of the
+log-likelihood ratio, so long tokens do not pass by their length. Everything runs as DataFrame expressions; the only
+thing that reaches the driver is the model, 67 x 67 numbers.
 """
 
 from __future__ import annotations
@@ -20,57 +20,106 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Tokens that the Markov models judge.
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = "^[A-Za-z_]{6,}$"
+#: Words of the corpus that train the ordinary class, as they are and joined to identifiers.
+WORD = "^[A-Za-z0-9+/_=-]{2,40}$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ["assign", "access", "hex", "random"]
 #: Bounds of the labelled sample: documents that give ordinary identifiers, and random strings made.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_RANDOM = 4000
-#: Natural log of the odds that a token must reach.
-THRESHOLD = 10.0
+#: Natural log of the odds for each pair of characters that a token must reach.
+THRESHOLD = 0.5
+#: Matches whose places are summed up at once.
+CHUNK = 64
 NONE = "cast(array() as array<struct<start:int,rank:int,end:int,value:string>>)"
 
 
 def _located(text: Column, pattern: str, keep, kind: int) -> Column:
     """Array of (start, rank, end, value) of the matches, in code points; empty without a match.
 
-    The text between matches comes from split, so starts follow by adding lengths.
+    The text between matches comes from split, so starts follow by adding lengths: first over chunks of
+    CHUNK matches, then within each, as appending to one array for all of them would copy it for every match.
     """
 
     def of(t: Column) -> Column:
         pairs = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+        return let(F.filter(pairs, lambda p: p["hit"].isNotNull()), placed)
+
+    def placed(pairs: Column) -> Column:
+        chunk = lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+        size = lambda c: F.aggregate(chunk(c), F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
+        before = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        begins = F.aggregate(F.transform(numbers, size), before, add)["out"]
+        return F.flatten(F.transform(begins, lambda at, c: within(chunk(c), at)))
+
+    def within(some: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.expr(NONE).alias("out"))
 
         def step(acc, x):
-            begin = acc["at"] + F.length(x["gap"])
-            end = begin + F.length(x["hit"])
-            item = F.struct(begin.alias("start"), F.lit(kind).alias("rank"), end.alias("end"), x["hit"].alias("value"))
+            first = acc["at"] + F.length(x["gap"])
+            end = first + F.length(x["hit"])
+            item = F.struct(first.alias("start"), F.lit(kind).alias("rank"), end.alias("end"), x["hit"].alias("value"))
             return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step)["out"]
+        return F.aggregate(some, start, step)["out"]
 
     return F.when(text.rlike(pattern), of(text)).otherwise(F.expr(NONE))
 
 
 def labelled_sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, random: int = SAMPLE_RANDOM) -> DataFrame:
-    """The default training rows (token, random): random strings from digests of whole numbers, in four
-    encodings, and words of letters from about ``documents`` documents chosen by hash."""
+    """The default training rows (token, random).
+
+    Ordinary: words of the token alphabet from about ``documents`` documents chosen by hash, runs of four of them joined as
+    paths, slugs, constants, snake and camel case, and UUIDs, numbers and dates made by rule; tokens that a base pattern
+    matches are left out. Random: encodings of digests of whole numbers (hexadecimal in upper case, base64, letters and digits of
+    base64, base32-like).
+    """
     spark = docs.sparkSession
     step = max(1, docs.count() // documents)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    plain = some.select(F.explode(words(F.col("text"))).alias("token")).filter(F.col("token").rlike(IDENTIFIER))
+    own = some.select(F.filter(words(F.col("text")), lambda w: w.rlike(WORD)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 4) / 4).cast("int")), lambda i: F.slice("w", i * 4 + 1, 4))
+    low = lambda r: F.transform(r, F.lower)
+    shapes = [
+        lambda r: F.array_join(low(r), "/"),
+        lambda r: F.array_join(low(r), "-"),
+        lambda r: F.array_join(low(r), "_"),
+        lambda r: F.upper(F.array_join(r, "_")),
+        lambda r: F.array_join(F.transform(r, F.initcap), ""),
+        lambda r: F.concat(F.lit("/"), F.array_join(r, "/"), F.lit("-"), F.pmod(F.xxhash64(F.array_join(r, "")), F.lit(3000)).cast("string")),
+    ]
+    made = F.flatten(F.transform(F.when(F.size("w") >= 4, runs), lambda r: F.array(*[f(r) for f in shapes])))
+    plain = own.select(F.explode(F.concat("w", F.coalesce(made, F.expr("cast(array() as array<string>)")))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    made = spark.range(random).select(
+    part = lambda a, n: F.substring(digest, a, n)
+    rules = spark.range(random).select(
+        F.explode(
+            F.array(
+                F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)),
+                F.concat(F.conv(part(1, 12), 16, 10), F.conv(part(13, 12), 16, 10)),
+                F.translate(F.date_format(F.timestamp_seconds(F.conv(part(1, 7), 16, 10).cast("long") * 8), "yyyy-MM-dd_HH-mm-ss"), ":", "-"),
+            )
+        ).alias("token")
+    )
+    digest = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
+    base64 = F.base64(F.unhex(digest))
+    letters = F.regexp_replace(base64, "[^A-Za-z0-9]", "")
+    random_rows = spark.range(random).select(
         F.explode(
             F.array(
-                digest,
-                F.upper(digest),
-                F.translate(F.base64(F.unhex(digest)), "=", ""),
-                F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "")), 1, 24),
+                F.upper(F.substring(digest, 1, 40)),
+                F.translate(base64, "=", ""),
+                F.translate(base64, "+/=", "-_"),
+                F.substring(letters, 1, 36),
+                F.substring(letters, 1, 24),
+                F.substring(F.upper(letters), 1, 32),
             )
         ).alias("token")
     )
-    return plain.select("token", F.lit(False).alias("random")).unionByName(made.select("token", F.lit(True).alias("random")))
+    ordinary = plain.unionByName(rules).filter(~F.col("token").rlike(f"{ACCESS}|{HEX}"))
+    return ordinary.select("token", F.lit(False).alias("random")).unionByName(random_rows.select("token", F.lit(True).alias("random")))
 
 
 def train(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -85,7 +134,7 @@ def train(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
         "random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * n + b)).alias("pair")
     )
     counts: dict = {True: [0] * (n * n), False: [0] * (n * n)}
-    for label, pair, count in pairs.groupBy("random", "pair").count().collect():  # at most 2 * 66 * 66 rows
+    for label, pair, count in pairs.groupBy("random", "pair").count().collect():  # at most 2 * 67 * 67 rows
         counts[label][pair] = count
     out = [0.0] * (n * n)
     for a in range(n):
@@ -97,18 +146,17 @@ def train(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def score(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token, random against ordinary."""
+    """Mean log-likelihood ratio of a token's pairs of characters, random against ordinary; 0 without a pair."""
     n = len(ALPHABET) + 1
     table = F.array(*[F.lit(x) for x in model])
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return let(
-        codes,
-        lambda c: F.aggregate(
-            F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: a * n + b),
-            F.lit(0.0),
-            lambda acc, pair: acc + F.get(table, pair),
-        ),
-    )
+
+    def of(c: Column) -> Column:
+        count = F.greatest(F.size(c) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(c, 1, count), F.slice(c, 2, count), lambda a, b: a * n + b)
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, pair: acc + F.get(table, pair)) / F.greatest(count, F.lit(1))
+
+    return let(codes, of)
 
 
 def scan(docs: DataFrame, sample: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
