@@ -20,14 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrays import mix, sliced
+from tessera.llm.arrays import lists, mix, sliced
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIM = 16
 NGRAMS = (2, 3, 4)
-#: Labelled rows used, chosen by hash: about so many, under twice as many. One of ASIDE only calibrates.
-SAMPLE_ROWS = 6000
+#: Labelled rows used: about so many, shared evenly by the languages, LEAST_ROWS each at least where there are as many. They
+#: are chosen by a hash of id and text, and reach the driver as bags of subwords, BUCKETS numbers each at most. One of
+#: ASIDE only calibrates.
+SAMPLE_ROWS, LEAST_ROWS = 6000, 100
 ASIDE = 5
 #: Texts of the part kept aside that calibration would reject.
 REJECT_SHARE = 0.002
@@ -104,18 +106,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 7) -> Model:
-    """Trains on bounded labelled texts; every ASIDE-th row only calibrates. Needs one text at least."""
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: bytes) -> Bag:
+    """The distinct subwords of a text and their counts."""
+    ids, counts = np.unique(subwords([text])[0], return_counts=True)
+    return ids.astype(np.int32), counts.astype(np.int32)
+
+
+def train(bags: list[Bag], labels: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 7) -> Model:
+    """Trains on bounded labelled bags; every ASIDE-th row only calibrates. Needs one bag at least."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
-    bags = []
-    for t in texts:
-        ids, counts = np.unique(subwords([t])[0], return_counts=True)
-        bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
-    aside = np.arange(len(texts)) % ASIDE == ASIDE - 1
+    bags = [(ids, (counts / max(1, counts.sum())).astype(np.float32)) for ids, counts in bags]
+    aside = np.arange(len(bags)) % ASIDE == ASIDE - 1
     rows = np.flatnonzero(~aside)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -123,17 +131,22 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float =
             ids, share = bags[i]
             if not len(ids):
                 continue
-            mean = share @ emb[ids]
-            p = mean @ out + bias
-            p = np.exp(p - p.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = out @ p
-            out -= step * np.outer(mean, p)
-            bias -= 0.1 * step * p
-            emb[ids] -= step * 50 * np.outer(share, back)
+            mean, to_mean, to_out = gradients(emb[ids], share, out, bias, y[i])
+            out -= step * np.outer(mean, to_out)
+            bias -= 0.1 * step * to_out
+            emb[ids] -= step * 50 * np.outer(share, to_mean)
     model = Model(languages, (emb @ out).astype(np.float32), bias)
-    return calibrate(model, [texts[i] for i in np.flatnonzero(aside)], y[aside])
+    return calibrate(model, [bags[i] for i in np.flatnonzero(aside)], y[aside])
+
+
+def gradients(emb: np.ndarray, share: np.ndarray, out: np.ndarray, bias: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's mean embedding, and the gradients of its log loss by that mean and by the logits."""
+    mean = share @ emb
+    p = mean @ out + bias
+    p = np.exp(p - p.max())
+    p /= p.sum()
+    p[y] -= 1
+    return mean, out @ p, p
 
 
 def _logits(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -141,11 +154,11 @@ def _logits(model: Model, texts: list[bytes]) -> np.ndarray:
     return _means(model.weights[ids], begins) + model.bias
 
 
-def calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
-    """Temperature of least log loss, and the threshold that rejects REJECT_SHARE of these texts."""
-    if not texts:
+def calibrate(model: Model, bags: list[Bag], y: np.ndarray) -> Model:
+    """Temperature of least log loss, and the threshold that rejects REJECT_SHARE of these bags (of shares)."""
+    if not bags:
         return model
-    z = np.concatenate([_logits(model, texts[i : i + 32]) for i in range(0, len(texts), 32)])
+    z = np.stack([share @ model.weights[ids] + model.bias for ids, share in bags])
     grid = np.geomspace(0.05, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
@@ -155,20 +168,34 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on about ``rows`` labelled texts chosen by hash of the id; None if there is none.
+BAGS = "lang string, h long, ids array<int>, counts array<int>"
 
-    ``usable`` limits the rows that may be learnt from.
+
+def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS, least: int = LEAST_ROWS) -> Model | None:
+    """Fits on about ``rows`` labelled texts, those of each language chosen by hash; None if there is none.
+
+    ``usable`` limits the rows that may be learnt from. Null and empty texts and null labels teach nothing.
     """
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = docs.filter("lang IS NOT NULL AND length(text) > 0")
     if usable is not None:
         labelled = labelled.filter(usable)
-    step = max(1, labelled.count() // rows)
-    some = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0)
-    taken = sorted((r.doc_id if r.doc_id is not None else -1, r.lang, r.text) for r in some.select("doc_id", "lang", "text").toLocalIterator())
-    labels, texts = [r[1] for r in taken if r[2]], [r[2].encode() for r in taken if r[2]]
-    del taken
-    return train(texts, labels) if texts else None
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return None
+    want = max(least, rows // len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, want / r["count"]))])
+    h = F.xxhash64("doc_id", "text", F.lit(11))
+    some = labelled.filter(F.pmod(h, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", h.alias("h"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches):
+            bags = [bag(t) for t in texts]
+            sizes = [len(ids) for ids, _ in bags]
+            columns = [lists(np.concatenate([b[k] for b in bags]), sizes, pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["lang", "h", "ids", "counts"])
+
+    taken = sorted(((r["h"], r["lang"], np.array(r["ids"], np.int32), np.array(r["counts"], np.int32)) for r in some.mapInArrow(run, BAGS).toLocalIterator()), key=lambda r: r[:2])
+    return train([(ids, n) for _, _, ids, n in taken], [lang for _, lang, _, _ in taken])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

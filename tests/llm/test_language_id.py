@@ -41,3 +41,67 @@ def test_empty_and_unlabelled(frame):
     assert L.fit(none) is None
     assert L.predict(none, None).first().lang_pred == "und"
     assert L.predict(frame([]), None).count() == 0
+
+
+def plain_bag(text):
+    """Subwords by loops over the runs of letters; hashes as the module defines them."""
+    out = {}
+    data = bytes(b if L.LETTER[b] else L.EDGE for b in (" " + text.lower() + " ").encode())
+    for n in L.NGRAMS:
+        for i in range(len(data) - n + 1):
+            g = data[i : i + n]
+            if L.EDGE in g[1:-1] or (n == 2 and L.EDGE in g) or (g[0] == L.EDGE and g[-1] == L.EDGE):
+                continue
+            h = n
+            for b in g:
+                h = (h * 257 + b) % (1 << 64)
+            k = int(L.mix(np.array([h], np.uint64))[0] % np.uint64(L.BUCKETS))
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_predictions_equal_plain_sums(frame, spark, sf_dir):
+    """Score and language by loops over each text's subwords, for every document of the table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = L.fit(docs)
+    for r in L.predict(docs, model).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = plain_bag(r.text)
+        z = model.bias + sum(n * model.weights[k].astype(float) for k, n in found.items()) / sum(found.values())
+        p = np.exp(z / model.temperature - max(z / model.temperature))
+        p /= p.sum()
+        assert model.languages[int(p.argmax())] == r.lang_pred
+        assert abs(p.max() - r.score) < 1e-6
+        assert r.accepted == (r.score >= model.threshold)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    emb, out, bias = rng.normal(size=(5, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    share, y = np.array([0.1, 0.2, 0.3, 0.3, 0.1]), 1
+
+    def loss(emb, bias):
+        z = share @ emb @ out + bias
+        return np.log(np.exp(z).sum()) - z[y]
+
+    _, to_mean, to_out = L.gradients(emb, share, out, bias, y)
+    for i in range(5):
+        for d in range(4):
+            step = np.zeros((5, 4))
+            step[i, d] = 1e-6
+            assert abs((loss(emb + step, bias) - loss(emb - step, bias)) / 2e-6 - share[i] * to_mean[d]) < 1e-6
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert abs((loss(emb, bias + step) - loss(emb, bias - step)) / 2e-6 - to_out[k]) < 1e-6
+
+
+def test_rare_languages_are_learnt(frame):
+    """A language of 40 rows among 4,000 of others, some with a null id or label."""
+    rows = [(i, f"the house and the garden of the king {i}", "en") for i in range(4000)]
+    rows += [(None, f"xhaq qoph zyx waqf qwerq {i} xhaq", "xx") for i in range(40)] + [(9000 + i, "the", None) for i in range(5)]
+    model = L.fit(frame(rows), rows=400, least=50)
+    assert model.languages == ["en", "xx"]
+    got = {r.doc_id: r.lang_pred for r in L.predict(frame([(1, "xhaq waqf zyx"), (2, "the king of the garden")]), model).collect()}
+    assert got == {1: "xx", 2: "en"}
