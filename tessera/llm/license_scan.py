@@ -2,8 +2,9 @@
 
 All rolling word k-gram hashes of the corpus join the hashed k-grams of the license templates. A hit
 votes for the diagonal (place in the document less place in the template) it lies on; votes are
-summed before the shuffle. Neighbouring diagonals merge into one span, which is verified by the share
-of the template's words that stand in the document on them.
+summed before the shuffle. Neighbouring diagonals merge into one span. A span whose hits cover enough of the template is
+verified by a banded alignment of the document's words with the template's on those diagonals: its score is the share of the
+template's words that stand there in order.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, let
 
 #: Separators of words: ASCII other than 0-9 and a-z.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -125,13 +126,39 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] | None =
     return spark.range(1).select(F.inline(F.array(*[fields(r) for r in rows])))
 
 
+def _template_words(t: DataFrame, k: int) -> int:
+    """Words of all templates; raises ValueError for templates under k words, which no k-gram can find."""
+    short = F.when(F.size("tw") < k, F.col("template"))
+    n, lost, some = t.agg(F.sum(F.size("tw")), F.count(short), F.min(short)).first()
+    if lost:
+        raise ValueError(f"{lost} templates have fewer than {k} words, {some} among them")
+    return n or 0
+
+
+def aligned(w: Column, tw: Column, low: Column, high: Column) -> Column:
+    """The longest run of template words ``tw`` that stand in order in ``w``, on diagonals low to high.
+
+    Dynamic programming over the template's words: an entry for each diagonal, kept or advanced by a match, by skipping a
+    word of the template (from the next diagonal) or of the document (from the one before).
+    """
+    band = F.sequence(F.lit(0), (high - low).cast("int"))
+
+    def step(best: Column, p: Column) -> Column:
+        same = lambda j: F.coalesce((F.get(w, p["at"] + low.cast("int") + j) == p["word"]).cast("int"), F.lit(0))
+        entry = F.transform(band, lambda j: F.greatest(F.get(best, j) + same(j), F.coalesce(F.get(best, j + 1), F.lit(0))))
+        return let(entry, lambda e: F.transform(band, lambda j: F.array_max(F.slice(e, 1, j + 1))))
+
+    places = F.transform(tw, lambda x, i: F.struct(i.alias("at"), x.alias("word")))
+    return F.array_max(F.aggregate(places, F.transform(band, lambda _: F.lit(0)), step))
+
+
 def votes(docs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
     """Per document key, template and diagonal: hits, places covered. ``docs`` has key and words ``w``."""
     t = templates.select("label", "template", license_words(F.col("text")).alias("tw"))
     places = t.select("label", "template", F.size("tw").alias("t_words"), F.inline(_grams(F.col("tw"), k))).select(
         "label", "template", "t_words", F.col("at").alias("t_at"), F.col("hash").alias("t_hash"), F.col("word").alias("t_word")
     )
-    if t.agg(F.sum(F.size("tw"))).first()[0] <= MAX_TEMPLATE_WORDS:
+    if _template_words(t, k) <= MAX_TEMPLATE_WORDS:
         places = F.broadcast(places)
     grams = docs.select("key", F.inline(_grams(F.col("w"), k)))
     hits = grams.join(places, (F.col("hash") == F.col("t_hash")) & (F.col("word") == F.col("t_word")))
@@ -144,16 +171,23 @@ def votes(docs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
 
 
 def spans(voted: DataFrame, k: int = K, gap: int = GAP, cover: float = COVER) -> DataFrame:
-    """Verified spans: key, label, first, last, score (share of the template's words found, on merged diagonals)."""
+    """Spans of merged diagonals whose hits cover enough of the template: key, label, template, first, last, low, high (diagonals)."""
     line = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > gap, F.lit(True)).cast("int")
     groups = voted.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("t_places")), lambda p: F.sequence(p, p + k - 1))))
     merged = groups.groupBy("key", "label", "template", "t_words", "run").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.size(held).alias("held")
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(held).alias("held")
     )
-    share = F.least(F.lit(1.0), F.col("held") / F.col("t_words"))
-    return merged.withColumn("score", share).filter(F.col("score") >= cover).select("key", "label", "first", "last", "score")
+    return merged.filter(F.col("held") >= cover * F.col("t_words")).drop("held", "run", "t_words")
+
+
+def verified(found: DataFrame, docs: DataFrame, templates: DataFrame, cover: float = COVER) -> DataFrame:
+    """The spans of ``spans`` that the alignment confirms: key, label, first, last, score. ``docs`` has key and words ``w``."""
+    t = templates.select("template", license_words(F.col("text")).alias("tw"))
+    both = docs.join(found, "key").join(t, "template")
+    share = aligned(F.col("w"), F.col("tw"), F.col("low"), F.col("high")) / F.size("tw")
+    return both.select("key", "label", "first", "last", share.alias("score")).filter(F.col("score") >= cover).distinct()
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
@@ -162,7 +196,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     Phrases of PHRASES give base labels wherever their words stand one after the other; verified spans
     add labels of templates. Null and empty texts have no words, no labels and score 0. Documents
     are told apart by a hash of id and text, so repeated rows get the same labels. The text leaves, other
-    columns stay; those with the names of results are replaced.
+    columns stay; those with the names of results are replaced. Without templates there are base labels only; a
+    template of fewer than K words raises ValueError.
     """
     spark = docs.sparkSession
     docs = docs.drop(*RESULTS)
@@ -170,10 +205,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     templates = templates if templates is not None else template_table(spark)
     grams = docs.select(key.alias("key"), license_words(F.col("text")).alias("w")).filter(F.size("w") >= K)
-    found = spans(votes(grams, templates))
+    found = cut(spans(votes(grams, templates)), "spans")
+    found = verified(found, grams, templates)
     # repeated rows vote together: places and shares are sets, so they do not change
     found = found.groupBy("key").agg(F.collect_set("label").alias("own__"), F.max("score").alias("own_score__"))
-    found = cut(found.withColumnRenamed("key", "key__"), "spans")
+    found = cut(found.withColumnRenamed("key", "key__"), "verified")
 
     def places(phrase: list[str]) -> Column:
         hit = lambda i: _all([F.get("words__", i + j) == p for j, p in enumerate(phrase)])

@@ -2,8 +2,11 @@
 
 Each measure's distribution per (lang, source) is kept as a quantile sketch: counts of
 logarithmic buckets, which merge by addition, so partial sketches combine before any shuffle and the
-result does not depend on the order of merging. Fences of the quartiles replace fixed cutoffs; groups
-with few rows take the fences of all rows. Documents join their group's fences.
+result does not depend on the order of merging. A group's quartiles are drawn towards those of all rows, the more the fewer
+rows it has, and fences beyond them replace fixed cutoffs: the mean word length has a lower and an upper one. Shares of
+symbols, repeated lines and repeated words are 0 in most texts, so their quartiles alone would reject every text
+that has any: their fence is at least MATERIAL, and higher in groups where larger shares are usual. Documents join their
+group's fences.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ from tessera.llm.common import SPACES, cut, let, words
 
 #: Relative width of a sketch bucket: a quantile is off by 2 % at most.
 GAMMA = 1.04
-#: Rows that a group needs for fences of its own.
-MIN_ROWS = 50
+#: Rows of all rows' quartiles that are mixed into a group's.
+PRIOR_ROWS = 50
 #: Distance of the fences from the quartiles, in quartile ranges.
 REACH = 3.0
-#: Least quartile range of each measure, so that constant groups keep ordinary texts.
-LEAST_RANGE = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.2, "repeat_share": 0.1}
+#: Shares up to which a text is not rejected, whatever its group: fixed, as most groups' quartiles are 0.
+MATERIAL = {"symbol_share": 0.06, "dup_line_share": 0.4, "repeat_share": 0.3}
 #: Measures that also have a lower fence.
 TWO_SIDED = ("mean_word",)
 MAX_BROADCAST_ROWS = 100_000
@@ -86,22 +89,31 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: rows, and the lower and upper fence of each measure from the merged sketch's quartiles."""
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and measure: rows, first and third quartile of the merged sketch."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
     run = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
     at = merged.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(group)).withColumn("value", value)
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("value")))
-    marks = at.groupBy(*by, "measure").agg(F.max("all").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    out = [F.max("n").alias("n_rows")]
-    for m, least in LEAST_RANGE.items():
-        width = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + width)).alias(f"{m}_hi"))
+    return at.groupBy(*by, "measure").agg(F.max("all").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """Per (lang, source): the lower and upper fence of each measure."""
+    every = quartiles(sketch, []).select("measure", F.col("q1").alias("all1"), F.col("q3").alias("all3"))  # a row for each measure
+    own = quartiles(sketch, ["lang", "source"]).join(F.broadcast(every), "measure")
+    drawn = lambda q, a: (F.col("n") * F.col(q) + PRIOR_ROWS * F.col(a)) / (F.col("n") + PRIOR_ROWS)
+    own = own.select("lang", "source", "measure", drawn("q1", "all1").alias("q1"), drawn("q3", "all3").alias("q3"))
+    width = REACH * (F.col("q3") - F.col("q1"))
+    out = []
+    for m in _shares():
+        hi = F.greatest(F.col("q3") + width, F.lit(MATERIAL.get(m, 0.0)))
+        out.append(F.max(F.when(F.col("measure") == m, hi)).alias(f"{m}_hi"))
         if m in TWO_SIDED:
             out.append(F.max(F.when(F.col("measure") == m, F.col("q1") - width)).alias(f"{m}_lo"))
-    return marks.groupBy(*by).agg(*out)
+    return own.groupBy("lang", "source").agg(*out)
 
 
 def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
@@ -116,16 +128,15 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50) -> Dat
     carried = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *MEASURES)]
     measured = cut(measures(docs).select(*carried, *MEASURES), "measures")
     sketch = cut(sketches(measured), "sketches")
-    own = fences(sketch, ["lang", "source"]).filter(F.col("n_rows") >= MIN_ROWS)
+    own = fences(sketch)
     own = cut(own.select(*[F.col(c).alias(f"fence__{c}") for c in own.columns]), "fences")
-    every = fences(sketch.withColumn("one", F.lit(1)), ["one"]).first()
     small = own.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     rows = measured.join(
         F.broadcast(own) if small else own,
         F.col("lang").eqNullSafe(F.col("fence__lang")) & F.col("source").eqNullSafe(F.col("fence__source")),
         "left",
     )
-    fence = lambda name: F.coalesce(F.col(f"fence__{name}"), F.lit(every[name] if every else None).cast("double"))
+    fence = lambda name: F.col(f"fence__{name}")
     within = F.lit(True)
     for m, share in _shares().items():
         within = within & (share <= fence(f"{m}_hi"))

@@ -19,7 +19,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), growing=True)
+    kept = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.length("text").cast("long").alias("kept_chars"))
 
 
@@ -136,19 +136,18 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
 """
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_MEASURES = {"symbol_share": 0.02, "mean_word": 0.5, "dup_line_share": 0.2, "repeat_share": 0.1}
-_VERDICT = " AND ".join(f"{m} <= coalesce(o.{m}_hi, e.{m}_hi, 'infinity'::DOUBLE)" for m in _MEASURES)
-_FENCES = ", ".join(f"max(q3 + 3 * greatest(q3 - q1, {r}::DOUBLE)) FILTER (measure = '{m}') AS {m}_hi" for m, r in _MEASURES.items())
-_FENCES += ", max(q1 - 3 * greatest(q3 - q1, 0.5::DOUBLE)) FILTER (measure = 'mean_word') AS mean_word_lo"
+_MEASURES = ("symbol_share", "mean_word", "dup_line_share", "repeat_share")
+_VERDICT = " AND ".join(f"{m} <= {m}_hi" for m in _MEASURES)
+_FENCES = ", ".join(f"max(greatest(q3 + 3 * (q3 - q1), {quality_rules.MATERIAL.get(m, 0)}::DOUBLE)) FILTER (measure = '{m}') AS {m}_hi" for m in _MEASURES)
+_FENCES += ", max(q1 - 3 * (q3 - q1)) FILTER (measure = 'mean_word') AS mean_word_lo"
 
 
-def _fences(name: str, by: str) -> str:
+def _quartiles(name: str, by: str) -> str:
     return f"""
 {name}_b AS (SELECT {by}, measure, bucket, sum(n) AS n FROM sk GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by}, measure ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}, measure) AS n_all,
              CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow(1.04::DOUBLE, bucket) / 2.04::DOUBLE END AS value FROM {name}_b),
-{name}_q AS (SELECT {by}, measure, max(n_all) AS n, min(value) FILTER (upto >= 0.25 * n_all) AS q1, min(value) FILTER (upto >= 0.75 * n_all) AS q3 FROM {name}_r GROUP BY {by}, measure),
-{name} AS (SELECT {by}, max(n) AS n_rows, {_FENCES} FROM {name}_q GROUP BY {by})"""
+{name} AS (SELECT {by}, measure, max(n_all)::DOUBLE AS n, min(value) FILTER (upto >= 0.25 * n_all) AS q1, min(value) FILTER (upto >= 0.75 * n_all) AS q3 FROM {name}_r GROUP BY {by}, measure)"""
 
 
 ORACLE["op8_quality_rules"] = rf"""
@@ -164,12 +163,14 @@ x AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, word_chars
              n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM m),
 u AS (SELECT lang, source, measure, v FROM (SELECT lang, source, {', '.join(_MEASURES)} FROM x WHERE n_words > 0) UNPIVOT (v FOR measure IN ({', '.join(_MEASURES)}))),
 sk AS (SELECT lang, source, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln(1.04::DOUBLE)) AS INT) END AS bucket, 1 AS one, count(*) AS n FROM u GROUP BY ALL),
-{_fences("own", "lang, source")},
-{_fences("every", "one")}
+{_quartiles("grp", "lang, source")},
+{_quartiles("every", "one")},
+drawn AS (SELECT g.lang, g.source, g.measure, (g.n * g.q1 + 50 * e.q1) / (g.n + 50) AS q1, (g.n * g.q3 + 50 * e.q3) / (g.n + 50) AS q3 FROM grp g JOIN every e USING (measure)),
+own AS (SELECT lang, source, {_FENCES} FROM drawn GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {_VERDICT} AND mean_word >= coalesce(o.mean_word_lo, e.mean_word_lo, '-infinity'::DOUBLE) AS kept
-FROM x LEFT JOIN own o ON x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source AND o.n_rows >= 50 LEFT JOIN every e ON true
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {_VERDICT} AND mean_word >= mean_word_lo AS kept
+FROM x LEFT JOIN own o ON x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source
 """
 
 _LICENSE_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -189,8 +190,15 @@ h AS (SELECT doc_id, label, template, t_words, a - t_at AS diagonal, t_at FROM d
 v AS (SELECT DISTINCT doc_id, template, diagonal FROM h),
 f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.GAP} THEN 0 ELSE 1 END AS fresh FROM v),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
-c AS (SELECT doc_id, template, run, label, t_words, unnest(generate_series(t_at, t_at + 3)) AS k FROM h JOIN r USING (doc_id, template, diagonal)),
-s AS (SELECT doc_id, label, least(1, count(DISTINCT k) / t_words) AS score FROM c GROUP BY doc_id, template, run, label, t_words HAVING least(1, count(DISTINCT k) / t_words) >= {license_scan.COVER}),
+c AS (SELECT doc_id, template, run, label, t_words, diagonal, unnest(generate_series(t_at, t_at + 3)) AS k FROM h JOIN r USING (doc_id, template, diagonal)),
+g AS (SELECT doc_id, template, label, t_words, min(diagonal) AS low, max(diagonal) AS high FROM c GROUP BY doc_id, template, run, label, t_words
+      HAVING count(DISTINCT k) >= {license_scan.COVER} * t_words),
+al AS (SELECT g.doc_id, g.label, list_max(list_reduce(
+         list_transform(range(1, t_words + 1), lambda p: list_transform(range(low, high + 1), lambda x: CASE WHEN p + x >= 1 AND d.w[p + x] = tp.w[p] THEN 1 ELSE 0 END)),
+         lambda best, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(best[i] + m[i], coalesce(best[i + 1], 0))))),
+         list_transform(range(low, high + 1), lambda x: 0))) / t_words AS score
+       FROM g JOIN d ON d.doc_id = g.doc_id JOIN tp ON tp.template = g.template),
+s AS (SELECT doc_id, label, score FROM al WHERE score >= {license_scan.COVER}),
 o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

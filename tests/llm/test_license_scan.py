@@ -1,5 +1,9 @@
+import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import license_scan as L
 
 
@@ -63,3 +67,41 @@ def test_short_notices_and_whole_texts(frame):
     got = {r.doc_id: {x for x in r.labels if x.startswith("text:")} for r in L.scan(frame(rows)).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 5)] == [{"text:mit"}, {"text:gpl-2.0"}, {"text:lgpl"}, {"text:unlicense"}, set()]
     assert "text:gpl-2.0" in got[6] and "text:mpl-2.0" in got[7]
+
+
+def common_words(a, b):
+    """Longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(new[-1], row[j + 1], row[j] + (x == y)))
+        row = new
+    return row[-1]
+
+
+def test_alignment_equals_a_plain_one(spark):
+    rnd = random.Random(3)
+    rows = [([rnd.choice("abc") for _ in range(rnd.randrange(1, 15))], [rnd.choice("abc") for _ in range(rnd.randrange(1, 10))]) for _ in range(200)]
+    docs = spark.createDataFrame([(w, t, -len(t), len(w)) for w, t in rows], "w array<string>, t array<string>, low int, high int")
+    got = docs.select("w", "t", L.aligned(F.col("w"), F.col("t"), F.col("low"), F.col("high")).alias("n")).collect()
+    assert all(r.n == common_words(r.t, r.w) for r in got)
+
+
+def test_words_out_of_order_do_not_pass(frame, spark):
+    """Hits cover the template, but its parts stand in the wrong order on neighbouring diagonals."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    templates = L.template_table(spark, {"own": [text]})
+    w = text.split()
+    rows = [(1, text), (2, " ".join(["x"] * 9 + w[4:8] + w[:4] + w[8:])), (3, " ".join(w[:5] + ["z"] + w[5:]))]
+    got = {r.doc_id: r for r in L.scan(frame(rows), templates).collect()}
+    assert [got[i].labels for i in (1, 2, 3)] == [["own"], [], ["own"]]
+    assert got[1].score == 1.0 and got[3].score == 1.0
+
+
+def test_no_templates_and_templates_too_short(frame, spark):
+    none = spark.createDataFrame([], "label string, template string, text string")
+    docs = frame(CASES)
+    assert L.scan(docs, none).count() == len(CASES)
+    with pytest.raises(ValueError, match="fewer than 4 words"):
+        L.scan(docs, L.template_table(spark, {"x": ["only three words"]}))

@@ -37,3 +37,27 @@ def test_fences_follow_their_group(frame):
 
 def test_empty(frame):
     assert Q.judge(frame([])).count() == 0
+
+
+def test_fences_equal_plain_quartiles(frame, spark, sf_dir):
+    """Fences by sorting each group's values; a sketch is off by 2 % at most."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in Q.measures(docs).collect()]
+    values = {}
+    for r in rows:
+        if r["n_words"]:
+            for g in ((r["lang"], r["source"]), None):
+                values.setdefault(g, []).append(r["word_chars"] / r["n_words"])
+    q = lambda v, p: sorted(v)[max(0, -(-len(v) * p // 100) - 1)]
+    for f in Q.fences(Q.sketches(Q.measures(docs))).collect():
+        v = values[f.lang, f.source]
+        q1, q3 = ((len(v) * q(v, p) + Q.PRIOR_ROWS * q(values[None], p)) / (len(v) + Q.PRIOR_ROWS) for p in (25, 75))
+        assert abs(f.mean_word_hi - (q3 + 3 * (q3 - q1))) <= 0.02 * (4 * q3 + 3 * q1)
+        assert abs(f.mean_word_lo - (q1 - 3 * (q3 - q1))) <= 0.02 * (4 * q1 + 3 * q3)
+        assert f.symbol_share_hi >= Q.MATERIAL["symbol_share"]
+
+
+def test_equal_hashes_of_different_runs_are_the_only_error(frame):
+    """Runs are compared by 64-bit hashes: texts of many different runs have no repeats."""
+    rows = [(i, " ".join(f"{i}x{j}" for j in range(5000))) for i in range(4)]
+    assert [r.n_repeat_words for r in Q.measures(frame(rows)).collect()] == [0] * 4
