@@ -5,7 +5,8 @@ sample, so the same rows give the same files however they are partitioned. A sha
 new file once the compressed size is reached. Headers and digests are made anew from the payloads.
 Files are written under temporary names in the shared folder; each task reports what it finished, the
 reports become the manifest, and only files in the manifest are renamed. A task that is run twice
-leaves a temporary file that no manifest names.
+leaves a temporary file that no manifest names; these are removed once all is renamed. Last the manifest is written into the
+folder: an archive is whole once it is there.
 
 Payloads cross the network once: which record of equal payloads stays a response is decided on
 (id, digest) rows, which travel beside the payloads in the same shuffle.
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,7 @@ SHARD_BYTES = 64 << 20
 SAMPLE = 20_000
 #: Compressed bytes that the reader hands to the decompressor at once.
 READ_BYTES = 16 << 10
+MANIFEST_NAME = "_manifest"
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
 
@@ -158,18 +161,28 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
     ``folder`` is a URI that pyarrow's file systems open (file, hdfs, s3, gs) and all executors share. A null
     html is an empty payload, a null url urn:unknown. Null ids come first; rows that repeat the
     largest page_id of a payload are all responses; a payload under ``min_bytes`` is never a revisit.
-    An empty table gives an empty manifest. Rows that repeat id and payload keep the order of their URLs.
+    An empty table gives an empty manifest. A folder that holds an archive raises ValueError; one that an unfinished
+    write has left is written again. Rows that repeat id and payload keep the order of their URLs.
     """
+    spark = pages.sparkSession
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    store = path(MANIFEST_NAME).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path(MANIFEST_NAME)):
+        raise ValueError(f"{folder} holds an archive already")
     rows = _with_payload(pages)
     n, size = rows.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
     shards = max(1, -(-((size or 0) + 500 * n) // shard_bytes))
     bounds = _bounds(rows, shards, n)
     shards = len(bounds) + 1
 
+    first = np.array([i for i, _ in bounds], np.int64)
+
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
-        keys = zip(ids, digests)
-        return pd.Series([bisect.bisect_right(bounds, key) for key in keys], dtype="int32")
+        low, high = (np.searchsorted(first, ids.to_numpy(np.int64), side) for side in ("left", "right"))
+        for i in np.flatnonzero(low < high):  # an id that is also a bound's: the digest decides
+            low[i] = bisect.bisect_right(bounds, (ids.iat[i], digests.iat[i]), low[i], high[i])
+        return pd.Series(low.astype(np.int32))
 
     fields = ["page_id", "url", "payload", "digest", "payload_bytes"]
     both = (
@@ -208,10 +221,20 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
         for b in batches:
             for file, temporary in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if store.get_file_info(f"{root}/{temporary}").type != fs.FileType.NotFound:
+                    if store.get_file_info(f"{root}/{file}").type != fs.FileType.NotFound:  # of a write that was not finished
+                        store.delete_file(f"{root}/{file}")
                     store.move(f"{root}/{temporary}", f"{root}/{file}")
             yield b
 
-    return cut(manifest.mapInArrow(commit, MANIFEST), "committed")
+    committed = cut(manifest.mapInArrow(commit, MANIFEST), "committed")
+    store.delete(path("_temporary"), True)
+    committed.write.json(f"{folder}/{MANIFEST_NAME}")
+    return committed
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of an archive; raises an error where there is none, as the archive is not whole then."""
+    return spark.read.schema(MANIFEST).json(f"{folder}/{MANIFEST_NAME}")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -240,20 +263,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None, payloads: bool = True) -> DataFrame:
     """The records of the committed files as rows of RECORD; digests are checked against the content.
 
-    With ``manifest``, a file that is missing, unlisted or has other bytes raises an error before anything is read. A
+    The manifest is that of the folder unless one is given. A file that is missing, unlisted or has other bytes raises an error before anything is read. A
     revisit has no payload; its length is that of its HTTP header.
     """
-    if manifest is not None and manifest.isEmpty():
+    manifest = manifest if manifest is not None else read_manifest(spark, folder)
+    if manifest.isEmpty():
         return spark.createDataFrame([], RECORD)
     # a file is one row of at most the rolled size, so whole files fit in a task
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
-    if manifest is not None:
-        there = files.select("file", F.sha1("content").alias("found"))
-        bad = manifest.select("file", "sha1").join(there, "file", "full_outer").filter("sha1 IS NULL OR found IS NULL OR sha1 <> found")
-        wrong = [r.file for r in bad.select("file").limit(3).collect()]
-        if wrong:
-            raise ValueError(f"missing, changed or unlisted: {wrong}")
+    there = files.select("file", F.sha1("content").alias("found"))
+    bad = manifest.select("file", "sha1").join(there, "file", "full_outer").filter("sha1 IS NULL OR found IS NULL OR sha1 <> found")
+    wrong = [r.file for r in bad.select("file").limit(3).collect()]
+    if wrong:
+        raise ValueError(f"missing, changed or unlisted: {wrong}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("file", pa.string())])

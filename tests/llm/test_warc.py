@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import os
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import warc as W
 
@@ -46,11 +48,12 @@ def test_files_do_not_depend_on_partitions_and_roll_by_size(spark, tmp_path, sf_
         manifest = W.write_warc(df, folder, roll=20_000, shard_bytes=100_000)
         assert manifest.count() > 3
         files = sorted(f for f in os.listdir(tmp_path / str(k)) if f.endswith(".gz"))
-        assert os.listdir(tmp_path / str(k) / "_temporary") == []
+        assert not (tmp_path / str(k) / "_temporary").exists()
+        assert sorted(r.file for r in W.read_manifest(spark, folder).collect()) == files
         made.append([(f, (tmp_path / str(k) / f).read_bytes()) for f in files])
         back = W.read_warc(spark, folder, manifest)
         assert {(r.page_id, bytes(r.payload).decode()) for r in back.filter("record_type = 'response'").collect()} <= {(r.page_id, r.html) for r in docs.collect()}
-        ids = [r.page_id for f in files for r in W.read_warc(spark, f"{folder}/{f}").collect()]
+        ids = [r.page_id for f in files for r in W.read_warc(spark, f"{folder}/{f}", manifest.filter(F.col("file") == f)).collect()]
         assert ids == sorted(ids) and len(ids) == docs.count()
     assert made[0] == made[1]
 
@@ -64,5 +67,23 @@ def test_a_changed_file_is_noticed(spark, tmp_path):
         W.read_warc(spark, folder, manifest).collect()
 
 
+def test_the_manifest_marks_a_whole_archive(spark, tmp_path):
+    """Without it nothing is read; an unfinished write is written again, a whole archive is not."""
+    folder = f"file://{tmp_path}/w"
+    W.write_warc(pages(spark, CASES), folder)
+    whole = digest(W.read_warc(spark, folder))
+    assert whole == brute(CASES)
+    with pytest.raises(ValueError, match="already"):
+        W.write_warc(pages(spark, CASES), folder)
+    shutil.rmtree(tmp_path / "w" / W.MANIFEST_NAME)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        W.read_warc(spark, folder)
+    (tmp_path / "w" / "_temporary").mkdir()
+    (tmp_path / "w" / "_temporary" / "stray").write_bytes(b"x")
+    W.write_warc(pages(spark, CASES), folder)
+    assert digest(W.read_warc(spark, folder)) == whole
+    assert not (tmp_path / "w" / "_temporary").exists()
+
+
 def test_empty(spark):
     assert W.round_trip(pages(spark, []).select("page_id", "url", "html")).count() == 0
