@@ -33,15 +33,20 @@ def _stage(stage):
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is not told with enough certainty (no letters, or a low score)."""
-    found = language_id.predict(docs, language_id.fit(docs))
-    return found.filter("accepted").select(*docs.columns)
+    """Drops documents whose language is not told with enough certainty (no letters, or a low score).
+
+    Without a labelled row there is no model to reject by; then only documents without letters go.
+    """
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    return language_id.predict(docs, model).filter("accepted").select(*docs.columns)
 
 
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that repeat an earlier one, exactly or with up to a tenth of its words edited, and documents left without words."""
-    kept = line_dedup.dedup(docs, growing=True)
+    kept = line_dedup.dedup(docs)
     return kept.filter(F.length(F.translate("text", SPACES, "")) > 0)
 
 
