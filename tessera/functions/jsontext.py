@@ -19,5 +19,5 @@ def read_object(raw: Column, schema: str) -> Column:
 
 def redact_keys(raw: Column, names: list[str]) -> Column:
     """Masks the string values of the named keys wherever they stand in JSON text, also inside lists."""
-    pattern = '("(?i:' + "|".join(names) + ')"\\s*:\\s*)"[^"]*"'
+    pattern = '("(?i:' + "|".join(names) + ')"\\s*:\\s*)"(?:[^"\\\\]|\\\\.)*+"'
     return F.regexp_replace(raw, pattern, '$1"***"')

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+#: Ligatures and the letters they stand for.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij"}
 
 #: Function words left out of keyword lists.
 STOPWORDS = ["about", "after", "and", "are", "but", "for", "from", "have", "her", "his", "its", "not", "that", "the", "their", "there", "they", "this", "was", "were", "which", "with", "you", "your"]
 
 
+@functools.cache
+def _folds() -> tuple[str, str]:
+    """Lower-case characters whose compatibility decomposition (NFKD) without marks is one of a-z, 0-9, and what it is."""
+    found = []
+    for code in range(0x80, 0x10000):
+        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0].isascii() and base[0].isalnum():
+            found.append((chr(code), base[0].lower()))
+    return "".join(c for c, _ in found), "".join(b for _, b in found)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, decomposed (NFKD) and without marks, as far as the result is a-z, 0-9; other characters stay."""
+    low = F.regexp_replace(F.lower(text), "\\p{M}+", "")
+    for ligature, letters in LIGATURES.items():
+        low = F.replace(low, F.lit(ligature), F.lit(letters))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(low, *_folds())).otherwise(F.lower(text))
+
+
 def plain(text: Column) -> Column:
     """Lower case without accents; other characters than a-z, 0-9 become single spaces, ends trimmed."""
-    folded = F.translate(F.lower(text), ACCENTED + "ß", PLAIN + "s")
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(folded(text), "[^a-z0-9]+", " "))
+
+
+def squeezed(text: Column) -> Column:
+    """The plain form without separators."""
+    return F.regexp_replace(folded(text), "[^a-z0-9]+", "")
 
 
 def slug(text: Column, sep: str = "-", most: int = 60) -> Column:
@@ -57,18 +82,32 @@ def strip_markup(html: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Masks values of key-like query parameters, bearer tokens, and long tokens in URL paths."""
-    text = F.regexp_replace(text, "(?i)([?&](?:api_?key|key|token|access_token|secret|utm_source)=)[^&\\s\"]+", "$1***")
-    text = F.regexp_replace(text, "(?i)(bearer )[A-Za-z0-9._-]+", "$1***")
-    return F.regexp_replace(text, "(https?://[^\\s?\"]*/)[A-Za-z0-9_-]{24,}", "$1***")
+    """Masks values of key-like query parameters, bearer tokens, and all long tokens in URL paths."""
+    text = F.regexp_replace(text, "(?i)([?&](?:api_?key|key|token|access_token|secret|utm_source)=)[^&\\s\"'>]+", "$1***")
+    text = F.regexp_replace(text, "(?i)(bearer\\s+)[A-Za-z0-9._-]+", "$1***")
+    # each match goes on from the one before, so that every token of a path is met
+    return F.regexp_replace(text, "((?:https?://|\\G(?!^))[^\\s?\"]*?/)[A-Za-z0-9_-]{24,}", "$1***")
 
 
 def url_title(url: Column) -> Column:
-    """Readable title of a URL's last path segment: no extension, separators as spaces; the host where there is no path."""
+    """Readable title of a URL's last path segment: no extension, percent-decoded, separators as spaces; the host where
+    there is no path. A segment that does not decode is taken as it is."""
     path = F.regexp_extract(url, "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
     last = F.regexp_replace(F.regexp_extract(path, "([^/]*)/?$", 1), "\\.[A-Za-z0-9]+$", "")
+    last = F.coalesce(F.try_url_decode(last), last)
     host = F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1)
-    return F.trim(F.regexp_replace(F.when(last != "", last).otherwise(host), "[-_+%.]+", " "))
+    return F.trim(F.regexp_replace(F.when(last != "", last).otherwise(host), "[-_+%. ]+", " "))
+
+
+def slug_title(url: Column) -> Column:
+    """Title of a listing page's slug: the last path segment with - and _ as spaces, nothing decoded; empty without a URL."""
+    last = F.regexp_extract(F.regexp_replace(F.coalesce(url, F.lit("")), "/+$", ""), "([^/]*)$", 1)
+    return F.trim(F.translate(last, "-_", "  "))
+
+
+def quoted(value: Column) -> Column:
+    """A value inside single quotes of a filter text: quotes doubled. Filters here are columns; this is for text sent elsewhere."""
+    return F.replace(value, F.lit("'"), F.lit("''"))
 
 
 def license_code(name: Column) -> Column:
@@ -78,11 +117,28 @@ def license_code(name: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(c)) for c, p in rules], F.lit(""))
 
 
-def truncate(text: Column, most: int) -> Column:
-    """Inline form of at most ``most`` characters; a longer text is cut at its last space and gets an ellipsis."""
-    flat = F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " "))
-    head = F.regexp_replace(F.substring(flat, 1, most - 1), " [^ ]*$", "")
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(head, F.lit("…")))
+def inline(text: Column) -> Column:
+    """White space as single spaces, ends trimmed."""
+    return F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " "))
+
+
+def truncate(text: Column, most: int, least: int = 80) -> Column:
+    """Inline form; one of more than ``most`` characters is cut there, at its last ". ", "; " or ", " if that stands
+    ``least`` characters in or later, and gets three dots."""
+    flat = inline(text)
+    head = F.substring(flat, 1, most)
+    # the longest beginning that one of the marks follows
+    at = F.length(F.regexp_extract(head, "^(.*)[.;,] ", 1))
+    found = head.rlike("[.;,] ") & (at >= least)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.trim(F.when(found, F.substring(head, F.lit(1), at)).otherwise(head)), F.lit("...")))
+
+
+def phrase_of(summary: Column, others: list[Column], words: int = 12, most: int = 96) -> Column:
+    """The first words of a summary, or where it is blank the other parts that are not, joined; truncated."""
+    flat = inline(F.coalesce(summary, F.lit("")))
+    first = F.array_join(F.slice(F.split(flat, " "), 1, words), " ")
+    rest = F.array_join(F.filter(F.array(*[F.coalesce(o, F.lit("")) for o in others]), lambda o: o != ""), " ")
+    return truncate(F.when(flat != "", first).otherwise(rest), most)
 
 
 def sentences(text: Column) -> Column:

@@ -21,5 +21,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def guarded_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity; 0 where the lengths differ or a vector is all zeros or null."""
+    return F.coalesce(F.when(F.size(a) == F.size(b), cosine(a, b)), F.lit(0.0))
+
+
 def constant(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])

@@ -59,3 +59,33 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def surrogate(*parts: Column) -> Column:
     """Deterministic 16-digit key of the parts; a null part counts as empty."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, 16)
+
+
+def near_hashes(df: DataFrame, key: str, hash_: str, most: int) -> DataFrame:
+    """Pairs (key, other_id, distance) of 64-bit hashes that differ in ``most`` bits or fewer, once each, the smaller key first.
+
+    The hash is cut into ``most`` + 1 parts: one of them is equal, so pairs come from an equi-join on the parts. A
+    part of about 64 / (most + 1) bits leaves few chance pairs while that is large against the rows' logarithm.
+    """
+    n = most + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    part = lambda a, b: F.shiftrightunsigned(hash_, a).bitwiseAND(F.lit((1 << b - a) - 1))
+    parts = [F.struct(F.lit(i).alias("p"), part(cuts[i], cuts[i + 1]).alias("v")) for i in range(n)]
+    keyed = df.select(key, F.col(hash_).alias("h"), F.inline(F.array(*parts)))
+    other = keyed.select(F.col(key).alias("other_id"), F.col("h").alias("oh"), "p", "v")
+    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("oh")))
+    pairs = keyed.join(other, ["p", "v"]).filter((F.col(key) < F.col("other_id")) & (distance <= most))
+    return pairs.select(key, "other_id", distance.cast("long").alias("distance")).distinct()
+
+
+def enrich(current: DataFrame, changes: DataFrame, key: list[str], first: list[str]) -> DataFrame:
+    """Insert-or-enrich: new keys are added; of known ones a null or empty column is filled, columns ``first`` stay as they
+    were, others take the newer value where it is not null. Keys are unique on both sides."""
+    a, b = current.alias("a"), changes.alias("b")
+    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
+    out = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in key]
+    for c in [c for c in current.columns if c not in key]:
+        old, new = F.col(f"a.{c}"), F.col(f"b.{c}")
+        old, new = (F.when(x.cast("string") != "", x) for x in (old, new))
+        out.append((F.coalesce(old, new) if c in first else F.coalesce(new, old)).alias(c))
+    return joined.select(*out)

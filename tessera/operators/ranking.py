@@ -70,3 +70,38 @@ def any_of(conditions: list[Column]) -> Column:
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule whose condition holds, null if none does."""
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in rules]) if rules else F.lit(None).cast("string")
+
+
+def sent_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The side of a join: sent to all tasks if it has at most ``most`` rows, else left to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def at_rank(df: DataFrame, keys: list[str], value: str, rank, buckets: int = 4096) -> DataFrame:
+    """(keys, value): the value at place ``rank(n)`` (from 1) of each key's n rows in order; nulls do not count.
+
+    Exact, without sorting a key's rows in one task: rows are counted by even steps of the key's range first, then by value
+    within the step that holds the place.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
+    per = rows.groupBy(*keys).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count(F.lit(1)).alias("n_"))
+    step = F.least(F.floor((F.col("v_") - F.col("lo_")).cast("double") / F.nullif((F.col("hi_") - F.col("lo_")).cast("double"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    rows = rows.join(per, keys).withColumn("step_", F.coalesce(step, F.lit(0))).withColumn("at_", F.least(F.greatest(rank(F.col("n_")), F.lit(1)), F.col("n_")).cast("long"))
+    run = Window.partitionBy(*keys).orderBy("step_").rowsBetween(Window.unboundedPreceding, 0)
+    steps = rows.groupBy(*keys, "at_", "step_").agg(F.count(F.lit(1)).alias("c_")).withColumn("upto_", F.sum("c_").over(run))
+    held = steps.filter((F.col("upto_") >= F.col("at_")) & (F.col("upto_") - F.col("c_") < F.col("at_")))
+    held = held.select(*keys, "step_", (F.col("at_") - F.col("upto_") + F.col("c_")).alias("left_"))
+    values = rows.join(held, [*keys, "step_"]).groupBy(*keys, "left_", "v_").agg(F.count(F.lit(1)).alias("c_"))
+    run = Window.partitionBy(*keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("upto_", F.sum("c_").over(run)).filter(F.col("upto_") >= F.col("left_"))
+    return values.groupBy(*keys).agg(F.min("v_").alias(value))
+
+
+def allowed_or_pools(df: DataFrame, keys: list[str], hard: Column, rules: list[Column], pools: list[Column], order: list[Column], most: int = 12) -> DataFrame:
+    """Rows that pass ``hard``, narrowed by ``rules`` one after another as long as rows are left; for keys without any the
+    first of the ``pools`` that has rows, its first ``most`` in ``order``. Adds ``pool``: 0, or the pool's number from 1."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("hard_", F.coalesce(hard, F.lit(False))).withColumn("some_", F.max("hard_").over(w))
+    passed = cascade(rows.filter("hard_").drop("hard_", "some_"), keys, rules).drop("kept_rules").withColumn("pool", F.lit(0))
+    rest = first_tier(rows.filter("NOT some_").drop("hard_", "some_"), keys, pools, "pool").withColumn("pool", F.col("pool") + 1)
+    return passed.unionByName(top_k(rest, keys, order, most))

@@ -65,3 +65,19 @@ def shares_to_bounds(df: DataFrame, keys: list[str], order: list[str], weight: s
     run = F.sum(weight).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(weight).over(w)
     return df.withColumn("b_start", total * (run - F.col(weight)) / whole).withColumn("b_end", total * run / whole)
+
+
+def before_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: int = 4096) -> DataFrame:
+    """Adds the ``value`` of the row before in each key, by a whole-number ``order``, null at the first.
+
+    For keys that hold a large part of all rows: rows are windowed by steps of ``chunk`` of the order, and only the last
+    row of each step goes into a window over the whole key.
+    """
+    rows = df.withColumn("chunk_", F.floor(F.col(order) / chunk))
+    last = rows.groupBy(*keys, "chunk_").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("l_"))
+    held = last.withColumn("held_", F.lag("l_").over(Window.partitionBy(*keys).orderBy("chunk_"))).drop("l_")
+    w = Window.partitionBy(*keys, "chunk_").orderBy(order)
+    rows = rows.withColumn("first_", F.row_number().over(w) == 1).withColumn(out, F.lag(value).over(w))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in (*keys, "chunk_")]
+    joined = rows.alias("r").join(held.alias("h"), same, "left")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.when(F.col("r.first_"), F.col("h.held_.v")).otherwise(F.col(f"r.{out}")).alias(out))

@@ -9,6 +9,7 @@ from tessera.functions import jsontext, scoring, text
 from tessera.functions.time import micros
 from tessera.operators import keys as K
 from tessera.operators import ranking as R
+from tessera.operators.sequences import before_in_order
 from tessera.plans.streams import scratch
 from tessera.session import table
 
@@ -304,8 +305,7 @@ def h31_decision_list(spark, sf_dir):
 
 def h34_expected(spark, sf_dir):
     """Expected against found language of the neighbouring document by number: match, partial or miss."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.lag("lang").over(w).alias("e"))
+    d = before_in_order(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), ["source"], "doc_id", "lang", "e")
     match = F.when(F.col("e").isNull(), "none").when(F.col("e") == F.col("lang"), "match").when(F.substring("e", 1, 1) == F.substring("lang", 1, 1), "partial").otherwise("miss")
     return d.groupBy(match.alias("match")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -360,7 +360,7 @@ def k11_replacements(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "abcdefghk" and k[1:3].isdigit()}
-_P = "trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß', 'aaaaaaceeeeiiiinoooooouuuuyys'), '[^a-z0-9]+', ' ', 'g'))"
+_P = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
 _W = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '')"
 _SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 _VIOL = """WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS s, max(l_discount) AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1),

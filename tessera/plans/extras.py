@@ -10,6 +10,7 @@ from tessera.functions import scoring, text, vector
 from tessera.functions import time as T
 from tessera.functions.time import micros
 from tessera.operators import ranking as R
+from tessera.operators.sequences import before_in_order
 from tessera.plans.solvers import _words
 from tessera.session import table
 from tessera.solvers import alignment
@@ -35,7 +36,7 @@ def c27_keep_unlike(spark, sf_dir):
     """Vectors of each scene of fifty whose sign hash is not near to a kept one's."""
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("scene"), F.col("vec_id").alias("id"), bits.alias("h"))
-    return alignment.keep_unlike(rows, "scene", most=20)
+    return alignment.keep_unlike(rows, "scene")
 
 
 def c29_unused(spark, sf_dir):
@@ -103,9 +104,8 @@ def h24_evidence(spark, sf_dir):
 
 def h26_guarded_cosine(spark, sf_dir):
     """Cosine of each vector with the one before; the first has none, a zero vector counts 0."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").withColumn("before", F.lag("embedding").over(w)).filter("before IS NOT NULL")
-    return e.select("vec_id", F.round(F.coalesce(vector.cosine(F.col("embedding"), F.col("before")), F.lit(0.0)), 5).alias("cosine"))
+    e = before_in_order(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "embedding", "before").filter("before IS NOT NULL")
+    return e.select("vec_id", F.round(vector.guarded_cosine(F.col("embedding"), F.col("before")), 5).alias("cosine"))
 
 
 def h28_normalised(spark, sf_dir):
@@ -196,7 +196,7 @@ def k12_contracts(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "bcefghjk" and k[1:3].isdigit()}
-_P = "trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß', 'aaaaaaceeeeiiiinoooooouuuuyys'), '[^a-z0-9]+', ' ', 'g'))"
+_P = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 ORACLE = {
     "b20_proof_safe": "SELECT l_suppkey, count(*) FILTER (l_returnflag IN ('A', 'N') AND l_linestatus = 'F' AND CASE WHEN l_discount * 10 = 0 THEN 1 ELSE l_discount * 10 END >= 0.55) AS safe FROM lineitem GROUP BY 1",

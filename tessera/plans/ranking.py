@@ -54,10 +54,15 @@ def b08_excluded_terms(spark, sf_dir):
 
 
 def b09_filter_cascade(spark, sf_dir):
-    """Per order: three rules, each applied only if it leaves a line."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
-    out = R.cascade(l, ["l_orderkey"], [F.col("l_quantity") >= 25, F.col("l_returnflag") == "N", F.col("l_discount") <= 0.04])
-    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("kept_rules").cast("long").alias("rules"), F.sum("l_partkey").alias("parts"))
+    """Per order: lines that pass the hard rules, narrowed by rules as long as one is left; else the first pool with lines, twelve at most."""
+    c = F.col
+    hard = (c("l_quantity") >= 10) & (c("l_returnflag") != "R") & ~((c("l_linestatus") == "O") & (c("l_suppkey") % 5 == 0))
+    role = F.array_contains(F.array(F.lit("A"), F.lit("N")), c("l_returnflag"))
+    rules = [c("l_quantity") >= 25, role, c("l_tax") <= 0.06, c("l_linenumber") <= 4, c("l_discount") <= 0.04, c("l_suppkey") % 3 == 0, c("l_linestatus") == "F", c("l_partkey") % 2 == 0]
+    pools = [(c("l_quantity") >= 40) & (c("l_linestatus") == "F"), c("l_quantity") >= 40, (c("l_discount") == 0) & (c("l_returnflag") == "N"), c("l_tax") == 0, c("l_returnflag") != "R", F.lit(True)]
+    order = [F.desc("l_quantity"), c("l_partkey"), c("l_suppkey"), c("l_linenumber"), c("l_extendedprice")]
+    out = R.allowed_or_pools(table(spark, sf_dir, "lineitem"), ["l_orderkey"], hard, rules, pools, order)
+    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("pool").cast("long").alias("pool"), F.sum("l_partkey").alias("parts"))
 
 
 def b11_recent_diversity(spark, sf_dir):
@@ -78,10 +83,9 @@ def b12_quotas(spark, sf_dir):
 
 
 def b13_null_tolerant(spark, sf_dir):
-    """Documents not known to be of another language than English; an unknown one passes."""
-    d = table(spark, sf_dir, "documents")
-    lang = F.nullif(F.col("lang"), F.lit("fr"))  # French stands in for unknown
-    return d.filter(~(lang.isNotNull() & (F.lower(lang) != "en"))).select("doc_id")
+    """Documents not known to be of another language than English, of a known size of 100 characters or more; an unknown language passes."""
+    d = table(spark, sf_dir, "documents").withColumn("known", F.when(F.col("doc_id") % 10 > 0, F.col("lang")))
+    return d.filter(~(F.col("known").isNotNull() & (F.lower("known") != "en")) & (F.col("n_chars") >= 100)).select("doc_id")
 
 
 def b15_weighted_prefilter(spark, sf_dir):
@@ -121,26 +125,47 @@ def b25_valid_queries(spark, sf_dir):
 
 
 def f01_fallback_search(spark, sf_dir):
-    """Per segment: customers of the first stage that has any (rich and of nation 3, rich, all), best three."""
-    c = table(spark, sf_dir, "customer")
+    """Per segment: customers of the first stage that has any (scene, block, all), by confidence, use and age, the best three by
+    the composite score."""
+    c = table(spark, sf_dir, "customer").withColumn("uses", F.col("c_custkey") % 12).withColumn("confidence", F.round((F.col("c_acctbal") + 1000) / 11000, 6))
     rows = R.first_tier(c, ["c_mktsegment"], [(F.col("c_acctbal") > 9990) & (F.col("c_nationkey") == 3), F.col("c_acctbal") > 9900, F.lit(True)])
-    return R.top_k(rows, ["c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_mktsegment", "c_custkey", F.col("tier").cast("long").alias("tier"))
+    rows = R.top_k(rows, ["c_mktsegment"], [F.desc("confidence"), F.col("uses"), F.desc("c_custkey")], 10)
+    boost = F.when(F.col("tier") == 0, 0.3).when(F.col("tier") == 1, 0.15).otherwise(0.0)
+    score = boost + 0.55 * (F.col("c_custkey") % 10) / 10 + 0.4 * F.col("confidence") - F.least(F.lit(0.15), F.col("uses") * 0.015)
+    rows = rows.withColumn("score", F.round(score, 6))
+    return R.top_k(rows, ["c_mktsegment"], [F.desc("score"), F.col("c_custkey")], 3).select("c_mktsegment", "c_custkey", F.col("tier").cast("long").alias("tier"), "score")
 
 
 def f02_hint_rank(spark, sf_dir):
-    """Parts by hits of hints: 10 for a phrase, 0.5 for each shared word."""
-    hints = ["red ring", "steel"]
-    words = F.array(*[F.lit(w) for h in hints for w in h.split()])
-    score = sum((F.when(contains_words(F.col("p_name"), F.lit(h)), 10.0).otherwise(0.0) for h in hints), F.lit(0.0)) + 0.5 * F.size(F.array_intersect(F.split(plain(F.col("p_name")), " "), words))
+    """Parts by hits of hints: 10 for a canonical phrase, 8 for a specific alias, 0.5 for each shared word; ties stay in order of key."""
+    hints, aliases = ["red ring", "steel"], ["blue rod", "large widget"]
+    words = F.array(*[F.lit(w) for h in hints + aliases for w in h.split()])
+    phrase = lambda h, gain: F.when(contains_words(F.col("p_name"), F.lit(h)), gain).otherwise(0.0)
+    score = sum((phrase(h, 10.0) for h in hints), F.lit(0.0)) + sum((phrase(h, 8.0) for h in aliases), F.lit(0.0)) + 0.5 * F.size(F.array_intersect(F.split(plain(F.col("p_name")), " "), words))
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
+def _features():
+    """Features of a line as a candidate of its order."""
+    c = F.col
+    reuse = F.least(F.lit(1.0), (c("uses") - 1) / 4.0)
+    return {
+        "semantic": c("l_quantity") / 50, "intent": (c("l_returnflag") == "N").cast("int"), "required": 1 - c("l_discount") * 10, "block": F.when(c("l_linestatus") == "F", 1.0).otherwise(0.45),
+        "entity": (c("l_suppkey") % 4) / 4, "specific": F.lit(0.25) + (c("l_partkey") % 3) / 4, "theme": (c("l_partkey") % 5 == 0).cast("int"), "source": c("l_tax") * 10, "editorial": F.when(c("l_discount") < 0.03, 1.0).when(c("l_discount") < 0.06, 0.72).otherwise(0.28),
+        "binding": F.lit(0.5), "resolution": F.lit(0.5), "motion": (c("l_linenumber") % 2).cast("double"), "confidence": 1 - c("l_tax") * 5, "intro": (c("l_linenumber") == 1).cast("int") * 0.75,
+        "forbidden": (c("l_quantity") < 3).cast("int"), "source_reuse": reuse, "asset_reuse": (c("uses") > 6).cast("int"), "window_reuse": F.lit(0.0), "signature_reuse": reuse / 2, "block_mismatch": (c("l_linestatus") == "O").cast("int") * (c("l_partkey") % 7 == 0).cast("int"),
+        "cross_scene": F.lit(0.0), "generic": (c("l_discount") > 0.08).cast("int"), "uncertain": (c("l_tax") > 0.07).cast("int"), "fallback": F.lit(0.0), "dark": (c("l_quantity") % 10 == 0).cast("int") * 0.6, "off_theme": F.lit(0.0),
+    }
+
+
 def f04_linear_rank(spark, sf_dir):
-    """Best line of each order by a linear score; returned lines are blocked with -1."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
-    score = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(scoring.weighted([(F.col("l_quantity") / 50, 0.5), (1 - F.col("l_discount") * 10, 0.3), (1 - F.col("l_tax") * 10, 0.2)]))
-    best = R.top_k(l.withColumn("score", F.round(score, 6)), ["l_orderkey"], [F.desc("score"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")], 1)
-    return best.select("l_orderkey", "l_partkey", "score")
+    """Best line of each order by the full score, with its reasons; returned lines are blocked."""
+    l = table(spark, sf_dir, "lineitem")
+    uses = l.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("uses"))
+    f, blocked = _features(), F.col("l_returnflag") == "R"
+    rows = l.join(uses, "l_partkey").withColumn("score", scoring.candidate_score(f, blocked)).withColumn("reasons", scoring.candidate_reasons(f, [("returned", blocked)]))
+    best = R.top_k(rows, ["l_orderkey"], [F.desc("score"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_quantity"), F.col("l_extendedprice")], 1)
+    return best.select("l_orderkey", "l_partkey", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 def f05_banded_order(spark, sf_dir):
@@ -253,8 +278,12 @@ def c32_gazetteer(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "bcf" and k[1:3].isdigit()}
-_PLAIN = "trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß', 'aaaaaaceeeeiiiinoooooouuuuyys'), '[^a-z0-9]+', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
 _HOLDS = "contains(' ' || " + _PLAIN + " || ' ', ' {1} ')"
+_CASCADE = ["l_quantity >= 25", "l_returnflag IN ('A', 'N')", "l_tax <= 0.06", "l_linenumber <= 4", "l_discount <= 0.04", "l_suppkey % 3 = 0", "l_linestatus = 'F'", "l_partkey % 2 = 0"]
+_RULES = " ".join(
+    f"v{i} AS (SELECT * EXCLUDE (ok, left_), CASE WHEN left_ THEN ok AND {rule} ELSE ok END AS ok FROM (SELECT *, bool_or(ok AND {rule}) OVER (PARTITION BY l_orderkey) AS left_ FROM v{i - 1}))," for i, rule in enumerate(_CASCADE, 1)
+)
 ORACLE = {
     "b01_hard_filter": "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_type NOT LIKE '%PROMO%' AND (p_name LIKE '%red%' OR p_brand LIKE '%red%' OR p_name LIKE '%Brand#1%' OR p_brand LIKE '%Brand#1%')",
     "b02_recall_predicate": "SELECT p_partkey, 'name' AS kind FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%bolt%' UNION ALL SELECT p_partkey, 'brand' FROM part WHERE p_brand LIKE '%#2%'",
@@ -265,16 +294,20 @@ ORACLE = {
         (VALUES ('1-URGENT', 'F', true), ('1-URGENT', 'O', false), ('2-HIGH', 'F', true), ('5-LOW', 'P', false)) a(p, s, share) ON o_orderpriority = p AND o_orderstatus = s GROUP BY 1""",
     "b08_excluded_terms": """WITH c AS (SELECT c_mktsegment, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
         SELECT c_mktsegment, r_name, count(*) AS n FROM c JOIN (SELECT c_mktsegment, min(r_name) AS home FROM c GROUP BY 1) h USING (c_mktsegment) WHERE r_name <> home GROUP BY 1, 2""",
-    "b09_filter_cascade": """WITH a AS (SELECT *, l_quantity >= 25 AS p1 FROM lineitem), b AS (SELECT *, bool_or(p1) OVER (PARTITION BY l_orderkey) AS a1 FROM a), c AS (SELECT *, CASE WHEN a1 THEN p1 ELSE true END AS v1 FROM b),
-        d AS (SELECT *, v1 AND l_returnflag = 'N' AS p2 FROM c), e AS (SELECT *, bool_or(p2) OVER (PARTITION BY l_orderkey) AS a2 FROM d), f AS (SELECT *, CASE WHEN a2 THEN p2 ELSE v1 END AS v2 FROM e),
-        g AS (SELECT *, v2 AND l_discount <= 0.04 AS p3 FROM f), h AS (SELECT *, bool_or(p3) OVER (PARTITION BY l_orderkey) AS a3 FROM g), i AS (SELECT *, CASE WHEN a3 THEN p3 ELSE v2 END AS v3 FROM h)
-        SELECT l_orderkey, count(*) AS n, CAST(max(a1::INT + a2::INT + a3::INT) AS BIGINT) AS rules, CAST(sum(l_partkey) AS BIGINT) AS parts FROM i WHERE v3 GROUP BY l_orderkey""",
+    "b09_filter_cascade": f"""WITH h AS (SELECT *, l_quantity >= 10 AND l_returnflag <> 'R' AND NOT (l_linestatus = 'O' AND l_suppkey % 5 = 0) AS hard FROM lineitem), v0 AS (SELECT *, true AS ok FROM h WHERE hard),
+        {_RULES}
+        o AS (SELECT *, 0 AS pool FROM v{len(_CASCADE)} WHERE ok),
+        q AS (SELECT *, CASE WHEN l_quantity >= 40 AND l_linestatus = 'F' THEN 1 WHEN l_quantity >= 40 THEN 2 WHEN l_discount = 0 AND l_returnflag = 'N' THEN 3 WHEN l_tax = 0 THEN 4 WHEN l_returnflag <> 'R' THEN 5 ELSE 6 END AS pool FROM h
+              WHERE l_orderkey NOT IN (SELECT l_orderkey FROM h WHERE hard)),
+        m AS (SELECT *, min(pool) OVER (PARTITION BY l_orderkey) AS first FROM q),
+        t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS n FROM m WHERE pool = first)
+        SELECT l_orderkey, count(*) AS n, CAST(max(pool) AS BIGINT) AS pool, CAST(sum(l_partkey) AS BIGINT) AS parts FROM (SELECT l_orderkey, l_partkey, pool FROM o UNION ALL SELECT l_orderkey, l_partkey, pool FROM t WHERE n <= 12) GROUP BY 1""",
     "b11_recent_diversity": """WITH e AS (SELECT *, len(list_filter(list(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), lambda x: x = event_type)) AS same FROM events),
         v AS (SELECT user_id, coalesce(same, 0) >= 2 AS r, value < 1 AS w FROM e)
         SELECT user_id, count(*) FILTER (NOT r AND NOT w) AS allowed, count(*) FILTER (r) AS recent, bool_and(r OR w) AS bypass FROM v GROUP BY user_id""",
     "b12_quotas": """SELECT l_returnflag, count(*) FILTER (i > 2) AS over_count, count(*) FILTER (share > 0.6) AS over_share FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS i,
         count(*) OVER (PARTITION BY l_orderkey, l_returnflag) / count(*) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) GROUP BY 1""",
-    "b13_null_tolerant": "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = 'fr' OR lower(lang) = 'en'",
+    "b13_null_tolerant": "SELECT doc_id FROM documents WHERE (doc_id % 10 = 0 OR lang IS NULL OR lower(lang) = 'en') AND n_chars >= 100",
     "b15_weighted_prefilter": """WITH s AS (SELECT p_partkey, p_retailprice, CAST(5 * (p_name LIKE '%red%')::INT + 4 * (p_type = 'ECONOMY')::INT + 3 * (p_size > 20)::INT - 12 * (p_retailprice > 1800)::INT AS BIGINT) AS score FROM part)
         SELECT p_partkey, score, CASE WHEN p_retailprice > 1800 THEN 'price' WHEN score < 3 THEN 'weak' END AS reason FROM s""",
     "b16_threshold_gates": "SELECT l_suppkey, count(*) FILTER (l_quantity >= 20 AND l_discount <= 0.05 AND l_tax <= 0.04 AND l_returnflag IN ('A', 'N')) AS passed, count(*) AS n FROM lineitem GROUP BY 1",
@@ -283,12 +316,19 @@ ORACLE = {
     "b18_any_violation": "SELECT l_orderkey, bool_or(l_discount > 0.09 OR l_quantity < 2) AS violates FROM lineitem GROUP BY 1",
     "b19_like_search": "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_brand) LIKE '%ring%' OR lower(p_type) LIKE '%ring%' ORDER BY p_partkey LIMIT 50",
     "b25_valid_queries": "SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND NOT regexp_matches(p_name, '^(small|large) ')",
-    "f01_fallback_search": """WITH t AS (SELECT *, CASE WHEN c_acctbal > 9990 AND c_nationkey = 3 THEN 0 WHEN c_acctbal > 9900 THEN 1 ELSE 2 END AS tier FROM customer), m AS (SELECT *, min(tier) OVER (PARTITION BY c_mktsegment) AS best FROM t),
-        r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS n FROM m WHERE tier = best) SELECT c_mktsegment, c_custkey, tier FROM r WHERE n <= 3""",
-    "f02_hint_rank": f"""SELECT * FROM (SELECT p_partkey, CASE WHEN {_HOLDS.format('p_name', 'red ring')} THEN 10.0 ELSE 0 END + CASE WHEN {_HOLDS.format('p_name', 'steel')} THEN 10.0 ELSE 0 END
-        + 0.5 * len(list_intersect(list_distinct(string_split({_PLAIN.format('p_name')}, ' ')), ['red', 'ring', 'steel'])) AS score FROM part) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20""",
-    "f04_linear_rank": """SELECT l_orderkey, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_partkey, l_suppkey, l_linenumber) AS n FROM
-        (SELECT *, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE round(l_quantity / 50 * 0.5::DOUBLE + (1 - l_discount * 10) * 0.3::DOUBLE + (1 - l_tax * 10) * 0.2::DOUBLE, 6) END AS score FROM lineitem)) WHERE n = 1""",
+    "f01_fallback_search": """WITH t AS (SELECT *, c_custkey % 12 AS uses, round((c_acctbal + 1000) / 11000, 6) AS confidence, CASE WHEN c_acctbal > 9990 AND c_nationkey = 3 THEN 0 WHEN c_acctbal > 9900 THEN 1 ELSE 2 END AS tier FROM customer), m AS (SELECT *, min(tier) OVER (PARTITION BY c_mktsegment) AS best FROM t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY confidence DESC, uses, c_custkey DESC) AS n FROM m WHERE tier = best),
+        s AS (SELECT *, round(CASE tier WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.15::DOUBLE ELSE 0 END + 0.55::DOUBLE * (c_custkey % 10) / 10 + 0.4::DOUBLE * confidence - least(0.15::DOUBLE, uses * 0.015::DOUBLE), 6) AS score FROM r WHERE n <= 10),
+        k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC, c_custkey) AS i FROM s) SELECT c_mktsegment, c_custkey, tier, score FROM k WHERE i <= 3""",
+    "f02_hint_rank": f"""SELECT * FROM (SELECT p_partkey, CASE WHEN {_HOLDS.format('p_name', 'red ring')} THEN 10.0 ELSE 0 END + CASE WHEN {_HOLDS.format('p_name', 'steel')} THEN 10.0 ELSE 0 END + CASE WHEN {_HOLDS.format('p_name', 'blue rod')} THEN 8.0 ELSE 0 END + CASE WHEN {_HOLDS.format('p_name', 'large widget')} THEN 8.0 ELSE 0 END
+        + 0.5 * len(list_intersect(list_distinct(string_split({_PLAIN.format('p_name')}, ' ')), ['red', 'ring', 'steel', 'blue', 'rod', 'large', 'widget'])) AS score FROM part) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20""",
+    "f04_linear_rank": """WITH u AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS uses FROM lineitem), x AS (SELECT *, least(1, (uses - 1) / 4.0::DOUBLE) AS reuse, (uses > 6)::INT AS asset, (l_linestatus = 'O' AND l_partkey % 7 = 0)::INT AS wrong, (l_discount > 0.08)::INT AS generic, (l_tax > 0.07)::INT AS unsure, (l_quantity % 10 = 0)::INT * 0.6::DOUBLE AS dark FROM u),
+        s AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE round(l_quantity / 50 * 8 + (l_returnflag = 'N')::INT * 3 + (1 - l_discount * 10) * 5 + CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END * 3 + (l_suppkey % 4) / 4 * 3.5::DOUBLE + (0.25::DOUBLE + (l_partkey % 3) / 4) * 3 + (l_partkey % 5 = 0)::INT * 3
+            + l_tax * 10 * 2.5::DOUBLE + CASE WHEN l_discount < 0.03 THEN 1.0::DOUBLE WHEN l_discount < 0.06 THEN 0.72::DOUBLE ELSE 0.28::DOUBLE END * 3 + 0.5::DOUBLE * 3.5::DOUBLE + 0.5::DOUBLE + l_linenumber % 2 + (1 - l_tax * 5) + (l_linenumber = 1)::INT * 0.75::DOUBLE
+            - (l_quantity < 3)::INT * 10 - reuse * 4 - asset * 4 - reuse / 2 * 3.5::DOUBLE - wrong * 8 - generic * 7 - unsure * 5 - dark * 4, 3) END AS score,
+            concat_ws(',', CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN wrong >= 1 THEN 'wrong_block' END, CASE WHEN asset >= 1 THEN 'reused_asset' END, CASE WHEN reuse >= 1 THEN 'reused_source_url' END, CASE WHEN reuse / 2 >= 0.5 THEN 'repeated_visual_signature' END,
+              CASE WHEN generic >= 1 THEN 'generic_asset' END, CASE WHEN unsure >= 1 THEN 'uncertain_asset' END, CASE WHEN dark >= 0.5 THEN 'dark_frame_risk' END, CASE WHEN l_quantity / 50 < 0.2 THEN 'low_semantic_score' END) AS reasons FROM x)
+        SELECT l_orderkey, l_partkey, score, reasons FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS n FROM s) WHERE n = 1""",
     "f05_banded_order": """SELECT p_type, p_partkey, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY floor(p_retailprice / 50) DESC, p_size DESC, p_partkey) AS n FROM part) WHERE n <= 5""",
     "f06_tier_budget": """WITH t AS (SELECT *, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS tier FROM lineitem),
         u AS (SELECT *, sum((tier = 2)::INT) OVER (PARTITION BY l_orderkey ORDER BY tier, l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS used FROM t)

@@ -41,6 +41,15 @@ def k02_slots(spark, sf_dir):
     return A.fill_slots(rows, "l_suppkey")
 
 
+def k03_timeline(spark, sf_dir):
+    """Seven slots of each supplier, planned from its lines by hard rules, contract and diversity."""
+    rows = _shots(spark, sf_dir).select(
+        "l_suppkey", F.col("l_linenumber").cast("long").alias("slot"), "shot", F.col("l_partkey").alias("media"), F.col("l_returnflag").alias("signature"),
+        F.round(1 - F.col("l_discount") * 5, 6).alias("score"), (F.col("l_quantity") > 5).alias("allowed"), (F.col("l_quantity") > 25).alias("fits"),
+    )
+    return A.plan_timeline(rows, "l_suppkey")
+
+
 def k08_apportion(spark, sf_dir):
     """60 seconds of each conversation among its turns by length, 1 to 20 seconds each."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.length("text").cast("double").alias("weight"), F.lit(1.0).alias("least"), F.lit(20.0).alias("most"), F.lit(60.0).alias("total"))
@@ -55,5 +64,5 @@ def e05_scene_chunks(spark, sf_dir):
     return A.chunks(_words(spark, sf_dir), "turn_id", 8.0, 25.0).select("turn_id", "chunk", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "words")
 
 
-QUERIES = {f.__name__: f for f in (k01_allocation, k02_slots, k08_apportion, e05_scene_chunks, e06_cues)}
+QUERIES = {f.__name__: f for f in (k01_allocation, k02_slots, k03_timeline, k08_apportion, e05_scene_chunks, e06_cues)}
 ORACLE: dict[str, str] = {}

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.time import micros
 from tessera.session import table
-from tessera.sources import journal, sinks
+from tessera.sources import journal
 from tessera.sources.paged import PagedSource
-from tessera.solvers.allocation import cues
-from tessera.plans.solvers import _words
 from tessera.streaming import jobs
 
 
@@ -67,15 +65,7 @@ def a19_paged_listing(spark, sf_dir):
     return rows.groupBy("license").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"))
 
 
-def a34_captions(spark, sf_dir):
-    """Caption files of all turns as text, read back: lines per turn."""
-    folder = scratch(spark, "captions")
-    made = sinks.srt_blocks(cues(_words(spark, sf_dir), "turn_id"))
-    sinks.write_text(made.repartition(4, "turn_id").withColumn("part", F.pmod("turn_id", F.lit(4))), folder, "part", "turn_id")
-    return spark.read.text(folder).groupBy("part").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").contains(" --> ")).alias("cues"))
-
-
-QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing, a34_captions)}
+QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing)}
 ORACLE = {
     "i01_journal_tail": "SELECT event_id AS seq, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id > 100",
     "i02_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -12,7 +12,8 @@ from tessera.session import table
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors of label 3 nearest (cosine) to vector 0."""
     emb = table(spark, sf_dir, "embeddings")
-    query = [float(x) for x in emb.filter("vec_id = 0").select("embedding").first()[0]]
+    found = emb.filter("vec_id = 0").select("embedding").first()
+    query = [float(x) for x in found[0] or []] if found else []  # without the query vector nothing is near
     return prefiltered_topk(emb, query, k=10, where="label = 3", id_col="vec_id").select(
         "vec_id", F.round("score", 6).alias("score")
     )

@@ -7,7 +7,10 @@ candidates; each group (a workset, a conversation, a video) then runs alone in a
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.operators.ranking import top_k
 
 
 def allocate(candidates: DataFrame, group: str, uses_per_media: int = 1) -> DataFrame:
@@ -34,8 +37,10 @@ def allocate(candidates: DataFrame, group: str, uses_per_media: int = 1) -> Data
                 out.append((pdf[group].iloc[0], requirement, r.shot, have))
         return pd.DataFrame(out, columns=[group, "requirement", "shot", "reached"])
 
+    # of a requirement's shots of one medium only the best uses_per_media can be picked, so the others stay out of the task
+    rows = top_k(candidates, [group, "tier", "requirement", "media"], [F.desc("similarity"), F.col("shot")], uses_per_media)
     kind = candidates.schema[group].dataType.simpleString()
-    return candidates.groupBy(group).applyInPandas(run, f"{group} {kind}, requirement string, shot long, reached double")
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, requirement string, shot long, reached double")
 
 
 def apportion(rows: DataFrame, group: str, step: float = 0.25) -> DataFrame:
@@ -136,5 +141,46 @@ def fill_slots(candidates: DataFrame, group: str, per_media: int = 3) -> DataFra
             out.append((pdf[group].iloc[0], slot, r["shot"], k))
         return pd.DataFrame(out, columns=[group, "slot", "shot", "step"]).astype({"shot": "Int64"})
 
+    # a slot's pick is among the best of each medium and family that the other slots can leave: as many as there are slots
+    slots = candidates.groupBy(group).agg(F.count_distinct("slot").alias("slots_"))
+    best = Window.partitionBy(group, "slot", "media", "family").orderBy(F.desc("score"), "shot")
+    rows = candidates.withColumn("n_", F.row_number().over(best)).join(slots, group).filter("n_ <= slots_").drop("n_", "slots_")
+    kind = candidates.schema[group].dataType.simpleString()
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, slot long, shot long, step long")
+
+
+def plan_timeline(candidates: DataFrame, group: str, cap: int = 2, apart: int = 2, tolerance: float = 0.1) -> DataFrame:
+    """A shot for each slot of each group, in order of slots: group, slot, shot, state.
+
+    Columns: group, slot, shot, media, signature, score, allowed (hard rules), fits (the slot's contract). Of the allowed
+    unused shots those that fit are taken if there are any, of these those whose medium was used under ``cap`` times and whose
+    signature is not among the last ``apart`` if there are any, and the best of them (ties by shot). A pick of the
+    signature before it gives way to the best other one that is at most ``tolerance`` worse. States: planned, off contract,
+    repeated (diversity given up), repaired, empty.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, media, last, out = set(), {}, [], []
+        for slot, rows in pdf.sort_values("slot").groupby("slot", sort=True):
+            rows = rows[rows["allowed"] & ~rows["shot"].isin(used)].sort_values(["score", "shot"], ascending=[False, True])
+            if rows.empty:
+                out.append((pdf[group].iloc[0], slot, None, "empty"))
+                continue
+            fit = rows[rows["fits"]]
+            state, pool = ("planned", fit) if len(fit) else ("off contract", rows)
+            fresh = pool[(pool["media"].map(lambda m: media.get(m, 0)) < cap) & ~pool["signature"].isin(last)]
+            if len(fresh):
+                pick = fresh.iloc[0]
+            else:
+                pick, state = pool.iloc[0], "repeated" if state == "planned" else state
+                other = pool[(pool["signature"] != pick["signature"]) & (pool["score"] >= pick["score"] - tolerance)]
+                if last and last[-1] == pick["signature"] and len(other):
+                    pick, state = other.iloc[0], "repaired"
+            used.add(pick["shot"])
+            media[pick["media"]] = media.get(pick["media"], 0) + 1
+            last = (last + [pick["signature"]])[-apart:]
+            out.append((pdf[group].iloc[0], slot, pick["shot"], state))
+        return pd.DataFrame(out, columns=[group, "slot", "shot", "state"]).astype({"shot": "Int64"})
+
     kind = candidates.schema[group].dataType.simpleString()
-    return candidates.groupBy(group).applyInPandas(run, f"{group} {kind}, slot long, shot long, step long")
+    return candidates.groupBy(group).applyInPandas(run, f"{group} {kind}, slot long, shot long, state string")

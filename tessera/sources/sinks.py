@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.time import stamp
 
 
-def srt_blocks(cues: DataFrame) -> DataFrame:
-    """One text block per cue (columns cue, start, end, line), as SRT has them."""
-    span = F.concat_ws(" --> ", stamp(F.col("start")), stamp(F.col("end")))
-    return cues.withColumn("block", F.concat_ws("\n", (F.col("cue") + 1).cast("string"), span, "line", F.lit("")))
+def srt_block(number: Column, start: Column, end: Column, line: Column) -> Column:
+    """One cue as SRT has it, without the blank line that parts cues; numbers begin with 1."""
+    return F.concat_ws("\n", number.cast("string"), F.concat_ws(" --> ", stamp(start), stamp(end)), line)
 
 
-def vtt_blocks(cues: DataFrame) -> DataFrame:
-    span = F.concat_ws(" --> ", stamp(F.col("start"), False), stamp(F.col("end"), False))
-    return cues.withColumn("block", F.concat_ws("\n", span, "line", F.lit("")))
+def vtt_block(start: Column, end: Column, line: Column) -> Column:
+    return F.concat_ws("\n", F.concat_ws(" --> ", stamp(start, False), stamp(end, False)), line)
 
 
-def write_text(blocks: DataFrame, folder: str, key: str, order: str) -> None:
-    """A folder per key with the blocks in order; keys are spread over tasks, each key's file is written by one."""
-    blocks.repartition(key).sortWithinPartitions(key, order).select("block", key).write.partitionBy(key).mode("overwrite").text(folder)
+def write_captions(cues: DataFrame, folder: str, video: str, kind: str = "srt") -> None:
+    """A folder per video with one file of its cues (video, cue, start, end, line) in order of ``cue``.
+
+    Videos are spread over tasks; each file is written by one, sorted before it is written.
+    """
+    order = Window.partitionBy(video).orderBy("cue")
+    number, last = F.row_number().over(order), F.lead("cue").over(order).isNull()
+    numbered = cues.withColumn("n_", number).withColumn("last_", last)
+    block = srt_block(F.col("n_"), F.col("start"), F.col("end"), F.col("line")) if kind == "srt" else vtt_block(F.col("start"), F.col("end"), F.col("line"))
+    if kind == "vtt":
+        block = F.when(F.col("n_") == 1, F.concat(F.lit("WEBVTT\n\n"), block)).otherwise(block)
+    blocks = numbered.select(video, "n_", F.when(F.col("last_"), block).otherwise(F.concat(block, F.lit("\n"))).alias("value"))
+    blocks.repartition(video).sortWithinPartitions(video, "n_").select("value", video).write.partitionBy(video).mode("overwrite").text(folder)
 
 
 def write_report(rows: DataFrame, folder: str) -> None:
-    """Rows as JSON lines."""
+    """Rows as JSON lines; fields that are null are left out."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
