@@ -1,23 +1,22 @@
-"""Near-duplicate line removal by joins on deletion neighbourhoods and shared word runs.
+"""Near-duplicate line removal by a join on deletion variants.
 
 Lines are compared as word sequences. Two lines, the longer of n words, MIN_WORDS or more, are near if at most
-``bound(n)`` word edits (insert, delete or replace) turn one into the other: one, or with a growing bound a tenth
-of n; shorter lines are near only if equal.
-
-For one edit, every variant with up to one word deleted is a hashed key, and equal keys join:
-
-* two lines that share a variant with the same deleted position differ by a replacement there;
-* a line that is itself another's variant differs by that deletion.
-
-So a join needs no pairs within a key: it takes the earliest line of each (key, position) and of each
-key, summed before the shuffle, and each line is then verified against its earliest partner by edit
-distance. A line goes if an earlier line of the corpus is near, whether or not that one stays.
-Only lines that share a half with another line get variants: one edit leaves one half of a line as it was.
-
-With a growing bound, lines of LONG words or more are joined by the words that e edits leave alone: of n words
-at least (n - e) / (e + 1) stay in one run, so both lines choose the same least gram of that run (a minimiser) as a
-key, at places that differ by e at most. A line is verified against the first line of each key, and, if it is near
-to none, against all earlier ones whose length and place allow it.
+``bound(n)`` word edits (insert, delete or replace) turn one into the other: a tenth of n, at least one; shorter lines
+are near only if equal.
+
+All variants of a line with up to e words deleted are too many to write (6,018 for 33 words and 3 edits), so a covering
+part of them is: a variant keeps two words, one of the line's core, its 2 e + 1 rarest words in order of their frequency in
+the corpus, and the next one that is not FREQUENT, and deletes the others. Near lines lack e of each other's words at most, so
+e + 1 words of both cores are common, and an edit changes the next such word of one of these at most: one variant is the same.
+A core that reaches frequent words has 3 e + 1; these go with the very next word, which the same edit may change too.
+The hashed variants are joined, and pairs of lines that share one are verified by edit distance, after a bound by parity
+sketches of the words.
+
+A line meets the first line of each key before any other. Lines that are near to none of those meet all earlier ones of the
+key, or, in keys of more than CROWD lines, those with which they share a second variant, from a core that is larger by a
+word. So lines of one template with words of their own do not meet.
+
+A line goes if an earlier line of the corpus is near, whether or not that one stays.
 """
 
 from __future__ import annotations
@@ -27,112 +26,213 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import Ranges, grams, lists, mix, sliced, words_of
-from tessera.llm.common import SPACE, cut
+from tessera.llm.arrays import Ranges, mix, sliced, words_of
+from tessera.llm.common import KeyFilter, bucket_counts, cut
 
 MIN_WORDS = 8
-#: With a growing bound: edits for a hundred words, and the words of a line from which that is more than one.
-PERCENT, LONG = 10, 20
-#: By the longer line's words (least, most): run that the edits leave, words of a gram.
-RUNS = ((20, 39, 6, 5), (40, 89, 8, 6), (90, 1 << 30, 9, 6))
-#: Ratio of the lengths of a bucket of lines, above 100 / (100 - PERCENT).
-BUCKET = 1.12
-#: Lines from which a key's lines are told apart by their buckets too.
+#: Edits for a hundred words of the longer line.
+PERCENT = 10
+#: Lines of a key beyond which they meet by their rare words.
 CROWD = 1000
-#: Rows of keys or of lines to compare that are sent to all tasks; beyond that they are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Buckets of words whose occurrences are counted.
+COUNT_BUCKETS = 1 << 20
+#: Words of the corpus among which a frequent word stands more than once.
+FREQUENT = 2000
+#: Places of the table of lines that a task has just seen.
+SEEN = 1 << 16
+#: Bits of the parity sketch of a line's words, and lines whose sketches are made at once.
+SKETCH_BITS, SKETCH_LINES = 128, 4096
 
-LINES = "doc_id long, th long, at int, line long, halves array<long>"
 
+def bound(n):
+    """Edits at which two lines are near, the longer of n words (a number or an array)."""
+    return np.maximum(1, n * PERCENT // 100)
 
-def _lines(texts: list[bytes]) -> tuple[Ranges, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Range hashes of the words of all lines, where each line's words begin and end, each text's first line, the lines."""
-    split = [t.split(b"\n") for t in texts]
-    hashes, begins, _, _ = words_of([x for lines in split for x in lines])
-    first = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
-    return Ranges(hashes), begins[:-1], begins[1:], first, split
 
+def longest(n: np.ndarray) -> np.ndarray:
+    """Words of the longest line that n words may be near to."""
+    out = n + np.maximum(1, n * PERCENT // (100 - PERCENT))
+    while True:
+        over = out - bound(out) > n
+        if not over.any():
+            return out
+        out = out - over
 
-def half_keys(words: Ranges, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Four keys a line: its first and its last (m - 1) / 2 words, rounded up, for both lengths m of the shorter line of a pair."""
-    out = []
-    for m in (end - start - 1, end - start):
-        c = m // 2
-        for side, (a, b) in enumerate(((start, start + c), (end - c, end))):
-            out.append(mix(words.of(a, b) + np.uint64(side)))
-    return np.stack(out, axis=1)
+
+class _Lines:
+    """The lines with words of some texts: hashes of their words, where they begin and end."""
+
+    def __init__(self, texts: list[bytes]):
+        self.split = [t.split(b"\n") for t in texts]
+        hashes, begins, _, _ = words_of([x for lines in self.split for x in lines])
+        first = np.concatenate(([0], np.cumsum([len(x) for x in self.split]))).astype(np.int64)
+        some = np.flatnonzero(begins[1:] > begins[:-1])
+        self.text = np.searchsorted(first, some, "right") - 1
+        self.at = some - first[self.text]
+        self.words, self.start, self.end = Ranges(hashes), begins[some], begins[some + 1]
+        self.hash = self.words.of(self.start, self.end)
+
+    def long(self) -> np.ndarray:
+        """Distinct lines that may be near to another."""
+        _, one = np.unique(self.hash, return_index=True)
+        return one[self.end[one] - self.start[one] >= MIN_WORDS - 1]
+
+
+class _Seen:
+    """Drops lines that the task has met shortly before: a saving only."""
+
+    def __init__(self):
+        self.table = np.zeros(SEEN, np.uint64)
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(40)).astype(np.int64) % SEEN
+        out = self.table[slot] != hashes
+        self.table[slot] = hashes
+        return out
 
 
-def line_table(docs: DataFrame, most: int = 1 << 30) -> DataFrame:
-    """A row per line with words: document, place, hash, half keys (none for short lines and those over ``most`` words)."""
+def parities(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two longs a line: bits that say how many words fall on each, modulo 2. An edit changes two bits at most."""
+    out = [np.zeros((0, 2), np.int64)]
+    for a in range(0, len(start), SKETCH_LINES):
+        s, n = start[a : a + SKETCH_LINES], (end - start)[a : a + SKETCH_LINES]
+        each = np.repeat(np.arange(len(s)), n)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + s[each]
+        bit = (words[place] % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(each * SKETCH_BITS + bit, minlength=len(s) * SKETCH_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64))
+    return np.concatenate(out)
+
+
+LINES = "doc_id long, th long, at int, line long, n int, b1 long, b2 long"
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """A row per line with words: document, place, hash, number of words and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches):
-            words, start, end, first, _ = _lines(texts)
-            some = np.flatnonzero(end > start)
-            of = np.searchsorted(first, some, "right") - 1
-            start, end = start[some], end[some]
-            long = (end - start >= MIN_WORDS - 1) & (end - start <= most)
-            rows = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(rows),
-                    part.column(1).take(rows),
-                    pa.array((some - first[of]).astype(np.int32)),
-                    pa.array(words.of(start, end).view(np.int64)),
-                    lists(half_keys(words, start[long], end[long]).ravel().view(np.int64), np.where(long, 4, 0)),
-                ],
-                names=["doc_id", "th", "at", "line", "halves"],
-            )
+            x = _Lines(texts)
+            rows = pa.array(x.text)
+            bits = parities(x.words.items, x.start, x.end)
+            columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(x.at.astype(np.int32)), pa.array(x.hash.view(np.int64))]
+            columns += [pa.array((x.end - x.start).astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "at", "line", "n", "b1", "b2"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
 
-VARIANTS = "doc_id long, at int, line long, variant long, deleted int, words string"
+class Cores:
+    """The rarest words of lines, by the counts of their hash buckets over the corpus, which are sent to all tasks."""
+
+    def __init__(self, docs: DataFrame):
+        counts = bucket_counts(docs, lambda texts: words_of(texts)[0], COUNT_BUCKETS)
+        self.counts = docs.sparkSession.sparkContext.broadcast((int(counts.sum()), counts))
+
+    def variants(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): the hashed variants of each line with 2 * bound + ``more`` words of core, rarest first."""
+        n = end - start
+        begin = np.cumsum(n) - n
+        each = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(each)) - begin[each] + start[each]
+        h = words[place]
+        total, counts = self.counts.value
+        count = counts[(h % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+        common = count * FREQUENT > total
+        # the next word, for one that is not frequent the next such word; 0 at the line's end
+        last = begin + n
+        pad = np.append(h, np.uint64(0))
+        at = np.arange(len(h))
+        rare = np.append(np.where(common, len(h), at), len(h))
+        rare = np.minimum.accumulate(rare[::-1])[::-1][1:]
+        follow = np.where(common, at + 1, rare)
+        after = np.where(follow < last[each], pad[np.minimum(follow, len(h))], np.uint64(0))
+        # in order of frequency in steps of an eighth, then of the word's hash
+        rank = (np.minimum(255, 8 * np.log2(1.0 + count)).astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
+        if len(n) < 1 << 18:  # one sort by line and rank; words of a line that then rank alike count as one
+            order = np.argsort((each.astype(np.uint64) << np.uint64(46)) | (rank >> np.uint64(18)))
+            rank = rank >> np.uint64(18)
+        else:
+            order = np.lexsort((rank, each))
+        rank, common = rank[order], common[order]
+        fresh = np.concatenate(([True], (rank[1:] != rank[:-1]) | (each[1:] != each[:-1])))[: len(rank)]  # lines keep their places
+        nth = np.cumsum(fresh)
+        nth -= nth[begin[each]] if len(nth) else 0
+        most = bound(longest(n))[each]
+        core = nth < 2 * most + more
+        short = np.zeros(len(n), bool)
+        short[each[core & common]] = True
+        wanted = core | (short[each] & (nth < 3 * most + more))
+        return each[wanted], mix(h[order][wanted] * np.uint64(31) + mix(after[order][wanted]))
+
+
+KEYS = "key long, line long"
+
+
+def variant_table(docs: DataFrame, cores: Cores, wanted: KeyFilter | None = None) -> DataFrame:
+    """(key, line) of the variants of all long lines; with ``wanted`` of keys that may be in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for _, texts in sliced(batches):
+            x = _Lines(texts)
+            one = x.long()
+            one = one[seen.fresh(x.hash[one])]
+            of, key = cores.variants(x.words.items, x.start[one], x.end[one])
+            if wanted is not None:
+                some = wanted.may_hold(key)
+                of, key = of[some], key[some]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[one][of].view(np.int64))], names=["key", "line"])
 
-def variants(docs: DataFrame) -> DataFrame:
-    """For each wanted line (place in ``ats``): its own hash as variant (deleted -1), and one for each deleted word.
+    return docs.select("text").mapInArrow(run, KEYS)
 
-    Lines carry their words in the first row.
-    """
+
+def pair_table(texts: DataFrame, cores: Cores, crowded: KeyFilter) -> DataFrame:
+    """(key, line) of the pairs of variants that both may be ``crowded``, or the first and the core's last, for lines (line, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches):
-            words, start, end, first, split = _lines(texts)
-            ats = part.column(2)
-            per = np.asarray(pc.list_value_length(ats))
-            of = np.repeat(np.arange(len(texts)), per)
-            at = np.asarray(ats.flatten()).astype(np.int64)
-            start, end = start[first[of] + at], end[first[of] + at]
-            own, n = words.of(start, end), end - start
-            each = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            without = words.without(start[each], end[each], start[each] + place)
-            text = [b" ".join(split[i][k].split()).decode() for i, k in zip(of.tolist(), at.tolist())]
-            doc = np.asarray(part.column(0))[of]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((doc, doc[each]))),
-                    pa.array(np.concatenate((at, at[each])).astype(np.int32)),
-                    pa.array(np.concatenate((own, own[each])).view(np.int64)),
-                    pa.array(np.concatenate((own, without)).view(np.int64)),
-                    pa.array(np.concatenate((np.full(len(n), -1), place)).astype(np.int32)),
-                    pa.concat_arrays([pa.array(text, pa.string()), pa.nulls(len(each), pa.string())]),
-                ],
-                names=["doc_id", "at", "line", "variant", "deleted", "words"],
-            )
-
-    return docs.select("doc_id", "text", "ats").mapInArrow(run, VARIANTS)
-
-
-def bound(n: int, growing: bool) -> int:
-    """Edits at which two lines are near, the longer of n words."""
-    return max(1, n * PERCENT // 100) if growing else 1
+        for part, found in sliced(batches):
+            hashes, begins, _, _ = words_of(found)
+            line, token = cores.variants(hashes, begins[:-1], begins[1:], 2)
+            # of the variants that near lines share, at most the last of a core is not crowded, or they met by it
+            busy = crowded.may_hold(token)
+            last = np.searchsorted(line, line, "right") - 1
+            first = np.flatnonzero(busy)
+            n = last[first] - first
+            a = np.repeat(first, n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            some = busy[b] | (b == last[b])
+            a, b = a[some], b[some]
+            key = mix(token[a] * np.uint64(31) + token[b])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(line[a]))], names=["key", "line"])
+
+    return texts.select("line", F.col("words").alias("text")).mapInArrow(run, KEYS)
+
+
+TEXTS = "line long, words string"
+
+
+def line_texts(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """(line, words) of the lines (line, doc_id of its first place): documents that hold none are passed over."""
+    wanted = KeyFilter(lines, "line")
+    owners = KeyFilter(lines.select("doc_id").distinct(), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        some = (b.filter(pa.array(owners.may_hold(np.asarray(b.column(0)).astype(np.int64)))) for b in batches)
+        for _, texts in sliced(b for b in some if b.num_rows):
+            x = _Lines(texts)
+            one = x.long()
+            one = one[wanted.may_hold(x.hash[one])]
+            one = one[seen.fresh(x.hash[one])]
+            words = [b" ".join(x.split[i][k].split()).decode() for i, k in zip(x.text[one].tolist(), x.at[one].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x.hash[one].view(np.int64)), pa.array(words, pa.string())], names=["line", "words"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, TEXTS)
+    return cut(found.join(lines.select("line"), "line", "left_semi").dropDuplicates(["line"]), name)
 
 
 def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
@@ -157,167 +257,107 @@ def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
     return most + 1
 
 
-GRAMS = "key long, line long, n int, at int"
-
-
-def gram_table(docs: DataFrame) -> DataFrame:
-    """A row per key of each long line: the gram, the line, its words, the gram's place.
-
-    A line has keys for all lengths that the longer line of a pair with it may have.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches):
-            words, start, end, _, _ = _lines(texts)
-            size = end - start
-            of = np.repeat(np.arange(len(size)), size)
-            out = []
-            for least, most, length, k in RUNS:
-                # a line of m words may be a near line's shorter one from the least - bound(least) words on
-                wanted = (size >= least - least * PERCENT // 100) & (size <= most)
-                g = grams(words.items, k)
-                starts = np.arange(len(words.items) - length + 1)
-                starts = starts[wanted[of[starts]] & (starts + length <= end[of[starts]])] if len(starts) else starts
-                best = starts.copy()
-                for j in range(1, length - k + 1):
-                    best = np.where(g[starts + j] < g[best], starts + j, best)
-                best = np.unique(best)
-                line = of[best]
-                out.append((mix(g[best] + np.uint64(least)), words.of(start[line], end[line]), size[line], best - start[line]))
-            key, line, n, at = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))],
-                names=["key", "line", "n", "at"],
-            )
-
-    return docs.select("text").mapInArrow(run, GRAMS)
-
-
-def _sent(df: DataFrame) -> DataFrame:
-    """The table for a join: sent to all tasks if it is within the bound."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
-def _near(growing: bool):
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = x.split(" "), y.split(" ")
-            n, e = max(len(x), len(y)), bound(max(len(x), len(y)), growing)
-            out.append(n >= MIN_WORDS and word_edits(x, y, e) <= e)
-        return pd.Series(out, dtype=bool)
-
-    return near
-
-
-def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, words) of the lines at the places ``ats`` of documents (doc_id, th)."""
-    at = F.explode("ats").alias("at")
-    lines = docs.join(_sent(wanted), ["doc_id", "th"]).select(F.split("text", "\n").alias("split"), at)
-    words = F.array_join(F.array_remove(F.split(F.get("split", F.col("at.place")), SPACE), ""), " ")
-    return lines.select(F.col("at.line").alias("line"), words.alias("words"))
-
-
-def near_long_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(line, near): a place of an earlier near line, for the long lines that have one."""
-    known = docs.filter("doc_id IS NOT NULL")
-    table = gram_table(known)
-    met = table.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key")
-    members = table.join(_sent(cut(met, "shared_grams")), "key").distinct()
-    rank = F.struct("first.doc_id", "first.at", "line").alias("rank")
-    members = members.join(firsts.select("line", "first"), "line").select("key", "line", "n", "at", rank)
-
-    # in crowded keys the lines of a pair meet in neighbouring buckets of length and place
-    members = cut(members, "gram_members")
-    crowded = members.groupBy("key").count().filter(F.col("count") >= CROWD).select("key", F.lit(True).alias("crowded"))
-    members = members.join(_sent(cut(crowded, "crowded_keys")), "key", "left")
-    some = F.col("crowded").isNotNull()
-    size = F.floor(F.log("n") / F.log(F.lit(BUCKET)))
-    wide = F.floor(F.pow(F.lit(BUCKET), F.col("size") + 1) * PERCENT / (100 - PERCENT)) + 1
-    spot = F.floor(F.col("at") / wide)
-    alone = F.expr("array(0L)")
-    mates = members.withColumn("size", F.when(some, size).otherwise(0)).withColumn("spot", F.when(some, spot).otherwise(0))
-    mates = mates.select("key", "size", "spot", F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("rank").alias("best"))
-    probes = members.withColumn("size", F.explode(F.when(some, F.sequence(size - 1, size + 1)).otherwise(alone)))
-    probes = probes.withColumn("spot", F.explode(F.when(some, F.sequence(spot - 1, spot + 1)).otherwise(alone))).drop("crowded")
-    most = F.floor(F.greatest("n", "n2") * PERCENT / 100)
-    fits = (F.col("best") < F.col("rank")) & (F.abs(F.col("n") - F.col("n2")) <= most) & (F.abs(F.col("at") - F.col("at2")) <= most)
-    by = ["key", "size", "spot"]
-
-    def verified(probes: DataFrame, mates: DataFrame, name: str) -> DataFrame:
-        pairs = probes.join(mates, by).filter(fits).select("line", F.col("best.line").alias("other"), F.struct("best.doc_id", "best.at").alias("near")).distinct()
-        pairs = cut(pairs, f"{name}_pairs")
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = x.split(" "), y.split(" ")
+        n = max(len(x), len(y))
+        out.append(n >= MIN_WORDS and word_edits(x, y, int(bound(n))) <= bound(n))
+    return pd.Series(out, dtype=bool)
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, rank (first place), n, b1, b2."""
+    cores = Cores(docs)
+    half = F.shiftright("line", 32).cast("int")  # two lines of a key are taken for equal once in 2 ** 32
+    shared = variant_table(docs, cores).groupBy("key").agg(F.min(half).alias("a"), F.max(half).alias("b")).filter("a < b").select("key")
+    shared = cut(shared, "shared_variants")
+    keyed = variant_table(docs, cores, KeyFilter(shared, "key")).repartition("key").distinct().join(shared, "key")
+    members = cut(keyed.join(firsts, "line"), "members")
+
+    most = F.greatest(F.lit(1), F.floor(F.greatest("n", "n2") * PERCENT / 100))
+    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2")))
+    fits = (F.col("rank2") < F.col("rank")) & (differ + F.abs(F.col("n") - F.col("n2")) <= 2 * most)
+    names = {"line": "other", "n": "n2", "b1": "c1", "b2": "c2", "rank": "rank2"}
+    mates = lambda m, *more: m.select("key", *more, *[F.col(c).alias(d) for c, d in names.items()])
+    near = F.pandas_udf(_near, "boolean")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The lines of pairs (line, other) that are near."""
+        pairs = cut(pairs.select("line", "other").distinct(), f"{name}_pairs")
         ends = pairs.select("line").union(pairs.select("other")).distinct()
-        wanted = firsts.join(ends, "line").groupBy(F.col("first.doc_id").alias("doc_id"), "th")
-        wanted = cut(wanted.agg(F.collect_list(F.struct(F.col("first.at").alias("place"), "line")).alias("ats")), f"{name}_wanted")
-        texts = cut(line_words(docs, wanted).dropDuplicates(["line"]), f"{name}_texts")
-        both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
-        return cut(both.filter(_near(True)("words", "other_words")).groupBy("line").agg(F.min("near").alias("near")), name)
-
-    lowest = mates.groupBy(*by).agg(F.min(F.struct("best", "n2", "at2")).alias("m")).select(*by, "m.best", "m.n2", "m.at2")
-    easy = verified(probes, lowest, "near_first")
-    hard = verified(probes.join(easy.select("line"), "line", "left_anti"), mates, "near_any")
-    return easy.unionByName(hard)
-
-
-def late_lines(docs: DataFrame, growing: bool = False) -> DataFrame:
+        ends = cut(ends.join(firsts, "line").select("line", F.col("rank.doc_id").alias("doc_id")), f"{name}_ends")
+        words = line_texts(docs, ends, f"{name}_words")
+        both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("words2")), "other")
+        return cut(both.filter(near("words", "words2")).select("line").distinct(), name)
+
+    # the first line of each key; keys of two lines are done with it
+    lowest = members.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"), F.count(F.lit(1)).alias("size"))
+    met = members.join(mates(lowest.select("key", "size", "m.*"), "size"), "key")
+    met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").drop("n2", "c1", "c2", "rank2")
+    met = cut(met, "first_lines")
+    easy = verified(met.filter("other IS NOT NULL"), "near_first")
+
+    # all earlier lines of a key for the others
+    rest = met.filter("size > 2").drop("other")
+    left = rest.join(easy, "line", "left_anti")
+    pairs = left.filter(F.col("size") <= CROWD).join(mates(rest), "key").filter(fits)
+    some = verified(pairs, "near_any")
+    crowd = cut(left.filter(F.col("size") > CROWD).select("key").distinct(), "crowded")
+    if crowd.isEmpty():
+        return easy.union(some)
+    busy = cut(rest.join(crowd, "key", "left_semi").select("line", F.col("rank.doc_id").alias("doc_id")).distinct(), "busy_lines")
+    words = line_texts(docs, busy, "busy_words")
+    rare = pair_table(words, cores, KeyFilter(crowd, "key"))
+    twice = cut(rare.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"), "shared_pairs")
+    rare = pair_table(words, cores, KeyFilter(crowd, "key")).join(twice, "key", "left_semi")
+    rare = cut(rare.join(firsts, "line"), "rare_members")
+    asking = left.filter(F.col("size") > CROWD).select("line").distinct().join(some, "line", "left_anti")
+    asked = rare.join(asking, "line", "left_semi")
+    lowest = rare.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"))
+    rarely = verified(asked.join(mates(lowest.select("key", "m.*")), "key").filter(fits), "near_rare_first")
+    last = verified(asked.join(rarely, "line", "left_anti").join(mates(rare), "key").filter(fits), "near_rare")
+    return easy.union(some).union(rarely).union(last)
+
+
+def late_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ats): the places of the lines that an earlier line of the corpus equals or is near to."""
-    lines = cut(line_table(docs, LONG - 1) if growing else line_table(docs), "lines")
-    known = lines.filter("doc_id IS NOT NULL")
+    docs = docs.filter("doc_id IS NOT NULL")
+    lines = cut(line_table(docs), "lines")
     place = F.struct("doc_id", "at")
-    firsts = known.groupBy("line").agg(F.min(F.struct("doc_id", "at", "th")).alias("f"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts.select("line", F.struct("f.doc_id", "f.at").alias("first"), "f.th", "n"), "distinct_lines")
-
-    halves = known.select("line", F.explode(F.array_distinct("halves")).alias("half"))
-    met = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("half")
-    survivors = cut(halves.join(_sent(cut(met, "shared_halves")), "half").select("line").distinct(), "survivors")
-    wanted = firsts.join(survivors, "line").groupBy(F.col("first.doc_id").alias("doc_id"), "th").agg(F.collect_list("first.at").alias("ats"))
-    wanted = cut(wanted, "wanted")
-    keyed = cut(variants(docs.join(_sent(wanted), ["doc_id", "th"])), "variants")
-
-    # most variants stand alone; what remains is small
-    met = cut(keyed.groupBy("variant").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("variant"), "shared_variants")
-    rank = F.struct("doc_id", "at", "line")
-    ranked = cut(keyed.drop("words").join(_sent(met), "variant").select("line", "variant", "deleted", rank.alias("rank")), "ranked")
-    at_place = cut(ranked.groupBy("variant", "deleted").agg(F.min("rank").alias("best")), "places")
-    by_place = ranked.join(at_place, ["variant", "deleted"]).select("line", "rank", "best")
-    whole = at_place.filter("deleted = -1").select("variant", "best")
-    to_whole = ranked.filter("deleted >= 0").join(whole, "variant").select("line", "rank", "best")
-    shorter = at_place.filter("deleted >= 0").groupBy("variant").agg(F.min("best").alias("best"))
-    from_whole = ranked.filter("deleted = -1").join(cut(shorter, "shorter"), "variant").select("line", "rank", "best")
-    pairs = by_place.unionByName(to_whole).unionByName(from_whole).filter("best < rank")
-    pairs = cut(pairs.select("line", F.col("best.line").alias("other"), "best").distinct(), "pairs")
-
-    ends = pairs.select("line").union(pairs.select("other")).distinct()
-    texts = keyed.filter("deleted = -1").select("line", "words").join(ends, "line").dropDuplicates(["line"])
-    texts = cut(texts, "pair_texts")
-    both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("words").alias("other_words")), "other")
-
-    best = both.filter(_near(growing)("words", "other_words")).groupBy("line").agg(F.min(F.struct("best.doc_id", "best.at")).alias("near"))
-    if growing:
-        best = best.unionByName(near_long_lines(docs, firsts))
-    earliest = firsts.select("line", "first", "n").join(cut(best, "near"), "line", "left").filter("n > 1 OR near IS NOT NULL")
-    earliest = cut(earliest.select("line", F.least("first", "near").alias("earliest")), "earliest")
-    gone = known.select("doc_id", "th", "at", "line").join(earliest, "line").filter(F.col("earliest") < place)
-    return cut(gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
-
-
-def dedup(docs: DataFrame, growing: bool = False) -> DataFrame:
+    firsts = lines.groupBy("line").agg(F.min(place).alias("rank"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "b1", "b2")])
+    firsts = cut(firsts, "distinct_lines")
+    near = cut(near_lines(docs, firsts.drop("copies")).distinct().withColumn("near", F.lit(True)), "near")
+    gone = firsts.join(near, "line", "left").filter("copies > 1 OR near")
+    # the first place of a line goes too if it is near to an earlier one
+    gone = gone.select("line", "rank", F.coalesce("near", F.lit(False)).alias("near"))
+    late = lines.join(gone, "line").filter(F.col("near") | (F.col("rank") < place))
+    return cut(late.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
     """The documents without lines that repeat an earlier one (by doc_id, then place) exactly or nearly.
 
-    Near lines differ by one word edit, with ``growing`` by up to PERCENT edits for a hundred words of the longer line.
     Columns and rows stay; n_chars, where present, follows the new text. Lines without words stay. A
     text all of whose lines go becomes empty. Null texts stay null; documents with a null doc_id neither
     lose lines nor count as earlier. Rows of equal doc_id and text lose the same lines.
     """
-    rows = docs.withColumn("th__", F.xxhash64("text"))
-    late = late_lines(rows.select(F.col("doc_id").cast("long"), F.col("th__").alias("th"), "text"), growing)
+    rows = docs.withColumn("th__", F.xxhash64("text")).withColumn("key__", F.col("doc_id").cast("long"))
+    late = late_lines(rows.select(F.col("key__").alias("doc_id"), F.col("th__").alias("th"), "text"))
+    # documents that keep all lines are not shuffled
+    hit = KeyFilter(late.select("doc_id").distinct(), "doc_id")
+
+    @F.pandas_udf("boolean")
+    def some(ids: pd.Series) -> pd.Series:
+        return pd.Series(hit.may_hold(ids.fillna(0).to_numpy(np.int64)))
+
+    rows = rows.withColumn("some__", some("key__"))
     late = late.select(F.col("doc_id").alias("id__"), F.col("th").alias("h__"), F.col("ats").alias("ats__"))
-    joined = rows.join(late, (F.col("doc_id") == F.col("id__")) & (F.col("th__") == F.col("h__")), "left")
+    joined = rows.filter("some__").join(late, (F.col("key__") == F.col("id__")) & (F.col("th__") == F.col("h__")), "left")
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("ats__", i))
     text = F.when(F.col("ats__").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("ats__").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own).unionByName(rows.filter("NOT some__").select(*own))
