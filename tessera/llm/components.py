@@ -34,3 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
     root = cut(root, "roots")
     least = cut(root.groupBy("root").agg(F.min("node").alias("component")), "least")
     return cut(root.join(least, "root").select("node", "component"), "components")
+
+
+def merged(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, component) of ``found`` after more ``edges`` (a, b): only their ends' components are joined anew."""
+    place = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    both = edges.select("a", "b").join(place("a"), "a", "left").join(place("b"), "b", "left")
+    both = cut(both.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "more_edges")
+    up = components(both.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    up = up.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    ends = both.select(F.col("a").alias("node"), F.col("of_a").alias("component")).union(both.select("b", "of_b"))
+    every = found.union(ends).distinct()
+    return cut(every.join(up, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "merged")

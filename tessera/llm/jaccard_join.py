@@ -15,7 +15,7 @@ whose sets lie in several components; there sets of different components are com
 difference from 512-bit parity sketches, which never rejects a similar pair, comes before each exact check.
 
 Sets that are alike in part but not similar (pages of one template) crowd the keys of the common part. A key
-that would compare more than CROWD_PAIRS pairs is given up for keys by rare tokens: with the tokens of a set in order of
+that would compare more than CROWD_PAIRS pairs, and more than CROWD_OTHERS sets with all others, is given up for keys by rare tokens: with the tokens of a set in order of
 their frequency among such sets, similar sets share a token among the first |x| - t * |x| + 1 of each, at places
 that add up to H at most, as no token before it is common. So one of the places is H / 2 at most: that set is indexed by its
 token and place (in steps), the other asks for the token at all places that are left to it. The common part comes last in
@@ -36,14 +36,14 @@ from pyspark.sql import types as T
 
 from tessera.llm.arrays import grams, lists, mix, sliced, words_of
 from tessera.llm.common import bucket_counts, cut
-from tessera.llm.components import components
+from tessera.llm.components import components, merged
 
 #: Bits of distinction that a token is taken to give, in the cost model.
 TOKEN_BITS = 10.0
-#: Pairs of a key beyond which its sets meet by their rare tokens.
-CROWD_PAIRS = 2500
+#: Pairs of a key, and sets outside its largest component, beyond which its sets meet by their rare tokens.
+CROWD_PAIRS, CROWD_OTHERS = 2500, 50
 #: Buckets of tokens whose occurrences are counted, and steps of places.
-COUNT_BUCKETS, STEPS = 1 << 16, 4
+COUNT_BUCKETS, STEPS = 1 << 16, 2
 #: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
 #: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
@@ -312,8 +312,8 @@ def placed_in(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFram
     placed = members.join(found, "node", "left").select("key", "node", "whole", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("key", "component").count().groupBy("key")
     sizes = sizes.agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"))
-    pairs = (F.col("n") - F.col("main.count")) * F.col("n")
-    return placed, cut(sizes.filter("parts > 1").select("key", F.col("main.component").alias("main"), pairs.alias("pairs")), "mixed_keys")
+    others = F.col("n") - F.col("main.count")
+    return placed, cut(sizes.filter("parts > 1").select("key", F.col("main.component").alias("main"), others.alias("others"), (others * F.col("n")).alias("pairs")), "mixed_keys")
 
 
 def across(placed: DataFrame, mixed: DataFrame, bits: DataFrame, t_pct: int, name: str) -> DataFrame:
@@ -357,7 +357,7 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
 
     # keys whose sets lie in several components
     placed, mixed = placed_in(members, found)
-    placed = cut(placed.join(mixed.select("key", (F.col("pairs") > CROWD_PAIRS).alias("crowded")), "key"), "placed")
+    placed = cut(placed.join(mixed.select("key", ((F.col("pairs") > CROWD_PAIRS) & (F.col("others") > CROWD_OTHERS)).alias("crowded")), "key"), "placed")
     rest = across(placed.filter("NOT crowded").drop("crowded"), mixed, bits, t_pct, "open")
 
     crowd = cut(placed.filter("crowded").select("node").distinct(), "crowd")
@@ -368,15 +368,14 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
         more = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         more = more.join(place("a"), "a", "left").join(place("b"), "b", "left").filter("coalesce(a_component, a) <> coalesce(b_component, b)")
         more = cut(possible(more.select("a", "b"), bits, t_pct), "rare_stars")
-        links = links.union(cut(verified(more, docs, t_pct, n), "rare_links"))
-        found = components(links)
+        found = merged(found, cut(verified(more, docs, t_pct, n), "rare_links"))
         stars = stars.union(more)
         placed, mixed = placed_in(members, found)
         rest = rest.union(across(placed, mixed, bits, t_pct, "rare_open")).distinct()
 
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        found = components(links.union(cut(verified(rest, docs, t_pct, n), "more_links")))
+        found = merged(found, cut(verified(rest, docs, t_pct, n), "more_links"))
 
     named = cut(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "named")
     out = sk.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from tessera.llm import jaccard_join as J
-from tessera.llm.components import components
+from tessera.llm.components import components, merged
 
 
 def shingles(text, n):
@@ -71,6 +71,7 @@ def generated(seed):
 def test_components_equal_brute_force(frame, monkeypatch, pairs):
     """With 0 pairs all sets that share keys across components meet by their rare tokens."""
     monkeypatch.setattr(J, "CROWD_PAIRS", pairs)
+    monkeypatch.setattr(J, "CROWD_OTHERS", min(pairs // 10, 50))
     for seed, t_pct, n in ((1, 90, 3), (2, 80, 5)):
         rows = generated(seed)
         check(frame(rows), rows, t_pct, n)
@@ -87,6 +88,7 @@ def boilerplate(n, own, common=100, seed=4):
 def test_boilerplate_around_the_threshold(frame, monkeypatch, pairs):
     """Sets that share most tokens, some just above, some just below the similarity."""
     monkeypatch.setattr(J, "CROWD_PAIRS", pairs)
+    monkeypatch.setattr(J, "CROWD_OTHERS", min(pairs // 10, 50))
     rows = boilerplate(160, lambda i: i % 16) + [(i + 1000, t) for i, t in boilerplate(60, lambda i: 4 + i % 5, 60, 5)]
     check(frame(rows), rows, 90, 3)
 
@@ -144,3 +146,13 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7), (5, 6)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_merged_components_equal_those_of_all_edges(spark):
+    rnd = random.Random(9)
+    edge = lambda n: [(rnd.randrange(60), rnd.randrange(60)) for _ in range(n)]
+    first, more = edge(25), edge(15)
+    make = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = {r.node: r.component for r in merged(components(make(first)), make(more)).collect()}
+    want = {r.node: r.component for r in components(make(first + more)).collect()}
+    assert {n: got[n] for n in want} == want and all(got[n] == n for n in got.keys() - want.keys())
