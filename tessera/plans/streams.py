@@ -15,8 +15,13 @@ from tessera.streaming import jobs
 
 
 def scratch(spark, name):
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera"
+    """A new folder under spark.checkpoint.dir; where that is unset, a local master (tests) uses one of this machine."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        root = f"file://{tempfile.gettempdir()}/tessera"
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/plans/{uuid.uuid4().hex}/{name}"
 
 
@@ -33,20 +38,37 @@ def i01_journal_tail(spark, sf_dir):
     return jobs.drain(journal.tail(spark, folder, after=100), scratch(spark, "tail")).select("seq", "stage", F.get_json_object("payload", "$.k").cast("long").alias("k"))
 
 
+def i02_topup(spark, sf_dir):
+    """Candidates of each event type taken in four batches by one writer until 100 users are reached; coverage measured at the end."""
+    source = scratch(spark, "candidates")
+    e = table(spark, sf_dir, "events").select("event_type", "user_id")
+    for part in range(4):
+        e.filter(F.col("user_id") % 4 == part).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store = jobs.topped_up(stream, scratch(spark, "topup"), ["event_type", "user_id"], "event_type", 100)
+    n = F.count(F.lit(1))
+    return store.groupBy("event_type").agg(F.least(n, F.lit(100)).alias("n"), (n >= 100).alias("covered"))
+
+
 def i02_windowed_counts(spark, sf_dir):
-    """Daily counts and sums per type from the stream, with a day of lateness."""
-    rows = jobs.windows(_event_stream(spark, sf_dir), "time", "1 day", "1 day", ["event_type"])
+    """Daily counts and sums per type from the stream, with a day of lateness; a last event far ahead closes all windows."""
+    e = _event_stream(spark, sf_dir).select("event_type", "value", "time")
+    end = scratch(spark, "end")
+    spark.createDataFrame([("end", 0.0)], "event_type string, value double").select("*", F.expr("timestamp'2100-01-01'").alias("time")).write.parquet(end)
     folder = scratch(spark, "windows")
-    query = rows.writeStream.outputMode("complete").format("memory").queryName(f"w{uuid.uuid4().hex}").trigger(availableNow=True).option("checkpointLocation", folder).start()
-    query.awaitTermination()
-    out = spark.table(query.name)
+    run = lambda rows: jobs.drain(jobs.windows(rows, "time", "1 day", "1 day", ["event_type"]), folder)
+    out = run(e.union(spark.readStream.schema(e.schema).parquet(end)))
+    out = out.filter("event_type <> 'end'")
     return out.select(F.date_format("w_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def i03_token_bucket(spark, sf_dir):
-    """Calls per event type through a bucket of 2 tokens that gains one in 2 hours."""
-    calls = _event_stream(spark, sf_dir).select("event_type", "event_id", (micros(F.col("ts")) / 1_000_000).alias("at"))
-    return jobs.drain(jobs.token_bucket(calls, "event_type", 1 / 7200, 2.0), scratch(spark, "bucket"))
+    """Calls of each user and event type through a bucket of 2 tokens that gains one in 2 days; errors over 30 are refused, three
+    in a row hold calls back for ten days."""
+    calls = _event_stream(spark, sf_dir).select(
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("caller"), "event_id", (micros(F.col("ts")) / 1_000_000).alias("at"), (F.col("value") > 30).alias("refused")
+    )
+    return jobs.drain(jobs.token_bucket(calls, "caller", 1 / 172_800, 2.0, 3, 864_000.0), scratch(spark, "bucket"))
 
 
 def i08_once(spark, sf_dir):
@@ -65,9 +87,10 @@ def a19_paged_listing(spark, sf_dir):
     return rows.groupBy("license").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing)}
+QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_topup, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing)}
 ORACLE = {
     "i01_journal_tail": "SELECT event_id AS seq, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id > 100",
+    "i02_topup": "SELECT event_type, least(100, count(DISTINCT user_id)) AS n, count(DISTINCT user_id) >= 100 AS covered FROM events GROUP BY 1",
     "i02_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "i08_once": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
     "a19_paged_listing": "SELECT p_type AS license, count(*) AS n, CAST(sum(p_size) AS DOUBLE) AS duration FROM part GROUP BY 1",

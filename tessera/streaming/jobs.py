@@ -1,4 +1,4 @@
-"""Streams: draining a journal, dropping repeats, windows with a watermark, a token bucket per key."""
+"""Streams: draining a journal, dropping repeats, windows with a watermark, one writer with a goal, a token bucket per key."""
 
 from __future__ import annotations
 
@@ -28,24 +28,51 @@ def windows(stream: DataFrame, at: str, width: str, late: str, by: list[str]) ->
     return rows.select(F.col("window.start").alias("w_start"), *by, "n", "total")
 
 
-def token_bucket(stream: DataFrame, key: str, rate: float, burst: float) -> DataFrame:
-    """Whether each call (key, event_id, at in seconds) is let through a token bucket of its key.
+def topped_up(stream: DataFrame, folder: str, key: list[str], group: str, target: int) -> DataFrame:
+    """Runs a stream of candidates through one writer: each batch adds the keys that the store lacks, for groups that have
+    fewer than ``target`` rows so far; returns the store. Started again it goes on; a batch that is run twice adds nothing.
+    """
+    spark, store = stream.sparkSession, f"{folder}/store"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(store)
+
+    def ingest(batch: DataFrame, _: int) -> None:
+        have = spark.read.schema(stream.schema).parquet(store)
+        full = have.groupBy(group).count().filter(F.col("count") >= target).select(group)
+        new = batch.dropDuplicates(key).join(full, group, "left_anti").join(have.select(*key), key, "left_anti")
+        new.select(*stream.columns).write.mode("append").parquet(store)
+
+    query = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", f"{folder}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(store)
+
+
+def token_bucket(stream: DataFrame, key: str, rate: float, burst: float, most: int = 3, pause: float = 60.0) -> DataFrame:
+    """Whether each call (key, event_id, at in seconds, refused by the other side) is let through: allowed, limited or open.
 
-    State: tokens left and the time of the last refill. Calls of one batch are taken in order of time.
+    A token bucket per key, and a breaker: after ``most`` refused calls in a row that were let through, all calls are held
+    back for ``pause`` seconds; one that is accepted counts anew. State: tokens, time of the last refill, refusals in a row,
+    end of the pause. Calls of one batch are taken in order of time; a key's calls of a batch are one task's, so keys should
+    be narrow (a user and a type, not a type).
     """
 
     def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (burst, None)
+        tokens, last, refused, shut = state.get if state.exists else (burst, None, 0, 0.0)
         calls = pd.concat(parts).sort_values(["at", "event_id"])
-        allowed = []
-        for at in calls["at"]:
+        verdicts = []
+        for at, no in zip(calls["at"], calls["refused"]):
             if last is not None:
                 tokens = min(burst, tokens + max(0.0, at - last) * rate)
             last = at if last is None else max(last, at)
-            allowed.append(tokens >= 1.0)
-            tokens -= 1.0 if allowed[-1] else 0.0
-        state.update((float(tokens), float(last)))
-        yield pd.DataFrame({key: keys[0], "event_id": calls["event_id"].to_numpy(), "allowed": allowed})
+            verdicts.append("open" if at < shut else "allowed" if tokens >= 1.0 else "limited")
+            if verdicts[-1] == "allowed":
+                tokens -= 1.0
+                refused = refused + 1 if no else 0
+                if refused >= most:
+                    refused, shut = 0, at + pause
+        state.update((float(tokens), float(last), int(refused), float(shut)))
+        yield pd.DataFrame({key: keys[0], "event_id": calls["event_id"].to_numpy(), "verdict": verdicts})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, event_id long, verdict string", "tokens double, last double, refused int, shut double", "append", GroupStateTimeout.NoTimeout
+    )
