@@ -130,7 +130,9 @@ class Cores:
 
     def __init__(self, docs: DataFrame):
         counts = bucket_counts(docs, lambda texts: words_of(texts)[0], COUNT_BUCKETS)
-        self.counts = docs.sparkSession.sparkContext.broadcast((int(counts.sum()), counts))
+        # frequency in steps of a quarter of a power of 2, and whether it is high: a byte for each bucket
+        steps = np.minimum(127, 4 * np.log2(1.0 + counts)).astype(np.uint8) | (counts * FREQUENT > counts.sum()).astype(np.uint8) << 7
+        self.steps = docs.sparkSession.sparkContext.broadcast(steps)
 
     def variants(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(line, key): the hashed variants of each line with 2 * bound + ``more`` words of core, rarest first."""
@@ -139,9 +141,8 @@ class Cores:
         each = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(each)) - begin[each] + start[each]
         h = words[place]
-        total, counts = self.counts.value
-        count = counts[(h % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
-        common = count * FREQUENT > total
+        step = self.steps.value[(h % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+        common = step > 127
         # the next word, for one that is not frequent the next such word; 0 at the line's end
         last = begin + n
         pad = np.append(h, np.uint64(0))
@@ -150,8 +151,8 @@ class Cores:
         rare = np.minimum.accumulate(rare[::-1])[::-1][1:]
         follow = np.where(common, at + 1, rare)
         after = np.where(follow < last[each], pad[np.minimum(follow, len(h))], np.uint64(0))
-        # in order of frequency in steps of an eighth, then of the word's hash
-        rank = (np.minimum(255, 8 * np.log2(1.0 + count)).astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
+        # in order of frequency, then of the word's hash
+        rank = (step.astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
         if len(n) < 1 << 18:  # one sort by line and rank; words of a line that then rank alike count as one
             order = np.argsort((each.astype(np.uint64) << np.uint64(46)) | (rank >> np.uint64(18)))
             rank = rank >> np.uint64(18)
@@ -236,25 +237,31 @@ def line_texts(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
 
 
 def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
-    """Edit distance in words, ``most`` + 1 if it is above ``most``; by the furthest place of each diagonal after each edit."""
+    """Edit distance in words, ``most`` + 1 if it is above ``most``.
+
+    A column of the table at a time, its steps up and down as bits of two whole numbers.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    n, goal = len(a), len(b) - len(a)
-    far = {}  # diagonal (place in b less place in a) to place in a
-    for e in range(most + 1):
-        new = {}
-        for d in range(max(-e, -n), min(e, len(b)) + 1):
-            i = 0 if not e else max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
-            if i < 0:
-                continue
-            i = min(i, n, len(b) - d)
-            while i < n and i + d < len(b) and a[i] == b[i + d]:
-                i += 1
-            new[d] = i
-        if new.get(goal) == n:
-            return e
-        far = new
-    return most + 1
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = whole, 0, len(a)
+    for left, w in zip(range(len(b) - 1, -1, -1), b):
+        eq = at.get(w, 0)
+        level = (((eq & up) + up) ^ up) | eq
+        right_up, right_down = down | whole & ~(level | up), up & level
+        score += 1 if right_up & last else -1 if right_down & last else 0
+        if score - left > most:
+            return most + 1
+        right_up, right_down = (right_up << 1 | 1) & whole, right_down << 1 & whole
+        up, down = right_down | whole & ~(eq | down | right_up), right_up & (eq | down)
+    return min(score, most + 1)
 
 
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -30,3 +30,14 @@ def test_reruns_agree_and_prefixes_are_mixed(frame):
 def test_empty(frame):
     assert M.mix_totals(frame([])).count() == 0
     assert M.mix_totals(frame([(1, ""), (2, None)])).filter("taken = 0").count() == 2
+
+
+def test_extra_columns_and_a_very_long_text(frame):
+    """Columns with the names of results do not get in the way; a text of 200,000 words is taken piece by piece."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "w " * 200_000, "en", "a"), (2, "w " * 10, "en", "b"), (3, None, "en", "b")]
+    docs = frame(rows).withColumns({n: F.lit("x") for n in ("size", "target", "taken", "sid", "rank", "chunk", "ordinal", "slot", "quota", "start", "source_size")})
+    got = {r.doc_id: (r["size"], r.taken) for r in M.mix_totals(docs).collect()}
+    assert got == {r.doc_id: (r["size"], r.taken) for r in M.mix_totals(frame(rows)).collect()}
+    assert got[1][0] == 200_000 and got[3] == (0, 0) and sum(t for _, t in got.values()) == 300_015

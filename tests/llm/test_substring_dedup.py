@@ -83,3 +83,12 @@ def test_clean_and_empty(frame):
     rows = S.clean(frame([(1, p), (2, f"x {p} y"), (3, "keep\n as  is"), (4, None)])).collect()
     assert {r.doc_id: r.text for r in rows} == {1: p, 2: "x y", 3: "keep\n as  is", 4: None}
     assert rows[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_very_long_texts(frame):
+    """A text of one word a hundred thousand times, and long texts that share a part, against brute force."""
+    rnd = random.Random(6)
+    part = [f"p{rnd.randrange(10**6)}" for _ in range(20_000)]
+    long = [f"q{i}" for i in range(30_000)]
+    rows = [(1, "a " * 100_000), (2, "a " * 60_000 + "b"), (3, " ".join(long + part)), (4, " ".join(part[100:] + ["end"])), (5, "x" * 500_000)]
+    assert got(S.digest(frame(rows))) == brute(rows, 50)
