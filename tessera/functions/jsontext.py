@@ -13,8 +13,13 @@ def object_text(raw: Column) -> Column:
 
 
 def read_object(raw: Column, schema: str) -> Column:
-    """The object as a struct; null if the text holds none or it does not parse."""
-    return F.from_json(object_text(raw), schema, {"mode": "PERMISSIVE"})
+    """The object of a text as a struct: inside a code fence if there is one, of a list the first object, else from the first { to
+    the last }; null if there is none or it does not parse. ``schema`` lists the fields."""
+    fenced = F.regexp_extract(raw, "(?s)```(?:json)?\\s*(.*?)```", 1)
+    inner = F.trim(F.when(fenced != "", fenced).otherwise(raw))
+    listed = F.filter(F.from_json(inner, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"}), lambda x: x.isNotNull())
+    one = F.from_json(object_text(inner), schema, {"mode": "PERMISSIVE"})
+    return F.when(inner.startswith("["), F.get(listed, F.lit(0))).otherwise(one)
 
 
 def redact_keys(raw: Column, names: list[str]) -> Column:

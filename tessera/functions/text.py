@@ -81,6 +81,23 @@ def strip_markup(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, "[ \\t\\r\\n]+", " "))
 
 
+#: Characters of emoji and what joins or colours them.
+EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0F}\\x{200D}\\x{20E3}]"
+
+
+def spoken(text: Column) -> Column:
+    """Text for a voice: no emoji, no Markdown marks (links and code keep their words, code blocks go), no HTML tags, at most one
+    blank line and single spaces; null reads as empty."""
+    steps = [
+        (EMOJI, ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("!\\[([^\\]]*)\\]\\([^)]+\\)", "$1"), ("\\*\\*|__|\\*|_|~~", ""), ("(?s)```.+?```", ""), ("`([^`]+)`", "$1"),
+        ("(?m)^\\s*#{1,6}\\s+", ""), ("</?[^>]+(>|$)", ""), ("\n{2,}", "\n\n"), (" {2,}", " "), ("^\\s+|\\s+$", ""),
+    ]
+    out = F.coalesce(text, F.lit(""))
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
 def redact(text: Column) -> Column:
     """Masks values of key-like query parameters, bearer tokens, and all long tokens in URL paths."""
     text = F.regexp_replace(text, "(?i)([?&](?:api_?key|key|token|access_token|secret|utm_source)=)[^&\\s\"'>]+", "$1***")

@@ -45,6 +45,16 @@ def c05_best_overlap(spark, sf_dir):
     return I.best_overlap(left, right, ["user_id"], 6 * HOUR, "purchase_id", [F.col("other_id")]).select("purchase_id", "other_id", (F.col("hi") - F.col("lo")).alias("shared"))
 
 
+def c06_dominant(spark, sf_dir):
+    """For each purchase the other span that overlaps it longest, on whole minutes; of equal ones the most valued, then the first."""
+    s = spans(spark, sf_dir)
+    minute = lambda c: F.floor(F.col(c) / MINUTE) * MINUTE
+    left = s.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), minute("start").alias("l_start"), minute("end").alias("l_end"))
+    right = s.filter("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("other_id"), F.floor("value").alias("importance"), minute("start").alias("r_start"), minute("end").alias("r_end"))
+    out = I.best_overlap(left, right, ["user_id"], 6 * HOUR, "purchase_id", [F.desc("importance"), F.col("r_start"), F.col("other_id")])
+    return out.select("purchase_id", "other_id", (F.col("hi") - F.col("lo")).alias("shared"))
+
+
 def _points(spark, sf_dir, closed):
     s = spans(spark, sf_dir)
     points = s.filter("event_type = 'error'").select("user_id", "event_id", F.col("start").alias("at"))
@@ -152,7 +162,7 @@ _POINT = """SELECT e.event_id, (SELECT v.event_id FROM s v WHERE v.event_type =
 QUERIES = {
     f.__name__: f
     for f in (
-        d03_union_seconds, c04_overlap_join, c05_best_overlap, c07_point_lookup, c08_point_inner, c09_midpoint_lookup, c10_closed_lookup,
+        d03_union_seconds, c04_overlap_join, c05_best_overlap, c06_dominant, c07_point_lookup, c08_point_inner, c09_midpoint_lookup, c10_closed_lookup,
         c11_forward_asof, c12_backward_asof, c13_clip_intersection, c14_text_between, c22_tolerance_anti, c26_nearest, e09_merged_spans, e24_failed_ranges,
     )
 }
@@ -169,6 +179,10 @@ ORACLE = {
                row_number() OVER (PARTITION BY v.event_id ORDER BY least(v."end", c."end") - greatest(v."start", c."start") DESC, c.event_id) AS n
         FROM s v JOIN s c ON v.user_id = c.user_id AND v.event_type = 'purchase' AND c.event_type <> 'purchase'
         WHERE least(v."end", c."end") > greatest(v."start", c."start")) WHERE n = 1""",
+    "c06_dominant": SPANS + """, m AS (SELECT s.user_id, s.event_id, s.event_type, floor(e.value) AS importance, "start" // 60000000 * 60000000 AS a, "end" // 60000000 * 60000000 AS b FROM s JOIN events e ON e.event_id = s.event_id)
+        SELECT purchase_id, other_id, shared FROM (SELECT v.event_id AS purchase_id, c.event_id AS other_id, least(v.b, c.b) - greatest(v.a, c.a) AS shared,
+          row_number() OVER (PARTITION BY v.event_id ORDER BY least(v.b, c.b) - greatest(v.a, c.a) DESC, c.importance DESC, c.a, c.event_id) AS n
+        FROM m v JOIN m c ON v.user_id = c.user_id AND v.event_type = 'purchase' AND c.event_type <> 'purchase' WHERE least(v.b, c.b) > greatest(v.a, c.a)) WHERE n = 1""",
     "c07_point_lookup": SPANS + ", p AS (" + _POINT.format(closed=0) + """), l AS (SELECT user_id, arg_max(event_id, ("start", event_id)) AS last_view FROM s WHERE event_type = 'view' GROUP BY user_id)
         SELECT p.event_id, coalesce(p.view_id, l.last_view) AS view_id, p.view_id IS NOT NULL AS inside FROM p JOIN s USING (event_id) LEFT JOIN l USING (user_id)""",
     "c08_point_inner": SPANS + "SELECT * FROM (" + _POINT.format(closed=0) + ") WHERE view_id IS NOT NULL",

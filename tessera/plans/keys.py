@@ -160,6 +160,12 @@ def h10_visible_text(spark, sf_dir):
     return p.select("page_id", F.sha2(t.cast("binary"), 256).alias("digest"), F.length(t).cast("long").alias("chars"))
 
 
+def h10_spoken(spark, sf_dir):
+    """Part names dressed in Markdown, HTML and emoji, as they are read out."""
+    dressed = F.concat(F.lit("### **"), "p_name", F.lit("** \U0001f600 [see](http://x/y) `code`\n\n\n<b>"), "p_type", F.lit("</b>  ```\nx\n``` "))
+    return table(spark, sf_dir, "part").select("p_partkey", text.spoken(dressed).alias("spoken"))
+
+
 def h11_redaction(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.redact(F.col("url")).alias("url"))
 
@@ -204,7 +210,8 @@ def h37_stamps(spark, sf_dir):
 
 def h42_json_objects(spark, sf_dir):
     """Payload objects read from text with remarks around them; a broken one is null."""
-    raw = F.concat(F.lit("```json\n"), "props", F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit("\n``` done")))
+    props = F.when(F.col("event_type") == "click", F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))
+    raw = F.concat(F.lit("```json\n"), props, F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit("\n``` done")))
     e = table(spark, sf_dir, "events").select("event_type", jsontext.read_object(raw, "k long, missing string").alias("o"))
     return e.groupBy("event_type").agg(F.sum("o.k").alias("k"), F.count("o.missing").alias("missing"))
 
@@ -328,6 +335,7 @@ ORACLE = {
     "h10_visible_text": """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
         b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM a)
         SELECT page_id, sha256(t) AS digest, length(t) AS chars FROM b""",
+    "h10_spoken": "SELECT p_partkey, p_name || ' see code' || chr(10) || chr(10) || p_type AS spoken FROM part",
     "h11_redaction": f"""SELECT page_id, {_MASKED} AS url FROM pages""",
     "h14_license_codes": """SELECT CASE WHEN regexp_matches(lower(text), 'cc[ -]by-nc') THEN 'cc-by-nc' WHEN regexp_matches(lower(text), 'cc[ -]by-sa|sharealike') THEN 'cc-by-sa' WHEN regexp_matches(lower(text), 'cc[ -]by|creative commons attribution') THEN 'cc-by'
         WHEN regexp_matches(lower(text), 'cc0|cc-zero') THEN 'cc0' WHEN regexp_matches(lower(text), 'public domain') THEN 'pd' ELSE '' END AS code, count(*) AS n FROM documents GROUP BY 1""",

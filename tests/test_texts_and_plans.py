@@ -62,6 +62,16 @@ def test_truncate_cuts_at_punctuation(spark):
     assert got == [" ".join(("word " * 17 + "end").split()) + "...", "short one", "x" * 120 + "..."]
 
 
+def test_spoken_text(spark):
+    given = ["# Hi **you** \U0001f600_x_\n\n\n\nsee [the page](http://a/b) and `f(x)`  <i>now</i>", None, "  a  b ", "x ```\ncode\n``` y"]
+    assert values(spark, text.spoken, given) == ["Hi you x\n\nsee the page and f(x) now", "", "a b", "x y"]
+
+
+def test_objects_are_read_from_fences_lists_and_remarks(spark):
+    given = ['```json\n{"k": 1}\n```', 'note {"k": 2} done', '[{"k": 3}, {"k": 4}]', "```\n[{\"k\": 5}]\n``` x", '{"k": ', "", None]
+    assert [r and r.k for r in values(spark, lambda c: jsontext.read_object(c, "k long"), given)] == [1, 2, 3, 5, None, None, None]
+
+
 def test_confirmation_states(spark):
     rows = [(0.9, ["a"], False, False), (0.9, [], True, False), (0.8, ["a", "b"], False, False), (0.8, ["a", "a"], False, False), (0.69, ["a", "b"], False, False), (0.1, None, None, True), (None, ["a", "b"], False, False)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c double, f array<string>, r boolean, x boolean")
