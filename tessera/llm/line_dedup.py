@@ -233,7 +233,7 @@ def line_texts(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.hash[one].view(np.int64)), pa.array(words, pa.string())], names=["line", "words"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, TEXTS)
-    return cut(found.join(lines.select("line"), "line", "left_semi").dropDuplicates(["line"]), name)
+    return cut(found.join(lines.select("line").hint("merge"), "line", "left_semi").dropDuplicates(["line"]), name)
 
 
 def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
@@ -274,13 +274,16 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, rank (first place), n, b1, b2."""
+    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, rank (first place), n, b1, b2.
+
+    Tables that grow with the input are joined by sorting, whatever their size, so none passes through the driver.
+    """
     cores = Cores(docs)
     half = F.shiftright("line", 32).cast("int")  # two lines of a key are taken for equal once in 2 ** 32
     shared = variant_table(docs, cores).groupBy("key").agg(F.min(half).alias("a"), F.max(half).alias("b")).filter("a < b").select("key")
     shared = cut(shared, "shared_variants")
-    keyed = variant_table(docs, cores, KeyFilter(shared, "key")).repartition("key").distinct().join(shared, "key")
-    members = cut(keyed.join(firsts, "line"), "members")
+    keyed = variant_table(docs, cores, KeyFilter(shared, "key")).repartition("key").distinct().join(shared.hint("merge"), "key")
+    members = cut(keyed.join(firsts.hint("merge"), "line"), "members")
 
     most = F.greatest(F.lit(1), F.floor(F.greatest("n", "n2") * PERCENT / 100))
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2")))
@@ -293,21 +296,21 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         """The lines of pairs (line, other) that are near."""
         pairs = cut(pairs.select("line", "other").distinct(), f"{name}_pairs")
         ends = pairs.select("line").union(pairs.select("other")).distinct()
-        ends = cut(ends.join(firsts, "line").select("line", F.col("rank.doc_id").alias("doc_id")), f"{name}_ends")
+        ends = cut(ends.join(firsts.hint("merge"), "line").select("line", F.col("rank.doc_id").alias("doc_id")), f"{name}_ends")
         words = line_texts(docs, ends, f"{name}_words")
         both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("words2")), "other")
         return cut(both.filter(near("words", "words2")).select("line").distinct(), name)
 
     # the first line of each key; keys of two lines are done with it
     lowest = members.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"), F.count(F.lit(1)).alias("size"))
-    met = members.join(mates(lowest.select("key", "size", "m.*"), "size"), "key")
+    met = members.join(mates(lowest.select("key", "size", "m.*"), "size").hint("merge"), "key")
     met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").drop("n2", "c1", "c2", "rank2")
     met = cut(met, "first_lines")
     easy = verified(met.filter("other IS NOT NULL"), "near_first")
 
     # all earlier lines of a key for the others
     rest = met.filter("size > 2").drop("other")
-    left = rest.join(easy, "line", "left_anti")
+    left = rest.join(easy.hint("merge"), "line", "left_anti")
     pairs = left.filter(F.col("size") <= CROWD).join(mates(rest), "key").filter(fits)
     some = verified(pairs, "near_any")
     crowd = cut(left.filter(F.col("size") > CROWD).select("key").distinct(), "crowded")
@@ -317,8 +320,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     words = line_texts(docs, busy, "busy_words")
     rare = pair_table(words, cores, KeyFilter(crowd, "key"))
     twice = cut(rare.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"), "shared_pairs")
-    rare = pair_table(words, cores, KeyFilter(crowd, "key")).join(twice, "key", "left_semi")
-    rare = cut(rare.join(firsts, "line"), "rare_members")
+    rare = pair_table(words, cores, KeyFilter(crowd, "key")).join(twice.hint("merge"), "key", "left_semi")
+    rare = cut(rare.join(firsts.hint("merge"), "line"), "rare_members")
     asking = left.filter(F.col("size") > CROWD).select("line").distinct().join(some, "line", "left_anti")
     asked = rare.join(asking, "line", "left_semi")
     lowest = rare.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"))
@@ -335,10 +338,10 @@ def late_lines(docs: DataFrame) -> DataFrame:
     firsts = lines.groupBy("line").agg(F.min(place).alias("rank"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "b1", "b2")])
     firsts = cut(firsts, "distinct_lines")
     near = cut(near_lines(docs, firsts.drop("copies")).distinct().withColumn("near", F.lit(True)), "near")
-    gone = firsts.join(near, "line", "left").filter("copies > 1 OR near")
+    gone = firsts.join(near.hint("merge"), "line", "left").filter("copies > 1 OR near")
     # the first place of a line goes too if it is near to an earlier one
     gone = gone.select("line", "rank", F.coalesce("near", F.lit(False)).alias("near"))
-    late = lines.join(gone, "line").filter(F.col("near") | (F.col("rank") < place))
+    late = lines.join(gone.hint("merge"), "line").filter(F.col("near") | (F.col("rank") < place))
     return cut(late.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
 
 
