@@ -77,7 +77,7 @@ def test_text_functions(spark):
     assert one(spark, text.redact, "http://h/a?api_key=abc&x=1") == "http://h/a?api_key=***&x=1"
     assert one(spark, text.url_title, "https://h.org/a/Blue_Whale-2.jpg?x=1") == "Blue Whale 2"
     assert one(spark, text.license_code, "CC BY-SA 4.0") == "cc-by-sa"
-    assert one(spark, lambda x: text.truncate(x, 10), "one two three") == "one two…"
+    assert one(spark, lambda x: text.truncate(x, 10), "one two three") == "one two th..."
     assert one(spark, text.sentences, "A b. C d!\nE") == ["A b.", "C d!", "E"]
     assert one(spark, lambda x: text.pack(text.sentences(x), 9), "A b. C d! Eeeeeeeeeeeee. F.") == ["A b. C d!", "Eeeeeeeeeeeee.", "F."]
     assert one(spark, lambda x: text.pack(text.sentences(x), 9), "") == []
