@@ -36,7 +36,7 @@ MIN_WORDS = 8
 #: Edits for a hundred words of the longer line.
 PERCENT = 10
 #: Lines of a key beyond which they meet by their rare words.
-CROWD = 1000
+CROWD = 20_000
 #: Buckets of words whose occurrences are counted.
 COUNT_BUCKETS = 1 << 20
 #: Words of the corpus among which a frequent word stands more than once.
