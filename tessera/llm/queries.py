@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, warc
+from tessera.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, vector_codes, warc, whitening
 from tessera.llm.common import read
 
 
@@ -62,6 +64,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    axes = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "axis")
+    out = out.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", axes)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "axis.whitened", "axis.explained", "identity_error")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = hashlib.sha256(",".join(map(str, books.flat())).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    longs = [F.col(c).cast("long").alias(c) for c in ("error", "label_error")]
+    return out.select("vec_id", code.alias("code"), *longs, F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,6 +90,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {}
@@ -206,3 +225,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_bas
        CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(o.score, 0.0)::DOUBLE END AS score
 FROM d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
 """
+
+_CODEBOOKS = "".join(
+    f""",
+a{i} AS (SELECT part, v, any_value(n) AS n, arg_min(entry, (gap, entry)) AS entry, min(gap) AS gap
+       FROM (SELECT d.part, d.v, d.n, b.entry, list_inner_product(d.v, d.v) - 2 * list_inner_product(d.v, b.c) + list_inner_product(b.c, b.c) AS gap FROM d JOIN b{i} b ON b.part = d.part)
+       GROUP BY part, v),
+m{i} AS (SELECT part, entry, list(mean ORDER BY pos) AS c FROM
+        (SELECT part, entry, pos, floor(sum(n * v[pos]) / sum(n)) AS mean FROM a{i}, LATERAL (SELECT unnest(generate_series(1, len(v))) AS pos) s GROUP BY ALL) GROUP BY part, entry),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)"""
+    for i in range(vector_codes.ROUNDS)
+)
+ORACLE["op13_vector_codes"] = f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: floor({vector_codes.SCALE} * c::DOUBLE)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT r, vec_id, label, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS v FROM e, LATERAL (SELECT unnest(generate_series(0, 3)) AS part) s),
+d AS (SELECT part, v, count(*) AS n FROM p GROUP BY part, v),
+b0 AS (SELECT part, r - 1 AS entry, v AS c FROM p WHERE r <= {vector_codes.ENTRIES}){_CODEBOOKS},
+f AS (SELECT part, v, arg_min(entry, (gap, entry)) AS entry, min(gap) AS gap
+      FROM (SELECT d.part, d.v, b.entry, list_inner_product(d.v, d.v) - 2 * list_inner_product(d.v, b.c) + list_inner_product(b.c, b.c) AS gap FROM d JOIN b{vector_codes.ROUNDS} b ON b.part = d.part)
+      GROUP BY part, v),
+o AS (SELECT r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY p.part) AS code, CAST(sum(gap) AS BIGINT) AS error
+      FROM p JOIN f ON f.part = p.part AND f.v = p.v GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM b{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM o
+"""
