@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, vector_codes, warc, whitening
+from tessera.llm import decontaminate, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, vector_codes, warc, whitening
 from tessera.llm.common import read
 
 
@@ -71,6 +71,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "axis.whitened", "axis.explained", "identity_error")
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    out = hidden_markov.score(read(spark, sf_dir, "documents").select("doc_id", (~held_out).alias("train"), "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = vector_codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     digest = hashlib.sha256(",".join(map(str, books.flat())).encode()).hexdigest()
@@ -91,6 +97,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
     "op11_whitening": op11_whitening,
+    "op12_hidden_markov": op12_hidden_markov,
     "op13_vector_codes": op13_vector_codes,
 }
 
