@@ -61,7 +61,8 @@ def moments_of(vectors: DataFrame, d: int, seen: Callable[[np.ndarray], np.ndarr
         columns = [pa.array([out[0]]), pa.array([[Decimal(v) for v in out[1]]], pa.list_(pa.decimal128(38, 0))), pa.array([out[2].tobytes()]), pa.array([out[3].tobytes()])]
         yield pa.RecordBatch.from_arrays(columns, names=["n", "sums", "mean", "scatter"])
 
-    parts = vectors.select("x").mapInArrow(run, PART).rdd
+    # written first, so that a task of the reduction runs one Python worker
+    parts = cut(vectors.select("x").mapInArrow(run, PART), "moments").rdd
     if not parts.getNumPartitions():
         return 0, [0] * d, np.zeros(width), np.zeros((width, width))
     read = lambda r: (r["n"], [int(v) for v in r["sums"]], np.frombuffer(r["mean"]), np.frombuffer(r["scatter"]).reshape(width, width))
