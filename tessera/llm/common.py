@@ -130,18 +130,13 @@ class KeyFilter:
 CHUNK = 4096
 
 
-def bucket_counts(docs: DataFrame, hashes, buckets: int) -> np.ndarray:
-    """How often each of ``buckets`` hash buckets occurs in all texts; ``hashes`` gives the hashes of a list of texts.
+def count_rows(counts: np.ndarray) -> list[bytes]:
+    """Counts of buckets in rows of CHUNK, for ``summed_counts``."""
+    return [counts[a : a + CHUNK].astype(np.int32).tobytes() for a in range(0, len(counts), CHUNK)]
 
-    Tasks count by themselves, and send their counts in rows of CHUNK buckets that other tasks add up as they come.
-    """
 
-    def count(batches):
-        out = np.zeros(buckets, np.int32)
-        for _, texts in sliced(batches):
-            out += np.bincount((hashes(texts) % np.uint64(buckets)).astype(np.int64), minlength=buckets).astype(np.int32)
-        rows = [out[a : a + CHUNK].tobytes() for a in range(0, buckets, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+def summed_counts(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Sums of the rows (chunk, counts) that tasks made by ``count_rows``: other tasks add them up as they come."""
 
     def add(batches):
         out: dict[int, np.ndarray] = {}
@@ -151,15 +146,25 @@ def bucket_counts(docs: DataFrame, hashes, buckets: int) -> np.ndarray:
                 out[chunk] = out.get(chunk, 0) + more
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    found = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    found = rows.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
     table = np.zeros((buckets // CHUNK, CHUNK), np.int64)
     for chunk, counts in zip(found["chunk"].to_pylist(), found["counts"].to_pylist()):
         table[chunk] += np.frombuffer(counts, np.int64)
     return table.ravel()
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def bucket_counts(docs: DataFrame, hashes, buckets: int) -> np.ndarray:
+    """How often each of ``buckets`` hash buckets occurs in all texts; ``hashes`` gives the hashes of a list of texts."""
 
+    def count(batches):
+        out = np.zeros(buckets, np.int32)
+        for _, texts in sliced(batches):
+            out += np.bincount((hashes(texts) % np.uint64(buckets)).astype(np.int64), minlength=buckets).astype(np.int32)
+        rows = count_rows(out)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
 
+    return summed_counts(docs.select("text").mapInArrow(count, "chunk int, counts binary"), buckets)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,12 +9,12 @@ part of them is: a variant keeps two words, one of the line's core, its 2 e + 1
 the corpus, and the next one that is not FREQUENT, and deletes the others. Near lines lack e of each other's words at most, so
 e + 1 words of both cores are common, and an edit changes the next such word of one of these at most: one variant is the same.
 A core that reaches frequent words has 3 e + 1; these go with the very next word, which the same edit may change too.
-The hashed variants are joined, and pairs of lines that share one are verified by edit distance, after a bound by parity
-sketches of the words.
+The hashed variants are sorted by key, keys of a single line go, and pairs of lines that share a key are verified by edit distance,
+after a bound by parity sketches of the words, the first, second ... occurrence of a word in a line counting as different ones.
 
 A line meets the first line of each key before any other. Lines that are near to none of those meet all earlier ones of the
-key, or, in keys of more than CROWD lines, those with which they share a second variant, from a core that is larger by a
-word. So lines of one template with words of their own do not meet.
+key, each pair in the first key that both have; or, in keys of more than CROWD lines, those with which they share a second
+variant, from a core that is larger by a word. So lines of one large template with words of their own do not meet.
 
 A line goes if an earlier line of the corpus is near, whether or not that one stays.
 """
@@ -26,25 +26,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.arrays import Ranges, mix, sliced, words_of
-from tessera.llm.common import KeyFilter, bucket_counts, cut
+from tessera.llm.common import KeyFilter, bucket_counts, count_rows, cut, summed_counts
 
 MIN_WORDS = 8
 #: Edits for a hundred words of the longer line.
 PERCENT = 10
 #: Lines of a key beyond which they meet by their rare words.
-CROWD = 20_000
+CROWD = 5_000
 #: Buckets of words whose occurrences are counted.
 COUNT_BUCKETS = 1 << 20
 #: Words of the corpus among which a frequent word stands more than once.
 FREQUENT = 2000
 #: Places of the table of lines that a task has just seen.
 SEEN = 1 << 16
-#: Bits of the parity sketch of a line's words, and lines whose sketches are made at once.
-SKETCH_BITS, SKETCH_LINES = 128, 4096
+#: Bits of the parity sketch of a line's words, lines whose sketches are made at once, and words from which a line also has a
+#: wide sketch, of a bit or more for each word.
+SKETCH_BITS, SKETCH_LINES, WIDE_WORDS = 128, 4096, 256
+_AGAIN = np.uint64(0x9E3779B97F4A7C15)
+#: Numbers that the edit distances of a block of pairs hold at once.
+CELLS = 1 << 17
 
 
 def bound(n):
@@ -94,33 +99,64 @@ class _Seen:
         return out
 
 
-def parities(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Two longs a line: bits that say how many words fall on each, modulo 2. An edit changes two bits at most."""
-    out = [np.zeros((0, 2), np.int64)]
+def occurrences(words: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, element): a hash for each word of the lines and the number of its occurrence there."""
+    order = np.argsort((each.astype(np.uint64) << np.uint64(46)) | (words >> np.uint64(18)))
+    w, line = words[order], each[order]
+    alike = (w[1:] >> np.uint64(18) == w[:-1] >> np.uint64(18)) & (w[1:] != w[:-1]) & (line[1:] == line[:-1])
+    if alike.any():  # the sort took two words for one
+        order = np.lexsort((words, each))
+        w, line = words[order], each[order]
+    at = np.arange(len(w))
+    fresh = np.concatenate(([True], (w[1:] != w[:-1]) | (line[1:] != line[:-1])))[: len(w)]
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return line, mix(w + nth.astype(np.uint64) * _AGAIN)
+
+
+def _packed(odd: np.ndarray) -> np.ndarray:
+    return np.packbits(odd.astype(np.uint8), axis=-1).view(np.int64)
+
+
+def parities(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list]:
+    """Two longs a line, and more for long lines (else None): bits that say how many words, with the number of their occurrence, fall on
+    each, modulo 2. An edit changes two bits at most."""
+    out, wide = [np.zeros((0, 2), np.int64)], []
     for a in range(0, len(start), SKETCH_LINES):
         s, n = start[a : a + SKETCH_LINES], (end - start)[a : a + SKETCH_LINES]
+        begin = np.cumsum(n) - n
         each = np.repeat(np.arange(len(s)), n)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + s[each]
-        bit = (words[place] % np.uint64(SKETCH_BITS)).astype(np.int64)
-        odd = np.bincount(each * SKETCH_BITS + bit, minlength=len(s) * SKETCH_BITS) & 1
-        out.append(np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64))
-    return np.concatenate(out)
+        place = np.arange(len(each)) - begin[each] + s[each]
+        line, element = occurrences(words[place], each)
+        bit = (element % np.uint64(SKETCH_BITS)).astype(np.int64)
+        out.append(_packed((np.bincount(line * SKETCH_BITS + bit, minlength=len(s) * SKETCH_BITS) & 1).reshape(-1, SKETCH_BITS)))
+        own = [None] * len(s)
+        for i in np.flatnonzero(n >= WIDE_WORDS):
+            bits = 1 << int(n[i] - 1).bit_length()
+            own[i] = _packed(np.bincount((element[begin[i] : begin[i] + n[i]] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
+        wide += own
+    return np.concatenate(out), wide
 
 
-LINES = "doc_id long, th long, at int, line long, n int, b1 long, b2 long"
+LINES = "doc_id long, th long, at int, line long, n int, b1 long, b2 long, wide array<long>, chunk int, counts binary"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """A row per line with words: document, place, hash, number of words and their parity sketch."""
+    """A row per line with words: document, place, hash, number of words and their sketches; and rows of (chunk, counts): how often words stand in the texts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNT_BUCKETS, np.int32)
+        names = [c.split()[0] for c in LINES.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
         for part, texts in sliced(batches):
             x = _Lines(texts)
+            seen += np.bincount((x.words.items % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS).astype(np.int32)
             rows = pa.array(x.text)
-            bits = parities(x.words.items, x.start, x.end)
+            bits, wide = parities(x.words.items, x.start, x.end)
             columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(x.at.astype(np.int32)), pa.array(x.hash.view(np.int64))]
-            columns += [pa.array((x.end - x.start).astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "at", "line", "n", "b1", "b2"])
+            columns += [pa.array((x.end - x.start).astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(wide, kinds[7])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), kinds[8]), pa.nulls(len(rows), kinds[9])], names=names)
+        counts = count_rows(seen)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(counts), k) for k in kinds[:8]], pa.array(range(len(counts)), kinds[8]), pa.array(counts, kinds[9])], names=names)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
@@ -128,11 +164,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 class Cores:
     """The rarest words of lines, by the counts of their hash buckets over the corpus, which are sent to all tasks."""
 
-    def __init__(self, docs: DataFrame):
-        counts = bucket_counts(docs, lambda texts: words_of(texts)[0], COUNT_BUCKETS)
+    @staticmethod
+    def of(docs: DataFrame) -> Cores:
+        return Cores(docs.sparkSession, bucket_counts(docs, lambda texts: words_of(texts)[0], COUNT_BUCKETS))
+
+    def __init__(self, spark: SparkSession, counts: np.ndarray):
         # frequency in steps of a quarter of a power of 2, and whether it is high: a byte for each bucket
         steps = np.minimum(127, 4 * np.log2(1.0 + counts)).astype(np.uint8) | (counts * FREQUENT > counts.sum()).astype(np.uint8) << 7
-        self.steps = docs.sparkSession.sparkContext.broadcast(steps)
+        self.steps = spark.sparkContext.broadcast(steps)
 
     def variants(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(line, key): the hashed variants of each line with 2 * bound + ``more`` words of core, rarest first."""
@@ -173,8 +212,8 @@ class Cores:
 KEYS = "key long, line long"
 
 
-def variant_table(docs: DataFrame, cores: Cores, wanted: KeyFilter | None = None) -> DataFrame:
-    """(key, line) of the variants of all long lines; with ``wanted`` of keys that may be in it."""
+def variant_table(docs: DataFrame, cores: Cores) -> DataFrame:
+    """(key, line) of the variants of all long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -183,14 +222,34 @@ def variant_table(docs: DataFrame, cores: Cores, wanted: KeyFilter | None = None
             one = x.long()
             one = one[seen.fresh(x.hash[one])]
             of, key = cores.variants(x.words.items, x.start[one], x.end[one])
-            if wanted is not None:
-                some = wanted.may_hold(key)
-                of, key = of[some], key[some]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[one][of].view(np.int64))], names=["key", "line"])
 
     return docs.select("text").mapInArrow(run, KEYS)
 
 
+def shared_only(keyed: DataFrame) -> DataFrame:
+    """The distinct rows (key, line) of the keys that two lines or more have, from one sort; a key of any size streams through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda k, v: pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "line"])
+        key, line, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            k, v = (np.concatenate(x) for x in ((key, batch.column(0).to_numpy()), (line, batch.column(1).to_numpy())))
+            if not len(k):
+                continue
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
+            k, v = k[fresh], v[fresh]
+            same = k[1:] == k[:-1]
+            before = np.concatenate(([shared], same))
+            some = before[:-1] | same
+            yield out(k[:-1][some], v[:-1][some])
+            key, line, shared = k[-1:], v[-1:], bool(before[-1])  # the last row waits for the next
+        if shared:
+            yield out(key, line)
+
+    return keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(run, KEYS)
+
+
 def pair_table(texts: DataFrame, cores: Cores, crowded: KeyFilter) -> DataFrame:
     """(key, line) of the pairs of variants that both may be ``crowded``, or the first and the core's last, for lines (line, words)."""
 
@@ -236,95 +295,122 @@ def line_texts(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
     return cut(found.join(lines.select("line").hint("merge"), "line", "left_semi").dropDuplicates(["line"]), name)
 
 
-def word_edits(a: list[str], b: list[str], most: int = 1) -> int:
-    """Edit distance in words, ``most`` + 1 if it is above ``most``.
-
-    A column of the table at a time, its steps up and down as bits of two whole numbers.
-    """
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[same:], b[same:]
-    if not a or not b:
-        return len(a) + len(b)
-    at: dict[str, int] = {}
-    for i, w in enumerate(a):
-        at[w] = at.get(w, 0) | 1 << i
-    whole, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = whole, 0, len(a)
-    for left, w in zip(range(len(b) - 1, -1, -1), b):
-        eq = at.get(w, 0)
-        level = (((eq & up) + up) ^ up) | eq
-        right_up, right_down = down | whole & ~(level | up), up & level
-        score += 1 if right_up & last else -1 if right_down & last else 0
-        if score - left > most:
-            return most + 1
-        right_up, right_down = (right_up << 1 | 1) & whole, right_down << 1 & whole
-        up, down = right_down | whole & ~(eq | down | right_up), right_up & (eq | down)
-    return min(score, most + 1)
-
-
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        x, y = x.split(" "), y.split(" ")
-        n = max(len(x), len(y))
-        out.append(n >= MIN_WORDS and word_edits(x, y, int(bound(n))) <= bound(n))
-    return pd.Series(out, dtype=bool)
-
-
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, rank (first place), n, b1, b2.
+def edited_within(words: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each pair of runs of ``words``, from a to a_end and from b to b_end, whether ``most`` edits or fewer turn one into the other."""
+    out, n, m = np.zeros(len(a), bool), a_end - a, b_end - b
+    order = np.flatnonzero(np.abs(n - m) <= most)
+    order = order[np.lexsort((n[order], most[order]))]
+    at = 0
+    while at < len(order):
+        width = 2 * int(most[order[min(len(order), at + 4096) - 1]]) + 1
+        block = order[at : at + max(1, min(4096, CELLS // width))]
+        out[block] = _banded(words, a[block], n[block], b[block], m[block], most[block])
+        at += len(block)
+    return out
+
+
+def _banded(words: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``edited_within`` of pairs at once: a row of all tables at a time, as far as ``most`` from the diagonal; pairs beyond it leave."""
+    reach, end = int(most.max()), len(words)
+    off = np.arange(-reach, reach + 1, dtype=np.int32)
+    far = np.int32(1 << 24)
+    words = np.concatenate((words, words[:1]))
+    row = np.where(off >= 0, off, far)[None, :] + np.zeros((len(a), 1), np.int32)
+    out, live = np.zeros(len(a), bool), np.arange(len(a))
+    for i in range(int(n.max()) + 1):
+        if i:
+            at = i + off[None, :]
+            inside = (at >= 1) & (at <= m[:, None])
+            other = words[np.where(inside, b[:, None] + at - 1, end)]
+            new = np.where(inside, row + (other != words[a + i - 1][:, None]), far)
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            new = np.where(at == 0, np.int32(i), np.where((at < 0) | (at > m[:, None]), far, new))
+            row = np.minimum.accumulate(new - off, axis=1) + off
+        done = n == i
+        if done.any():
+            ended = np.flatnonzero(done)
+            out[live[ended]] = row[ended, m[ended] - n[ended] + reach] <= most[ended]
+        if done.any() or i % 8 == 7:
+            stay = ~done & (row.min(axis=1) <= most)
+            live, row, a, n, b, m, most = live[stay], row[stay], a[stay], n[stay], b[stay], m[stay], most[stay]
+            if not len(live):
+                break
+    return out
+
+
+@F.arrow_udf(T.BooleanType())
+def _near(x: pa.Array, y: pa.Array) -> pa.Array:
+    texts = [v.encode() for v in (*x.to_pylist(), *y.to_pylist())]
+    words, begins, _, _ = words_of(texts)
+    k = len(x)
+    n = np.diff(begins)
+    longer = np.maximum(n[:k], n[k:])
+    most = bound(longer)
+    return pa.array(edited_within(words, begins[:k], begins[1 : k + 1], begins[k : 2 * k], begins[k + 1 :], most) & (longer >= MIN_WORDS))
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two wide sketches differ, the wider one folded to the size of the other; 0 where one is missing."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def fold(x: str, y: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), xor)).otherwise(F.col(x))
+
+    counts = F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(xor(x, y)))
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0)).otherwise(F.aggregate(counts, F.lit(0), lambda t, x: t + x))
+
+
+#: What a member row knows of its line: place of its first occurrence, words, sketches.
+OWN = ("d", "a", "n", "b1", "b2", "wide")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
+    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line and OWN.
 
     Tables that grow with the input are joined by sorting, whatever their size, so none passes through the driver.
     """
-    cores = Cores(docs)
-    half = F.shiftright("line", 32).cast("int")  # two lines of a key are taken for equal once in 2 ** 32
-    shared = variant_table(docs, cores).groupBy("key").agg(F.min(half).alias("a"), F.max(half).alias("b")).filter("a < b").select("key")
-    shared = cut(shared, "shared_variants")
-    keyed = variant_table(docs, cores, KeyFilter(shared, "key")).repartition("key").distinct().join(shared.hint("merge"), "key")
-    members = cut(keyed.join(firsts.hint("merge"), "line"), "members")
-
-    most = F.greatest(F.lit(1), F.floor(F.greatest("n", "n2") * PERCENT / 100))
-    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2")))
-    fits = (F.col("rank2") < F.col("rank")) & (differ + F.abs(F.col("n") - F.col("n2")) <= 2 * most)
-    names = {"line": "other", "n": "n2", "b1": "c1", "b2": "c2", "rank": "rank2"}
-    mates = lambda m, *more: m.select("key", *more, *[F.col(c).alias(d) for c, d in names.items()])
-    near = F.pandas_udf(_near, "boolean")
+    members = cut(shared_only(variant_table(docs, cores)).join(firsts.hint("merge"), "line"), "members")
+
+    most = F.expr(f"2 * greatest(1, greatest(n, n2) * {PERCENT} div 100) - abs(n - n2)")
+    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22")))
+    fits = F.expr("d2 < d OR (d2 = d AND a2 < a)") & (differ <= most) & (_differ("wide", "wide2") <= most)
+    mates = lambda m, *more: m.select("key", *more, F.col("line").alias("other"), *[F.col(c).alias(f"{c}2") for c in OWN])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The lines of pairs (line, other) that are near."""
         pairs = cut(pairs.select("line", "other").distinct(), f"{name}_pairs")
         ends = pairs.select("line").union(pairs.select("other")).distinct()
-        ends = cut(ends.join(firsts.hint("merge"), "line").select("line", F.col("rank.doc_id").alias("doc_id")), f"{name}_ends")
+        ends = cut(ends.join(firsts.hint("merge"), "line").select("line", F.col("d").alias("doc_id")), f"{name}_ends")
         words = line_texts(docs, ends, f"{name}_words")
         both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("words2")), "other")
-        return cut(both.filter(near("words", "words2")).select("line").distinct(), name)
+        return cut(both.filter(_near("words", "words2")).select("line").distinct(), name)
 
     # the first line of each key; keys of two lines are done with it
-    lowest = members.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"), F.count(F.lit(1)).alias("size"))
+    lowest = members.groupBy("key").agg(F.min(F.struct("d", "a", "line", *OWN[2:])).alias("m"), F.count(F.lit(1)).alias("size"))
     met = members.join(mates(lowest.select("key", "size", "m.*"), "size").hint("merge"), "key")
-    met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").drop("n2", "c1", "c2", "rank2")
+    met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").select("key", "size", "line", *OWN, "other")
     met = cut(met, "first_lines")
     easy = verified(met.filter("other IS NOT NULL"), "near_first")
 
-    # all earlier lines of a key for the others
+    # all earlier lines of a key for the others; a pair meets in the first of the keys that both have
     rest = met.filter("size > 2").drop("other")
-    left = rest.join(easy.hint("merge"), "line", "left_anti")
-    pairs = left.filter(F.col("size") <= CROWD).join(mates(rest), "key").filter(fits)
+    held = rest.filter(F.col("size") <= CROWD).groupBy("line").agg(*[F.first(c).alias(c) for c in OWN], F.array_sort(F.collect_set("key")).alias("keys"))
+    held = held.select("line", *OWN, F.posexplode("keys").alias("at", "key"), "keys")
+    held = cut(held.select("line", *OWN, "key", F.slice("keys", F.lit(1), F.col("at")).alias("before")), "held")
+    asking = held.join(easy.hint("merge"), "line", "left_anti")
+    pairs = asking.join(mates(held, F.col("before").alias("before2")), "key").filter(fits & ~F.arrays_overlap("before", "before2"))
     some = verified(pairs, "near_any")
-    crowd = cut(left.filter(F.col("size") > CROWD).select("key").distinct(), "crowded")
+    left = rest.filter(F.col("size") > CROWD).join(easy.hint("merge"), "line", "left_anti")
+    crowd = cut(left.select("key").distinct(), "crowded")
     if crowd.isEmpty():
         return easy.union(some)
-    busy = cut(rest.join(crowd, "key", "left_semi").select("line", F.col("rank.doc_id").alias("doc_id")).distinct(), "busy_lines")
+    busy = cut(rest.join(crowd, "key", "left_semi").select("line", F.col("d").alias("doc_id")).distinct(), "busy_lines")
     words = line_texts(docs, busy, "busy_words")
-    rare = pair_table(words, cores, KeyFilter(crowd, "key"))
-    twice = cut(rare.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("key"), "shared_pairs")
-    rare = pair_table(words, cores, KeyFilter(crowd, "key")).join(twice.hint("merge"), "key", "left_semi")
-    rare = cut(rare.join(firsts.hint("merge"), "line"), "rare_members")
-    asking = left.filter(F.col("size") > CROWD).select("line").distinct().join(some, "line", "left_anti")
+    rare = cut(shared_only(pair_table(words, cores, KeyFilter(crowd, "key"))).join(firsts.hint("merge"), "line"), "rare_members")
+    asking = left.select("line").distinct().join(some, "line", "left_anti")
     asked = rare.join(asking, "line", "left_semi")
-    lowest = rare.groupBy("key").agg(F.min(F.struct("rank", "line", "n", "b1", "b2")).alias("m"))
+    lowest = rare.groupBy("key").agg(F.min(F.struct("d", "a", "line", *OWN[2:])).alias("m"))
     rarely = verified(asked.join(mates(lowest.select("key", "m.*")), "key").filter(fits), "near_rare_first")
     last = verified(asked.join(rarely, "line", "left_anti").join(mates(rare), "key").filter(fits), "near_rare")
     return easy.union(some).union(rarely).union(last)
@@ -333,15 +419,16 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def late_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, ats): the places of the lines that an earlier line of the corpus equals or is near to."""
     docs = docs.filter("doc_id IS NOT NULL")
-    lines = cut(line_table(docs), "lines")
-    place = F.struct("doc_id", "at")
-    firsts = lines.groupBy("line").agg(F.min(place).alias("rank"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "b1", "b2")])
-    firsts = cut(firsts, "distinct_lines")
-    near = cut(near_lines(docs, firsts.drop("copies")).distinct().withColumn("near", F.lit(True)), "near")
+    table = cut(line_table(docs), "lines")
+    counts = summed_counts(table.filter("chunk IS NOT NULL").select("chunk", "counts"), COUNT_BUCKETS)
+    lines = table.filter("chunk IS NULL").drop("chunk", "counts")
+    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in OWN[2:]])
+    firsts = cut(firsts.select("line", F.col("p.doc_id").alias("d"), F.col("p.at").alias("a"), *OWN[2:], "copies"), "distinct_lines")
+    near = cut(near_lines(docs, firsts.drop("copies"), Cores(docs.sparkSession, counts)).distinct().withColumn("near", F.lit(True)), "near")
     gone = firsts.join(near.hint("merge"), "line", "left").filter("copies > 1 OR near")
     # the first place of a line goes too if it is near to an earlier one
-    gone = gone.select("line", "rank", F.coalesce("near", F.lit(False)).alias("near"))
-    late = lines.join(gone.hint("merge"), "line").filter(F.col("near") | (F.col("rank") < place))
+    gone = gone.select("line", "d", "a", F.coalesce("near", F.lit(False)).alias("near"))
+    late = lines.join(gone.hint("merge"), "line").filter("near OR d < doc_id OR (d = doc_id AND a < at)")
     return cut(late.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")), "late_lines")
 
 

@@ -81,13 +81,43 @@ def test_real_rows(spark, sf_dir):
     assert out.filter("n_chars <> length(text)").count() == 0
 
 
-def test_word_edits():
+@pytest.mark.parametrize("cells", (64, 1 << 17))
+def test_edits_within_a_bound(monkeypatch, cells):
+    monkeypatch.setattr(L, "CELLS", cells)
     rnd = random.Random(9)
-    for _ in range(2000):
-        a = [rnd.choice("ab") for _ in range(rnd.randrange(1, 7))]
-        b = [rnd.choice("ab") for _ in range(rnd.randrange(1, 7))]
-        for most in (1, 2):
-            assert L.word_edits(a, b, most) == min(distance(a, b), most + 1)
+    runs = [[rnd.randrange(3) for _ in range(rnd.randrange(0, 13))] for _ in range(4000)]
+    words = np.array([x for r in runs for x in r], np.uint64)
+    ends = np.cumsum([len(r) for r in runs])
+    starts = ends - [len(r) for r in runs]
+    most = np.array([rnd.randrange(1, 6) for _ in range(2000)])
+    got = L.edited_within(words, starts[:2000], ends[:2000], starts[2000:], ends[2000:], most)
+    assert got.tolist() == [distance(a, b) <= k for a, b, k in zip(runs[:2000], runs[2000:], most.tolist())]
+
+
+def test_sketches_differ_by_two_bits_an_edit():
+    rnd = random.Random(2)
+    for n in (20, 300, 700):
+        a = [rnd.randrange(n // 4) for _ in range(n)]
+        b = list(a)
+        for _ in range(n // 10):
+            at = rnd.randrange(len(b))
+            b[at : at + rnd.randrange(2)] = [rnd.randrange(n)] * rnd.randrange(2)
+        words = np.array(a + b, np.uint64)
+        bits, wide = L.parities(words, np.array([0, n]), np.array([n, n + len(b)]))
+        edits = distance(a, b)
+        assert sum(int(np.bitwise_count(np.uint64(x ^ y))) for x, y in zip(*bits.view(np.uint64))) <= 2 * edits
+        if wide[0] is not None and wide[1] is not None:
+            x, y = sorted((w.view(np.uint64) for w in wide), key=len)
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            assert int(np.bitwise_count(x ^ y).sum()) <= 2 * edits
+
+
+def test_lines_of_few_words_many_times(frame):
+    """Words repeated hundreds of times: lines are near only if the counts are."""
+    rows = [(i, " ".join(["the"] * (300 + 9 * i) + ["of"] * (300 - 9 * i))) for i in range(20)] + [(50, " ".join(["the"] * 300 + ["of"] * 301))]
+    got = {r.doc_id: r.text for r in L.dedup(frame(rows)).collect()}
+    assert sorted(got.items(), key=str) == brute(rows)
 
 
 def test_empty_and_clashing_columns(frame):
@@ -137,7 +167,7 @@ def test_longest_is_the_longest_near_line():
 def test_near_lines_share_a_variant(frame):
     """Any lines within the bound have a variant in common, whatever their lengths, edits and words' frequencies."""
     rnd = random.Random(8)
-    cores = L.Cores(frame([(1, " ".join(f"w{int(rnd.paretovariate(0.5)) % 5000}" for _ in range(5000)))]))
+    cores = L.Cores.of(frame([(1, " ".join(f"w{int(rnd.paretovariate(0.5)) % 5000}" for _ in range(5000)))]))
     n_near = 0
     for _ in range(3000):
         n = rnd.choice((7, 8, 9, 18, 19, 20, 27, 29, 30, 38, 39, 40, 45, 49, 54, 59, 64, 90, 130, 300))
