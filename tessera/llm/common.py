@@ -58,27 +58,28 @@ def tracked(tables: list[str]) -> Iterator[None]:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_ROWS rows meanwhile, unless the session sets a size of its own."""
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows meanwhile, unless the session sets a size of its own."""
     if BATCH_SIZE in spark.conf.getAll:
         yield
         return
-    spark.conf.set(BATCH_SIZE, str(BATCH_ROWS))
+    spark.conf.set(BATCH_SIZE, str(rows))
     try:
         yield
     finally:
         spark.conf.unset(BATCH_SIZE)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back.
 
     The result has no lineage, survives lost executors and is computed once. Tables stay until
-    their folder is removed or ``release`` deletes them, as the caller's DataFrame reads them lazily.
+    their folder is removed or ``release`` deletes them, as the caller's DataFrame reads them lazily. ``batch`` rows
+    go to a Python worker at once: few by default, as rows may be whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}/{name}"
-    with _small_batches(spark):
+    with _batches(spark, batch):
         df.write.option("compression", "zstd").parquet(path)
     tables = _tables.get()
     if tables is not None:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.arrays import Ranges, mix, sliced, words_of
 from tessera.llm.common import KeyFilter, bucket_counts, count_rows, cut, summed_counts
@@ -208,6 +209,14 @@ class Cores:
         wanted = core | (short[each] & (nth < 3 * most + more))
         return each[wanted], mix(h[order][wanted] * np.uint64(31) + mix(after[order][wanted]))
 
+    def distinct(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``variants`` without most of the repeats that words which a line has twice make."""
+        of, key = self.variants(words, start, end)
+        order = np.argsort(key)
+        of, key = of[order], key[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))[: len(key)]
+        return of[fresh], key[fresh]
+
 
 KEYS = "key long, line long"
 
@@ -221,7 +230,7 @@ def variant_table(docs: DataFrame, cores: Cores) -> DataFrame:
             x = _Lines(texts)
             one = x.long()
             one = one[seen.fresh(x.hash[one])]
-            of, key = cores.variants(x.words.items, x.start[one], x.end[one])
+            of, key = cores.distinct(x.words.items, x.start[one], x.end[one])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[one][of].view(np.int64))], names=["key", "line"])
 
     return docs.select("text").mapInArrow(run, KEYS)
@@ -361,56 +370,63 @@ def _differ(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0)).otherwise(F.aggregate(counts, F.lit(0), lambda t, x: t + x))
 
 
-#: What a member row knows of its line: place of its first occurrence, words, sketches.
-OWN = ("d", "a", "n", "b1", "b2", "wide")
+#: What a member row knows of its line: rank by the place of its first occurrence, words, sketches.
+OWN = ("rank", "n", "b1", "b2", "wide")
+#: Rows of keys that go to a Python worker at once.
+KEY_ROWS = 1 << 16
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
-    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line and OWN.
+    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, OWN and d, the document of its first place.
 
     Tables that grow with the input are joined by sorting, whatever their size, so none passes through the driver.
     """
-    members = cut(shared_only(variant_table(docs, cores)).join(firsts.hint("merge"), "line"), "members")
+    lines = firsts.select("line", *OWN)
+    members = cut(shared_only(variant_table(docs, cores)).join(lines.hint("merge"), "line"), "members", KEY_ROWS)
 
     most = F.expr(f"2 * greatest(1, greatest(n, n2) * {PERCENT} div 100) - abs(n - n2)")
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22")))
-    fits = F.expr("d2 < d OR (d2 = d AND a2 < a)") & (differ <= most) & (_differ("wide", "wide2") <= most)
+    fits = (F.col("rank2") < F.col("rank")) & (differ <= most) & (_differ("wide", "wide2") <= most)
     mates = lambda m, *more: m.select("key", *more, F.col("line").alias("other"), *[F.col(c).alias(f"{c}2") for c in OWN])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The lines of pairs (line, other) that are near."""
         pairs = cut(pairs.select("line", "other").distinct(), f"{name}_pairs")
         ends = pairs.select("line").union(pairs.select("other")).distinct()
-        ends = cut(ends.join(firsts.hint("merge"), "line").select("line", F.col("d").alias("doc_id")), f"{name}_ends")
+        ends = cut(ends.join(firsts.select("line", F.col("d").alias("doc_id")).hint("merge"), "line"), f"{name}_ends")
         words = line_texts(docs, ends, f"{name}_words")
         both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("words2")), "other")
         return cut(both.filter(_near("words", "words2")).select("line").distinct(), name)
 
     # the first line of each key; keys of two lines are done with it
-    lowest = members.groupBy("key").agg(F.min(F.struct("d", "a", "line", *OWN[2:])).alias("m"), F.count(F.lit(1)).alias("size"))
-    met = members.join(mates(lowest.select("key", "size", "m.*"), "size").hint("merge"), "key")
+    by = Window.partitionBy("key").orderBy("rank")
+    first = F.first(F.struct("line", *OWN)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    met = members.select("key", "line", *OWN, first.alias("m"), F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"))
+    met = met.select("key", "size", "line", *OWN, F.col("m.line").alias("other"), *[F.col(f"m.{c}").alias(f"{c}2") for c in OWN])
     met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").select("key", "size", "line", *OWN, "other")
     met = cut(met, "first_lines")
     easy = verified(met.filter("other IS NOT NULL"), "near_first")
 
     # all earlier lines of a key for the others; a pair meets in the first of the keys that both have
     rest = met.filter("size > 2").drop("other")
-    held = rest.filter(F.col("size") <= CROWD).groupBy("line").agg(*[F.first(c).alias(c) for c in OWN], F.array_sort(F.collect_set("key")).alias("keys"))
+    asking = cut(rest.join(easy.hint("merge"), "line", "left_anti").select("key", "size", "line"), "asking")
+    keys = asking.filter(F.col("size") <= CROWD).select("key").distinct()
+    held = rest.join(keys.hint("merge"), "key", "left_semi").groupBy("line").agg(*[F.first(c).alias(c) for c in OWN], F.array_sort(F.collect_set("key")).alias("keys"))
     held = held.select("line", *OWN, F.posexplode("keys").alias("at", "key"), "keys")
     held = cut(held.select("line", *OWN, "key", F.slice("keys", F.lit(1), F.col("at")).alias("before")), "held")
-    asking = held.join(easy.hint("merge"), "line", "left_anti")
-    pairs = asking.join(mates(held, F.col("before").alias("before2")), "key").filter(fits & ~F.arrays_overlap("before", "before2"))
+    some = held.join(asking.select("line").distinct().hint("merge"), "line", "left_semi")
+    pairs = some.join(mates(held, F.col("before").alias("before2")), "key").filter(fits & ~F.arrays_overlap("before", "before2"))
     some = verified(pairs, "near_any")
-    left = rest.filter(F.col("size") > CROWD).join(easy.hint("merge"), "line", "left_anti")
+    left = asking.filter(F.col("size") > CROWD)
     crowd = cut(left.select("key").distinct(), "crowded")
     if crowd.isEmpty():
         return easy.union(some)
-    busy = cut(rest.join(crowd, "key", "left_semi").select("line", F.col("d").alias("doc_id")).distinct(), "busy_lines")
+    busy = cut(rest.join(crowd, "key", "left_semi").select("line").distinct().join(firsts.select("line", F.col("d").alias("doc_id")), "line"), "busy_lines")
     words = line_texts(docs, busy, "busy_words")
-    rare = cut(shared_only(pair_table(words, cores, KeyFilter(crowd, "key"))).join(firsts.hint("merge"), "line"), "rare_members")
+    rare = cut(shared_only(pair_table(words, cores, KeyFilter(crowd, "key"))).join(lines.hint("merge"), "line"), "rare_members", KEY_ROWS)
     asking = left.select("line").distinct().join(some, "line", "left_anti")
     asked = rare.join(asking, "line", "left_semi")
-    lowest = rare.groupBy("key").agg(F.min(F.struct("d", "a", "line", *OWN[2:])).alias("m"))
+    lowest = rare.groupBy("key").agg(F.min(F.struct("rank", "line", *OWN[1:])).alias("m"))
     rarely = verified(asked.join(mates(lowest.select("key", "m.*")), "key").filter(fits), "near_rare_first")
     last = verified(asked.join(rarely, "line", "left_anti").join(mates(rare), "key").filter(fits), "near_rare")
     return easy.union(some).union(rarely).union(last)
@@ -422,9 +438,11 @@ def late_lines(docs: DataFrame) -> DataFrame:
     table = cut(line_table(docs), "lines")
     counts = summed_counts(table.filter("chunk IS NOT NULL").select("chunk", "counts"), COUNT_BUCKETS)
     lines = table.filter("chunk IS NULL").drop("chunk", "counts")
-    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in OWN[2:]])
-    firsts = cut(firsts.select("line", F.col("p.doc_id").alias("d"), F.col("p.at").alias("a"), *OWN[2:], "copies"), "distinct_lines")
-    near = cut(near_lines(docs, firsts.drop("copies"), Cores(docs.sparkSession, counts)).distinct().withColumn("near", F.lit(True)), "near")
+    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in OWN[1:]])
+    firsts = firsts.select("line", F.col("p.doc_id").alias("d"), F.col("p.at").alias("a"), *OWN[1:], "copies")
+    # sorted by place, so that ids rise with it; written, so that they stay
+    firsts = cut(firsts.orderBy("d", "a").withColumn("rank", F.monotonically_increasing_id()), "distinct_lines")
+    near = cut(near_lines(docs, firsts.drop("copies", "a"), Cores(docs.sparkSession, counts)).distinct().withColumn("near", F.lit(True)), "near")
     gone = firsts.join(near.hint("merge"), "line", "left").filter("copies > 1 OR near")
     # the first place of a line goes too if it is near to an earlier one
     gone = gone.select("line", "d", "a", F.coalesce("near", F.lit(False)).alias("near"))
