@@ -69,29 +69,28 @@ def _located(text: Column, pattern: str, keep, kind: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, random: int = SAMPLE_RANDOM) -> DataFrame:
-    """The default training rows (token, random).
+    """The default training rows (token, random, weight).
 
-    Ordinary: words of the token alphabet from about ``documents`` documents chosen by hash, runs of four of them joined as
-    paths, slugs, constants, snake and camel case, and UUIDs, numbers and dates made by rule; tokens that a base pattern
-    matches are left out. Random: encodings of digests of whole numbers (hexadecimal in upper case, base64, letters and digits of
+    Ordinary: words of the token alphabet from about ``documents`` documents chosen by hash, as they are and in the shapes of
+    identifiers: paths, slugs, constants, snake and camel case. As only pairs of characters count, a shape is its words in
+    its case and the joints of neighbouring words, each distinct one once with a weight. UUIDs, numbers and dates are made by rule; tokens that a base
+    pattern matches are left out. Random: encodings of digests of whole numbers (hexadecimal in upper case, base64, letters and digits of
     base64, base32-like).
     """
     spark = docs.sparkSession
     step = max(1, docs.count() // documents)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     own = some.select(F.filter(words(F.col("text")), lambda w: w.rlike(WORD)).alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 4) / 4).cast("int")), lambda i: F.slice("w", i * 4 + 1, 4))
-    low = lambda r: F.transform(r, F.lower)
-    shapes = [
-        lambda r: F.array_join(low(r), "/"),
-        lambda r: F.array_join(low(r), "-"),
-        lambda r: F.array_join(low(r), "_"),
-        lambda r: F.upper(F.array_join(r, "_")),
-        lambda r: F.array_join(F.transform(r, F.initcap), ""),
-        lambda r: F.concat(F.lit("/"), F.array_join(r, "/"), F.lit("-"), F.pmod(F.xxhash64(F.array_join(r, "")), F.lit(3000)).cast("string")),
-    ]
-    made = F.flatten(F.transform(F.when(F.size("w") >= 4, runs), lambda r: F.array(*[f(r) for f in shapes])))
-    plain = own.select(F.explode(F.concat("w", F.coalesce(made, F.expr("cast(array() as array<string>)")))).alias("token"))
+    row = lambda token, times=1: F.struct(token.alias("token"), (F.col("n") * times).alias("weight"))
+    said = own.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    cases = F.array(row(F.col("t")), row(F.lower("t"), 3), row(F.upper("t")), row(F.initcap("t")))
+    # the last character of a word and the first of the next
+    ends = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1))))
+    joints = own.filter(F.size("w") > 1).select(F.explode(ends).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    a, b = F.left("t", F.lit(1)), F.right("t", F.lit(1))
+    glued = [F.concat(F.lower(a), F.lit(x), F.lower(b)) for x in "/-_"] + [F.concat(F.upper(a), F.lit("_"), F.upper(b)), F.concat(F.lower(a), F.upper(b)), F.concat(a, F.lit("/"), b)]
+    glued += [F.concat(F.lit("/"), b), F.concat(a, F.lit("-"))]
+    plain = said.select(F.inline(cases)).unionByName(joints.select(F.inline(F.array(*[row(t) for t in glued]))))
     digest = F.sha2(F.col("id").cast("string"), 256)
     part = lambda a, n: F.substring(digest, a, n)
     rules = spark.range(random).select(
@@ -100,6 +99,7 @@ def labelled_sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, random:
                 F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)),
                 F.concat(F.conv(part(1, 12), 16, 10), F.conv(part(13, 12), 16, 10)),
                 F.translate(F.date_format(F.timestamp_seconds(F.conv(part(1, 7), 16, 10).cast("long") * 8), "yyyy-MM-dd_HH-mm-ss"), ":", "-"),
+                F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(3000)).cast("string")),
             )
         ).alias("token")
     )
@@ -118,24 +118,28 @@ def labelled_sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, random:
             )
         ).alias("token")
     )
-    ordinary = plain.unionByName(rules).filter(~F.col("token").rlike(f"{ACCESS}|{HEX}"))
-    return ordinary.select("token", F.lit(False).alias("random")).unionByName(random_rows.select("token", F.lit(True).alias("random")))
+    once = lambda df: df.withColumn("weight", F.lit(1).cast("long"))
+    ordinary = plain.unionByName(once(rules)).filter(~F.col("token").rlike(f"{ACCESS}|{HEX}"))
+    return ordinary.withColumn("random", F.lit(False)).unionByName(once(random_rows).withColumn("random", F.lit(True)))
 
 
 def train(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
     """The log-likelihood ratio of each pair of characters, as a flat list by code of first and second.
 
-    Code 0 stands for characters outside the alphabet. An empty sample gives zeros.
+    ``sample`` has token, random and maybe weight, how often the row counts. Code 0 stands for characters outside the alphabet. An empty
+    sample gives zeros.
     """
     n = len(ALPHABET) + 1
-    codes = F.transform(F.split("token", ""), lambda c: F.when(c == "", -1).otherwise(F.instr(F.lit(ALPHABET), c)))
-    coded = sample.select("random", F.filter(codes, lambda c: c >= 0).alias("c"))
-    pairs = coded.filter(F.size("c") > 1).select(
-        "random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * n + b)).alias("pair")
-    )
+    weight = F.col("weight") if "weight" in sample.columns else F.lit(1)
+    rows = sample.groupBy("random", "token").agg(F.sum(weight).alias("w")).filter(F.length("token") > 1)
+    pair = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))
+    pairs = rows.select("random", "w", F.explode(pair).alias("pair")).groupBy("random", "pair").agg(F.sum("w").alias("w"))
+    code = {c: i + 1 for i, c in enumerate(ALPHABET)}
+    inside = F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")
+    known = F.when(inside, F.col("pair")).otherwise(F.regexp_replace("pair", "[^A-Za-z0-9+/_=-]", "\u0000"))
     counts: dict = {True: [0] * (n * n), False: [0] * (n * n)}
-    for label, pair, count in pairs.groupBy("random", "pair").count().collect():  # at most 2 * 67 * 67 rows
-        counts[label][pair] = count
+    for label, two, count in pairs.groupBy("random", known.alias("pair")).agg(F.sum("w")).collect():  # at most 2 * 67 * 67 rows
+        counts[label][code.get(two[0], 0) * n + code.get(two[1], 0)] += count
     out = [0.0] * (n * n)
     for a in range(n):
         total = {k: sum(v[a * n : a * n + n]) + smoothing * n for k, v in counts.items()}

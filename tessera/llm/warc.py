@@ -162,7 +162,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
     html is an empty payload, a null url urn:unknown. Null ids come first; rows that repeat the
     largest page_id of a payload are all responses; a payload under ``min_bytes`` is never a revisit.
     An empty table gives an empty manifest. A folder that holds an archive raises ValueError; one that an unfinished
-    write has left is written again. Rows that repeat id and payload keep the order of their URLs.
+    write has left is written again, and what is left of that write goes. Rows that repeat id and payload keep the order of
+    their URLs. A very long html is one record of its size, in one task's memory.
     """
     spark = pages.sparkSession
     path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -227,8 +228,19 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = RO
             yield b
 
     committed = cut(manifest.mapInArrow(commit, MANIFEST), "committed")
+    # files that an unfinished write left under other names, before the mark that the archive is whole
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz")
+    if store.exists(path("")):
+        strays = there.load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file")).join(committed.select("file"), "file", "left_anti")
+        for r in strays.toLocalIterator():
+            store.delete(path(r["file"]), False)
+    # the manifest is written aside and gets its name by one rename, so a folder of that name is a whole manifest
+    aside = f"_temporary/{MANIFEST_NAME}"
+    store.delete(path(aside), True)
+    committed.write.json(f"{folder}/{aside}")
+    if not store.rename(path(aside), path(MANIFEST_NAME)):
+        raise OSError(f"the manifest of {folder} cannot be put")
     store.delete(path("_temporary"), True)
-    committed.write.json(f"{folder}/{MANIFEST_NAME}")
     return committed
 
 

@@ -87,3 +87,19 @@ def test_the_manifest_marks_a_whole_archive(spark, tmp_path):
 
 def test_empty(spark):
     assert W.round_trip(pages(spark, []).select("page_id", "url", "html")).count() == 0
+
+
+def test_what_an_unfinished_write_left_goes(spark, tmp_path):
+    """A smaller archive after an unfinished larger one is read; a manifest that was not finished is no mark."""
+    folder = f"file://{tmp_path}/w"
+    many = [(i, f"http://h/{i}", f"page {i} " * 50) for i in range(60)]
+    assert W.write_warc(pages(spark, many), folder, roll=400, shard_bytes=2000).count() > 5
+    shutil.rmtree(tmp_path / "w" / W.MANIFEST_NAME)
+    half = tmp_path / "w" / "_temporary" / W.MANIFEST_NAME
+    half.mkdir(parents=True)
+    (half / "part-00000.json").write_text('{"file": "x')
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        W.read_warc(spark, folder)
+    W.write_warc(pages(spark, many[:5]), folder, roll=400, shard_bytes=2000)
+    assert digest(W.read_warc(spark, folder)) == brute(many[:5])
+    assert sorted(f for f in os.listdir(tmp_path / "w") if f.endswith(".gz")) == sorted(r.file for r in W.read_manifest(spark, folder).collect())
