@@ -39,6 +39,8 @@ MIN_WORDS = 8
 PERCENT = 10
 #: Lines of a key beyond which they meet by their rare words.
 CROWD = 5_000
+#: Lines of a key up to which a pair may meet in each key that both lines have.
+SMALL = 100
 #: Buckets of words whose occurrences are counted.
 COUNT_BUCKETS = 1 << 20
 #: Words of the corpus among which a frequent word stands more than once.
@@ -237,26 +239,31 @@ def variant_table(docs: DataFrame, cores: Cores) -> DataFrame:
 
 
 def shared_only(keyed: DataFrame) -> DataFrame:
-    """The distinct rows (key, line) of the keys that two lines or more have, from one sort; a key of any size streams through."""
+    """The rows (key, line) of the keys that two lines or more have, from one sort by key; a key of any size streams through.
+
+    A row may come twice where a key fills more than a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda k, v: pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "line"])
-        key, line, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        held, met = np.zeros((2, 0), np.int64), False  # the last key's first row, and whether another line has it
         for batch in batches:
-            k, v = (np.concatenate(x) for x in ((key, batch.column(0).to_numpy()), (line, batch.column(1).to_numpy())))
+            k, v = (np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns))
             if not len(k):
                 continue
-            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-            k, v = k[fresh], v[fresh]
-            same = k[1:] == k[:-1]
-            before = np.concatenate(([shared], same))
-            some = before[:-1] | same
-            yield out(k[:-1][some], v[:-1][some])
-            key, line, shared = k[-1:], v[-1:], bool(before[-1])  # the last row waits for the next
-        if shared:
-            yield out(key, line)
-
-    return keyed.repartition("key").sortWithinPartitions("key", "line").mapInArrow(run, KEYS)
+            begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            mixed = np.minimum.reduceat(v, begin) != np.maximum.reduceat(v, begin)
+            again = met and k[0] == held[0, 0]
+            mixed[0] |= again
+            some = np.repeat(mixed, np.diff(np.append(begin, len(k))))
+            some[0] &= not again  # it went out with the batch before
+            held, met = np.array([[k[-1]], [v[begin[-1]]]]), bool(mixed[-1])
+            x, y = k[some], v[some]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[fresh]), pa.array(y[fresh])], names=["key", "line"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, KEYS)
 
 
 def pair_table(texts: DataFrame, cores: Cores, crowded: KeyFilter) -> DataFrame:
@@ -370,14 +377,14 @@ def _differ(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0)).otherwise(F.aggregate(counts, F.lit(0), lambda t, x: t + x))
 
 
-#: What a member row knows of its line: rank by the place of its first occurrence, words, sketches.
-OWN = ("rank", "n", "b1", "b2", "wide")
+#: What a member row knows of its line: place of its first occurrence, words, sketches.
+OWN = ("d", "a", "n", "b1", "b2", "wide")
 #: Rows of keys that go to a Python worker at once.
 KEY_ROWS = 1 << 16
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
-    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line, OWN and d, the document of its first place.
+    """(line): the lines to which a line is near whose first place is earlier. ``firsts`` has line and OWN.
 
     Tables that grow with the input are joined by sorting, whatever their size, so none passes through the driver.
     """
@@ -386,7 +393,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
 
     most = F.expr(f"2 * greatest(1, greatest(n, n2) * {PERCENT} div 100) - abs(n - n2)")
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22")))
-    fits = (F.col("rank2") < F.col("rank")) & (differ <= most) & (_differ("wide", "wide2") <= most)
+    fits = F.expr("d2 < d OR (d2 = d AND a2 < a)") & (differ <= most) & (_differ("wide", "wide2") <= most)
     mates = lambda m, *more: m.select("key", *more, F.col("line").alias("other"), *[F.col(c).alias(f"{c}2") for c in OWN])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -399,7 +406,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
         return cut(both.filter(_near("words", "words2")).select("line").distinct(), name)
 
     # the first line of each key; keys of two lines are done with it
-    by = Window.partitionBy("key").orderBy("rank")
+    by = Window.partitionBy("key").orderBy("d", "a")
     first = F.first(F.struct("line", *OWN)).over(by.rowsBetween(Window.unboundedPreceding, 0))
     met = members.select("key", "line", *OWN, first.alias("m"), F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"))
     met = met.select("key", "size", "line", *OWN, F.col("m.line").alias("other"), *[F.col(f"m.{c}").alias(f"{c}2") for c in OWN])
@@ -407,16 +414,19 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
     met = cut(met, "first_lines")
     easy = verified(met.filter("other IS NOT NULL"), "near_first")
 
-    # all earlier lines of a key for the others; a pair meets in the first of the keys that both have
+    # all earlier lines of a key for the others
     rest = met.filter("size > 2").drop("other")
-    asking = cut(rest.join(easy.hint("merge"), "line", "left_anti").select("key", "size", "line"), "asking")
-    keys = asking.filter(F.col("size") <= CROWD).select("key").distinct()
-    held = rest.join(keys.hint("merge"), "key", "left_semi").groupBy("line").agg(*[F.first(c).alias(c) for c in OWN], F.array_sort(F.collect_set("key")).alias("keys"))
+    asking = cut(rest.join(easy.hint("merge"), "line", "left_anti"), "asking")
+    few = F.col("size") <= SMALL
+    pairs = asking.filter(few).join(mates(rest.filter(few)), "key").filter(fits).select("line", "other")
+    # a pair meets in the first of the larger keys that both have
+    large = ~few & (F.col("size") <= CROWD)
+    held = rest.filter(large).groupBy("line").agg(*[F.first(c).alias(c) for c in OWN], F.array_sort(F.collect_set("key")).alias("keys"))
     held = held.select("line", *OWN, F.posexplode("keys").alias("at", "key"), "keys")
     held = cut(held.select("line", *OWN, "key", F.slice("keys", F.lit(1), F.col("at")).alias("before")), "held")
-    some = held.join(asking.select("line").distinct().hint("merge"), "line", "left_semi")
-    pairs = some.join(mates(held, F.col("before").alias("before2")), "key").filter(fits & ~F.arrays_overlap("before", "before2"))
-    some = verified(pairs, "near_any")
+    some = held.join(asking.filter(large).select("line").distinct().hint("merge"), "line", "left_semi")
+    once = some.join(mates(held, F.col("before").alias("before2")), "key").filter(fits & ~F.arrays_overlap("before", "before2"))
+    some = verified(pairs.union(once.select("line", "other")), "near_any")
     left = asking.filter(F.col("size") > CROWD)
     crowd = cut(left.select("key").distinct(), "crowded")
     if crowd.isEmpty():
@@ -426,7 +436,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
     rare = cut(shared_only(pair_table(words, cores, KeyFilter(crowd, "key"))).join(lines.hint("merge"), "line"), "rare_members", KEY_ROWS)
     asking = left.select("line").distinct().join(some, "line", "left_anti")
     asked = rare.join(asking, "line", "left_semi")
-    lowest = rare.groupBy("key").agg(F.min(F.struct("rank", "line", *OWN[1:])).alias("m"))
+    lowest = rare.groupBy("key").agg(F.min(F.struct("d", "a", "line", *OWN[2:])).alias("m"))
     rarely = verified(asked.join(mates(lowest.select("key", "m.*")), "key").filter(fits), "near_rare_first")
     last = verified(asked.join(rarely, "line", "left_anti").join(mates(rare), "key").filter(fits), "near_rare")
     return easy.union(some).union(rarely).union(last)
@@ -438,11 +448,10 @@ def late_lines(docs: DataFrame) -> DataFrame:
     table = cut(line_table(docs), "lines")
     counts = summed_counts(table.filter("chunk IS NOT NULL").select("chunk", "counts"), COUNT_BUCKETS)
     lines = table.filter("chunk IS NULL").drop("chunk", "counts")
-    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in OWN[1:]])
-    firsts = firsts.select("line", F.col("p.doc_id").alias("d"), F.col("p.at").alias("a"), *OWN[1:], "copies")
-    # sorted by place, so that ids rise with it; written, so that they stay
-    firsts = cut(firsts.orderBy("d", "a").withColumn("rank", F.monotonically_increasing_id()), "distinct_lines")
-    near = cut(near_lines(docs, firsts.drop("copies", "a"), Cores(docs.sparkSession, counts)).distinct().withColumn("near", F.lit(True)), "near")
+    firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in OWN[2:]])
+    firsts = firsts.select("line", F.col("p.doc_id").alias("d"), F.col("p.at").alias("a"), *OWN[2:], "copies")
+    firsts = cut(firsts, "distinct_lines")
+    near = cut(near_lines(docs, firsts.drop("copies"), Cores(docs.sparkSession, counts)).distinct().withColumn("near", F.lit(True)), "near")
     gone = firsts.join(near.hint("merge"), "line", "left").filter("copies > 1 OR near")
     # the first place of a line goes too if it is near to an earlier one
     gone = gone.select("line", "d", "a", F.coalesce("near", F.lit(False)).alias("near"))

@@ -130,8 +130,9 @@ def test_empty_and_clashing_columns(frame):
     assert got.columns == docs.drop("n_chars").columns
 
 
-@pytest.mark.parametrize("crowd", (1, 1000))
-def test_growing_bound_equals_brute_force(frame, monkeypatch, crowd):
+@pytest.mark.parametrize("small,crowd", ((1, 1), (2, 1000), (100, 1000)))
+def test_growing_bound_equals_brute_force(frame, monkeypatch, small, crowd):
+    monkeypatch.setattr(L, "SMALL", small)
     monkeypatch.setattr(L, "CROWD", crowd)
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(40)]
@@ -194,3 +195,16 @@ def test_a_template_line_and_a_very_long_text(frame):
     got = {r.doc_id: r.text for r in L.dedup(frame(rows)).collect()}
     assert {i: got[i] for i in range(300)} == dict(rows[:300])
     assert got[500] == long and got[501] == "" and got[502] == "a " * 50_000
+
+
+@pytest.mark.parametrize("batch", ("3", "1000"))
+def test_shared_keys_from_one_sort(spark, batch):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(60), rnd.randrange(4)) for _ in range(150)] + [(7, 1)] * 20 + [(100, 5)] * 9 + [(101, x % 7) for x in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {(r.key, r.line) for r in L.shared_only(spark.createDataFrame(rows, "key long, line long")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = {}
+    for k, v in rows:
+        lines.setdefault(k, set()).add(v)
+    assert got == {(k, v) for k, v in rows if len(lines[k]) > 1}
