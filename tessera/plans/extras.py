@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from tessera.functions import scoring, text, vector
 from tessera.functions import time as T
@@ -156,20 +155,12 @@ def h38_srt_stamps(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.stamp(F.col("s_acctbal")).alias("stamp"))
 
 
-@udtf(returnType="word string, at int")
-class Mentions:
-    """Words of a text that begin with a capital after the first one, with their place; callable from SQL."""
-
-    def eval(self, value: str):
-        for i, w in enumerate((value or "").split()):
-            if i and w[:1].isupper() and w[1:2].islower():
-                yield w, i
-
-
 def j04_mentions(spark, sf_dir):
-    spark.udtf.register("mentions", Mentions)
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("mention_turns")
-    return spark.sql("SELECT conv_id, turn, count(*) AS n, min(at) AS first FROM mention_turns, LATERAL mentions(text) GROUP BY conv_id, turn")
+    """Words of each turn that begin with a capital after the first one: how many, and the first one's place."""
+    words = F.transform(F.filter(F.split("text", "\\s+"), lambda w: w != ""), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    found = F.filter(words, lambda x: (x["at"] > 0) & x["w"].rlike("^\\p{Lu}\\p{Ll}"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("m")).filter("size(m) > 0")
+    return c.groupBy("conv_id", "turn").agg(F.sum(F.size("m")).alias("n"), F.min(F.get("m", F.lit(0))["at"]).alias("first"))
 
 
 def j07_sample_points(spark, sf_dir):
@@ -198,7 +189,9 @@ def k12_contracts(spark, sf_dir):
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "bcefghjk" and k[1:3].isdigit()}
 _P = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
+_CAPITALS = r"list_filter(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^\p{Lu}\p{Ll}') THEN i - 1 END), lambda x: x IS NOT NULL)"
 ORACLE = {
+    "j04_mentions": f"SELECT conv_id, turn, sum(len(m))::BIGINT AS n, min(m[1])::INT AS first FROM (SELECT conv_id, turn, {_CAPITALS} AS m FROM conversations) WHERE len(m) > 0 GROUP BY ALL",
     "b20_proof_safe": "SELECT l_suppkey, count(*) FILTER (l_returnflag IN ('A', 'N') AND l_linestatus = 'F' AND CASE WHEN l_discount * 10 = 0 THEN 1 ELSE l_discount * 10 END >= 0.55) AS safe FROM lineitem GROUP BY 1",
     "c29_unused": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)",
     "e17_split_blocks": """WITH n AS (SELECT o_orderkey, o_totalprice, CAST(greatest(1, floor(o_totalprice / 100000 + 0.6::DOUBLE)) AS BIGINT) AS n FROM orders)

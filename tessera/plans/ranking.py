@@ -9,6 +9,7 @@ from tessera.functions import scoring
 from tessera.functions.text import contains_words, plain
 from tessera.functions.time import micros
 from tessera.operators import ranking as R
+from tessera.operators.dictionary import matches
 from tessera.session import table
 
 
@@ -271,9 +272,8 @@ def c30_retention(spark, sf_dir):
 
 def c32_gazetteer(spark, sf_dir):
     """Documents that hold terms of a gazetteer as whole words, terms joined; the gazetteer is a fixed list."""
-    terms = spark.createDataFrame([("apache license",), ("general public license",), ("all rights reserved",), ("cc by",)], "term string")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), plain(F.col("text")), F.lit(" ")).alias("t"))
-    hit = d.join(F.broadcast(terms), F.col("t").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
+    terms = spark.createDataFrame(list(enumerate(["apache license", "general public license", "all rights reserved", "cc by"])), "k long, term string")
+    hit = matches(table(spark, sf_dir, "documents"), "doc_id", "text", terms, "k", "term").select(F.col("doc").alias("doc_id"), F.col("term").alias("term_")).join(F.broadcast(terms), F.col("k") == F.col("term_"))
     return hit.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
 
 
