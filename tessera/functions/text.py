@@ -85,17 +85,25 @@ def strip_markup(html: Column) -> Column:
 EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0F}\\x{200D}\\x{20E3}]"
 
 
+#: What a voice does not read: fenced code, tags, emoji.
+UNSPOKEN = "(?s)```.*?(?:```|$)|<[^<>]*>|" + EMOJI
+#: What it reads the words of: images and links by their text, code by its content.
+WORDED = {"!?\\[([^\\]]*)\\]\\([^()]*\\)": "$1", "`([^`]*)`": "$1"}
+#: Marks without a sound: those that open a line, and those around words.
+LINE_MARKS, WORD_MARKS = "(?m)^[ \\t]*(?:#{1,6}|>)[ \\t]+", "[*~]+|_{2,}|(?<![A-Za-z0-9])_|_(?![A-Za-z0-9])"
+
+
 def spoken(text: Column) -> Column:
-    """Text for a voice: no emoji, no Markdown marks (links and code keep their words, code blocks go), no HTML tags, at most one
-    blank line and single spaces; null reads as empty."""
-    steps = [
-        (EMOJI, ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("!\\[([^\\]]*)\\]\\([^)]+\\)", "$1"), ("\\*\\*|__|\\*|_|~~", ""), ("(?s)```.+?```", ""), ("`([^`]+)`", "$1"),
-        ("(?m)^\\s*#{1,6}\\s+", ""), ("</?[^>]+(>|$)", ""), ("\n{2,}", "\n\n"), (" {2,}", " "), ("^\\s+|\\s+$", ""),
-    ]
-    out = F.coalesce(text, F.lit(""))
-    for pattern, new in steps:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """Text for a voice: without emoji, tags and code blocks, the words of links, images and code without their Markdown, at most one blank line and
+    single spaces. Underscores inside a name stay; null reads as empty."""
+    said = F.regexp_replace(F.coalesce(text, F.lit("")), UNSPOKEN, "")
+    for whole, words in WORDED.items():
+        said = F.regexp_replace(said, whole, words)
+    said = F.regexp_replace(F.regexp_replace(said, LINE_MARKS, ""), WORD_MARKS, "")
+    lines = F.transform(F.split(said, "\n"), lambda line: F.trim(F.regexp_replace(line, "[ \t\r]+", " ")))
+    # a blank line counts once, and not at the ends
+    kept = F.filter(lines, lambda line, i: (line != "") | (F.get(lines, i - 1) != ""))
+    return F.regexp_replace(F.array_join(kept, "\n"), "^\n+|\n+$", "")
 
 
 def redact(text: Column) -> Column:

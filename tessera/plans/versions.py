@@ -9,18 +9,18 @@ from tessera.plans.streams import scratch
 from tessera.session import table
 from tessera.sources.versioned import VersionedStore
 
-CLIPS = """part long, supp long, order_id long, line long, mode string, status string, uses long, tags array<string>,
+CLIPS = """part long, supp long, order_id long, line long, day long, mode string, status string, uses long, tags array<string>,
     history array<long>, meta map<string, string>"""
-CLIP_RULES = {"order_id": "greatest", "line": "greatest", "mode": "first", "uses": "sum", "tags": "union", "history": "append", "meta": "merge"}
+CLIP_RULES = {"order_id": "greatest", "line": "greatest", "day": "greatest", "mode": "first", "uses": "sum", "tags": "union", "history": "append", "meta": "merge"}
 
 
 def a25_clip_store(spark, sf_dir):
     """Segments (part, supplier) registered in three rounds, with a compaction after the second and a rerun of the third: the first
     mode and the last status stay, uses add up, tags unite, history grows, metadata is merged."""
-    store = VersionedStore(spark, scratch(spark, "clips"), CLIPS, ["part", "supp"], CLIP_RULES, ["order_id", "line"])
+    store = VersionedStore(spark, scratch(spark, "clips"), CLIPS, ["part", "supp"], CLIP_RULES, ["order_id", "line", "day"])
     l = table(spark, sf_dir, "lineitem")
     rows = l.select(
-        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line"), F.date_format("l_shipdate", "yyyy").alias("mode"),
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"), F.date_format("l_shipdate", "yyyy").alias("mode"),
         F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("long").alias("uses"), F.array("l_returnflag").alias("tags"), F.array("l_orderkey").alias("history"),
         F.create_map("l_returnflag", F.col("l_linenumber").cast("string")).alias("meta"),
     )
@@ -60,7 +60,7 @@ def a11_compacted_matches(spark, sf_dir):
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "a" and k[1:3].isdigit()}
 ORACLE = {
-    "a25_clip_store": """WITH l AS (SELECT *, (l_orderkey % 3, l_orderkey, l_linenumber) AS o FROM lineitem),
+    "a25_clip_store": """WITH l AS (SELECT *, (l_orderkey % 3, l_orderkey, l_linenumber, l_shipdate) AS o FROM lineitem),
         m AS (SELECT l_partkey, l_suppkey, string_agg(l_returnflag || '=' || v, ',' ORDER BY l_returnflag) AS meta FROM
               (SELECT l_partkey, l_suppkey, l_returnflag, arg_max(l_linenumber, o) AS v FROM l GROUP BY ALL) GROUP BY ALL),
         s AS (SELECT l_partkey, l_suppkey, arg_min(strftime(l_shipdate, '%Y'), o) AS mode, arg_max(l_linestatus, o) AS status, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS uses,

@@ -63,8 +63,8 @@ def test_truncate_cuts_at_punctuation(spark):
 
 
 def test_spoken_text(spark):
-    given = ["# Hi **you** \U0001f600_x_\n\n\n\nsee [the page](http://a/b) and `f(x)`  <i>now</i>", None, "  a  b ", "x ```\ncode\n``` y"]
-    assert values(spark, text.spoken, given) == ["Hi you x\n\nsee the page and f(x) now", "", "a b", "x y"]
+    given = ["```a\nb", "![a photo](u) of snake_case and __bold__", "> said *so*", "a\n\n \n\nb", "# Hi **you** \U0001f600_x_\n\n\n\nsee [the page](http://a/b) and `f(x)`  <i>now</i>", None, "  a  b ", "x ```\ncode\n``` y"]
+    assert values(spark, text.spoken, given) == ["", "a photo of snake_case and bold", "said so", "a\n\nb", "Hi you x\n\nsee the page and f(x) now", "", "a b", "x y"]
 
 
 def test_objects_are_read_from_fences_lists_and_remarks(spark):
@@ -158,13 +158,6 @@ def test_rematch_reasons(spark):
     assert got == {("a", 10): "replaced", ("a", 2): "replaced", ("b", 3): "breaks the brief", ("c", 4): "no alternative", ("d", 5): "worse", ("e", 13): "replaced"}
 
 
-def test_wrapping():
-    assert N.wrapped("aa bb cc".split(), 5, 2) == (["aa bb", "cc"], 3)
-    assert N.wrapped("aaaaaaa b c".split(), 5, 2) == (["aaaaaaa", "b c"], 3)
-    assert N.wrapped("aa bb cc dd ee".split(), 5, 2) == (["aa bb", "cc dd"], 4)
-    assert N.wrapped([], 5, 2) == ([], 0)
-
-
 def test_caption_rows_keep_their_limits():
     rnd = random.Random(1)
     for _ in range(60):
@@ -179,7 +172,12 @@ def test_caption_rows_keep_their_limits():
     assert N.caption_rows([("a", 0.0, 0.04)]) == []
     assert N.caption_rows([("hi", 0.0, 0.3), ("there", 0.3, 0.9)]) == [(0.0, 1.0, "hi there")]
     # the first cue is shown for a second, so both meet in the middle
-    assert N.caption_rows([("a" * 42, 0.0, 0.2), ("b" * 42, 0.2, 0.5), ("c", 0.6, 1.9)])[0][1] == 0.6
+    got = N.caption_rows([("a" * 42, 0.0, 0.2), ("b" * 42, 0.2, 0.5), ("c", 0.6, 1.9)])
+    assert got == [(0.0, 0.8, "a" * 42 + "\n" + "b" * 42), (0.8, 1.9, "c")]
+    # every word stands in one cue, in order, and lines keep their width
+    words = [("x" * n, float(i), i + 0.9) for i, n in enumerate((3, 30, 9, 9, 41, 60, 1, 1))]
+    lines = [x for _, _, t in N.caption_rows(words, most=100.0) for x in t.split("\n")]
+    assert " ".join(lines).split() == [w for w, _, _ in words] and all(len(x) <= 42 or " " not in x for x in lines)
 
 
 def test_scene_bounds():
@@ -188,7 +186,22 @@ def test_scene_bounds():
     assert N.by_silences(2, [(2.0, 2.5), (3.0, 3.5), (8.0, 8.5)], 10.0) == [(0.0, 3.0), (3.5, 10.0)]
     words = [(w, float(i), i + 0.9) for i, w in enumerate("the red house and then a blue garden wall".split())]
     got = N.by_terms([["house"], ["garden"], []], words, 9.0)
-    assert [(s, a) for s, _, _, a in got] == [(2.0, "house"), (5.0, "a"), (8.0, "")]  # a word that a term holds counts too
+    assert got == [(2.0, 2.9, 0.85, "house"), (5.0, 7.9, 0.85, "a"), (7.9, 9.0, 0.2, "")]  # a word that a term holds counts too
+
+
+def test_most_scenes_are_met_in_order():
+    """Rising places against a search through all choices."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        words = [rnd.choice("abcd") for _ in range(rnd.randrange(0, 7))]
+        terms = [[rnd.choice("abcde")] if rnd.random() < 0.8 else [] for _ in range(rnd.randrange(1, 5))]
+        got = N.first_hits(terms, words)
+        choices = [[None, *[i for i, w in enumerate(words) if w in own]] for own in terms]
+        rising = [c for c in itertools.product(*choices) if [x for x in c if x is not None] == sorted({x for x in c if x is not None})]
+        most = max(sum(x is not None for x in c) for c in rising)
+        assert tuple(got) in rising and sum(x is not None for x in got) == most
+    # the term of the first scene comes again later; the others are met only if it takes the early one
+    assert N.first_hits([["x"], ["y"], ["z"]], ["x", "y", "z", "x"]) == [0, 1, 2]
 
 
 def test_sessions_close_by_pause_length_and_entity(spark):
