@@ -187,6 +187,28 @@ def pack(parts: Column, most: int, sep: str = " ") -> Column:
     return F.aggregate(parts, empty, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
+#: Ends of paragraphs, sentences, clauses and words: a text may be cut after one.
+CUTS = ["(?<=\\n)(?=[ \\t\\r]*\\n)", "(?<=[.!?][ \\t\\r\\n])(?=\\S)", "(?<=[,;:][ \\t\\r\\n])(?=\\S)", "(?<=[ \\t\\r\\n])(?=\\S)"]
+
+
+def split_within(text: Column, most: int) -> Column:
+    """The text cut to pieces of at most ``most`` characters that make it up again when joined: packed paragraphs; a paragraph that is too long by
+    sentences, a sentence by clauses, a clause by words, and a longer word anywhere. Null and empty texts have no pieces."""
+    pieces = F.array(F.coalesce(text, F.lit("")))
+    by = lambda cut: lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.split(p, cut))
+    for cut in CUTS:
+        pieces = F.flatten(F.transform(pieces, by(cut)))
+    hard = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
+    pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(hard(p))))
+    return pack(F.filter(pieces, lambda p: p != ""), most, "")
+
+
+def capital_phrases(text: Column, joins: list[str]) -> Column:
+    """Runs of capitalised words, joined words like "of" between two of them included, in order without repeats."""
+    word, between = "\\p{Lu}[\\p{L}\\p{N}'-]*", "(?:" + "|".join(joins) + ")"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({word}(?:[ ](?:{between}[ ])*{word})*)"), F.lit(1)))
+
+
 def labels(text: Column, rules: dict[str, str]) -> Column:
     """Sorted names of all rules whose pattern occurs."""
     return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in rules.items()])))

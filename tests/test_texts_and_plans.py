@@ -237,3 +237,47 @@ def test_library_walks_subfolders(spark, tmp_path):
     files.write_files(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}/l").count()
     got = {(r["name"], r.kind, r.bytes, r.title) for r in files.library(spark, f"{tmp_path}/l", "title string").collect()}
     assert got == {("x.MP4", "video", 2, "T"), ("y.png", "image", 1, None), ("w.mp3", "audio", 3, None)}
+
+
+def test_balanced_objects(spark):
+    """Braces inside strings, two objects, objects that are not closed, quotes in remarks; against a plain scanner."""
+    given = [
+        'He said "go: {"a": "}{", "b": {"c": 1}} and {"d": "x\\\\"} end', None, "", "no braces", "} { } {", '{"open": {"x": 1}', '{"a": "\\"}"} tail }', "{}{}", '{"é": "\U0001f600}"}x', '"{" {"k": 2}', "{'a': '}'}",
+    ]
+
+    def plain(t):
+        t = t or ""
+        t = t[t.find("{") : t.rfind("}") + 1] if "{" in t and "}" in t[t.find("{") :] else ""
+        out, depth, text, escape, start = [], 0, False, False, 0
+        for i, c in enumerate(t):
+            if text:
+                text, escape = (c != '"' or escape), c == "\\" and not escape
+            elif c == '"' and depth:
+                text = True
+            elif c == "{":
+                start, depth = (i if not depth else start), depth + 1
+            elif c == "}" and depth:
+                depth -= 1
+                out += [t[start : i + 1]] if not depth else []
+        return out
+
+    rnd = random.Random(7)
+    given += ["".join(rnd.choice('{}"\\ax') for _ in range(rnd.randrange(0, 25))) for _ in range(300)]
+    assert values(spark, jsontext.objects, given) == [plain(t) for t in given]
+    assert values(spark, jsontext.first_valid, ['x {bad} {"a": 1} {"b": 2}', "{bad}", None]) == ['{"a": 1}', None, None]
+
+
+def test_split_within_keeps_the_text(spark):
+    rnd = random.Random(2)
+    given = [None, "", "short", "x" * 95, "One. Two! Three, four; five six\n\nNew paragraph here. " * 5]
+    given += ["".join(rnd.choice(["word", "Long-word-without-end", ". ", ", ", "\n\n", " ", "é", "? "]) for _ in range(rnd.randrange(1, 60))) for _ in range(80)]
+    for most in (10, 40):
+        got = values(spark, lambda c: text.split_within(c, most), given)
+        assert ["".join(p) for p in got] == [t or "" for t in given]
+        assert all(0 < len(x) <= most for p in got for x in p)
+    assert values(spark, lambda c: text.split_within(c, 30), ["First one. Second one here. A third, with a clause that is long."]) == [["First one. Second one here. ", "A third, ", "with a clause that is long."]]
+
+
+def test_capital_phrases(spark):
+    got = values(spark, lambda c: text.capital_phrases(c, ["of", "do", "de"]), ["the Palace of Porto and Vila Nova de Gaia, Porto again: Palace of Porto", "none here", None])
+    assert got == [["Palace of Porto", "Vila Nova de Gaia", "Porto"], [], None]
