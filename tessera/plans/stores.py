@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.time import micros
 from tessera.operators import evidence as O
 from tessera.operators import keys as K
-from tessera.plans.streams import scratch
+from tessera.plans.streams import EDGES, scratch
 from tessera.session import table
 from tessera.sources import files, sinks
 
@@ -49,8 +49,6 @@ def a14_scan_index(spark, sf_dir):
     return rows.select("path", "version", F.size("v").cast("long").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
 
 
-EDGES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("error", "view"), ("view", "error"), ("click", "error")]
-
 
 def _states(spark, sf_dir):
     """Each user's state after all events: an illegal step is refused and remembered, the state stays. Users' series are bounded."""

@@ -11,7 +11,11 @@ from tessera.functions.time import micros
 from tessera.session import table
 from tessera.sources import journal
 from tessera.sources.paged import PagedSource
-from tessera.streaming import jobs
+from tessera.streaming import jobs, states
+
+
+#: Steps that are legal from one type of event to the next.
+EDGES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("error", "view"), ("view", "error"), ("click", "error")]
 
 
 def scratch(spark, name):
@@ -87,8 +91,25 @@ def a19_paged_listing(spark, sf_dir):
     return rows.groupBy("license").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"))
 
 
-QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_topup, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing)}
+def i04_checked_states(spark, sf_dir):
+    """Each user's steps checked as a stream with typed state: accepted and refused ones, and the last state."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", states.STORE)
+    try:
+        steps = _event_stream(spark, sf_dir).select("user_id", "time", F.col("event_type").alias("event"))
+        rows = jobs.drain(states.checked_states(steps, "user_id", EDGES, "0 seconds", idle=10.0**9), scratch(spark, "checked"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = F.max_by("state", "attempts").alias("state")
+    return rows.groupBy("user_id").agg(F.count_if(F.col("verdict") == "accepted").alias("accepted"), F.count_if(F.col("verdict") == "refused").alias("refused"), last)
+
+
+QUERIES = {f.__name__: f for f in (i01_journal_tail, i02_topup, i02_windowed_counts, i03_token_bucket, i08_once, a19_paged_listing, i04_checked_states)}
+_LEGAL = ", ".join(f"'{a}>{b}'" for a, b in EDGES)
 ORACLE = {
+    "i04_checked_states": f"""WITH s AS (SELECT user_id, list(event_type ORDER BY epoch_us(ts), event_type) AS s FROM events GROUP BY 1),
+        r AS (SELECT user_id, list_reduce(s[2:], lambda a, x: CASE WHEN list_contains([{_LEGAL}], split_part(a, '|', 1) || '>' || x) THEN x || '|' || (split_part(a, '|', 2)::INT + 1) || '|' || split_part(a, '|', 3) ELSE split_part(a, '|', 1) || '|' || split_part(a, '|', 2) || '|' || (split_part(a, '|', 3)::INT + 1) END, s[1] || '|1|0') AS r FROM s)
+        SELECT user_id, split_part(r, '|', 2)::BIGINT AS accepted, split_part(r, '|', 3)::BIGINT AS refused, split_part(r, '|', 1) AS state FROM r""",
     "i01_journal_tail": "SELECT event_id AS seq, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id > 100",
     "i02_topup": "SELECT event_type, least(100, count(DISTINCT user_id)) AS n, count(DISTINCT user_id) >= 100 AS covered FROM events GROUP BY 1",
     "i02_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
