@@ -77,24 +77,40 @@ def sent_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def at_rank(df: DataFrame, keys: list[str], value: str, rank, buckets: int = 4096) -> DataFrame:
-    """(keys, value): the value at place ``rank(n)`` (from 1) of each key's n rows in order; nulls do not count.
+#: Size of the quantile sketches, even shares of the rows that they are asked for, and how many of these lie to both sides of a place (over six times the
+#: sketch's error).
+SKETCH, GRID, MARGIN = 1024, 500, 10
 
-    Exact, without sorting a key's rows in one task: rows are counted by even steps of the key's range first, then by value
-    within the step that holds the place.
+
+def at_rank(df: DataFrame, keys: list[str], value: str, rank) -> DataFrame:
+    """(keys, value): the value at place ``rank(n)`` (from 1) of each key's n rows in order; nulls and NaN do not count.
+
+    Exact, from two passes and no sort of a key's rows: mergeable quantile sketches give cuts close around the place, whatever the values' distribution;
+    then rows below them are only counted, those between are counted by step and value, and the step that holds the place by value. So a task sees a
+    small share of a key's distinct values. A place outside of the sketch's cuts, which is all but impossible, raises an error.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
-    per = rows.groupBy(*keys).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count(F.lit(1)).alias("n_"))
-    step = F.least(F.floor((F.col("v_") - F.col("lo_")).cast("double") / F.nullif((F.col("hi_") - F.col("lo_")).cast("double"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    rows = rows.join(per, keys).withColumn("step_", F.coalesce(step, F.lit(0))).withColumn("at_", F.least(F.greatest(rank(F.col("n_")), F.lit(1)), F.col("n_")).cast("long"))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).alias("v_"), F.col(value).cast("double").alias("d_"))
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.min("d_").alias("lo_"), F.max("d_").alias("hi_"), F.kll_sketch_agg_double("d_", F.lit(SKETCH)).alias("s_"))
+    per = per.withColumn("at_", F.least(F.greatest(rank(F.col("n_")), F.lit(1)), F.col("n_")).cast("long"))
+    first = F.greatest(F.lit(0), F.floor(F.col("at_") * GRID / F.col("n_")) - MARGIN)
+    last = F.least(F.lit(GRID), F.floor(F.col("at_") * GRID / F.col("n_")) + MARGIN + 1)
+    grid = F.kll_sketch_get_quantile_double("s_", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    # cuts at the ends are the ends
+    grid = F.transform(grid, lambda c, i: F.when(i == 0, F.col("lo_")).when(i == GRID, F.col("hi_")).otherwise(c))
+    per = per.select(*keys, "at_", F.slice(grid, (first + 1).cast("int"), (last - first + 1).cast("int")).alias("cuts_"))
+    step = F.when(F.col("d_") < F.get("cuts_", F.lit(0)), -1).otherwise(F.size(F.filter("cuts_", lambda c: c < F.col("d_"))))
+    near = rows.join(sent_if_small(per), keys).filter(F.col("d_") <= F.element_at("cuts_", -1)).withColumn("step_", step)
+    counts = near.groupBy(*keys, "at_", "step_", F.when(F.col("step_") >= 0, F.col("v_")).alias("v_")).agg(F.count(F.lit(1)).alias("c_"))
     run = Window.partitionBy(*keys).orderBy("step_").rowsBetween(Window.unboundedPreceding, 0)
-    steps = rows.groupBy(*keys, "at_", "step_").agg(F.count(F.lit(1)).alias("c_")).withColumn("upto_", F.sum("c_").over(run))
+    steps = counts.groupBy(*keys, "at_", "step_").agg(F.sum("c_").alias("c_")).withColumn("upto_", F.sum("c_").over(run))
     held = steps.filter((F.col("upto_") >= F.col("at_")) & (F.col("upto_") - F.col("c_") < F.col("at_")))
-    held = held.select(*keys, "step_", (F.col("at_") - F.col("upto_") + F.col("c_")).alias("left_"))
-    values = rows.join(held, [*keys, "step_"]).groupBy(*keys, "left_", "v_").agg(F.count(F.lit(1)).alias("c_"))
+    held = held.select(*keys, F.col("step_").alias("held_"), (F.col("at_") - F.col("upto_") + F.col("c_")).alias("left_"))
+    inside = counts.join(sent_if_small(held), keys).filter(F.col("step_") == F.col("held_"))
     run = Window.partitionBy(*keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("upto_", F.sum("c_").over(run)).filter(F.col("upto_") >= F.col("left_"))
-    return values.groupBy(*keys).agg(F.min("v_").alias(value))
+    inside = inside.withColumn("upto_", F.sum("c_").over(run)).filter(F.col("upto_") >= F.col("left_"))
+    out = per.select(*keys).join(inside.groupBy(*keys).agg(F.min("v_").alias(value), F.max("held_").alias("held_")), keys, "left")
+    missed = F.col("held_").isNull() | (F.col("held_") < 0)
+    return out.select(*keys, F.when(missed, F.raise_error(F.lit("the sketch missed the place")).cast(df.schema[value].dataType)).otherwise(F.col(value)).alias(value))
 
 
 def allowed_or_pools(df: DataFrame, keys: list[str], hard: Column, rules: list[Column], pools: list[Column], order: list[Column], most: int = 12) -> DataFrame:

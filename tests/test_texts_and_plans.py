@@ -98,14 +98,15 @@ def test_until_target_equals_a_loop(spark):
 
 def test_at_rank_equals_sorting(spark):
     rnd = random.Random(7)
-    rows = [(k, rnd.choice((None, 0.0, rnd.gauss(0, 50), float(rnd.randrange(5))))) for k in "abc" for _ in range(500)] + [("d", 3.0)] * 9 + [("e", None)]
+    rows = [(k, rnd.choice((None, 0.0, rnd.gauss(0, 50), float(rnd.randrange(5))))) for k in "abc" for _ in range(500)] + [("d", 3.0)] * 9 + [("e", None), ("f", float("nan"))]
+    rows += [("h", rnd.paretovariate(0.2) * 10.0 ** rnd.randrange(-200, 100)) for _ in range(6000)] + [("i", 1.0)] * 3000 + [("i", 1e300)] + [("j", float(i)) for i in range(20_000)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(3)
     for q in (1, 50, 95, 100):
-        got = {r.k: r.v for r in R.at_rank(df, ["k"], "v", lambda n: F.ceil(n * q / 100), 16).collect()}  # noqa: B023
-        for k in "abcd":
+        got = {r.k: r.v for r in R.at_rank(df, ["k"], "v", lambda n: F.ceil(n * q / 100)).collect()}  # noqa: B023
+        for k in "abcdhij":
             v = sorted(x for g, x in rows if g == k and x is not None)
             assert got[k] == v[max(1, -(-len(v) * q // 100)) - 1]
-        assert set(got) == set("abcd")
+        assert set(got) == set("abcdhij")
 
 
 def test_before_in_order_equals_lag(spark):
