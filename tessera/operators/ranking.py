@@ -25,15 +25,26 @@ def first_tier(df: DataFrame, keys: list[str], tiers: list[Column], out: str = "
 def cascade(df: DataFrame, keys: list[str], rules: list[Column]) -> DataFrame:
     """Applies rules one after another per key, each only if it leaves a row; adds ``kept_rules``, the rules that held.
 
-    The rows of a key that pass all rules applied so far are counted in one window per rule.
+    A row's rules are bits of a number. One window gathers the distinct numbers of a key, at most 2 to the power of the rules, and a fold over the rules
+    finds the bits that a row must have. At most 62 rules.
     """
-    rows = df.withColumn("alive_", F.lit(True)).withColumn("kept_rules", F.lit(0))
-    for rule in rules:
-        passes = F.col("alive_") & F.coalesce(rule, F.lit(False))
-        any_left = F.max(passes).over(Window.partitionBy(*keys))
-        rows = rows.withColumn("any_", any_left).withColumn("alive_", F.when(F.col("any_"), passes).otherwise(F.col("alive_")))
-        rows = rows.withColumn("kept_rules", F.col("kept_rules") + F.col("any_").cast("int"))
-    return rows.filter("alive_").drop("alive_", "any_")
+    if len(rules) > 62:
+        raise ValueError("at most 62 rules")
+    if not rules:
+        return df.withColumn("kept_rules", F.lit(0))
+    mask = reduce(lambda a, b: a + b, [F.when(F.coalesce(r, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)])
+    rows = df.withColumn("mask_", mask).withColumn("masks_", F.collect_set("mask_").over(Window.partitionBy(*keys)))
+    none = F.struct(F.lit(0).cast("long").alias("must"), F.lit(0).alias("kept"))
+
+    def step(acc, bit):
+        more = acc["must"].bitwiseOR(bit)
+        left = F.exists("masks_", lambda m: m.bitwiseAND(more) == more)
+        return F.when(left, F.struct(more.alias("must"), (acc["kept"] + 1).alias("kept"))).otherwise(acc)
+
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in range(len(rules))])
+    rows = rows.withColumn("held_", F.aggregate(bits, none, step))
+    rows = rows.filter(F.col("mask_").bitwiseAND(F.col("held_.must")) == F.col("held_.must"))
+    return rows.withColumn("kept_rules", F.col("held_.kept")).drop("mask_", "masks_", "held_")
 
 
 def floor_or_best(df: DataFrame, keys: list[str], score: str, floor: float, k: int, order: list[Column]) -> DataFrame:
