@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import jsontext, scoring, text, vector
 from tessera.functions import time as T
 from tessera.functions.time import micros
+from tessera.operators import dictionary
 from tessera.operators import keys as K
-from tessera.operators import ranking as R
 from tessera.operators.ranking import at_rank, top_k
 from tessera.operators.vector import best_of_bank
 from tessera.session import table
 
-#: Words of an item's hash.
-LEAD = 4
 
 
 def a07_latest_cache(spark, sf_dir):
@@ -274,25 +272,9 @@ def f19_best_match(spark, sf_dir):
 
 
 def c15_phrase_match(spark, sf_dir):
-    """Benchmark items whose normal form stands word for word in a document.
-
-    Items and documents meet on the hash of the item's first words, LEAD of them or all of a shorter item. A document's
-    row carries as many words from there as the longest item of that hash has, so documents are read once.
-    """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.split(text.plain(F.col("text")), " ").alias("bw"))
-    b = b.filter("bw[0] <> ''").withColumn("lead", F.least(F.size("bw"), F.lit(LEAD)))
-    b = b.withColumn("g", F.xxhash64("lead", F.array_join(F.slice("bw", F.lit(1), F.col("lead")), " ")))
-    wanted = b.groupBy("lead", "g").agg(F.max(F.size("bw")).alias("longest"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(text.plain(F.col("text")), " ").alias("w"))
-    hash_of = lambda i, k: F.xxhash64(F.lit(k), F.array_join(F.slice("w", i + 1, F.lit(k)), " "))
-    leads = sorted(r[0] for r in b.select("lead").distinct().collect())  # LEAD at most
-    at = lambda k: F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(F.lit(k).alias("lead"), hash_of(i, k).alias("g"), i.alias("i")))
-    places = [F.when(F.size("w") >= k, at(k)).otherwise(F.expr("cast(array() as array<struct<lead:int,g:bigint,i:int>>)")) for k in leads]
-    if not places:
-        return d.join(b, F.lit(False)).select("doc_id", "item_id")
-    hits = d.select("doc_id", "w", F.explode(F.concat(*places)).alias("p")).select("doc_id", "w", "p.*")
-    hits = hits.join(R.sent_if_small(wanted), ["lead", "g"]).select("doc_id", "g", F.slice("w", F.col("i") + 1, F.col("longest")).alias("w"))
-    return hits.join(b, "g").filter(F.slice("w", F.lit(1), F.size("bw")) == F.col("bw")).select("doc_id", "item_id").distinct()
+    """Benchmark items whose normal form stands word for word in a document: items are looked for by their rarest word."""
+    found = dictionary.matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("term").alias("item_id")).distinct()
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "acdefgh" and k[1:3].isdigit()}
