@@ -190,11 +190,20 @@ def verified(found: DataFrame, docs: DataFrame, templates: DataFrame, cover: flo
     return both.select("key", "label", "first", "last", share.alias("score")).filter(F.col("score") >= cover).distinct()
 
 
+def outermost(found: DataFrame) -> DataFrame:
+    """The spans without those that lie in a longer one of another label: a license's text names others, and holds their notices."""
+    span = F.struct("label", "first", "last", "score")
+    within = lambda s, o: (o["first"] <= s["first"]) & (o["last"] >= s["last"]) & (o["last"] - o["first"] > s["last"] - s["first"]) & (o["label"] != s["label"])
+    all_ = found.groupBy("key").agg(F.collect_list(span).alias("all__"))  # a text has few verified spans
+    kept = F.filter("all__", lambda s: ~F.exists("all__", lambda o: within(s, o)))
+    return all_.select("key", F.inline(kept))
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.
 
     Phrases of PHRASES give base labels wherever their words stand one after the other; verified spans
-    add labels of templates. Null and empty texts have no words, no labels and score 0. Documents
+    add labels of templates, unless they lie in a longer one of another label. Null and empty texts have no words, no labels and score 0. Documents
     are told apart by a hash of id and text, so repeated rows get the same labels. The text leaves, other
     columns stay; those with the names of results are replaced. Without templates there are base labels only; a
     template of fewer than K words raises ValueError.
@@ -206,7 +215,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     templates = templates if templates is not None else template_table(spark)
     grams = docs.select(key.alias("key"), license_words(F.col("text")).alias("w")).filter(F.size("w") >= K)
     found = cut(spans(votes(grams, templates)), "spans")
-    found = verified(found, grams, templates)
+    found = outermost(verified(found, grams, templates))
     # repeated rows vote together: places and shares are sets, so they do not change
     found = found.groupBy("key").agg(F.collect_set("label").alias("own__"), F.max("score").alias("own_score__"))
     found = cut(found.withColumnRenamed("key", "key__"), "verified")

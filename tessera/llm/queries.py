@@ -212,19 +212,20 @@ base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, list(DI
 tp AS (SELECT label, template, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(label, template, text)),
 tg AS (SELECT label, template, len(w) AS t_words, i AS t_at, array_to_string(w[i:i + 3], ' ') AS g FROM tp, LATERAL (SELECT unnest(generate_series(1, len(w) - 3)) AS i) s),
 dg AS (SELECT doc_id, i AS a, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM ats WHERE i <= len(w) - 3),
-h AS (SELECT doc_id, label, template, t_words, a - t_at AS diagonal, t_at FROM dg JOIN tg USING (g)),
+h AS (SELECT doc_id, label, template, t_words, a, a - t_at AS diagonal, t_at FROM dg JOIN tg USING (g)),
 v AS (SELECT DISTINCT doc_id, template, diagonal FROM h),
 f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {license_scan.GAP} THEN 0 ELSE 1 END AS fresh FROM v),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
-c AS (SELECT doc_id, template, run, label, t_words, diagonal, unnest(generate_series(t_at, t_at + 3)) AS k FROM h JOIN r USING (doc_id, template, diagonal)),
-g AS (SELECT doc_id, template, label, t_words, min(diagonal) AS low, max(diagonal) AS high FROM c GROUP BY doc_id, template, run, label, t_words
+c AS (SELECT doc_id, template, run, label, t_words, diagonal, a, unnest(generate_series(t_at, t_at + 3)) AS k FROM h JOIN r USING (doc_id, template, diagonal)),
+g AS (SELECT doc_id, template, label, t_words, min(diagonal) AS low, max(diagonal) AS high, min(a) AS first, max(a) + 3 AS last FROM c GROUP BY doc_id, template, run, label, t_words
       HAVING count(DISTINCT k) >= {license_scan.COVER} * t_words),
-al AS (SELECT g.doc_id, g.label, list_max(list_reduce(
+al AS (SELECT g.doc_id, g.label, first, last, list_max(list_reduce(
          list_transform(range(1, t_words + 1), lambda p: list_transform(range(low, high + 1), lambda x: CASE WHEN p + x >= 1 AND d.w[p + x] = tp.w[p] THEN 1 ELSE 0 END)),
          lambda best, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(best[i] + m[i], coalesce(best[i + 1], 0))))),
          list_transform(range(low, high + 1), lambda x: 0))) / t_words AS score
        FROM g JOIN d ON d.doc_id = g.doc_id JOIN tp ON tp.template = g.template),
-s AS (SELECT doc_id, label, score FROM al WHERE score >= {license_scan.COVER}),
+sp AS (SELECT doc_id, label, first, last, score FROM al WHERE score >= {license_scan.COVER}),
+s AS (SELECT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.doc_id = sp.doc_id AND o.label <> sp.label AND o.first <= sp.first AND o.last >= sp.last AND o.last - o.first > sp.last - sp.first)),
 o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

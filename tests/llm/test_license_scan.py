@@ -105,3 +105,25 @@ def test_no_templates_and_templates_too_short(frame, spark):
     assert L.scan(docs, none).count() == len(CASES)
     with pytest.raises(ValueError, match="fewer than 4 words"):
         L.scan(docs, L.template_table(spark, {"x": ["only three words"]}))
+
+
+def test_notices_inside_a_longer_license_give_way(frame):
+    """The text of one license names others; two licenses one after another both stay."""
+    from pathlib import Path
+
+    from tessera.llm import license_scan as L
+
+    whole = lambda n: (Path(L.__file__).parent / "licenses" / f"{n}.txt").read_text("utf-8")
+    mit = L.TEMPLATES["text:mit"][0] if "text:mit" in L.TEMPLATES else next(iter(L.NOTICES.values()))[0]
+    docs = frame([(1, whole("GPL-3")), (2, whole("GPL-3") + "\n\n" + mit), (3, mit)])
+    got = {r.doc_id: [x for x in r.labels if x.startswith("text:")] for r in L.scan(docs).collect()}
+    assert got[1] == ["text:gpl-3.0"]
+    assert len(got[3]) == 1 and got[2] == sorted(["text:gpl-3.0", *got[3]])
+
+
+def test_outermost_spans(spark):
+    from tessera.llm import license_scan as L
+
+    rows = [(1, "a", 0, 100, 1.0), (1, "b", 5, 20, 0.9), (1, "a", 30, 40, 0.9), (1, "c", 90, 120, 0.9), (1, "d", 0, 100, 0.8), (2, "b", 5, 20, 0.9)]
+    got = L.outermost(spark.createDataFrame(rows, "key long, label string, first int, last int, score double")).collect()
+    assert sorted((r.key, r.label, r.first) for r in got) == [(1, "a", 0), (1, "c", 90), (1, "d", 0), (2, "b", 5)]
