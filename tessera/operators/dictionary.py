@@ -1,32 +1,74 @@
 """Dictionary matching on whole words: texts against very many terms, without a product of the two.
 
-A term is looked for by its anchor, the word of it that fewest terms have. Words of texts meet the anchors in an equi-join,
-and the words around a meeting are compared with the term's. A dictionary of up to FEW terms goes to all tasks, where
-the comparison follows the join in one stage; a larger one is joined by word in a shuffle, and the texts' words join what met.
+Terms and texts are compared run by run: for each number of words that terms have, the runs of so many words of a text. Words are hashed, and
+the hash of any run follows from sums over the words before it, so tasks look a text's runs up in a filter of the terms' hashes without writing any.
+Only runs that pass are written; they meet the terms in an equi-join on their words, which leaves nothing to chance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain
+from tessera.solvers.groups import in_groups
 
+#: Bits of the filter for each term and at most: 16 MB. A fuller filter lets more runs pass, never fewer.
+FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 27
 #: Terms that are sent to all tasks.
 FEW = 200_000
+#: Words that a task looks up at once.
+STEP = 1 << 20
+#: An odd factor and its inverse modulo 2^64.
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
 
 
 def _split(text: Column) -> Column:
     return F.filter(F.split(plain(text), " "), lambda w: w != "")
 
 
-def anchored(terms: DataFrame, id_: str, alias: str) -> DataFrame:
-    """(term, words, offset, anchor) of the terms that have a word in normal form; the anchor is the word of fewest terms, then the longest, then the first."""
-    t = terms.select(F.col(id_).alias("term"), _split(F.col(alias)).alias("words")).filter("term IS NOT NULL AND size(words) > 0")
-    each = t.select("term", "words", F.posexplode("words").alias("offset", "anchor"))
-    known = each.groupBy("anchor").agg(F.countDistinct("term").alias("n"))
-    best = Window.partitionBy("term", "words").orderBy("n", F.length("anchor").desc(), "offset")
-    return each.join(known, "anchor").withColumn("k", F.row_number().over(best)).filter("k = 1").select("term", "words", "offset", "anchor")
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _runs(words: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes) of the runs of n words at each place where n words are left; ``words`` are hashes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(ODD, len(words))[:-1], dtype=np.uint64)])
+    back = _powers(INVERSE, len(words))
+    for n in lengths:
+        if n <= len(words):
+            h = (sums[n:] - sums[:-n]) * back[: len(words) - n + 1]
+            h ^= h >> np.uint64(32)
+            yield n, h * np.uint64(ODD)
+
+
+def _hashes(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of arrays, and where each row's begin and end."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
+def _filter(terms: DataFrame, n_terms: int) -> np.ndarray:
+    """Bits of the hashes of all terms (h: the hashes of their words), as 64-bit words; at most MAX_FILTER_BITS."""
+    size = 1 << max(16, min(MAX_FILTER_BITS, FILTER_BITS * n_terms).bit_length() - 1)
+
+    def bits(batches):
+        for b in batches:
+            words, at = _hashes(b.column(0))
+            whole = [next(h for _, h in _runs(words[i:j], [j - i])) for i, j in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate([np.zeros(0, np.uint64), *whole]) >> np.uint64(1)).view(np.int64) % size)], names=["bit"])
+
+    longs = terms.select("h").mapInArrow(bits, "bit long").groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    table, found = np.zeros(size >> 6, np.int64), longs.toArrow()  # at most MAX_FILTER_BITS / 64 rows
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint64)
 
 
 def matches(docs: DataFrame, id_: str, text: str, terms: DataFrame, term_id: str, alias: str, few: int = FEW) -> DataFrame:
@@ -34,32 +76,69 @@ def matches(docs: DataFrame, id_: str, text: str, terms: DataFrame, term_id: str
 
     Ids of texts must be unique. Null texts and terms without a word match nothing; terms of equal words all match.
     """
-    t = anchored(terms, term_id, alias)
-    small = t.limit(few + 1).count() <= few
-    t = t.select("anchor", "term", "offset", F.col("words").alias("tw"))
-    d = docs.select(F.col(id_).alias("doc"), _split(F.col(text)).alias("w"))
-    start = (F.col("i") - F.col("offset")).alias("start")
-    same = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("tw")) == F.col("tw"))
-    if small:
-        met = d.select("doc", "w", F.posexplode("w").alias("i", "anchor")).join(F.broadcast(t), "anchor").select("doc", "w", start, "tw", "term")
-    else:
-        met = d.select("doc", F.posexplode("w").alias("i", "anchor")).join(t, "anchor").select("doc", start, "tw", "term").filter("start >= 0").join(d, "doc")
-    return met.filter(same).select("doc", "start", F.size("tw").alias("n"), "term")
+    spark = docs.sparkSession
+    t = terms.select(F.col(term_id).alias("term"), _split(F.col(alias)).alias("words")).filter("term IS NOT NULL AND size(words) > 0").distinct().persist()  # read three times
+    hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("h")
+    sizes = {r["n"]: r["count"] for r in t.groupBy(F.size("words").alias("n")).count().collect()}  # a row for each number of words
+    total, lengths = sum(sizes.values()), sorted(sizes)
+    table = spark.sparkContext.broadcast(_filter(t.select(hashed), total))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        size = np.int64(len(bits) << 6)
+        for b in batches:
+            words, at = _hashes(b.column(2))
+            first = 0
+            while first < b.num_rows:  # texts of about STEP words at once
+                last = max(first + 1, int(np.searchsorted(at, at[first] + STEP, "right")) - 1)
+                own, edges = words[at[first] : at[last]], at[first : last + 1] - at[first]
+                row = np.repeat(np.arange(last - first), np.diff(edges))
+                rows, starts, ns = [], [], []
+                for n, h in _runs(own, lengths):
+                    x = (h >> np.uint64(1)).view(np.int64) % size
+                    hit = np.flatnonzero((bits[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1))
+                    hit = hit[hit + n <= edges[row[hit] + 1]]  # a run ends within its text
+                    rows.append(row[hit])
+                    starts.append(hit - edges[row[hit]])
+                    ns.append(np.full(len(hit), n))
+                if rows and sum(map(len, rows)):
+                    each = np.concatenate(rows)
+                    order = np.argsort(each, kind="stable")
+                    counts = np.bincount(each, minlength=last - first)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    start, n = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v)[order].astype(np.int32))) for v in (starts, ns))
+                    some = pa.array(counts > 0)
+                    part = b.slice(first, last - first)
+                    columns = [part.column(0), part.column(1), start, n]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "words", "start", "n"]).filter(some)
+                first = last
+
+    d = docs.select(F.col(id_).alias("doc"), _split(F.col(text)).alias("words")).select("doc", "words", hashed)
+    kind = d.schema["doc"].dataType.simpleString()
+    held = d.mapInArrow(look, f"doc {kind}, words array<string>, start array<int>, n array<int>")
+    run = F.array_join(F.slice("words", F.col("r.start") + 1, F.col("r.n")), " ")
+    runs = held.select("doc", "words", F.explode(F.arrays_zip("start", "n")).alias("r")).select("doc", "r.start", "r.n", run.alias("run"))
+    known = t.select("term", F.array_join("words", " ").alias("run"))
+    return runs.join(F.broadcast(known) if total <= few else known, "run").select("doc", "start", "n", "term")
+
+
+def marked(found: DataFrame) -> DataFrame:
+    """The matches with ``taken``: whether a reader takes them from left to right, the longest at the first place, then on after its end."""
+
+    def take(key, starts, ns, terms):
+        until = 0
+        for start, n, term in zip(starts, ns, terms):
+            yield key, start, n, term, start >= until
+            until = start + n if start >= until else until
+
+    kind = found.schema["doc"].dataType.simpleString()
+    rows = found.select("doc", "start", "n", F.col("term").cast("long"))
+    return in_groups(rows, "doc", ["start", F.desc("n"), "term"], take, f"doc {kind}, start int, n int, term bigint, taken boolean")
 
 
 def longest(found: DataFrame) -> DataFrame:
-    """Of the matches of a text those that a reader takes from left to right: the longest at the first place, then on after its end."""
-    best = found.groupBy("doc", "start").agg(F.max(F.struct("n", (-F.col("term")).alias("t"))).alias("b"))
-    row = F.struct("start", F.col("b.n").alias("n"), (-F.col("b.t")).alias("term"))
-    series = best.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("s"))  # a place of a text has one row
-    kind = "struct<until:int, kept:array<struct<start:int, n:int, term:bigint>>>"
-
-    def step(acc, x):
-        more = F.struct((x["start"] + x["n"]).alias("until"), F.concat(acc["kept"], F.array(F.struct(x["start"].alias("start"), x["n"].alias("n"), x["term"].cast("long").alias("term")))).alias("kept"))
-        return F.when(x["start"] >= acc["until"], more.cast(kind)).otherwise(acc)
-
-    empty = F.struct(F.lit(0).alias("until"), F.expr("cast(array() as array<struct<start:int, n:int, term:bigint>>)").alias("kept"))
-    return series.select("doc", F.inline(F.aggregate("s", empty, step)["kept"]))
+    """Of the matches of a text those that a reader takes."""
+    return marked(found).filter("taken").drop("taken")
 
 
 def translated(entities: DataFrame, cache: DataFrame, parts: list[str], phrase: str, most: int = 120) -> DataFrame:

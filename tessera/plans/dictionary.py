@@ -26,9 +26,9 @@ def _terms(spark, sf_dir):
 def c32_dictionary(spark, sf_dir):
     """Documents against a dictionary of openings and names: all places, those that a reader takes (longest first), and their terms."""
     found = D.matches(table(spark, sf_dir, "documents"), "doc_id", "text", _terms(spark, sf_dir), "term", "alias")
-    every = found.groupBy("doc").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("term").alias("terms"))
-    taken = D.longest(found).groupBy("doc").agg(F.count(F.lit(1)).alias("taken"), F.sum("n").alias("words"), F.sum("term").alias("term_sum"))
-    return every.join(taken, "doc").withColumnRenamed("doc", "doc_id")
+    taken = lambda c: F.sum(F.when(F.col("taken"), c))
+    rows = D.marked(found).groupBy("doc").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("term").alias("terms"), F.count_if("taken").alias("taken"), taken(F.col("n")).alias("words"), taken(F.col("term")).alias("term_sum"))
+    return rows.withColumnRenamed("doc", "doc_id")
 
 
 def j06_translated(spark, sf_dir):
