@@ -1,7 +1,7 @@
 """Listings of several providers, kept page by page as JSON lines, as one data source for batch and stream.
 
 A folder holds a folder for each provider with files ``page-<number>.json``; a line is an item with id, title, license, duration and
-its files by height. There is a partition for each provider and page. Filters on the provider and the page leave out partitions
+its files by height. There is a partition for each provider and page, or, of more than SINGLE pages, for a run of them. Filters on the provider and the page leave out partitions
 before anything is opened; those on license, duration and height are applied while pages are read; others stay with Spark.
 
 As a stream, the offset is the number of the last page read of each provider, so a run that resumes from its checkpoint opens new pages only.
@@ -39,6 +39,23 @@ class Page(InputPartition):
     max_height: int
 
 
+@dataclass
+class Run(InputPartition):
+    pages: list[Page]
+
+
+#: Pages up to which each is a partition of its own, and partitions beyond.
+SINGLE, RUNS = 64, 256
+
+
+def parts(pages: list[Page]) -> list[InputPartition]:
+    """Partitions of pages: one for each, or RUNS at most, so that tasks and what they shuffle do not grow as the square of the pages."""
+    if len(pages) <= SINGLE:
+        return pages
+    n = min(RUNS, len(pages) // 8)
+    return [Run(pages[len(pages) * i // n : len(pages) * (i + 1) // n]) for i in range(n)]
+
+
 class Listings:
     """The pages there are, by the options: ``path``; ``providers`` in order of precedence (default: all folders by name); ``pages`` and
     ``max_height`` (default: no limit), which ``<provider>.pages`` and ``<provider>.max_height`` override."""
@@ -73,9 +90,14 @@ class Listings:
             out += [Page(provider, listing, n, path, self.of(provider, "max_height")) for n, path in (pages[:most] if most else pages)]
         return out
 
-    def rows(self, page: Page, tests: list[tuple[str, type, object]] = ()) -> Iterator[tuple]:
-        """Items of a page; lines that are not valid, items without an id or a license, and those without a file that is low enough are left out."""
+    def rows(self, part: InputPartition, tests: list[tuple[str, type, object]] = ()) -> Iterator[tuple]:
+        """Items of a partition's pages."""
         store, _ = self.store()
+        for page in part.pages if isinstance(part, Run) else [part]:
+            yield from self.items(store, page, tests)
+
+    def items(self, store, page: Page, tests: list[tuple[str, type, object]] = ()) -> Iterator[tuple]:
+        """Items of a page; lines that are not valid, items without an id or a license, and those without a file that is low enough are left out."""
         with store.open_input_stream(page.path) as f:
             lines = f.read().decode("utf-8", "replace").splitlines()
         for place, line in enumerate(lines):
@@ -102,7 +124,7 @@ class BatchReader(DataSourceReader):
 
     def partitions(self):
         about = {"provider": lambda p: p.provider, "page": lambda p: p.number}
-        return [p for p in self.listings.pages() if all(TESTS[kind](about[c](p), v) for c, kind, v in self.tests if c in about)]
+        return parts([p for p in self.listings.pages() if all(TESTS[kind](about[c](p), v) for c, kind, v in self.tests if c in about)])
 
     def read(self, partition):
         return self.listings.rows(partition, self.tests) if partition else iter(())
@@ -122,7 +144,7 @@ class StreamReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start, end):
-        return [p for p in self.listings.pages() if start.get(p.provider, -1) < p.number <= end.get(p.provider, -1)]
+        return parts([p for p in self.listings.pages() if start.get(p.provider, -1) < p.number <= end.get(p.provider, -1)])
 
     def read(self, partition):
         return self.listings.rows(partition)
