@@ -46,33 +46,43 @@ def topped_up(stream: DataFrame, folder: str, key: list[str], group: str, target
     return spark.read.schema(stream.schema).parquet(store)
 
 
+#: Groups of keys of a token bucket; a group's keys share one call of Python and one entry of the state store.
+SHARES = 4096
+
+
 def token_bucket(stream: DataFrame, key: str, rate: float, burst: float, most: int = 3, pause: float = 60.0) -> DataFrame:
     """Whether each call (key, event_id, at in seconds, refused by the other side) is let through: allowed, limited or open.
 
     A token bucket per key, and a breaker: after ``most`` refused calls in a row that were let through, all calls are held
     back for ``pause`` seconds; one that is accepted counts anew. State: tokens, time of the last refill, refusals in a row,
-    end of the pause. Calls of one batch are taken in order of time; a key's calls of a batch are one task's, so keys should
-    be narrow (a user and a type, not a type).
+    end of the pause. Calls of one batch are taken in order of time.
+
+    A call of Python for each key costs milliseconds, more than the work on its calls, so keys are dealt to SHARES groups by hash; the state of a
+    group holds that of its keys as arrays. A group's calls of a batch are one task's, so keys should be narrow (a user and a type, not a type).
     """
 
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last, refused, shut = state.get if state.exists else (burst, None, 0, 0.0)
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: s for k, *s in zip(*state.get)} if state.exists else {}
         calls = pd.concat(parts).sort_values(["at", "event_id"])
-        verdicts = []
-        for at, no in zip(calls["at"], calls["refused"]):
-            if last is not None:
-                tokens = min(burst, tokens + max(0.0, at - last) * rate)
-            last = at if last is None else max(last, at)
-            verdicts.append("open" if at < shut else "allowed" if tokens >= 1.0 else "limited")
-            if verdicts[-1] == "allowed":
+        keys, verdicts = [None if pd.isna(k) else k for k in calls[key].tolist()], []
+        for k, at, no in zip(keys, calls["at"].tolist(), calls["refused"].tolist()):
+            if (own := held.get(k)) is None:
+                own = held[k] = [burst, at, 0, 0.0]
+            tokens, last, refused, shut = own
+            tokens = min(burst, tokens + max(0.0, at - last) * rate)
+            verdict = "open" if at < shut else "allowed" if tokens >= 1.0 else "limited"
+            if verdict == "allowed":
                 tokens -= 1.0
                 refused = refused + 1 if no else 0
                 if refused >= most:
                     refused, shut = 0, at + pause
-        state.update((float(tokens), float(last), int(refused), float(shut)))
-        yield pd.DataFrame({key: keys[0], "event_id": calls["event_id"].to_numpy(), "verdict": verdicts})
+            own[:] = float(tokens), float(max(last, at)), int(refused), float(shut)
+            verdicts.append(verdict)
+        state.update(([*held], *([s[i] for s in held.values()] for i in range(4))))
+        yield pd.DataFrame({key: keys, "event_id": calls["event_id"].to_numpy(), "verdict": verdicts})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, event_id long, verdict string", "tokens double, last double, refused int, shut double", "append", GroupStateTimeout.NoTimeout
+    share = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(SHARES))).otherwise(-1)  # pandas would make numbers beside a null inexact
+    return stream.withColumn("share_", share).groupBy("share_").applyInPandasWithState(
+        step, f"{key} {kind}, event_id long, verdict string", f"keys array<{kind}>, tokens array<double>, last array<double>, refused array<int>, shut array<double>", "append", GroupStateTimeout.NoTimeout
     )
