@@ -47,6 +47,12 @@ def cascade(df: DataFrame, keys: list[str], rules: list[Column]) -> DataFrame:
     return rows.withColumn("kept_rules", F.col("held_.kept")).drop("mask_", "masks_", "held_")
 
 
+def dealt(df: DataFrame, keys: list[str], shares: int = 4) -> DataFrame:
+    """Rows dealt by key to ``shares`` partitions for each one that they are read in, so what a task sorts is bounded by the size of the parts
+    that files are read in, not by a share of all rows. For rows read without a shuffle before."""
+    return df.repartition(shares * max(1, df.rdd.getNumPartitions()), *keys)
+
+
 def floor_or_best(df: DataFrame, keys: list[str], score: str, floor: float, k: int, order: list[Column]) -> DataFrame:
     """Rows with at least ``floor``; for keys without any, the first k instead."""
     w = Window.partitionBy(*keys)

@@ -105,7 +105,7 @@ def b16_threshold_gates(spark, sf_dir):
 def b17_floor_or_best(spark, sf_dir):
     """Lines of an order with a quantity of 45 or more; for orders without any the best two."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    out = R.floor_or_best(l, ["l_orderkey"], "l_quantity", 45, 2, [F.desc("l_quantity"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")])
+    out = R.floor_or_best(R.dealt(l, ["l_orderkey"]), ["l_orderkey"], "l_quantity", 45, 2, [F.desc("l_quantity"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")])
     return out.select("l_orderkey", "l_partkey", "l_quantity")
 
 
