@@ -46,6 +46,8 @@ CROWD_PAIRS, CROWD_OTHERS = 2500, 50
 COUNT_BUCKETS, STEPS = 1 << 16, 2
 #: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
+#: Rows of texts and of keys that go to a Python worker at once.
+KEY_ROWS = 1 << 13
 #: Copies whose ids are sent to all tasks; beyond that they are left out by a shuffled join.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -175,7 +177,7 @@ KEYS = "node long, keys array<long>, near_keys array<long>"
 
 
 def set_keys(docs: DataFrame, n_docs: int, t_pct: int, n: int) -> DataFrame:
-    """The keys of each document's set. Recomputed where needed: they take more room than the texts."""
+    """The keys of each document's set."""
     ends = bands(t_pct / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +301,36 @@ def verified(pairs: DataFrame, docs: DataFrame, t_pct: int, n: int) -> DataFrame
     return both.withColumn("i", inner).filter(100 * F.col("i") >= t_pct * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b").distinct()
 
 
+MEMBERS = "key long, node long, whole boolean, first long"
+
+
+def shared_members(keyed: DataFrame) -> DataFrame:
+    """MEMBERS of the keys that two sets or more have, one of them whole, from one sort of (key, node, whole); first is the least such node.
+
+    A key's first row says all that its others need, so a key of any size streams through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, gone = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)], False  # the last key's first row, and whether it went out
+        for batch in batches:
+            key, node, whole = (np.concatenate((h, np.asarray(c).astype(h.dtype))) for h, c in zip(held, batch.columns))
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(begin, len(key)))
+            several = size > 1
+            some = np.repeat(several & whole[begin], size)
+            first = np.repeat(node[begin], size)
+            some[0] &= not gone
+            held, gone = [x[begin[-1:]] for x in (key, node, whole)], bool(several[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, node, whole, first)], names=[c.split()[0] for c in MEMBERS.split(", ")])
+
+    return keyed.select("key", "node", "whole").repartition("key").sortWithinPartitions("key", F.desc("whole"), "node").mapInArrow(run, MEMBERS)
+
+
 def members_of_shared(keyed: DataFrame, name: str) -> DataFrame:
-    """(key, node, whole, first) of the keys that two sets or more have, one of them whole; first is the least such node."""
-    first = F.min(F.when(F.col("whole"), F.col("node")))
-    shared = keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = cut(shared.filter("n > 1 AND first IS NOT NULL").drop("n"), f"{name}_shared")
-    return cut(keyed.join(shared, "key").select("key", "node", "whole", "first"), f"{name}_members")
+    """``shared_members`` as a table. The keys take more room than the texts, so they are made and shuffled once."""
+    return cut(shared_members(keyed), f"{name}_members", KEY_ROWS)
 
 
 def placed_in(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,8 @@ among those of its source says which block it takes. Every prefix of the schedul
 therefore mixed nearly in proportion.
 
 Scale: prefix sums run in two steps, in small chunks of the hash order (or of the slots) and then
-over chunk totals, so no source passes through one task. Only per-source figures reach the driver.
+over chunk totals, so no source passes through one task. Only per-source figures reach the driver. Each step is written as
+a table, so that the driver plans few joins at once.
 """
 
 from __future__ import annotations
@@ -80,34 +81,24 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     the few that they lack come last.
     """
     spark = plan.sparkSession
-    need = plan.select("sid", F.ceil(F.col("quota") / F.lit(block)).cast("long").alias("need"))
+    need = cut(plan.select("sid", F.ceil(F.col("quota") / F.lit(block)).cast("long").alias("need")), "need")
     slots = need.agg(F.sum("need")).first()[0] or 0
     part = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     bounds = need.filter("need > 0").withColumn("hi_n", F.sum("need").over(part))
     lo, hi = (F.col("hi_n") - F.col("need")) / F.lit(float(max(1, slots))), F.col("hi_n") / F.lit(float(max(1, slots)))
-    ranges = bounds.select("sid", lo.alias("lo"), hi.alias("hi")).withColumn(
-        "bucket",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("lo") * BUCKETS).cast("long"),
-                F.least(F.floor(F.col("hi") * BUCKETS).cast("long"), F.lit(BUCKETS - 1).cast("long")),
-            )
-        ),
-    )
+    first, last = F.floor(F.col("lo") * BUCKETS).cast("long"), F.least(F.floor(F.col("hi") * BUCKETS).cast("long"), F.lit(BUCKETS - 1).cast("long"))
+    ranges = cut(bounds.select("sid", lo.alias("lo"), hi.alias("hi")).withColumn("bucket", F.explode(F.sequence(first, last))), "ranges")
     x = F.col("slot") * F.lit(PHI)
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", x - F.floor(x))
     points = points.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("long"))
-    placed = (
-        points.join(_small(ranges), "bucket")
-        .filter("u >= lo AND u < hi")
-        .select("slot", "sid", F.floor(F.col("slot") / F.lit(BUCKETS)).alias("chunk"))
-    )
+    placed = points.join(_small(ranges), "bucket").filter("u >= lo AND u < hi")
+    placed = cut(placed.select("slot", "sid", F.floor(F.col("slot") / F.lit(BUCKETS)).alias("chunk")), "slots")
     totals = placed.groupBy("sid", "chunk").count()
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("sid", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = placed.withColumn("inside", inside).join(offsets, ["sid", "chunk"]).withColumn("rank", F.col("offset") + F.col("inside"))
-    kept = ranked.join(F.broadcast(need) if slots and need.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else need, "sid")
+    kept = ranked.join(_small(need), "sid")
     kept = kept.filter("rank < need").select("slot", "sid", "rank")
     had = totals.groupBy("sid").agg(F.sum("count").alias("had"))
     lacking = (
@@ -117,7 +108,7 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("rank", F.explode(F.sequence(F.col("had"), F.col("need") - 1)))
         .select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank")
     )
-    return kept.unionByName(lacking)
+    return cut(kept.unionByName(lacking), "schedule")
 
 
 def placed_documents(docs: DataFrame, plan: DataFrame, size: Column, seed: str = "") -> DataFrame:

@@ -155,3 +155,37 @@ def test_merged_components_equal_those_of_all_edges(spark):
     got = {r.node: r.component for r in merged(components(make(first)), make(more)).collect()}
     want = {r.node: r.component for r in components(make(first + more)).collect()}
     assert {n: got[n] for n in want} == want and all(got[n] == n for n in got.keys() - want.keys())
+
+
+def test_members_of_shared_keys_come_from_one_sort(spark):
+    """Keys that span Arrow batches: a first row alone in its batch, one that went out before, keys without a whole row."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice((rng.randrange(40), rng.randrange(1000))), n, rng.random() < 0.3) for n in range(600)]
+    by = {}
+    for k, n, w in rows:
+        by.setdefault(k, []).append((n, w))
+    want = sorted((k, n, w, min(x for x, y in v if y)) for k, v in by.items() if len(v) > 1 and any(w for _, w in v) for n, w in v)
+    keyed = spark.createDataFrame(rows, "key long, node long, whole boolean")
+    try:
+        for batch in (1, 2, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            assert sorted(map(tuple, J.shared_members(keyed).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_of_sets_are_made_once(frame, monkeypatch):
+    import re
+
+    plans, cut = [], J.cut
+
+    def noted(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, *more)
+
+    monkeypatch.setattr(J, "cut", noted)
+    rows = [(i, " ".join(f"w{j + i // 2 * 50}" for j in range(30))) for i in range(8)]
+    assert sorted((r.doc_id, r.component_id) for r in J.similarity_components(frame(rows)).collect()) == [(i, i // 2 * 2) for i in range(8)]
+    assert sum(len(re.findall(r"MapInArrow[^\n]*near_keys", p)) for p in plans) == 1

@@ -41,3 +41,10 @@ def test_extra_columns_and_a_very_long_text(frame):
     got = {r.doc_id: (r["size"], r.taken) for r in M.mix_totals(docs).collect()}
     assert got == {r.doc_id: (r["size"], r.taken) for r in M.mix_totals(frame(rows)).collect()}
     assert got[1][0] == 200_000 and got[3] == (0, 0) and sum(t for _, t in got.values()) == 300_015
+
+
+def test_the_driver_plans_few_joins_at_once(frame):
+    """The whole schedule was part of the last plan: 28 exchanges over all, and the driver's memory went beyond its budget."""
+    rows = [(i, "w " * (i % 9), "en", "abc"[i % 3]) for i in range(60)]
+    plan = M.mix_totals(frame(rows), block=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6
