@@ -389,7 +389,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
     Tables that grow with the input are joined by sorting, whatever their size, so none passes through the driver.
     """
     lines = firsts.select("line", *OWN)
-    members = cut(shared_only(variant_table(docs, cores)).join(lines.hint("merge"), "line"), "members", KEY_ROWS)
+    members = shared_only(variant_table(docs, cores)).join(lines.hint("merge"), "line")
 
     most = F.expr(f"2 * greatest(1, greatest(n, n2) * {PERCENT} div 100) - abs(n - n2)")
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("b12"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b22")))
@@ -411,7 +411,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, cores: Cores) -> DataFrame:
     met = members.select("key", "line", *OWN, first.alias("m"), F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"))
     met = met.select("key", "size", "line", *OWN, F.col("m.line").alias("other"), *[F.col(f"m.{c}").alias(f"{c}2") for c in OWN])
     met = met.withColumn("other", F.when(fits, F.col("other"))).filter("size > 2 OR other IS NOT NULL").select("key", "size", "line", *OWN, "other")
-    met = cut(met, "first_lines")
+    met = cut(met, "first_lines", KEY_ROWS)
     easy = verified(met.filter("other IS NOT NULL"), "near_first")
 
     # all earlier lines of a key for the others

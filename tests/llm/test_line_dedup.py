@@ -208,3 +208,16 @@ def test_shared_keys_from_one_sort(spark, batch):
     for k, v in rows:
         lines.setdefault(k, set()).add(v)
     assert got == {(k, v) for k, v in rows if len(lines[k]) > 1}
+
+
+def test_members_of_keys_are_not_written_before_their_first_lines(frame):
+    """A table of all members of shared keys was written only to be read once."""
+    from tessera.llm.common import tracked
+
+    rows = [(i, " ".join(f"w{j}" for j in range(20)) + f" x{i}") for i in range(6)]
+    tables = []
+    with tracked(tables):
+        got = {r.doc_id: r.text for r in L.dedup(frame(rows)).collect()}
+    names = [t.rsplit("/", 1)[1] for t in tables]
+    assert got[0] == rows[0][1] and not any(got[i] for i in range(1, 6))
+    assert "first_lines" in names and "members" not in names
