@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEQ = "seq__"
+SEQ, ROWS = "seq__", "rows__"
 
 
 class Conflict(RuntimeError):
@@ -31,32 +31,52 @@ def _filled(c: Column) -> Column:
     return F.when(c.cast("string") != "", F.lit(True))
 
 
-def _in_order(c: str, at: Column, value=lambda x: x) -> Column:
-    """The column's values that are not null, each as ``value`` makes it, as an array by ``at``."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), value(F.col(c)).alias("v")))))
-    return F.transform(rows, lambda r: r["v"])
+def _in_order(rows: Column, c: str, value=lambda x: x) -> Column:
+    """The column's values in ``rows`` that are not null, each as ``value`` makes it, as an array by ``at``."""
+    some = F.filter(rows, lambda r: r[c].isNotNull())
+    return F.transform(F.array_sort(F.transform(some, lambda r: F.struct(r["at"].alias("at"), value(r[c]).alias("v")))), lambda r: r["v"])
 
 
-def _newer_wins(c: str, at: Column, kind: T.MapType) -> Column:
+def _at_end(rows: Column, c: str, end: Callable[[Column], Column]) -> Column:
+    """The first or last filled value by ``at``; the place in ``rows`` decides between equal ones."""
+    some = F.filter(rows, lambda r: _filled(r[c]).isNotNull())
+    return F.get(some, end(F.transform(some, lambda r, i: F.struct(r["at"].alias("at"), i.alias("i"))))["i"])[c]
+
+
+def _newer_wins(rows: Column, c: str, kind: T.MapType) -> Column:
     """Entries of all maps; of equal keys that of the last map."""
-    maps = F.transform(_in_order(c, at, F.map_entries), F.map_from_entries)  # maps themselves have no order
+    maps = F.transform(_in_order(rows, c, F.map_entries), F.map_from_entries)  # maps themselves have no order
     older = lambda acc, m: F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(m), k))
     return F.aggregate(maps, F.create_map().cast(kind), lambda acc, m: F.map_concat(older(acc, m), m))
 
 
-#: How a column of equal keys is folded; each gets the column's name, the order of rows, and its type.
-RULES: dict[str, Callable[[str, Column, T.DataType], Column]] = {
-    "first": lambda c, at, _: F.min_by(c, F.when(_filled(F.col(c)), at)),
-    "last": lambda c, at, _: F.max_by(c, F.when(_filled(F.col(c)), at)),
-    "least": lambda c, at, _: F.min(c),
-    "greatest": lambda c, at, _: F.max(c),
-    "sum": lambda c, at, kind: F.sum(c).cast(kind),
-    "every": lambda c, at, _: F.min(c),
-    "union": lambda c, at, _: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))),
-    "append": lambda c, at, _: F.flatten(_in_order(c, at)),
+#: How a column of equal keys is folded by an aggregate; each rule gets the column's name and its type.
+SUMMED: dict[str, Callable[[str, T.DataType], Column]] = {
+    "least": lambda c, _: F.min(c),
+    "greatest": lambda c, _: F.max(c),
+    "sum": lambda c, kind: F.sum(c).cast(kind),
+    "every": lambda c, _: F.min(c),
+}
+
+#: How a column is folded that needs the key's rows, which are collected once for all such columns.
+LISTED: dict[str, Callable[[Column, str, T.DataType], Column]] = {
+    "first": lambda rows, c, _: _at_end(rows, c, F.array_min),
+    "last": lambda rows, c, _: _at_end(rows, c, F.array_max),
+    "union": lambda rows, c, _: F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(rows, lambda r: r[c]), lambda v: v.isNotNull())))),
+    "append": lambda rows, c, _: F.flatten(_in_order(rows, c)),
     "merge": _newer_wins,
 }
 
+#: The same for the only row of a key.
+ALONE: dict[str, Callable[[Column, T.DataType], Column]] = {
+    "first": lambda v, _: F.when(_filled(v), v),
+    "last": lambda v, _: F.when(_filled(v), v),
+    "union": lambda v, kind: F.array_sort(F.array_distinct(F.coalesce(v, F.array().cast(kind)))),
+    "append": lambda v, kind: F.coalesce(v, F.array().cast(kind)),
+    "merge": lambda v, kind: F.coalesce(v, F.create_map().cast(kind)),
+}
+RULES = {*SUMMED, *LISTED}
+
 
 class VersionedStore:
     """``rules`` gives the rule of each column outside ``key`` (default: last); ``order`` orders the rows that one commit holds of a key.
@@ -68,7 +88,7 @@ class VersionedStore:
         self.spark, self.folder, self.key, self.order = spark, folder.rstrip("/"), key, order or []
         self.schema = T.StructType.fromDDL(schema)
         self.rules = {f.name: (rules or {}).get(f.name, "last") for f in self.schema if f.name not in key}
-        unknown = set(self.rules.values()) - set(RULES) | set(rules or {}) - set(self.schema.names) | set(key) - set(self.schema.names)
+        unknown = set(self.rules.values()) - RULES | set(rules or {}) - set(self.schema.names) | set(key) - set(self.schema.names)
         if unknown:
             raise ValueError(f"no such rule or column: {sorted(unknown)}")
         self._stored = T.StructType([*self.schema, T.StructField(SEQ, T.LongType())])
@@ -130,8 +150,15 @@ class VersionedStore:
 
     def _folded(self, rows: DataFrame) -> DataFrame:
         at = F.struct(F.col(SEQ), *[F.col(c) for c in self.order])
-        folds = [RULES[rule](c, at, self.schema[c].dataType).alias(c) for c, rule in self.rules.items()]
-        return rows.groupBy(*self.key).agg(*folds, F.max(SEQ).alias(SEQ)).select(*self._stored.names)
+        listed = {c: rule for c, rule in self.rules.items() if rule in LISTED}
+        folds = [SUMMED[rule](c, self.schema[c].dataType).alias(c) for c, rule in self.rules.items() if rule in SUMMED]
+        if listed:
+            folds.append(F.collect_list(F.struct(at.alias("at"), *[F.col(c) for c in listed])).alias(ROWS))
+        out, found = rows.groupBy(*self.key).agg(*folds, F.max(SEQ).alias(SEQ)), F.col(ROWS)
+        for c, rule in listed.items():
+            kind = self.schema[c].dataType
+            out = out.withColumn(c, F.when(F.size(found) == 1, ALONE[rule](found[0][c], kind)).otherwise(LISTED[rule](found, c, kind)))
+        return out.select(*self._stored.names)
 
     def _state(self, manifest: dict) -> DataFrame:
         base = self._rows([manifest["base"]] if manifest["base"] else [])

@@ -119,3 +119,15 @@ def test_untouched_rows_of_the_base_are_not_folded(spark, store):
     assert "LeftAnti" in plan and "LeftSemi" in plan
     got = rows_of(store.read())
     assert len(got) == 1000 and got[5]["name"] == "a" and got[5]["note"] == "later"
+
+
+def test_rows_of_a_key_are_collected_once(spark, store):
+    """Columns that need the rows themselves share one list, whatever their number; one row alone and several give what a plain fold does."""
+    one = [(1, "", "x", 1, ["b", "a", "b"], ["l"], {"k": "v"}, 3), (2, None, None, None, None, None, None, None)]
+    several = [(3, "", "n", 1, None, ["y", "z"], {"k": "2"}, 2), (3, "b", "", 2, ["t"], None, None, 3), (3, "a", "m", None, ["s"], ["x"], {"k": "1", "j": "0"}, 1)]
+    store.commit(spark.createDataFrame(one + several, SCHEMA))
+    assert store.read()._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    got = rows_of(store.read())
+    assert got[1] == {"k": 1, "name": None, "note": "x", "n": 1, "tags": ["a", "b"], "log": ["l"], "meta": {"k": "v"}, "at": 3}
+    assert got[2] == {"k": 2, "name": None, "note": None, "n": None, "tags": [], "log": [], "meta": {}, "at": None}
+    assert got[3] == {"k": 3, "name": "a", "note": "n", "n": 3, "tags": ["s", "t"], "log": ["x", "y", "z"], "meta": {"k": "2", "j": "0"}, "at": 3}
