@@ -17,9 +17,9 @@ difference from 512-bit parity sketches, which never rejects a similar pair, com
 Sets that are alike in part but not similar (pages of one template) crowd the keys of the common part. A key
 that would compare more than CROWD_PAIRS pairs, and more than CROWD_OTHERS sets with all others, is given up for keys by rare tokens: with the tokens of a set in order of
 their frequency among such sets, similar sets share a token among the first |x| - t * |x| + 1 of each, at places
-that add up to H at most, as no token before it is common. So one of the places is H / 2 at most: that set is indexed by its
-token and place (in steps), the other asks for the token at all places that are left to it. The common part comes last in
-the order, so sets with enough tokens of their own do not meet.
+that add up to H at most, as no token before it is common. So one of the places is H / 2 at most: for that set the token is
+whole, and a key needs one such set. The common part comes last in the order, so sets with enough tokens of their own do not
+meet. Places are not part of the keys: all that are left to a partner would take four times the rows.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrays import grams, lists, mix, sliced, words_of
-from tessera.llm.common import bucket_counts, cut
+from tessera.llm.common import KeyFilter, bucket_counts, cut
 from tessera.llm.components import components, merged
 
 #: Bits of distinction that a token is taken to give, in the cost model.
 TOKEN_BITS = 10.0
 #: Pairs of a key, and sets outside its largest component, beyond which its sets meet by their rare tokens.
 CROWD_PAIRS, CROWD_OTHERS = 2500, 50
-#: Buckets of tokens whose occurrences are counted, and steps of places.
-COUNT_BUCKETS, STEPS = 1 << 16, 2
+#: Buckets of tokens whose occurrences are counted.
+COUNT_BUCKETS = 1 << 16
 #: Size of the parity sketch in longs; larger sets also have a wide one of a bit or more for each token.
 SKETCH_LONGS = 8
 #: Rows of texts and of keys that go to a Python worker at once.
@@ -217,46 +217,28 @@ RARE = "node long, key long, whole boolean"
 
 
 def rare_keys(docs: DataFrame, counts: np.ndarray, t_pct: int, n: int) -> DataFrame:
-    """(node, key, whole): tokens by place of each set's rarest tokens; two sets meet where the key is whole for one.
+    """(node, key, whole): each set's rarest tokens, whole those at places up to H / 2 for the largest partner.
 
-    A place is cut into steps of about H / 2 / STEPS; sizes are told apart by the steps' width, the asking set has keys for all
-    widths that similar sizes have.
+    A pair meets by a token that is whole for one of them, so a set needs one row a token.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # COUNT_BUCKETS numbers
 
-    def width(size: int) -> int:
-        # a power of 2, so similar sizes have at most two widths
-        return 1 << max(0, most_different(size, t_pct) // 2 // STEPS).bit_length()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         for part, texts in sliced(batches):
-            ids, keys, whole = part.column(0).to_pylist(), [], []
+            keys, whole = [], []
             for s in shingle_sets(texts, n):
                 size = len(s)
                 first = size - -(-t_pct * size // 100) + 1 if size else 0
                 order = np.lexsort((s, frequent[(s % np.uint64(COUNT_BUCKETS)).astype(np.int64)]))[:first]
-                token, at = mix(s[order]), np.arange(len(order))
-                most = most_different(size, t_pct)
-                key = lambda x, step, w: mix(x + mix(step.astype(np.uint64) * np.uint64(64) + np.uint64(w.bit_length())))
-                own = at <= most // 2
-                indexed = np.unique(key(token[own], at[own] // width(size), width(size))) if size else token
-                asked = []
-                for w in sorted({width(x) for x in (-(-t_pct * size // 100), size, 100 * size // t_pct)}) if size else ():
-                    # the partner's place is at most H / 2, and with this one's H: for the largest partner
-                    left = np.minimum(most_different(100 * size // t_pct, t_pct) // 2, most - at)
-                    each = np.repeat(at, np.maximum(0, left // w + 1))
-                    step = np.arange(len(each)) - np.searchsorted(each, each)
-                    asked.append(key(token[each], step, w))
-                asked = np.setdiff1d(np.concatenate(asked), indexed) if asked else token
-                keys += [indexed, asked]
-                whole += [len(indexed), len(asked)]
-            sizes = np.array(whole, np.int64)
+                keys.append(mix(s[order]))
+                whole.append(np.arange(len(order)) <= most_different(size, t_pct) // 2)
+            sizes = np.array([len(k) for k in keys], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(np.array(ids, np.int64), sizes.reshape(-1, 2).sum(axis=1))),
+                    part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
                     pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)),
+                    pa.array(np.concatenate(whole)),
                 ],
                 names=["node", "key", "whole"],
             )
@@ -290,10 +272,22 @@ def possible(pairs: DataFrame, bits: DataFrame, t_pct: int) -> DataFrame:
     return pairs.join(side("l", "a"), "a").join(side("r", "b"), "b").filter(near(t_pct)).select("a", "b")
 
 
+def holding(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """(doc_id, text) of the documents with these ids, and maybe of some others: a join would shuffle all texts where the ids are many."""
+    wanted = KeyFilter(ids, column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(wanted.may_hold(ids)))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, t_pct: int, n: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity, by exact intersection of the sets of the documents concerned."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(token_sets(docs.join(wanted, "doc_id").select("doc_id", "text"), n), "sets")
+    sets = cut(token_sets(holding(docs, wanted, "doc_id"), n), "sets")  # of other documents too, which no pair has
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
     )
@@ -388,7 +382,7 @@ def similarity_components(docs: DataFrame, t_pct: int = 90, n: int = 3) -> DataF
 
     crowd = cut(placed.filter("crowded").select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        texts = cut(left.join(crowd.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text"), "crowd_texts")
+        texts = holding(left, crowd, "node")  # sets beyond the crowd only meet others once more
         members = members_of_shared(rare_keys(texts, bucket_counts(texts, lambda t: np.concatenate(list(shingle_sets(t, n))), COUNT_BUCKETS), t_pct, n), "rare")
         place = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
         more = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()

@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from tessera.llm import jaccard_join as J
@@ -189,3 +190,22 @@ def test_keys_of_sets_are_made_once(frame, monkeypatch):
     rows = [(i, " ".join(f"w{j + i // 2 * 50}" for j in range(30))) for i in range(8)]
     assert sorted((r.doc_id, r.component_id) for r in J.similarity_components(frame(rows)).collect()) == [(i, i // 2 * 2) for i in range(8)]
     assert sum(len(re.findall(r"MapInArrow[^\n]*near_keys", p)) for p in plans) == 1
+
+
+def test_texts_are_not_shuffled_for_ids(frame, monkeypatch):
+    """Sets of pairs are made where the texts lie, however many ids there are."""
+    plans, write = {}, J.cut
+    monkeypatch.setattr(J, "cut", lambda df, name, *more: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name, *more))
+    words = [f"w{i}" for i in range(60)]
+    docs = frame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "a b c d e")])
+    found = {r.doc_id: r.component_id for r in J.similarity_components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert "sets" in plans and "Join" not in plans["sets"] and "crowd_texts" not in plans
+
+
+def test_a_set_has_one_row_for_each_rare_token(frame):
+    """The first |x| - t |x| + 1 tokens, whole up to half of what the largest partner may differ in."""
+    docs = frame([(1, " ".join(f"w{i}" for i in range(104)))])
+    rows = J.rare_keys(docs, np.zeros(J.COUNT_BUCKETS, np.int64), 80, 5).collect()
+    assert len(rows) == len({r.key for r in rows}) == 100 - 80 + 1
+    assert sum(r.whole for r in rows) == J.most_different(100, 80) // 2 + 1
