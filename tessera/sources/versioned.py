@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEQ, ROWS = "seq__", "rows__"
+#: Fields of a collected row: its place in the order, and its columns under a prefix, as a column may have any name.
+AT, OF = "at", "of_"
 
 
 class Conflict(RuntimeError):
@@ -33,14 +35,14 @@ def _filled(c: Column) -> Column:
 
 def _in_order(rows: Column, c: str, value=lambda x: x) -> Column:
     """The column's values in ``rows`` that are not null, each as ``value`` makes it, as an array by ``at``."""
-    some = F.filter(rows, lambda r: r[c].isNotNull())
-    return F.transform(F.array_sort(F.transform(some, lambda r: F.struct(r["at"].alias("at"), value(r[c]).alias("v")))), lambda r: r["v"])
+    some = F.filter(rows, lambda r: r[OF + c].isNotNull())
+    return F.transform(F.array_sort(F.transform(some, lambda r: F.struct(r[AT].alias("at"), value(r[OF + c]).alias("v")))), lambda r: r["v"])
 
 
 def _at_end(rows: Column, c: str, end: Callable[[Column], Column]) -> Column:
     """The first or last filled value by ``at``; the place in ``rows`` decides between equal ones."""
-    some = F.filter(rows, lambda r: _filled(r[c]).isNotNull())
-    return F.get(some, end(F.transform(some, lambda r, i: F.struct(r["at"].alias("at"), i.alias("i"))))["i"])[c]
+    some = F.filter(rows, lambda r: _filled(r[OF + c]).isNotNull())
+    return F.get(some, end(F.transform(some, lambda r, i: F.struct(r[AT].alias("at"), i.alias("i"))))["i"])[OF + c]
 
 
 def _newer_wins(rows: Column, c: str, kind: T.MapType) -> Column:
@@ -58,11 +60,17 @@ SUMMED: dict[str, Callable[[str, T.DataType], Column]] = {
     "every": lambda c, _: F.min(c),
 }
 
+#: The same for the rules of one end, where no other column needs the key's rows: a key of any number of rows keeps one value each.
+ENDS: dict[str, Callable[[str, Column], Column]] = {
+    "first": lambda c, at: F.min_by(c, F.when(_filled(F.col(c)), at)),
+    "last": lambda c, at: F.max_by(c, F.when(_filled(F.col(c)), at)),
+}
+
 #: How a column is folded that needs the key's rows, which are collected once for all such columns.
 LISTED: dict[str, Callable[[Column, str, T.DataType], Column]] = {
     "first": lambda rows, c, _: _at_end(rows, c, F.array_min),
     "last": lambda rows, c, _: _at_end(rows, c, F.array_max),
-    "union": lambda rows, c, _: F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(rows, lambda r: r[c]), lambda v: v.isNotNull())))),
+    "union": lambda rows, c, _: F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(rows, lambda r: r[OF + c]), lambda v: v.isNotNull())))),
     "append": lambda rows, c, _: F.flatten(_in_order(rows, c)),
     "merge": _newer_wins,
 }
@@ -152,12 +160,15 @@ class VersionedStore:
         at = F.struct(F.col(SEQ), *[F.col(c) for c in self.order])
         listed = {c: rule for c, rule in self.rules.items() if rule in LISTED}
         folds = [SUMMED[rule](c, self.schema[c].dataType).alias(c) for c, rule in self.rules.items() if rule in SUMMED]
+        if set(listed.values()) <= set(ENDS):
+            folds += [ENDS[rule](c, at).alias(c) for c, rule in listed.items()]
+            listed = {}
         if listed:
-            folds.append(F.collect_list(F.struct(at.alias("at"), *[F.col(c) for c in listed])).alias(ROWS))
+            folds.append(F.collect_list(F.struct(at.alias(AT), *[F.col(c).alias(OF + c) for c in listed])).alias(ROWS))
         out, found = rows.groupBy(*self.key).agg(*folds, F.max(SEQ).alias(SEQ)), F.col(ROWS)
         for c, rule in listed.items():
             kind = self.schema[c].dataType
-            out = out.withColumn(c, F.when(F.size(found) == 1, ALONE[rule](found[0][c], kind)).otherwise(LISTED[rule](found, c, kind)))
+            out = out.withColumn(c, F.when(F.size(found) == 1, ALONE[rule](found[0][OF + c], kind)).otherwise(LISTED[rule](found, c, kind)))
         return out.select(*self._stored.names)
 
     def _state(self, manifest: dict) -> DataFrame:
